@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, tokens, urls
+from . import langid, mixing, quality, tokens, urls
 from .common import shared_dir
 
 
@@ -56,6 +56,16 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
 
+#: Documents with this score or more are kept.
+QUALITY_LINE = 0.3
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, _read(spark, sf_dir, "labels"), _fold(5) != 0)
+    return quality.score_quality(docs, model).select("doc_id", (_fold(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= QUALITY_LINE, 1).otherwise(0).alias("predicted"))
+
+
 TOKENIZER, TOKEN_LIMIT = "word_bpe_49k.json", 2048
 
 
@@ -66,7 +76,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_source_mix, op5_url_filter, op9_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op3_source_mix, op5_url_filter, op8_quality, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
