@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, tokens, urls
+from . import langid, mixing, pii, quality, tokens, urls
 from .common import shared_dir
 
 
@@ -31,6 +31,11 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.train(docs))
+
+
 URL_RULES = (urls.Rule("allow", "com"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"), urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/"))
 
 
@@ -76,7 +81,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_source_mix, op5_url_filter, op8_quality, op9_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op3_source_mix, op4_personal_data, op5_url_filter, op8_quality, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
