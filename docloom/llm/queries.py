@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pii, quality, tokens, urls
+from . import html, langid, mixing, pii, quality, tokens, urls
 from .common import shared_dir
 
 
@@ -21,6 +21,11 @@ def _fold(modulus: int, col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(modulus))
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.train(docs, _fold(4) != 2)
@@ -81,7 +86,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_source_mix, op4_personal_data, op5_url_filter, op8_quality, op9_token_counts)}
+    return {f.__name__: f for f in (op1_main_text, op2_language_id, op3_source_mix, op4_personal_data, op5_url_filter, op8_quality, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
