@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Words are runs of characters other than blank, tab, line feed, vertical tab, form feed and carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Words are separated by runs of blanks, tabs, line feeds, vertical tabs, form feeds and carriage returns.
+SPACE = r"[\x20\x09-\x0D]+"
 #: Steps of the histogram that places the last copies of a source.
 STEPS = 1 << 14
 
@@ -86,7 +86,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     source's words don't exceed its target, and the document whose size comes nearest to the rest takes one more. copies never exceeds cap. Null texts have size 0 and take nothing; rows with the same id, size and source
     share one fate; reruns agree. Keeping the text (keep) reads the documents once more and moves no text.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    size = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE), "")).cast("long")
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("place"), size), F.lit(1 << 40)) / float(1 << 40)
     sized = lambda: docs.select(*(docs[c].alias(f"kept_{i}") for i, c in enumerate(keep)), docs[id_col].alias("id"), docs[source_col].alias("source"), size.alias("size"), place.alias("place"))
     slim = materialise(sized().select("id", "source", "size", "place"), "mix")

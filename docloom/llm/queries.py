@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, mixing, pii, quality, tokens, urls
+from . import decontam, html, langid, mixing, pii, quality, tokens, urls
 from .common import shared_dir
 
 
@@ -66,6 +66,10 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 #: Documents with this score or more are kept.
 QUALITY_LINE = 0.3
 
@@ -86,7 +90,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op2_language_id, op3_source_mix, op4_personal_data, op5_url_filter, op8_quality, op9_token_counts)}
+    return {f.__name__: f for f in (op1_main_text, op2_language_id, op3_source_mix, op4_personal_data, op5_url_filter, op7_decontamination, op8_quality, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
