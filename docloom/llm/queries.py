@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, mixing, pii, quality, tokens, urls
+from . import decontam, html, langid, minhash, mixing, pii, quality, tokens, urls
 from .common import shared_dir
 
 
@@ -89,8 +89,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op2_language_id, op3_source_mix, op4_personal_data, op5_url_filter, op7_decontamination, op8_quality, op9_token_counts)}
+    return {f.__name__: f for f in (op1_main_text, op2_language_id, op3_source_mix, op4_personal_data, op5_url_filter, op7_decontamination, op8_quality, op9_token_counts, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
