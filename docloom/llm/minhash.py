@@ -191,7 +191,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, common, params: NearDupParams) -
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, class_id, n_members, kept), one for each row of docs: class_id is the smallest id of the group, kept marks it.
+    """Rows (id, class_id, kept), one for each row of docs: class_id is the smallest id of the group, kept marks it.
 
     Texts with the same words in the same order are one text from the start, whatever their number. Each distinct text is sampled, its samples are banded,
     and texts that share a band are candidates. First every text is compared with the first of each of its bands; then, of texts that share a band,
@@ -246,3 +246,12 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     of = of.groupBy("id").agg(F.min("class_id").alias("class_id"))
     out = keyed.select("id").join(of, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without those that aren't the first of their group; of rows that repeat an id one stays."""
+    judged = materialise(near_duplicates(docs, params, id_col, text_col), "judged")
+    gone = judged.filter("not kept").select(id_col).distinct()
+    out = docs.join(F.broadcast(gone) if gone.count() <= params.broadcast_rows else gone, id_col, "left_anti")
+    repeated = judged.groupBy(id_col).count().filter("count > 1").head(1)
+    return (out.dropDuplicates([id_col]) if repeated else out).select(*docs.columns)

@@ -159,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 600
     return model
 
 
-def score_quality(docs: DataFrame, model: NbSvm | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (id, *keep, score), one for each row of docs, from whole texts. Null and empty texts get the score of no features; without a model all get 1.
+def score_quality(docs: DataFrame, model: NbSvm | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """Rows (id, *keep, score[, text]), one for each row of docs, from whole texts. Null and empty texts get the score of no features; without a model all get 1.
 
     The model is a fixed number of weights (PLACES) and goes to the executors as a broadcast.
     """
@@ -171,10 +171,10 @@ def score_quality(docs: DataFrame, model: NbSvm | None, id_col: str = "doc_id",
         for b in batches:
             texts = b.column(b.num_columns - 1)
             s = [m.score(t.as_py()) if m else 1.0 for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), *([texts] if with_text else [])], [*b.schema.names[:-1], "score", *(["text"] if with_text else [])])
 
     cols = [docs[id_col].alias("k0"), *(docs[c].alias(f"k{i + 1}") for i, c in enumerate(keep))]
     slim = docs.select(*cols, docs[text_col].alias("text"))
     schema = ", ".join(f"{c} {t}" for c, t in slim.dtypes[:-1])
-    out = slim.mapInArrow(judge, f"{schema}, score double")
-    return out.select(F.col("k0").alias(id_col), *(F.col(f"k{i + 1}").alias(c) for i, c in enumerate(keep)), "score")
+    out = slim.mapInArrow(judge, f"{schema}, score double{', text string' if with_text else ''}")
+    return out.select(F.col("k0").alias(id_col), *(F.col(f"k{i + 1}").alias(c) for i, c in enumerate(keep)), "score", *([F.col("text").alias(text_col)] if with_text else []))

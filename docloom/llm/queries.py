@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, minhash, mixing, pii, quality, tokens, urls
+from . import decontam, embeddings, html, langid, minhash, mixing, pii, quality, tokens, urls
 from .common import shared_dir
 
 
@@ -66,6 +66,10 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
 
+def op6_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_embeddings(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -94,7 +98,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op2_language_id, op3_source_mix, op4_personal_data, op5_url_filter, op7_decontamination, op8_quality, op9_token_counts, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_main_text, op2_language_id, op3_source_mix, op4_personal_data, op5_url_filter, op6_embedding_duplicates, op7_decontamination, op8_quality, op9_token_counts, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
