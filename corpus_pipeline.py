@@ -1,7 +1,65 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
-STAGES = []
+"""The corpus pipeline: quality, near duplicates, benchmark passages, personal data, and the mix of sources.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. run() writes each stage's documents as Parquet in the shared
+folder and reads them again as the next one's, so that a lost executor never costs more than one stage.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.llm import decontam, minhash, mixing, pii, quality
+from docloom.llm.common import shared_dir
+from docloom.llm.queries import QUALITY_LINE, _fold, _read
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the line."""
+    model = quality.train(docs, _read(spark, sf_dir, "labels"), _fold(5) != 0)
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    return quality.score_quality(docs, model, keep=rest, with_text=True).filter(F.col("score") >= QUALITY_LINE).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words less than a twentieth stand in benchmark windows."""
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    return decontam.decontaminate(docs, _read(spark, sf_dir, "benchmark"), keep=rest).filter("not contaminated").select(*docs.columns)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind in brackets; n_chars follows."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    found = pii.detect(docs, pii.train(docs), keep=rest, with_text=True).withColumnRenamed("redacted", "text")
+    return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy of a document that the mix of sources takes, copy counting from 1."""
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    mixed = mixing.mix_sources(docs, keep=rest).filter("copies > 0")
+    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+
+
+STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("personal_data", personal_data_stage), ("source_mix", mixing_stage)]
+
+#: Fitted classifiers and sampled hashes aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, from the documents of sf_dir."""
+    docs = _read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = f"{shared_dir(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return docs
