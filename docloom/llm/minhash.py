@@ -26,6 +26,10 @@ class NearDupParams:
     #: Ids or pairs up to so many rows are broadcast; beyond that joins shuffle.
     broadcast_rows: int = 500_000
 
+    #: A tile of a crowded band compares two blocks of about so many texts, or bytes of text, at most.
+    block_rows: int = 2000
+    block_bytes: int = 8_000_000
+
     @property
     def samples(self) -> int:
         return self.bands * self.rows
@@ -97,21 +101,24 @@ class Weigher:
     """TF-IDF weights of a text's shingles."""
 
     def __init__(self, common: dict[int, float], params: NearDupParams):
-        keys = np.array(sorted(common), np.int64)
-        self.keys, self.weights = keys, np.array([common[int(x)] for x in keys])
-        order = np.argsort(keys.view(np.uint64), kind="stable")
-        self.keys, self.weights = keys.view(np.uint64)[order], self.weights[order]
+        keys = np.array(list(common), np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.weights = keys[order], np.array(list(common.values()))[order]
         self.most, self.k = 1.0 - math.log(params.common), params.shingle
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct shingles in order, their weights)."""
-        s, n = np.unique(_shingles(text, self.k), return_counts=True)
-        idf = np.full(len(s), self.most)
+    def idf(self, s: np.ndarray) -> np.ndarray:
+        """Weights of one occurrence of each of the shingles s."""
+        out = np.full(len(s), self.most)
         if len(self.keys) and len(s):
             at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
             known = self.keys[at] == s
-            idf[known] = self.weights[at[known]]
-        return s, n * idf
+            out[known] = self.weights[at[known]]
+        return out
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct shingles in order, their weights)."""
+        s, n = np.unique(_shingles(text, self.k), return_counts=True)
+        return s, n * self.idf(s)
 
 
 def icws(s: np.ndarray, w: np.ndarray, samples: int) -> np.ndarray:
@@ -150,12 +157,12 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _bands(docs: DataFrame, common, params: NearDupParams) -> DataFrame:
-    """Rows (id, total, bands): the total weight and a hash for each band of each row (id, text) that has words."""
+    """Rows (id, bytes, bands): the length and a hash for each band of each row (id, text) that has words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Weigher(common.value, params)
         for b in batches:
-            ids, totals, bands = [], [], []
+            ids, sizes, bands = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s, w = weigh(t)
                 if not len(s):
@@ -165,11 +172,11 @@ def _bands(docs: DataFrame, common, params: NearDupParams) -> DataFrame:
                 for row in range(params.rows):
                     h = mix(h * np.uint64(31) + x[:, row])
                 ids.append(i)
-                totals.append(float(w.sum()))
+                sizes.append(len(t) * 2)
                 bands.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(totals, pa.float64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "total", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "bytes", "bands"])
 
-    return docs.select("id", "text").mapInArrow(work, "id long, total double, bands array<long>")
+    return docs.select("id", "text").mapInArrow(work, "id long, bytes long, bands array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, common, params: NearDupParams) -> DataFrame:
@@ -190,14 +197,97 @@ def _verify(pairs: DataFrame, texts: DataFrame, common, params: NearDupParams) -
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
+def _similar(texts: list[str], groups: np.ndarray, blocks: np.ndarray, weigh: Weigher, line: float) -> np.ndarray:
+    """For each text the least place that links of this set reach; pairs of one group, or of one block where there are two, aren't looked at.
+
+    All pairs are compared exactly: a shingle that a text holds k times is k elements of its weight, and the shared weight of all pairs is a matrix product
+    over the elements that two texts hold at least.
+    """
+    n = len(texts)
+    root = np.arange(n)
+    rows, marks, weights = [], [], []
+    total = np.zeros(n)
+    for i, t in enumerate(texts):
+        s, c = np.unique(_shingles(t, weigh.k), return_counts=True)
+        idf = weigh.idf(s)
+        total[i] = (c * idf).sum()
+        each = np.repeat(np.arange(len(s)), c)
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(c) - c, c)
+        marks.append(mix(s[each] + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+        weights.append(idf[each])
+        rows.append(np.full(len(each), i))
+    mark, row, weight = np.concatenate(marks), np.concatenate(rows), np.concatenate(weights)
+    _, column, times = np.unique(mark, return_inverse=True, return_counts=True)
+    shared_columns = np.full(len(times), -1)
+    shared_columns[times > 1] = np.arange((times > 1).sum())
+    column = shared_columns[column]
+    order = np.argsort(column, kind="stable")
+    order = order[column[order] >= 0]
+    column, row, weight = column[order], row[order], weight[order]
+    low = np.zeros((n, n))
+    step = max(256, 4_000_000 // max(1, n))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, [first, first + step])
+        part = np.zeros((n, min(step, int(column[-1]) + 1 - first)))
+        part[row[a:b], column[a:b] - first] = np.sqrt(weight[a:b])
+        low += part @ part.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        alike = low / (total[:, None] + total[None, :] - low) >= line - 1e-9
+    alike &= groups[:, None] != groups[None, :]
+    if len(np.unique(blocks)) > 1:
+        alike &= blocks[:, None] != blocks[None, :]
+    i, j = np.nonzero(np.triu(alike, 1))
+    while len(i):
+        was = root.copy()
+        least = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+        root = root[root]
+        if (root == was).all():
+            break
+    return root
+
+
+def _tiles(rows: DataFrame, common, params: NearDupParams) -> DataFrame:
+    """Links (a, b) inside the tiles (band, h, tile) of rows (band, h, tile, id, g, block, text): enough to join all that similar pairs join."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = Weigher(common.value, params)
+        key, ids, g, block, texts = None, [], [], [], []
+
+        def close() -> pa.RecordBatch:
+            a, b = [], []
+            if len(set(g)) > 1:
+                root = _similar(texts, np.array(g), np.array(block), weigh, params.similarity)
+                for i in np.flatnonzero(root != np.arange(len(root))):
+                    a.append(ids[root[i]])
+                    b.append(ids[i])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for *k, i, gi, bi, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    if len(ids) > 1:
+                        yield close()
+                    key, ids, g, block, texts = k, [], [], [], []
+                ids.append(i)
+                g.append(gi)
+                block.append(bi)
+                texts.append(t)
+        if len(ids) > 1:
+            yield close()
+
+    dealt = rows.select("band", "h", "tile", "id", "g", "block", "text").repartition("band", "h", "tile").sortWithinPartitions("band", "h", "tile")
+    return dealt.mapInArrow(work, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, class_id, kept), one for each row of docs: class_id is the smallest id of the group, kept marks it.
 
     Texts with the same words in the same order are one text from the start, whatever their number. Each distinct text is sampled, its samples are banded,
-    and texts that share a band are candidates. First every text is compared with the first of each of its bands; then, of texts that share a band,
-    every two that the links so far leave in different groups are compared (of two with weights further apart than the line no link can come). So each
-    candidate pair is either compared or already joined by links, while a band of thousands of copies costs one comparison each. Links are verified by
-    weighted Jaccard similarity on whole texts; groups are their components. Null and empty texts, and texts without words, are groups of their own.
+    and texts that share a band are candidates. First every text is compared with the first of each of its bands; then, in bands whose texts these links
+    leave in different groups, all pairs of different groups are compared, in tiles of bounded size and without a row for each pair. So each candidate
+    pair is either compared or already joined by links. Links are verified by weighted Jaccard similarity on whole texts; groups are their components. Null and empty texts, and texts without words, are groups of their own.
     Rows that repeat an id count as one document of that group and get a row each. Nothing is capped or sampled.
     """
     spark = docs.sparkSession
@@ -224,23 +314,26 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
 
     common = spark.sparkContext.broadcast(common_shingles(distinct, n, params))
     banded = materialise(_bands(distinct, common, params), "bands")
-    places = banded.select("id", "total", F.posexplode("bands").alias("band", "h"))
+    places = banded.select("id", "bytes", F.posexplode("bands").alias("band", "h"))
     shared = places.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("id").alias("lead")).filter("n > 1")
-    crowd = materialise(places.join(shared, ["band", "h"]).select("band", "h", "id", "total", "lead"), "crowd")
-    members = crowd.select("id").distinct()
-    texts = distinct.join(members, "id", "left_semi")
-    texts = materialise(texts.groupBy("id").agg(F.first("text").alias("text")) if keyed.count() != keyed.select("id").distinct().count() else texts, "texts")
+    crowd = materialise(places.join(shared.select("band", "h", "lead"), ["band", "h"]).select("band", "h", "id", "bytes", "lead"), "crowd")
+    members = materialise(crowd.select("id").distinct(), "members")
+    few = lambda df: F.broadcast(df) if df.count() <= params.broadcast_rows else df
+    texts = distinct.join(few(members), "id", "left_semi")
+    if keyed.count() != keyed.select("id").distinct().count():
+        texts = texts.groupBy("id").agg(F.min("text").alias("text"))
+    texts = materialise(texts, "texts")
 
     star = crowd.filter("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = materialise(_verify(star, texts, common, params), "links")
     group = components(links)
-    labelled = crowd.join(group, "id", "left").select("band", "h", "id", "total", F.coalesce("component", "id").alias("g"))
-    mixed = labelled.groupBy("band", "h").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1").select("band", "h")
-    open_ = materialise(labelled.join(mixed, ["band", "h"]), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.g") != F.col("y.g")) & (F.col("y.total") >= F.col("x.total") * params.similarity) & (F.col("x.total") >= F.col("y.total") * params.similarity))
-    rest = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more_links = materialise(_verify(rest, texts, common, params), "links")
+    labelled = crowd.join(group, "id", "left").select("band", "h", "id", "bytes", F.coalesce("component", "id").alias("g"))
+    mixed = labelled.groupBy("band", "h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("n"), F.sum("bytes").alias("all")).filter("g0 != g1")
+    mixed = mixed.select("band", "h", F.ceil(F.greatest(F.col("n") / params.block_rows, F.col("all") / params.block_bytes)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    open_ = labelled.join(mixed, ["band", "h"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.select("band", "h", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("tile"), "id", "g", "block")
+    more_links = materialise(_tiles(materialise(open_, "open").join(texts, "id"), common, params), "links")
     final = components(links.unionAll(more_links))
     of = same.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id")).unionAll(final.select("id", F.col("component").alias("class_id")))
     of = of.groupBy("id").agg(F.min("class_id").alias("class_id"))
