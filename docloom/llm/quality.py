@@ -128,12 +128,12 @@ def calibrate(margins: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[flo
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 6000, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> NbSvm | None:
-    """Fit on labelled rows where `learn` (an expression over the id) holds; None if a class is missing there.
+    """Fit on labelled rows where `learn` (an expression over the id, there named i) holds; None if a class is missing there.
 
     About max_docs labelled documents are read for the fit (a documented bound): those whose hash lies below the share that fits. Their ids, bounded so,
     are broadcast to the scan of the texts. Margins of held-back folds set the line to probabilities.
     """
-    own = labels.filter(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).distinct()
+    own = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter(learn & F.col("y").isin(0, 1)).distinct()
     n = own.count()
     if not n:
         return None

@@ -80,7 +80,7 @@ QUALITY_LINE = 0.3
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    model = quality.train(docs, _read(spark, sf_dir, "labels"), _fold(5) != 0)
+    model = quality.train(docs, _read(spark, sf_dir, "labels"), _fold(5, "i") != 0)
     return quality.score_quality(docs, model).select("doc_id", (_fold(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= QUALITY_LINE, 1).otherwise(0).alias("predicted"))
 
 
