@@ -16,11 +16,22 @@ from docloom.llm.common import shared_dir
 from docloom.llm.queries import QUALITY_LINE, _fold, _read
 
 
+def _packed(docs: DataFrame, *named: str) -> DataFrame:
+    """doc_id, text and the named columns, and all others in one struct, so that no extra column clashes with what an operator adds."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *named, F.struct(*rest).alias("rest_") if rest else F.struct(F.lit(0).alias("_")).alias("rest_"))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame, **new) -> list:
+    """The columns of docs again; new ones replace those of their name."""
+    return [new[c].alias(c) if c in new else df[c] if c in ("doc_id", "text") else df["rest_"][c].alias(c) for c in docs.columns]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the line."""
-    model = quality.train(docs, _read(spark, sf_dir, "labels"), _fold(5) != 0)
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return quality.score_quality(docs, model, keep=rest, with_text=True).filter(F.col("score") >= QUALITY_LINE).select(*docs.columns)
+    model = quality.train(docs, _read(spark, sf_dir, "labels"), _fold(5, "i") != 0)
+    scored = quality.score_quality(_packed(docs), model, keep=("rest_",), with_text=True).filter(F.col("score") >= QUALITY_LINE)
+    return scored.select(*_unpacked(scored, docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,22 +41,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a twentieth stand in benchmark windows."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return decontam.decontaminate(docs, _read(spark, sf_dir, "benchmark"), keep=rest).filter("not contaminated").select(*docs.columns)
+    judged = decontam.decontaminate(_packed(docs), _read(spark, sf_dir, "benchmark"), keep=("text", "rest_")).filter("not contaminated")
+    return judged.select(*_unpacked(judged, docs))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind in brackets; n_chars follows."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = pii.detect(docs, pii.train(docs), keep=rest, with_text=True).withColumnRenamed("redacted", "text")
-    return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    found = pii.detect(_packed(docs), pii.train(docs), keep=("rest_",), with_text=True).withColumnRenamed("redacted", "text")
+    return found.select(*_unpacked(found, docs, n_chars=F.coalesce(F.length("text"), F.lit(0)).cast("long")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy of a document that the mix of sources takes, copy counting from 1."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    mixed = mixing.mix_sources(docs, keep=rest).filter("copies > 0")
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    """A row for each copy of a document that the mix of sources takes; copy counts from 1."""
+    mixed = mixing.mix_sources(_packed(docs, "source"), keep=("text", "rest_")).filter("copies > 0")
+    return mixed.select(*_unpacked(mixed, docs), F.explode(F.sequence(F.lit(1), "copies")).alias("copy" if "copy" not in docs.columns else "mix_copy"))
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("personal_data", personal_data_stage), ("source_mix", mixing_stage)]
