@@ -17,6 +17,12 @@ BITS, SYMBOLS = 6, 64
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter of any script; numerals that aren't digits are none."""
+    m = _LETTER.search(text or "")
+    return bool(m) and (m[0].isalpha() or any(c.isalpha() for c in text))
+
+
 @dataclass
 class Ppm:
     """Frozen trees of all languages as one automaton.
@@ -195,7 +201,7 @@ def identify(docs: DataFrame, model: Ppm | None, id_col: str = "doc_id", text_co
             for i in range(0, b.num_rows, 256):
                 texts = b.column(1).slice(i, 256).to_pylist()
                 names, scores = [unknown] * len(texts), np.zeros(len(texts))
-                lettered = [j for j, t in enumerate(texts) if t and _LETTER.search(t)] if m else []
+                lettered = [j for j, t in enumerate(texts) if has_letter(t)] if m else []
                 if lettered:
                     length = m.code_lengths([texts[j] for j in lettered])
                     best = length.argmin(1)
