@@ -85,6 +85,39 @@ PET_GUARD = r"(?iu)\d{3,}|^[A-Z]{2,3}\d|calle|avda|portal|telf|tel[eé]f|c/|dire
 CLINIC_IN_LINE = r"(?iu)\b(?:en\s+el|en\s+la)\s+(centr[o0]|cl[ií]nica|hospital(?:\s+veterinari[oa])?)\s+([A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9][^\n,;]{2,100})"
 CLINIC_LINE = r"(?iu)^\s*(hv|h\.?\s*v\.?|hospital(?:\s+veterinari[oa])?|centro(?:\s+veterinari[oa])?|cl[ií]nica(?:\s+veterinari[oa])?)\s+([A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9][^\n,;:]{2,100})\s*$"
 
+VET_LABEL = r"(?iu)^\s*(?:veterinari(?:o/a|o|a)|vet|dr\.?|dra\.?|dr/a|doctora?)(?!\w)\s*[:\-]?\s*(.*)$"
+OWNER_LABEL = r"(?iu)^\s*(?:propietari(?:o|a)|titular|dueñ(?:o|a)|owner)(?!\w)\s*[:\-]?\s*(.*)$"
+OWNER_NAME_LABEL = r"(?iu)^\s*nombre\s*(?::|-)?\s*(.*)$"
+CLIENT_HEADER = r"(?iu)^\s*datos\s+del\s+cliente\s*$"
+CLIENT_TABLE_LABEL = r"(?iu)^\s*(?:especie|raza|f/?nto|capa|n[º°o]?\s*chip)\s*$"
+PATIENT_LABEL = r"(?iu)\bpaciente\b\s*[:\-]"
+LICENSE_ONLY = r"(?iu)^\s*(?:col(?:egiad[oa])?\.?|n[º°o]?\s*col\.?|lic(?:encia)?\.?|cmp\.?|nif\b|dni\b)\s*[:\-]?\s*[A-Za-z0-9\-./\s]{3,}$"
+PHONE_LIKE = r"\+?\d[\d\s().-]{6,}"
+#: A person's name ends where one of these words begins an address.
+ADDRESS_WORDS = ("calle", "av", "avenida", "cp", "codigo postal", "no", "nº", "n°", "num", "número", "plaza", "pte", "portal", "piso", "puerta")
+SIMPLE_LABEL = r"^[^\n]{1,40}\s*[:\-]\s*"
+POSTAL_HINT = r"(?iu)\b(?:cp\b|c[oó]digo\s+postal|\d{5})\b"
+HEADER_ADDRESS = r"(?iu)\b(?:avda?\.?|avenida|calle|c/|portal|piso|puerta|codigo\s+postal|cp\b)|\b\d{5}\b"
+HEADER_SECTION = r"(?iu)\b(?:datos\s+de\s+la\s+mascota|datos\s+del\s+cliente|especie|raza|n[º°o]\s*chip)\b"
+HEADER_WORDS = ("HISTORIAL", "INFORME", "FICHA", "DATOS", "CLIENTE", "NOMBRE", "ESPECIE", "RAZA", "SEXO", "CHIP", "VISITA", "FECHA", "PACIENTE", "PROPIETARIO", "PROPIETARIA", "VETERINARIO", "VETERINARIA", "DIAGNÓSTICO", "DIAGNOSTICO", "TRATAMIENTO", "MEDICACIÓN", "MEDICACION", "VACUNACIÓN", "VACUNACION")
+CLINIC_ADDRESS_LINE = r"(?iu)^\s*(?:(?:centro|cl[ií]nica|hospital)(?:\s+veterinari[oa])?\s*/\s*)?(direcci[oó]n(?:\s+de\s+la\s+cl[ií]nica)?|domicilio(?:\s+de\s+la\s+cl[ií]nica)?|dir\.?)\s*(?:[:\-]\s*(.*))?$"
+GENERIC_ADDRESS_LINE = r"(?iu)^\s*(?:direcci[oó]n|domicilio|dir\.?)\s*(?:[:\-]\s*(.*))?$"
+OWNER_ADDRESS_LINE = r"(?iu)^\s*(?:direcci[oó]n\s+del\s+(?:propietari[oa]|titular)|domicilio\s+del\s+(?:propietari[oa]|titular)|dir\.?\s*(?:propietari[oa]|titular))\s*(?:[:\-]\s*(.*))?$"
+CLINIC_CONTEXT = r"(?iu)\b(?:cl[ií]nica|centro|hospital|veterinari[oa]|vet)\b"
+OWNER_HEADER = r"(?iu)\b(?:propietari[oa]|titular|dueñ(?:o|a)|owner|cliente|tutor)\b"
+NAME_LINE = r"^[A-Za-zÁÉÍÓÚÜÑáéíóúüñ][A-Za-zÁÉÍÓÚÜÑáéíóúüñ'.\-]*(?:\s+[A-Za-zÁÉÍÓÚÜÑáéíóúüñ][A-Za-zÁÉÍÓÚÜÑáéíóúüñ'.\-]*){1,4}$"
+LOCALITY_LINE = r"^[A-ZÁÉÍÓÚÜÑ][A-ZÁÉÍÓÚÜÑ\s'.\-]{1,40}$"
+LOCALITY_NOT = ("historial", "plan", "exploracion", "exploración", "tratamiento", "diagnostico", "diagnóstico")
+IDENTIFICATION = r"(?iu)\b(?:n[º°o]\s*chip|chip|microchip|paciente|mascota|especie|raza|sexo)\b"
+
+CLINIC_NAME_LABEL = r"(?iu)^(?:cl[ií]nica|centro\s+veterinari[oa]|hospital\s+veterinari[oa])\s*[:\-|]\s*"
+CLINIC_ADDRESS_LEAD = r"(?iu)^(?:direcci[oó]n(?:\s+de\s+la\s+cl[ií]nica)?|domicilio(?:\s+de\s+la\s+cl[ií]nica)?|dir\.?)\s*[:\-]\s*"
+OWNER_ADDRESS_LEAD = r"(?iu)^(?:direcci[oó]n|domicilio|dir\.?)(?:\s+(?:(?:de(?:l)?)\s+)?(?:propietari[oa]|titular))?\s*[:\-]?\s*"
+CLINIC_ABBREVIATIONS = ((r"(?iu)\bc/\s*", "Calle "), (r"(?iu)\bavda\.?(?=\s|$)", "Avenida"), (r"(?iu)\bpza\.?(?=\s|$)", "Plaza"), (r"(?iu)\bctra\.?(?=\s|$)", "Carretera"), (r"(?iu)\bn[º°o]\.?(?=\s|\d)", "Número"))
+OWNER_ABBREVIATIONS = ((r"(?iu)\bc/\s*", "Calle "), (r"(?iu)\bavda\.?(?=\s|$)", "Avenida"), (r"(?iu)\bav\.?(?=\s|$)", "Avenida"), (r"(?iu)\bpza\.?(?=\s|$)", "Plaza"), (r"(?iu)\bcp\b", "C.P."))
+OWNER_ADDRESS_WORD = r"(?iu)\b(?:calle|avenida|plaza|carretera|camino|paseo|barrio|urbanizaci[oó]n|c\.?p\.?|codigo\s+postal|portal|piso|puerta|bloque|escalera|km|kil[oó]metro|n[º°o]?|num(?:ero)?|c/)\b"
+OWNER_ADDRESS_OTHER = r"(?iu)\b(?:propietari[oa]|titular|cliente|nombre|tel[eé]fono|telefono|email|dni|nif)\b"
+
 VISIT_DATE = r"\b(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})\b"
 VISIT_CONTEXT = r"(?iu)\b(?:visita|consulta|control|revisi[oó]n|seguimiento|ingreso|alta)\b"
 VISIT_LABEL = r"(?iu)\bfecha\s+de\s+(?:visita|consulta|cita|atenci[oó]n|exploraci[oó]n|control)\b"

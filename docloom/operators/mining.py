@@ -13,6 +13,7 @@ from docloom.functions import patterns as P
 from docloom.functions.normal import CHIP, digits_of_chip, species
 from docloom.functions.scores import FALLBACK_CONFIDENCE, LABEL_CONFIDENCE, kept_confidence
 from docloom.functions.text import fold, last_index, lines, matches, squeeze, strip
+from docloom.operators import people_places
 from docloom.operators.keyed import first_of, top
 
 COLUMNS = ("document_id", "key", "seq", "value", "snippet", "confidence", "anchor", "priority", "reason")
@@ -92,7 +93,7 @@ def from_lines(docs: DataFrame) -> DataFrame:
     emits = [F.when((F.col("rest") != "") & has(F.col("head"), words), F.struct(F.lit(k).alias("key"), F.col("rest").alias("value"), F.lit(LABEL_CONFIDENCE).alias("c"))) for k, words in P.CLINICAL_LABELS]
     emits += [F.when(has(low, words) & (~colon if k == "diagnosis" else F.lit(True)), F.struct(F.lit(k).alias("key"), line.alias("value"), F.lit(FALLBACK_CONFIDENCE).alias("c"))) for k, words in P.CLINICAL_WORDS]
     clinical = parts.select("document_id", "line", "line_no", F.posexplode(F.array_compact(F.array(*emits))).alias("i", "e"))
-    out.append(_candidates(clinical, 10, F.col("e.key"), no * 100 + F.col("i"), F.col("e.value"), line, F.col("e.c")))
+    out.append(_candidates(clinical, 20, F.col("e.key"), no * 100 + F.col("i"), F.col("e.value"), line, F.col("e.c")))
     male, female = has(low, ("macho", "male")), has(low, ("hembra", "female"))
     short = F.when(F.contains(F.lower("around1"), F.lit("sexo")), F.when(low.isin("m", "macho", "male"), "macho").when(low.isin("h", "hembra", "female"), "hembra"))
     kg = F.regexp_replace(F.lower(F.regexp_extract("line", P.WEIGHT_LINE, 2)), "^kgs$", "kg")
@@ -102,15 +103,15 @@ def from_lines(docs: DataFrame) -> DataFrame:
     born = F.nullif(squeeze(F.regexp_extract("line", P.PET_BIRTH_LINE, 1)), F.lit(""))
     patient = next4.rlike("canino|felino|raza|chip|especie")
     pet = F.when(~born.rlike(P.PET_GUARD) & (F.size(F.split(born, " ")) <= 3) & (patient | next4.rlike("nac")), born)
-    title = line.rlike(r"^(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)(?:[\s'-]+(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)){0,2}$") & F.length("line").between(3, 40) & ~line.rlike(P.PET_GUARD) & ~low.rlike(r"^(?:especie|raza|sexo|chip|n[ºo°]?\s*chip|fecha|paciente|propietari[oa]|veterinari[oa]|diagn[oó]stico|tratamiento|medicaci[oó]n|vacunaci[oó]n|canin[oa]|felin[oa]|macho|hembra|historial|informe|ficha|capa|edad|peso)\b")
+    title = line.rlike(r"^(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)(?:[\s'-]+(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)){0,2}$") & F.length("line").between(3, 40) & ~line.rlike(P.PET_GUARD) & ~low.rlike(r"^(?:nombre|especie|raza|sexo|chip|n[ºo°]?\s*chip|fecha|paciente|propietari[oa]|veterinari[oa]|diagn[oó]stico|tratamiento|medicaci[oó]n|vacunaci[oó]n|canin[oa]|felin[oa]|macho|hembra|historial|informe|ficha|capa|edad|peso)\b")
     unnamed = F.when(title & patient, F.initcap(line))
     inside = F.when(line.rlike(P.CLINIC_IN_LINE), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_IN_LINE, 1), "(?i)^centr0$", "Centro"), strip(F.regexp_extract("line", P.CLINIC_IN_LINE, 2), " .,:;\t")))
     alone = F.when(line.rlike(P.CLINIC_LINE) & ~F.regexp_extract("line", P.CLINIC_LINE, 2).rlike("(?i)^de "), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_LINE, 1), r"(?i)^h\.?\s*v\.?$", "HV"), strip(F.regexp_extract("line", P.CLINIC_LINE, 2), " .,:;\t")))
     places = rows.select("document_id", "line", "line_no", F.posexplode(F.array_compact(F.array(inside, alone))).alias("i", "v"))
-    out.append(_candidates(places, 9, "clinic_name", no * 100 + F.col("i"), F.col("v"), line, FALLBACK_CONFIDENCE))
+    out.append(_candidates(places, 18, "clinic_name", no * 100 + F.col("i"), F.col("v"), line, FALLBACK_CONFIDENCE))
     physical = [F.when(pet.isNotNull(), entry("pet_name", pet, line)), F.when(unnamed.isNotNull(), entry("pet_name", unnamed, line)), F.when(male, entry("sex", F.lit("macho"), line)), F.when(female, entry("sex", F.lit("hembra"), line)), F.when(species(low).isNotNull() & ~F.contains("low", F.lit(" ")), entry("species", species(low), line)), F.when(short.isNotNull(), entry("sex", short, F.col("around1"))), F.when(weighed, entry("weight", F.concat(F.regexp_extract("line", P.WEIGHT_LINE, 1), F.lit(" "), kg), F.col("before3_lines")))]
     body = rows.select("document_id", "line_no", F.posexplode(F.array_compact(F.array(*physical))).alias("i", "e"))
-    out.append(_candidates(body, 11, F.col("e.key"), no * 100 + F.col("i"), F.col("e.value"), F.col("e.snippet"), FALLBACK_CONFIDENCE))
+    out.append(_candidates(body, 21, F.col("e.key"), no * 100 + F.col("i"), F.col("e.value"), F.col("e.snippet"), FALLBACK_CONFIDENCE))
     every = out[0]
     for o in out[1:]:
         every = every.unionByName(o)
@@ -122,17 +123,13 @@ def accepted(c: DataFrame) -> DataFrame:
     value, snippet, low = strip(F.col("value"), " .,:;\t\r\n"), F.col("snippet"), fold(F.col("snippet"))
     chip = F.regexp_extract(value, CHIP, 1)
     chip = F.when((chip != "") & F.contains(F.regexp_replace(snippet, r"[\s\-.]", ""), chip), chip)
-    person = squeeze(F.regexp_replace(value, r"\s*[,;(].*$", ""))
-    words = F.split(person, " ")
-    named = F.size(F.filter(words, lambda t: t.rlike(P.NAME_TOKEN)))
-    person = F.when(F.size(words).between(2, 5) & (named >= 0.6 * F.size(words)) & ~person.rlike(r"@|\+?\d[\d\s().-]{6,}") & ~person.rlike(P.ADDRESS_LIKE), person)
     key = F.col("key")
     clinic_ok = ~(low.rlike(P.OWNER_CONTEXT) & ~low.rlike(P.CLINIC_ADDRESS_CONTEXT))
     shaped = (
         F.when(value == "", F.lit(None).cast("string"))
         .when(key == "microchip_id", chip)
-        .when(key == "owner_name", F.when(~snippet.rlike(P.VET_OR_CLINIC), person))
-        .when(key == "vet_name", person)
+        .when(key == "owner_name", F.when(~snippet.rlike(P.VET_OR_CLINIC), people_places.person(people_places.before_address(value))))
+        .when(key == "vet_name", people_places.person(value))
         .when(key == "clinic_name", F.when(~low.rlike("direcci[oó]n|domicilio") & ~(value.rlike(P.ADDRESS_LIKE) & value.rlike(r"\d")), value))
         .when(key == "clinic_address", F.when(clinic_ok, value))
         .when(key == "owner_address", F.when(~(low.rlike(P.CLINIC_ADDRESS_CONTEXT) & ~low.rlike(P.OWNER_ADDRESS_CONTEXT)), value))
@@ -147,6 +144,8 @@ def mine(docs: DataFrame) -> DataFrame:
     """All candidates of documents (document_id, text) with offset, after acceptance; of equal folded values of a key the first."""
     every = labelled(docs).unionByName(from_lines(docs)).unionByName(plain_dates(docs)).unionByName(dates(docs))
     every = every.unionByName(windowed(docs, 5, "microchip_id", P.CHIP_WINDOW, digits_of_chip(F.col("v")), LABEL_CONFIDENCE)).unionByName(windowed(docs, 7, "clinical_record_number", P.RECORD_WINDOW, F.trim("v"), LABEL_CONFIDENCE)).unionByName(windowed(docs, 8, "microchip_id", P.CHIP_OCR_WINDOW, digits_of_chip(F.col("v")), FALLBACK_CONFIDENCE))
+    places = people_places.extract(docs)
+    every = every.unionByName(_candidates(places, 0, F.col("key"), F.col("seq"), F.col("value"), F.col("snippet"), F.col("confidence")))
     ok = accepted(every).withColumn("_fold", fold(F.col("value")))
     kept = first_of(ok, ["document_id", "key", "_fold"], [F.asc("seq")]).drop("_fold")
     texts = docs.select("document_id", "text")
