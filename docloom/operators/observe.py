@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.scores import snapshot_band
+from docloom.functions.validators import suspicious
 from docloom.operators.keyed import commonest, last_n, top
 
 
@@ -38,21 +39,16 @@ def most_missing(report: DataFrame, doc: str, n: int = 10, by: str = "missing")
     return top(report.filter(F.col(by) > 0), [doc], [F.desc(by), F.asc("field")], n)
 
 
-def chip_flags(x: Column) -> Column:
-    """Why a chip number looks wrong."""
-    digits = F.regexp_replace(x, r"\D", "")
-    return F.array_compact(F.array(F.when(x.rlike(r"\D"), "non_digit_characters"), F.when(F.length(digits) < 9, "too_short"), F.when(F.length(digits) > 15, "too_long"), F.when(digits.rlike(r"^(\d)\1+$"), "repeated_digit")))
+def triage(fields: DataFrame, run: list[str], as_of: Column | None = None) -> DataFrame:
+    """Per run: missing, rejected and suspicious fields as sorted, comma-joined names; suspicious ones with their reasons as name:reason.
 
-
-def weight_flags(x: Column) -> Column:
-    """Why a weight looks wrong."""
-    number = F.replace(F.regexp_extract(x, r"([0-9]+(?:[.,][0-9]+)?)", 1), F.lit(","), F.lit(".")).try_cast("double")
-    return F.array_compact(F.array(F.when(number.isNull(), "no_number"), F.when(number < 0.5, "too_light"), F.when(number > 120, "too_heavy")))
-
-
-def triage(fields: DataFrame, run: list[str]) -> DataFrame:
-    """Per run: missing, rejected and suspicious fields as sorted, comma-joined names."""
-    flags = F.when(F.col("field") == "microchip_id", chip_flags(F.col("value"))).when(F.col("field") == "weight", weight_flags(F.col("value"))).otherwise(F.when(F.length("value") > 80, F.array(F.lit("too_long_value"))).otherwise(F.array()))
-    f = fields.withColumn("suspicious", (F.col("status") == "accepted") & (F.size(flags) > 0))
+    What other fields of the run hold comes from one aggregate over it, not from a join of fields with fields.
+    """
+    ok = F.col("status") == "accepted"
+    w = Window.partitionBy(*run)
+    of = lambda key: F.max(F.when(ok & (F.col("field") == key), F.col("value"))).over(w)
+    flags = suspicious(F.col("field"), F.col("value"), F.col("_clinic"), F.col("_visit"), F.current_date() if as_of is None else as_of)
+    f = fields.withColumns({"_clinic": of("clinic_address"), "_visit": of("visit_date")}).withColumn("_flags", F.when(ok, flags).otherwise(F.array().cast("array<string>")))
     named = lambda when: F.array_join(F.array_sort(F.collect_list(F.when(when, F.col("field")))), ",")
-    return f.groupBy(*run).agg(named(F.col("status") == "missing").alias("missing"), named(F.col("status") == "rejected").alias("rejected"), named(F.col("suspicious")).alias("suspicious"))
+    reasons = F.array_join(F.array_sort(F.flatten(F.collect_list(F.transform("_flags", lambda x: F.concat_ws(":", F.col("field"), x))))), ",")
+    return f.groupBy(*run).agg(named(F.col("status") == "missing").alias("missing"), named(F.col("status") == "rejected").alias("rejected"), reasons.alias("suspicious"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions import normal, scores, text
-from docloom.operators import keyed, mining, observe, quality_gate, state, visits
+from docloom.functions import normal, scores, text, validators
+from docloom.operators import clauses, keyed, mining, observe, quality_gate, record, state, visits
 from docloom.sources.files import split_uploads, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,13 +230,39 @@ def triage_lists(spark, d):
     return observe.triage(_fields(spark, d), ["run"]).select("run", "missing", "rejected")
 
 
-@query("""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size::VARCHAR || ' kg' ELSE p_size::VARCHAR || '00000000' || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE '' END END AS v FROM part)
-SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN regexp_extract(v, '[0-9]+')::DOUBLE < 0.5 THEN 'too_light' WHEN regexp_extract(v, '[0-9]+')::DOUBLE > 120 THEN 'too_heavy' ELSE '' END
-ELSE concat_ws(',', CASE WHEN regexp_matches(v, '[^0-9]') THEN 'non_digit_characters' END, CASE WHEN length(regexp_replace(v, '[^0-9]', '', 'g')) < 9 THEN 'too_short' END, CASE WHEN length(regexp_replace(v, '[^0-9]', '', 'g')) > 15 THEN 'too_long' END) END AS flags FROM x""")
+@query("""WITH x AS (SELECT p_partkey, p_partkey % 3 AS k, CASE p_partkey % 3 WHEN 0 THEN p_size::VARCHAR || CASE WHEN p_partkey % 2 = 0 THEN ' lb' ELSE ' kg' END WHEN 1 THEN p_size::VARCHAR || '0000000' || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE '' END ELSE p_type END AS v FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN concat_ws(',', CASE WHEN v LIKE '%lb' THEN 'weight_contains_non_kg_letters' END, CASE WHEN regexp_extract(v, '[0-9]+')::DOUBLE < 0.5 OR regexp_extract(v, '[0-9]+')::DOUBLE > 120 THEN 'weight_out_of_range' END)
+WHEN 1 THEN concat_ws(',', CASE WHEN regexp_matches(v, '[a-z]') THEN 'microchip_contains_letters' END, CASE WHEN length(v) NOT BETWEEN 9 AND 15 THEN 'microchip_length_out_of_range' END, CASE WHEN regexp_matches(v, '[^0-9]') THEN 'microchip_non_digit_characters' END, CASE WHEN length(regexp_replace(v, '[^0-9]', '', 'g')) = 9 AND regexp_matches(v, '^[6-9]') THEN 'microchip_phone_like_digits' END)
+ELSE 'species_outside_allowed_set' END AS flags FROM x""")
 def validator_flags(spark, d):
-    v = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit(" kg"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit("00000000"), F.when(F.col("p_partkey") % 2 == 0, "x").otherwise("")))
-    p = table(spark, d, "part").select("p_partkey", v.alias("v"))
-    return p.select("p_partkey", F.array_join(F.when(F.col("p_partkey") % 3 == 0, observe.weight_flags(F.col("v"))).otherwise(observe.chip_flags(F.col("v"))), ",").alias("flags"))
+    k, odd = F.col("p_partkey") % 3, F.col("p_partkey") % 2 == 0
+    v = F.when(k == 0, F.concat(F.col("p_size").cast("string"), F.when(odd, " lb").otherwise(" kg"))).when(k == 1, F.concat(F.col("p_size").cast("string"), F.lit("0000000"), F.when(odd, "x").otherwise(""))).otherwise(F.col("p_type"))
+    field = F.when(k == 0, "weight").when(k == 1, "microchip_id").otherwise("species")
+    none = F.lit(None).cast("string")
+    return table(spark, d, "part").select("p_partkey", F.array_join(validators.suspicious(field, v, none, none, F.lit("2024-01-01").cast("date")), ",").alias("flags"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, o_orderkey % 4 AS k, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN (o_orderkey % 200)::VARCHAR || ' kg' WHEN 2 THEN o_orderpriority ELSE o_orderkey::VARCHAR END AS v, o_orderdate FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN CASE WHEN o_orderkey % 200 BETWEEN 1 AND 120 THEN v END WHEN 2 THEN NULL ELSE CASE WHEN length(v) <= 3 THEN v END END AS normalized,
+CASE k WHEN 1 THEN CASE WHEN o_orderkey % 200 = 0 THEN 'empty' WHEN o_orderkey % 200 > 120 THEN 'invalid-weight' END WHEN 2 THEN 'invalid-sex' WHEN 3 THEN CASE WHEN length(v) > 3 THEN 'invalid-age' END END AS reason FROM x""")
+def validated_fields(spark, d):
+    k = F.col("o_orderkey") % 4
+    v = F.when(k == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).when(k == 1, F.concat((F.col("o_orderkey") % 200).cast("string"), F.lit(" kg"))).when(k == 2, F.col("o_orderpriority")).otherwise(F.col("o_orderkey").cast("string"))
+    key = F.when(k == 0, "visit_date").when(k == 1, "peso").when(k == 2, "sexo").otherwise("edad")
+    return table(spark, d, "orders").select("o_orderkey", validators.accept(key, v).alias("r")).select("o_orderkey", "r.normalized", "r.reason")
+
+
+@query("""WITH c AS (SELECT unnest(['name', 'segment', 'balance', 'phone']) AS key), h AS (SELECT c_custkey, 'name' AS key FROM customer UNION ALL SELECT c_custkey, 'segment' FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT c_custkey, 'balance' FROM customer WHERE c_acctbal >= 0)
+SELECT c_custkey::VARCHAR AS document_id, c.key FROM customer CROSS JOIN c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.c_custkey = customer.c_custkey AND h.key = c.key)""")
+def contract_completeness(spark, d):
+    f = _fields(spark, d).filter("value is not null and trim(value) != ''").select(F.col("run").cast("string").alias("document_id"), F.col("field").alias("key"))
+    return record.missing_keys(f, spark.createDataFrame([("name",), ("segment",), ("balance",), ("phone",)], "key string"))
+
+
+@query()
+def segment_clauses(spark, d):
+    """Observations and actions of conversation turns, read as segments; tests hold the rules against worked cases."""
+    return clauses.observations_actions(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text").select("conv_id", "turn", "observations", "actions")
 
 
 @query("SELECT event_type, v AS p95 FROM (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r = floor(0.95 * (n - 1)) + 1")

@@ -112,6 +112,29 @@ def test_assignment_strategies(spark):
     assert rows(visits.assign(f, v).select("field_id", "visit_id", "how"), "field_id") == [("a", "v2", "date"), ("b", "v1", "place"), ("c", "v1", "only"), ("x", None, "unassigned")]
 
 
-def test_flags(spark):
-    df = spark.createDataFrame([("111111111",), ("12",), ("94100x",)], "x string")
-    assert [r[0] for r in df.select(observe.chip_flags(F.col("x"))).collect()] == [["repeated_digit"], ["too_short"], ["non_digit_characters", "too_short"]]
+def test_triage(spark):
+    rows_ = [("r", "owner_address", "Calle Sol 1, Madrid", "accepted"), ("r", "clinic_address", "calle sol 1, madrid", "accepted"), ("r", "sex", None, "missing"), ("r", "weight", "7 kg", "accepted"), ("q", "weight", "700 kg", "accepted"), ("q", "age", "x", "rejected")]
+    got = {r.run: (r.missing, r.rejected, r.suspicious) for r in observe.triage(spark.createDataFrame(rows_, "run string, field string, value string, status string"), ["run"]).collect()}
+    assert got == {"r": ("sex", "", "owner_address:owner_address_matches_clinic_address"), "q": ("", "age", "weight:weight_out_of_range")}
+
+
+def test_clauses(spark):
+    from docloom.operators import clauses
+
+    text = "- 11/02/2026 Visita\nAcude para revision de oido. Inflamación leve; se recomienda gotas cada 12 horas.\nExploración: normal\nDar 2 comprimidos\nrecordatorio\nInflamación leve\n"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "recordatorio")], "id int, segment string")
+    got = {r.id: (r.observations, r.actions) for r in clauses.observations_actions(df).collect()}
+    assert got[1] == ("Visita Acude para revision de oido Inflamación leve Exploración: normal", "se recomienda gotas cada 12 horas Dar 2 comprimidos recordatorio")
+    assert got[2] == (None, None) and got[3] == ("recordatorio", None)
+    assert [r[0] for r in df.select(clauses.reason_for_visit(F.col("segment"))).collect()] == ["Visita", None, "recordatorio"]
+
+
+def test_validators(spark):
+    from docloom.functions import validators as v
+
+    cases = [("microchip", "941000024967769 x", "941000024967769", None), ("microchip_id", "abc", None, "non-digit"), ("microchip_id", "123", None, "invalid-length"), ("peso", "7,5 kg", "7.5 kg", None), ("weight", "0", None, "empty"), ("weight", "500", None, "invalid-weight"), ("dob", "5/7/70", "1970-07-05", None), ("dob", "31/02/2020", None, "invalid-date"), ("visit_date", "2024-01-05T10:00", "2024-01-05", None), ("sexo", "Female", "hembra", None), ("species", "pez", None, "invalid-species"), ("age", "7", "7", None), ("notes", " x ", "x", None), ("notes", " ", None, "empty")]
+    df = spark.createDataFrame([(i, k, x) for i, (k, x, _, _) in enumerate(cases)], "i int, k string, x string").select("i", v.accept(F.col("k"), F.col("x")).alias("r")).orderBy("i")
+    assert [(r.r.normalized, r.r.reason) for r in df.collect()] == [(n, why) for _, _, n, why in cases]
+    rows_ = [("microchip_id", "612345678"), ("weight", "7 lb"), ("species", "pez"), ("owner_address", "Calle Sol 1, Madrid"), ("dob", "01/01/2024"), ("pet_name", "Datos"), ("notes", "x" * 81), ("clinic_name", "12")]
+    df = spark.createDataFrame(rows_, "k string, x string").select(v.suspicious(F.col("k"), F.col("x"), F.lit("CALLE SOL 1, MADRID"), F.lit("01/01/2024"), F.lit("2026-01-01").cast("date")).alias("f"))
+    assert [r.f for r in df.collect()] == [["microchip_phone_like_digits"], ["weight_contains_non_kg_letters"], ["species_outside_allowed_set"], ["owner_address_matches_clinic_address"], ["dob_matches_visit_date"], ["pet_name_is_stopword"], ["value_too_long"], ["clinic_name_numeric_only", "clinic_name_too_short", "clinic_name_missing_institution_token"]]
