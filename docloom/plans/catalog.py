@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import normal, scores, text, validators
-from docloom.operators import clauses, keyed, mining, observe, quality_gate, record, state, visits
+from docloom.operators import clauses, keyed, mining, observe, quality_gate, record, state, view, visits
 from docloom.sources.files import split_uploads, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -488,3 +488,37 @@ def mined_candidates(spark, d):
 def visit_occurrences(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
     return visits.occurrences(docs)
+
+
+# ---- the reader's view
+
+@query("""WITH f AS (SELECT l_suppkey AS d, l_returnflag || l_linestatus AS k, min(CASE WHEN l_quantity / 50 < 0.5 THEN 0 WHEN l_quantity / 50 < 0.75 THEN 1 ELSE 2 END) AS r FROM lineitem GROUP BY l_suppkey, l_returnflag || l_linestatus)
+SELECT d AS document_id, count(*) FILTER (r = 0) AS low, count(*) FILTER (r = 1) AS medium, count(*) FILTER (r = 2) AS high, 0::BIGINT AS unknown FROM f GROUP BY d""")
+def worst_bands(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("document_id"), F.concat("l_returnflag", "l_linestatus").alias("key"), F.lit("x").alias("value"), (F.col("l_quantity") / 50).alias("confidence"))
+    return view.worst_bands(view.bands(li))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderstatus, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F'), g AS (SELECT o_custkey AS document_id, o_orderstatus AS key, count(*) AS n, min(o_orderkey) AS f FROM o GROUP BY o_custkey, o_orderstatus)
+SELECT document_id, key, n > 1 AS many, row_number() OVER (PARTITION BY document_id ORDER BY f)::INT AS position FROM g""")
+def other_field_groups(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderstatus").alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").cast("string").alias("value"))
+    return view.other_fields(o, spark.createDataFrame([("F",)], "key string")).select("document_id", "key", "many", "position")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '—' WHEN o_orderkey % 4 = 1 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE o_orderpriority END AS shown FROM orders""")
+def display_values(spark, d):
+    k = F.col("o_orderkey") % 4
+    value = F.when(k == 0, " ").when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.col("o_orderpriority"))
+    return table(spark, d, "orders").select("o_orderkey", view.display(value, F.when(k == 1, "date").otherwise("string")).alias("shown"))
+
+
+@query("""SELECT event_type, user_id, min(event_id) AS first_event FROM events GROUP BY event_type, user_id""")
+def distinct_event_keys(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", "user_id")
+    return keyed.first_of(e, ["event_type", "user_id"], [F.asc("event_id")]).select("event_type", "user_id", F.col("event_id").alias("first_event"))
+
+
+@query("""SELECT l_partkey, bool_or(l_returnflag = 'R') AS critical, count(DISTINCT l_suppkey) AS suppliers, max(l_shipdate)::DATE::VARCHAR AS last_ship FROM lineitem GROUP BY l_partkey""")
+def slot_criticality(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("critical"), F.countDistinct("l_suppkey").alias("suppliers"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("last_ship"))
