@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import _powers, mix
 
 #: Features are hashed to so many places.
-PLACES = 1 << 20
+PLACES = 1 << 19
 # byte classes: 0 white space, 1 word (letters, digits, all beyond ASCII), 2 other marks, 3 line end
 _CLASS = np.array([3 if b == 10 else 0 if b <= 32 or b == 127 else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.int8)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -84,31 +84,52 @@ class NbSvm:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(text) + self.offset, -40, 40))))
 
 
-def fit_svm(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, c: float = 1.0, epochs: int = 12, seed: int = 7) -> NbSvm:
-    """Scale indicators by log-count ratios of the classes; minimise hinge loss with an L2 penalty by dual coordinate descent. y is +1 or -1."""
-    pos, neg = np.full(PLACES, alpha), np.full(PLACES, alpha)
-    for r, label in zip(rows, y, strict=True):
-        (pos if label > 0 else neg)[r] += 1
-    ratio = np.log(pos / (pos.sum() - alpha * PLACES + alpha)) - np.log(neg / (neg.sum() - alpha * PLACES + alpha))
+@dataclass
+class Bags:
+    """The features of many documents in one array: those of document i are flat[start[i] : start[i + 1]]."""
+
+    flat: np.ndarray
+    start: np.ndarray
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.start[i] : self.start[i + 1]]
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.start)
+
+
+def fit_svm(bags: Bags, y: np.ndarray, chosen: np.ndarray, alpha: float = 1.0, c: float = 1.0, epochs: int = 12, seed: int = 7) -> NbSvm:
+    """Scale indicators by log-count ratios of the classes; minimise hinge loss with an L2 penalty by dual coordinate descent, on the chosen documents.
+
+    y is +1 or -1.
+    """
+    pos, neg = np.full(PLACES, alpha, np.float32), np.full(PLACES, alpha, np.float32)
+    for i in chosen:
+        (pos if y[i] > 0 else neg)[bags[i]] += 1
+    ratio = np.log(pos / (pos.sum(dtype=float) - alpha * PLACES + alpha)) - np.log(neg / (neg.sum(dtype=float) - alpha * PLACES + alpha))
     ratio[(pos + neg) < 2 * alpha + 2] = 0  # seen in one document: no evidence of either class
-    value = [ratio[r] / np.sqrt(max(1, len(r))) for r in rows]
-    norm = np.array([v @ v + 1.0 for v in value])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)  # both classes weigh the same
-    w, bias, dual, rng = np.zeros(PLACES), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
+    ratio = ratio.astype(np.float32)
+    value = Bags(ratio[bags.flat], bags.start)  # divided by the root of the bag's size where it is used
+    scale = 1 / np.sqrt(np.maximum(1, bags.sizes()))
+    norm = {i: float(value[i] @ value[i]) * scale[i] ** 2 + 1.0 for i in chosen}
+    own = y[chosen]
+    share = {1.0: 0.5 * len(own) / max(1, (own > 0).sum()), -1.0: 0.5 * len(own) / max(1, (own < 0).sum())}  # both classes weigh the same
+    w, bias, dual, rng = np.zeros(PLACES, np.float32), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            slack = y[i] * (value[i] @ w[rows[i]] + bias) - 1
-            new = min(max(dual[i] - slack / norm[i], 0.0), c * share[i])
+        for i in rng.permutation(chosen):
+            at = bags[i]
+            slack = y[i] * (float(value[i] @ w[at]) * scale[i] + bias) - 1
+            new = min(max(dual[i] - slack / norm[i], 0.0), c * share[float(y[i])])
             if new != dual[i]:
                 step = (new - dual[i]) * y[i]
-                w[rows[i]] += step * value[i]
+                w[at] += np.float32(step * scale[i]) * value[i]
                 bias += step
                 dual[i] = new
     return NbSvm(w * ratio, bias)
 
 
-def _margins(model: NbSvm, rows: list[np.ndarray]) -> np.ndarray:
-    return np.array([(model.weights[r].sum() / np.sqrt(len(r)) if len(r) else 0.0) + model.bias for r in rows])
+def _margins(model: NbSvm, bags: Bags, chosen: np.ndarray) -> np.ndarray:
+    return np.array([(float(model.weights[bags[i]].sum()) / np.sqrt(len(bags[i])) if len(bags[i]) else 0.0) + model.bias for i in chosen])
 
 
 def calibrate(margins: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
@@ -127,7 +148,7 @@ def calibrate(margins: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[flo
     return float(max(a, 1e-3)), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 6000, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> NbSvm | None:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 4000, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> NbSvm | None:
     """Fit on labelled rows where `learn` (an expression over the id, there named i) holds; None if a class is missing there.
 
     About max_docs labelled documents are read for the fit (a documented bound): those whose hash lies below the share that fits. Their ids, bounded so,
@@ -142,10 +163,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 600
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).astype(np.int32) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], ["i", "y", "f"])
-
-    got = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(sample, "i").select(F.col("i").cast("string").alias("i"), "y", "text").mapInArrow(read, "i string, y int, f array<int>").toPandas().sort_values("i", kind="stable")
-    rows, y = [np.asarray(f, np.int64) for f in got["f"]], np.where(got["y"].to_numpy() == 1, 1.0, -1.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).astype(np.int32).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["i", "y", "f"])
+
+    got = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(sample, "i").select(F.col("i").cast("string").alias("i"), "y", "text").mapInArrow(read, "i string, y int, f binary").toArrow().sort_by([("i", "ascending"), ("y", "ascending")])
+    y = np.where(got["y"].to_numpy() == 1, 1.0, -1.0)
+    packed = got["f"].combine_chunks()
+    start = np.concatenate(([0], np.cumsum(np.array([len(x.as_buffer()) for x in packed], np.int64) // 4)))
+    bags = Bags(np.frombuffer(b"".join(x.as_buffer() for x in packed), np.int32), start)
+    del got, packed
     if len(set(y)) < 2:
         return None
     part = np.random.default_rng(11).permutation(len(y)) % folds
@@ -153,8 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 600
     for k in range(folds):
         inside, out = np.flatnonzero(part != k), np.flatnonzero(part == k)
         if len(out) and len(set(y[inside])) == 2:
-            held[out] = _margins(fit_svm([rows[i] for i in inside], y[inside]), [rows[i] for i in out])
-    model = fit_svm(rows, y)
+            held[out] = _margins(fit_svm(bags, y, inside), bags, out)
+    model = fit_svm(bags, y, np.arange(len(y)))
     model.slope, model.offset = calibrate(held, y)
     return model
 
