@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Texts go to Python workers in batches of so many bytes at most, however long they are; a single longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches of this session to BATCH_BYTES: by default 10,000 rows or 64 MB go at once, several times that in a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864").rstrip("b") or 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -29,11 +40,6 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def docs_of(df: DataFrame, *cols: str) -> DataFrame:
-    """The named columns alone, so that extra columns with clashing names can't disturb a plan."""
-    return df.select(*cols)
-
-
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id long, component long), component the smallest id reachable.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import bound_batches, components, materialise
 
 
 @dataclass(frozen=True)
@@ -126,6 +126,7 @@ def near_embeddings(vectors: DataFrame, params: ProjectionParams = ProjectionPar
     found, not gathered. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; so do vectors of other lengths.
     Rows that repeat an id count as links of one another if their vectors link. An empty table gives an empty one.
     """
+    bound_batches(vectors.sparkSession)
     own = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v")).withColumn("fine", _usable("v"))
     own = own.select("id", "v", "fine", F.when(F.col("fine"), F.xxhash64("v")).alias("h1"), F.when(F.col("fine"), F.hash("v", F.lit(1))).alias("h2"))
     distinct = materialise(own.filter("fine").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min_by("v", "id").alias("v")), "vectors")

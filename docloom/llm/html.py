@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?=[\s=/]|\Z)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -196,6 +198,7 @@ def train(pages: DataFrame, max_pages: int = 2000, id_col: str = "page_id", html
     Blocks that stand in an article count as content and those in menus, footers and the like as not; features are counted on the executors, and
     their sums, one row a feature, reach the driver.
     """
+    bound_batches(pages.sparkSession)
     n = pages.count()
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("html")), F.lit(1 << 30)) / float(1 << 30)
 
@@ -301,6 +304,7 @@ def main_text(page: str | None, model: BlockModel) -> str:
 
 def extract(pages: DataFrame, model: BlockModel, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """Rows (id, *keep, text, n_chars), one for each row of pages, from the whole html. Null and empty pages have the text "". n_chars counts code points."""
+    bound_batches(pages.sparkSession)
     shipped = pages.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Symbols are bytes reduced to 6 bits: 0 stands for all that isn't a letter (runs count once), 1-26 for a-z, the rest for the commonest other bytes.
 BITS, SYMBOLS = 6, 64
 _LETTER = re.compile(r"[^\W\d_]")
@@ -153,6 +155,7 @@ def train(docs: DataFrame, learn: Column, order: int = 4, sample_bytes: int = 1_
     At most about sample_bytes of UTF-8 text per language are counted (a documented bound of the fit, nothing else): of a language with more, the
     documents whose hash lies below the share that fits. Contexts are counted on the executors; their sums, bounded by the sample, reach the driver.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
     sizes = {r["lang"]: r["b"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
     if not sizes:
@@ -193,6 +196,7 @@ def identify(docs: DataFrame, model: Ppm | None, id_col: str = "doc_id", text_co
     score is the posterior of the language under equal priors, 2^-length normalised. A null text, a text without a letter, or no model gives
     (unknown, 0). Ties go to the first language by code point.
     """
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

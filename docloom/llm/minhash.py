@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, mix, shingle_hashes, word_hashes
+from .common import bound_batches, components, materialise, mix, shingle_hashes, word_hashes
 
 
 @dataclass(frozen=True)
@@ -290,6 +290,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     pair is either compared or already joined by links. Links are verified by weighted Jaccard similarity on whole texts; groups are their components. Null and empty texts, and texts without words, are groups of their own.
     Rows that repeat an id count as one document of that group and get a row each. Nothing is capped or sampled.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 

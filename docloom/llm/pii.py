@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -220,6 +222,7 @@ def train(docs: DataFrame, max_docs: int = 3000, max_regions: int = 3000, id_col
 
     The patterns mark the segments; every seventh marked one also gives a variant spelling. Regions without a mark teach what is no personal data.
     """
+    bound_batches(docs.sparkSession)
     n = docs.count()
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("pii")), F.lit(1 << 30)) / float(1 << 30)
 
@@ -265,6 +268,7 @@ def detect(docs: DataFrame, model: SemiCrf | None, id_col: str = "doc_id", text_
 
     The counts and the digest are of the patterns' spans; spans has those and the added ones. Positions are code points, ends exclusive.
     """
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

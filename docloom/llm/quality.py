@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, mix
+from .common import _powers, bound_batches, mix
 
 #: Features are hashed to so many places.
 PLACES = 1 << 19
@@ -154,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 400
     About max_docs labelled documents are read for the fit (a documented bound): those whose hash lies below the share that fits. Their ids, bounded so,
     are broadcast to the scan of the texts. Margins of held-back folds set the line to probabilities.
     """
+    bound_batches(docs.sparkSession)
     own = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter(learn & F.col("y").isin(0, 1)).distinct()
     n = own.count()
     if not n:
@@ -189,6 +190,7 @@ def score_quality(docs: DataFrame, model: NbSvm | None, id_col: str = "doc_id",
 
     The model is a fixed number of weights (PLACES) and goes to the executors as a broadcast.
     """
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model and NbSvm(model.weights.astype(np.float32), model.bias, model.slope, model.offset))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from .common import bound_batches
+
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
 _PIECES = re.compile(r"[^ \t\n\r]+")
 _LOADED: dict[str, object] = {}
@@ -98,6 +100,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     are encoded, whole, and appended to it: texts are reduced to one per digest before they are shuffled, so that a third of all rows with the same
     text costs one row per task. Repeated ids keep a row each; an empty table encodes nothing.
     """
+    bound_batches(docs.sparkSession)
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.sha2(F.col("text"), 256))
     cache = lambda: read_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
