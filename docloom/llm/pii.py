@@ -115,13 +115,26 @@ def span_features(text: str, lo: int, hi: int) -> list[str]:
     return out + [f"cue-{c}" for c in _CUES if c in cue]
 
 
+def possible(s: str) -> tuple[bool, ...]:
+    """Which kinds a segment can be at all: an address needs an at sign and a dot, an ip four octets, a card 13 to 19 digits, a phone 7 to 15 without letters."""
+    n, plain = sum(c.isdigit() for c in s), not any(c.isalpha() for c in s)
+    at = re.search(r"@|[\[(] ?at ?[\])]", s)
+    parts = s.split(".")
+    return (
+        bool(at and re.search(r"(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z]{2,}\Z", s[at.end() :])),
+        len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts),
+        plain and 13 <= n <= 19,
+        plain and 7 <= n <= 15,
+    )
+
+
 @dataclass
 class SemiCrf:
     """Weights per kind and feature. A segmentation scores the sum over its segments; tokens outside any entity score 0."""
 
     weights: dict[str, dict[str, float]] = field(default_factory=lambda: {k: {} for k in KINDS})
 
-    def lattice(self, text: str, lo: int, hi: int) -> tuple[int, list[tuple[int, int, list[str]]]]:
+    def lattice(self, text: str, lo: int, hi: int) -> tuple[int, list[tuple[int, int, list[str], tuple[bool, ...]]]]:
         """The tokens' number and all candidate segments (first token, token after the last, features), none longer than MAX_TOKENS tokens."""
         cut = tokens(text, lo, hi)
         out = []
@@ -133,12 +146,15 @@ class SemiCrf:
                 if b - a < 5 or b - a > 320 or not (text[b - 1].isascii() and text[b - 1].isalnum()):
                     continue
                 s = text[a:b]
-                if "@" in s or "at" in s or sum(c.isdigit() for c in s) >= 7 or s.count(".") == 3:
-                    out.append((i, j + 1, span_features(text, a, b)))
+                kinds = possible(s)
+                if any(kinds):
+                    out.append((i, j + 1, span_features(text, a, b), kinds))
         return len(cut), out
 
-    def scores(self, found: list[tuple[int, int, list[str]]]) -> np.ndarray:
-        return np.array([[sum(w.get(f, 0.0) for f in fs) for w in (self.weights[k] for k in KINDS)] for _, _, fs in found]).reshape(len(found), len(KINDS))
+    def scores(self, found: list[tuple[int, int, list[str], tuple[bool, ...]]]) -> np.ndarray:
+        """Segments x kinds; a kind that a segment can't be scores -1000."""
+        w = [self.weights[k] for k in KINDS]
+        return np.array([[sum(w[k].get(f, 0.0) for f in fs) if ok[k] else -1e3 for k in range(len(KINDS))] for _, _, fs, ok in found]).reshape(len(found), len(KINDS))
 
     def decode(self, text: str, lo: int, hi: int, taken: list[Span]) -> list[Span]:
         """The best segmentation of a region by semi-Markov dynamic programming; segments that touch a taken span are left out."""
@@ -149,7 +165,7 @@ class SemiCrf:
             return []
         s = self.scores(found)
         ending: dict[int, list[int]] = {}
-        for x, (_, j, _) in enumerate(found):
+        for x, (_, j, *_) in enumerate(found):
             ending.setdefault(j, []).append(x)
         best, back = [0.0] * (n + 1), [-1] * (n + 1)
         for j in range(1, n + 1):
@@ -163,7 +179,7 @@ class SemiCrf:
             if back[j] < 0:
                 j -= 1
             else:
-                i, end, _ = found[back[j]]
+                i, end, *_ = found[back[j]]
                 out.append((KINDS[int(s[back[j]].argmax())], cut[i][0], cut[end - 1][1]))
                 j = i
         return out[::-1]
@@ -176,7 +192,7 @@ class SemiCrf:
             n, found = self.lattice(text, lo, hi)
             mark = {(a, b): KINDS.index(k) for k, a, b in gold}
             if found:
-                built.append((n, found, [mark.get((cut[i][0], cut[j - 1][1]), -1) for i, j, _ in found]))
+                built.append((n, found, [mark.get((cut[i][0], cut[j - 1][1]), -1) for i, j, *_ in found]))
         rng = np.random.default_rng(seed)
         for epoch in range(epochs):
             step = rate / (1 + epoch)
@@ -188,14 +204,14 @@ class SemiCrf:
                 ahead[0] = behind[n] = 0.0
                 by_end: dict[int, list[int]] = {}
                 by_start: dict[int, list[int]] = {}
-                for e, (i, j, _) in enumerate(found):
+                for e, (i, j, *_) in enumerate(found):
                     by_end.setdefault(j, []).append(e)
                     by_start.setdefault(i, []).append(e)
                 for j in range(1, n + 1):
                     ahead[j] = np.logaddexp.reduce([ahead[j - 1], *(ahead[found[e][0]] + whole[e] for e in by_end.get(j, ()))])
                 for i in range(n - 1, -1, -1):
                     behind[i] = np.logaddexp.reduce([behind[i + 1], *(whole[e] + behind[found[e][1]] for e in by_start.get(i, ()))])
-                for e, (i, j, fs) in enumerate(found):
+                for e, (i, j, fs, _) in enumerate(found):
                     p = np.exp(ahead[i] + s[e] + behind[j] - ahead[n])
                     for k, kind in enumerate(KINDS):
                         g = (gold[e] == k) - p[k]

@@ -122,6 +122,15 @@ def test_field_adds_and_keeps(spark):
     assert any(i == 5 and s == "" for i, s in got) and got[(2, "")].redacted is None
 
 
+def test_field_knows_spellings_and_leaves_the_rest(spark):
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    added = lambda t: [(k, t[a:b]) for k, a, b in pii.find(t, model)[1] if (k, a, b) not in brute_spans(t)]
+    assert added("write to jo.smith [at] mail.example.com please") == [("email", "jo.smith [at] mail.example.com")]
+    assert added("call (843) 555-4223 today") == [("phone", "(843) 555-4223")]
+    for t in ("12.05.2024 10:30", "ISBN 978-3-16-148410-0", "300.1.2.3", "order 20240105123456789", "pages 12, 13, 14, 15, 16, 17", "foo@bar", "jo at example.com"):
+        assert not [x for x in added(t) if x[0] in ("ip", "email")]
+
+
 def test_decoding_is_the_best_segmentation(spark):
     """The dynamic programme finds the highest sum over all sets of disjoint candidate segments."""
     import itertools
@@ -136,7 +145,7 @@ def test_decoding_is_the_best_segmentation(spark):
                 if all(found[a][1] <= found[b][0] or found[b][1] <= found[a][0] for a, b in itertools.combinations(chosen, 2)):
                     top = max(top, sum(best[list(chosen)]))
         cut = pii.tokens(text, 0, len(text))
-        spans = {(cut[i][0], cut[j - 1][1]): best[x] for x, (i, j, _) in enumerate(found)}
+        spans = {(cut[i][0], cut[j - 1][1]): best[x] for x, (i, j, *_) in enumerate(found)}
         assert sum(spans[a, b] for _, a, b in model.decode(text, 0, len(text), [])) == pytest.approx(top)
 
 
