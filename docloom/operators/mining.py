@@ -37,7 +37,11 @@ def labelled(docs: DataFrame) -> DataFrame:
         return lambda m, j: F.struct(F.lit(key).alias("key"), (F.lit(i * 10**6) + j).alias("place"), m["value"].alias("value"), m["snippet"].alias("snippet"))
 
     each = [F.transform(_found(x, f"(?iu){p}"), tagged(i, k)) for i, (k, p) in enumerate(P.LABELLED)]
-    rows = docs.select("document_id", F.explode(F.concat(*each)).alias("m")).select("document_id", "m.*")
+    rows = docs.select("document_id", "text", F.explode(F.concat(*each)).alias("m")).select("document_id", "text", "m.*")
+    # an address under a general label isn't the clinic's if one of the two lines above speaks of the owner
+    above = F.filter(F.split(F.substr("text", F.lit(1), F.greatest(F.lit(0), F.instr("text", F.trim("snippet")) - 1)), "\n"), lambda x: F.trim(x) != "")
+    owners = F.concat_ws(" ", F.try_element_at(above, F.lit(-2)), F.try_element_at(above, F.lit(-1))).rlike(P.OWNER_CONTEXT)
+    rows = rows.filter(~((F.col("key") == "clinic_address") & F.col("snippet").rlike(P.GENERIC_ADDRESS_LABEL) & ~F.col("snippet").rlike(P.CLINIC_ADDRESS_LABEL) & owners))
     return _candidates(rows, 0, F.col("key"), F.col("place"), F.col("value"), F.col("snippet"), LABEL_CONFIDENCE)
 
 

@@ -95,11 +95,17 @@ def extract(docs: DataFrame) -> DataFrame:
     owners, clinics = context.rlike(P.OWNER_ADDRESS_CONTEXT), context.rlike(P.CLINIC_ADDRESS_CONTEXT)
     generic = line.rlike(P.GENERIC_ADDRESS_LINE) & ~explicit
     address = labelled(P.CLINIC_ADDRESS_LINE, 2)
+    owned = F.coalesce(F.col("past2"), F.lit("")).rlike(P.OWNER_CONTEXT)  # two lines above a general label
     out.append(_entry("clinic_address", 16, no * 10 + 1, F.when(explicit, address), F.col("block3"), LABEL_CONFIDENCE))
     out.append(_entry("owner_address", 16, no * 10 + 1, F.when(~explicit & owners & ~clinics & generic, address), F.col("block3"), LABEL_CONFIDENCE))
-    out.append(_entry("clinic_address", 16, no * 10 + 2, F.when(~explicit & clinics & ~owners & generic, address), F.col("block3"), LABEL_CONFIDENCE))
-    out.append(_entry("clinic_address", 16, no * 10 + 3, F.when(~explicit & ~(generic & (owners != clinics)), address), F.col("block3"), FALLBACK_CONFIDENCE))
+    out.append(_entry("clinic_address", 16, no * 10 + 2, F.when(~explicit & ~owned & clinics & ~owners & generic, address), F.col("block3"), LABEL_CONFIDENCE))
+    out.append(_entry("clinic_address", 16, no * 10 + 3, F.when(~explicit & ~owned & ~(generic & (owners != clinics)), address), F.col("block3"), FALLBACK_CONFIDENCE))
     # an address right below a clinic's line
     above = F.coalesce("p1", F.lit(""))
     out.append(_entry("clinic_address", 17, no * 10, F.when(line.rlike(P.STREET_START) & line.rlike(r"\d") & ~F.contains("line", F.lit(":")) & above.rlike(P.CLINIC_CONTEXT) & ~above.rlike(P.OWNER_CONTEXT), clean("line")), F.col("around11"), FALLBACK_CONFIDENCE))
-    return rows.select("document_id", F.explode(F.array_compact(F.array(*out))).alias("e")).select("document_id", "e.*")
+    # in groups, so that each stage's generated code stays small enough to be compiled
+    every = None
+    for i in range(0, len(out), 3):
+        part = rows.select("document_id", F.explode(F.array_compact(F.array(*out[i : i + 3]))).alias("e")).select("document_id", "e.*")
+        every = part if every is None else every.unionAll(part)
+    return every
