@@ -65,18 +65,16 @@ def common_shingles(docs: DataFrame, n: int, params: NearDupParams) -> dict[int,
         blocks = [(i, total[i * step : (i + 1) * step]) for i in range(COARSE // step)]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()), pa.array([v.astype(np.uint32).tobytes() for _, v in blocks], pa.binary())], ["block", "counts"])
 
-    def add(key, frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        total = np.zeros(1 << 12, np.int64)
-        for f in frames:
-            for c in f["counts"]:
-                total += np.frombuffer(c, np.uint32)
-        hot = np.flatnonzero(total >= line) + key[0] * (1 << 12)
-        yield pd.DataFrame({"bucket": hot.astype(np.int64)})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}  # as many tables as there are blocks at most, however many tasks sent theirs
+        for b in batches:
+            for i, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                totals[i] = totals.get(i, 0) + np.frombuffer(c.as_py(), np.uint32).astype(np.int64)
+        hot = [np.flatnonzero(t >= line) + (i << 12) for i, t in totals.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hot) if hot else [], pa.int64())], ["bucket"])
 
     few = docs.select("text").mapInArrow(coarse, "block int, counts binary")
-    hot = np.sort(few.groupBy("block").applyInPandas(lambda key, f: next(add(key, iter([f]))), "bucket long").toPandas()["bucket"].to_numpy())
+    hot = np.sort(few.repartition("block").mapInArrow(add, "bucket long").toPandas()["bucket"].to_numpy())
     if not len(hot):
         return {}
     flags = np.zeros(COARSE, bool)
