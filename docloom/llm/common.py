@@ -22,6 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables of a few numbers a row are broadcast up to so many rows; beyond that joins shuffle.
+BROADCAST_ROWS = 500_000
+
+
+#: Edges that one task takes at least before another is worth its start.
+ROWS_A_TASK = 50_000
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df, marked for broadcast if it was counted to have no more rows than the bound. df should be a written table, for it is read to be counted."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
 #: Texts go to Python workers in batches of so many bytes at most, however long they are; a single longer text is a batch of its own.
 BATCH_BYTES = 8 << 20
 
@@ -33,8 +46,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+def materialise(df: DataFrame, name: str = "t", light: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    light: rows of a few numbers after an aggregate; two tasks a core write them, however many partitions the shuffle has.
+    """
+    if light:
+        df = df.coalesce(2 * max(1, df.sparkSession.sparkContext.defaultParallelism))
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -47,16 +65,21 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     shuffles and writes its edges to the shared folder, so that no node's neighbours are ever gathered in one task.
     Empty edges give no rows; loops and repeated edges are harmless.
     """
-    e = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", light=True)
+    n = e.count()  # no round has more edges, and there are no more nodes than twice that
+    hint = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
     for _ in range(rounds):
+        if n <= BROADCAST_ROWS:  # a few edges aren't dealt out over many tasks
+            e = e.coalesce(-(-max(1, n) // ROWS_A_TASK))
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.filter("v > u").join(hint(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p")).select("p.*").filter("u != v")
-        e = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        n, nodes = e.agg(F.count("*"), F.countDistinct("u")).first()
-        if n == nodes and not e.join(e.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").head(1):
+        small = large.join(hint(low2), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p")).select("p.*").filter("u != v")
+        e = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", light=True)
+        sides = e.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("root")).unionAll(e.select(F.col("v").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))
+        deep = sides.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root")).filter("leaf > 1 or (leaf = 1 and root = 1)")
+        if not deep.head(1):
             break  # every node points at one root and no root points on
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, materialise, mix, shingle_hashes, word_hashes
+from .common import bound_batches, components, materialise, mix, shingle_hashes, small, word_hashes
 
 
 @dataclass(frozen=True)
@@ -192,7 +192,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, common, params: NearDupParams) -
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
+    return right.join(small(pairs, params.broadcast_rows), "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
 def _similar(texts: list[str], groups: np.ndarray, blocks: np.ndarray, weigh: Weigher, line: float) -> np.ndarray:
@@ -303,10 +303,10 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
 
     keyed = materialise(rows.mapInArrow(digest, "id long, digest binary"), "digests")
     first = keyed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    first = materialise(first, "firsts")
+    first = materialise(first, "firsts", light=True)
     n = first.count()
     more = keyed.filter("digest is not null").join(first, "digest").filter("id != rep").select("id", "rep").distinct()
-    same = materialise(more, "same")
+    same = materialise(more, "same", light=True)
     copies = same.count()
     known = same.select("id").distinct()
     distinct = rows.join(F.broadcast(known) if copies <= params.broadcast_rows else known, "id", "left_anti")
@@ -314,35 +314,35 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     common = spark.sparkContext.broadcast(common_shingles(distinct, n, params))
     banded = materialise(_bands(distinct, common, params), "bands")
     places = banded.select("id", "bytes", F.posexplode("bands").alias("band", "h"))
-    shared = places.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("id").alias("lead")).filter("n > 1")
-    crowd = materialise(places.join(shared.select("band", "h", "lead"), ["band", "h"]).select("band", "h", "id", "bytes", "lead"), "crowd")
-    members = materialise(crowd.select("id").distinct(), "members")
-    few = lambda df: F.broadcast(df) if df.count() <= params.broadcast_rows else df
+    few = lambda df: small(df, params.broadcast_rows)
+    shared = materialise(places.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("id").alias("lead")).filter("n > 1").select("band", "h", "lead"), "shared", light=True)
+    crowd = materialise(places.join(few(shared), ["band", "h"]).select("band", "h", "id", "bytes", "lead"), "crowd", light=True)
+    members = materialise(crowd.select("id").distinct(), "members", light=True)
     texts = distinct.join(few(members), "id", "left_semi")
     if keyed.count() != keyed.select("id").distinct().count():
         texts = texts.groupBy("id").agg(F.min("text").alias("text"))
     texts = materialise(texts, "texts")
 
-    star = crowd.filter("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    star = materialise(crowd.filter("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star", light=True)
     links = materialise(_verify(star, texts, common, params), "links")
     group = components(links)
-    labelled = crowd.join(group, "id", "left").select("band", "h", "id", "bytes", F.coalesce("component", "id").alias("g"))
+    labelled = crowd.join(few(group), "id", "left").select("band", "h", "id", "bytes", F.coalesce("component", "id").alias("g"))
     mixed = labelled.groupBy("band", "h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("n"), F.sum("bytes").alias("all")).filter("g0 != g1")
-    mixed = mixed.select("band", "h", F.ceil(F.greatest(F.col("n") / params.block_rows, F.col("all") / params.block_bytes)).cast("int").alias("blocks"))
+    mixed = materialise(mixed.select("band", "h", F.ceil(F.greatest(F.col("n") / params.block_rows, F.col("all") / params.block_bytes)).cast("int").alias("blocks")), "mixed", light=True)
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    open_ = labelled.join(mixed, ["band", "h"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = labelled.join(few(mixed), ["band", "h"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("band", "h", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("tile"), "id", "g", "block")
-    more_links = materialise(_tiles(materialise(open_, "open").join(texts, "id"), common, params), "links")
+    more_links = materialise(_tiles(texts.join(few(materialise(open_, "open", light=True)), "id"), common, params), "links")
     final = components(links.unionAll(more_links))
     of = same.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id")).unionAll(final.select("id", F.col("component").alias("class_id")))
-    of = of.groupBy("id").agg(F.min("class_id").alias("class_id"))
-    out = keyed.select("id").join(of, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    of = materialise(of.groupBy("id").agg(F.min("class_id").alias("class_id")), "classes", light=True)
+    out = keyed.select("id").join(few(of), "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those that aren't the first of their group; of rows that repeat an id one stays."""
-    judged = materialise(near_duplicates(docs, params, id_col, text_col), "judged")
+    judged = materialise(near_duplicates(docs, params, id_col, text_col), "judged", light=True)
     gone = judged.filter("not kept").select(id_col).distinct()
     out = docs.join(F.broadcast(gone) if gone.count() <= params.broadcast_rows else gone, id_col, "left_anti")
     repeated = judged.groupBy(id_col).count().filter("count > 1").head(1)
