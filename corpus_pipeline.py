@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import decontam, minhash, mixing, pii, quality
 from docloom.llm.common import shared_dir
-from docloom.llm.queries import QUALITY_LINE, _fold, _read
+from docloom.llm.queries import NEAR_COPIES, QUALITY_LINE, _fold, _read
 
 
 def _packed(docs: DataFrame, *named: str) -> DataFrame:
@@ -36,7 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, NEAR_COPIES)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

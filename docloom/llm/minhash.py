@@ -16,13 +16,18 @@ from .common import bound_batches, components, materialise, mix, shingle_hashes,
 
 @dataclass(frozen=True)
 class NearDupParams:
-    """shingle: words of a shingle; similarity: weighted Jaccard of a link; bands x rows samples a text; common: share of texts from which a shingle's weight falls."""
+    """shingle: words of a shingle; similarity: weighted Jaccard of a link; bands x rows samples a text; common: share of texts from which a shingle's weight falls.
+
+    votes: who counts in a shingle's frequency: each distinct text ("texts"), or each family of near copies once ("families"), whose members then don't
+    lower the weight of what they share.
+    """
 
     shingle: int = 5
     similarity: float = 0.8
     bands: int = 14
     rows: int = 4
     common: float = 0.01
+    votes: str = "texts"
     #: Ids or pairs up to so many rows are broadcast; beyond that joins shuffle.
     broadcast_rows: int = 500_000
 
@@ -43,12 +48,15 @@ def _shingles(text: str | None, k: int) -> np.ndarray:
     return shingle_hashes(word_hashes(text), k)
 
 
-def common_shingles(docs: DataFrame, n: int, params: NearDupParams) -> dict[int, float]:
-    """Weights of the shingles that at least a share `common` of all n distinct texts (rows of docs: text) hold; all others weigh the most.
+def common_shingles(docs: DataFrame, n: int, params: NearDupParams, families: DataFrame | None = None) -> dict[int, float]:
+    """Weights of the shingles that at least a share `common` of all n distinct texts (rows of docs: id, text) hold; all others weigh the most.
+
+    With families (id, component) all texts of a component count once for each shingle that any of them holds, and n is the number of families, texts of
+    no component included.
 
     A shingle in a share f of texts weighs 1 - ln(max(f, common)): inverse document frequency, level below `common`. Counts are exact and over all texts:
     a table of COARSE buckets, added up over tasks, leaves the buckets that reach the line; only shingles of those are counted one by one. No more than
-    mean length / common shingles can reach it, whatever the number of texts; so many go to the driver and the executors.
+    mean length / common shingles (distinct ones of a family) can reach it, whatever the number of texts; so many go to the driver and the executors.
     """
     line = max(1, math.ceil(params.common * n))
     if n == 0:
@@ -84,14 +92,21 @@ def common_shingles(docs: DataFrame, n: int, params: NearDupParams) -> dict[int,
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shipped.value).astype(bool)
         for b in batches:
-            parts = []
-            for t in b.column(0).to_pylist():
+            parts: dict[int | None, list[np.ndarray]] = {}
+            for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = np.unique(_shingles(t, k))
-                parts.append(s[wanted[(s & np.uint64(COARSE - 1)).astype(np.int64)]])
-            s, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64), pa.int64()), pa.array(c, pa.int64())], ["s", "n"])
-
-    got = docs.select("text").mapInArrow(exact, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= line).toPandas()
+                parts.setdefault(g, []).append(s[wanted[(s & np.uint64(COARSE - 1)).astype(np.int64)]])
+            for g, own in parts.items():
+                s, c = np.unique(np.concatenate(own), return_counts=True)
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64), pa.int64()), pa.array([g] * len(s), pa.int64()), pa.array(c, pa.int64())], ["s", "g", "n"])
+
+    if families is None:
+        voters = docs.select("text", F.lit(None).cast("long").alias("g"))
+    else:
+        voters = docs.join(small(families, params.broadcast_rows), "id", "left").select("text", F.col("component").alias("g"))
+    held = voters.mapInArrow(exact, "s long, g long, n long").groupBy("s", "g").agg(F.sum("n").alias("n"))
+    got = held.groupBy("s").agg(F.sum(F.when(F.col("g").isNull(), F.col("n")).otherwise(1)).alias("n")).filter(F.col("n") >= line).toPandas()
     return {int(s): 1.0 - math.log(c / n) for s, c in zip(got["s"], got["n"], strict=True)}
 
 
@@ -154,8 +169,8 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / (a[1].sum() + b[1].sum() - low))
 
 
-def _bands(docs: DataFrame, common, params: NearDupParams) -> DataFrame:
-    """Rows (id, bytes, bands): the length and a hash for each band of each row (id, text) that has words."""
+def _bands(docs: DataFrame, common, params: NearDupParams, lowered: bool = False) -> DataFrame:
+    """Rows (id, bytes, bands): the length and a hash for each band of each row (id, text) that has words; if lowered, of those with a common shingle only."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Weigher(common.value, params)
@@ -163,7 +178,7 @@ def _bands(docs: DataFrame, common, params: NearDupParams) -> DataFrame:
             ids, sizes, bands = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s, w = weigh(t)
-                if not len(s):
+                if not len(s) or lowered and not np.isin(s, weigh.keys).any():
                     continue
                 x = icws(s, w, params.samples).reshape(params.bands, params.rows)
                 h = np.arange(params.bands, dtype=np.uint64)
@@ -279,6 +294,29 @@ def _tiles(rows: DataFrame, common, params: NearDupParams) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long")
 
 
+def _groups(distinct: DataFrame, banded: DataFrame, common, params: NearDupParams) -> DataFrame:
+    """Rows (id, component) of all texts (id, text) that links join with others; banded has their bands, common the weights."""
+    places = banded.select("id", "bytes", F.posexplode("bands").alias("band", "h"))
+    few = lambda df: small(df, params.broadcast_rows)
+    shared = materialise(places.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("id").alias("lead")).filter("n > 1").select("band", "h", "lead"), "shared", light=True)
+    crowd = materialise(places.join(few(shared), ["band", "h"]).select("band", "h", "id", "bytes", "lead"), "crowd", light=True)
+    members = materialise(crowd.select("id").distinct(), "members", light=True)
+    texts = distinct.join(few(members), "id", "left_semi")
+    texts = materialise(texts, "texts")
+
+    star = materialise(crowd.filter("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star", light=True)
+    links = materialise(_verify(star, texts, common, params), "links")
+    group = components(links)
+    labelled = crowd.join(few(group), "id", "left").select("band", "h", "id", "bytes", F.coalesce("component", "id").alias("g"))
+    mixed = labelled.groupBy("band", "h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("n"), F.sum("bytes").alias("all")).filter("g0 != g1")
+    mixed = materialise(mixed.select("band", "h", F.ceil(F.greatest(F.col("n") / params.block_rows, F.col("all") / params.block_bytes)).cast("int").alias("blocks")), "mixed", light=True)
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    open_ = labelled.join(few(mixed), ["band", "h"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.select("band", "h", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("tile"), "id", "g", "block")
+    more_links = materialise(_tiles(texts.join(few(materialise(open_, "open", light=True)), "id"), common, params), "links")
+    return components(links.unionAll(more_links))
+
+
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, class_id, kept), one for each row of docs: class_id is the smallest id of the group, kept marks it.
 
@@ -286,6 +324,8 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     and texts that share a band are candidates. First every text is compared with the first of each of its bands; then, in bands whose texts these links
     leave in different groups, all pairs of different groups are compared, in tiles of bounded size and without a row for each pair. So each candidate
     pair is either compared or already joined by links. Links are verified by weighted Jaccard similarity on whole texts; groups are their components. Null and empty texts, and texts without words, are groups of their own.
+    With votes "families" a first pass with all weights level finds the families; shingle frequencies are then of families, and texts that hold a common
+    shingle are sampled again and all candidates compared under these weights.
     Rows that repeat an id count as one document of that group and get a row each. Nothing is capped or sampled.
     """
     bound_batches(docs.sparkSession)
@@ -310,33 +350,26 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     copies = same.count()
     known = same.select("id").distinct()
     distinct = rows.join(F.broadcast(known) if copies <= params.broadcast_rows else known, "id", "left_anti")
-
-    common = spark.sparkContext.broadcast(common_shingles(distinct, n, params))
-    banded = materialise(_bands(distinct, common, params), "bands")
-    places = banded.select("id", "bytes", F.posexplode("bands").alias("band", "h"))
-    few = lambda df: small(df, params.broadcast_rows)
-    shared = materialise(places.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("id").alias("lead")).filter("n > 1").select("band", "h", "lead"), "shared", light=True)
-    crowd = materialise(places.join(few(shared), ["band", "h"]).select("band", "h", "id", "bytes", "lead"), "crowd", light=True)
-    members = materialise(crowd.select("id").distinct(), "members", light=True)
-    texts = distinct.join(few(members), "id", "left_semi")
     if keyed.count() != keyed.select("id").distinct().count():
-        texts = texts.groupBy("id").agg(F.min("text").alias("text"))
-    texts = materialise(texts, "texts")
+        distinct = distinct.groupBy("id").agg(F.min("text").alias("text"))
 
-    star = materialise(crowd.filter("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star", light=True)
-    links = materialise(_verify(star, texts, common, params), "links")
-    group = components(links)
-    labelled = crowd.join(few(group), "id", "left").select("band", "h", "id", "bytes", F.coalesce("component", "id").alias("g"))
-    mixed = labelled.groupBy("band", "h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("n"), F.sum("bytes").alias("all")).filter("g0 != g1")
-    mixed = materialise(mixed.select("band", "h", F.ceil(F.greatest(F.col("n") / params.block_rows, F.col("all") / params.block_bytes)).cast("int").alias("blocks")), "mixed", light=True)
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    open_ = labelled.join(few(mixed), ["band", "h"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("band", "h", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("tile"), "id", "g", "block")
-    more_links = materialise(_tiles(texts.join(few(materialise(open_, "open", light=True)), "id"), common, params), "links")
-    final = components(links.unionAll(more_links))
+    families = params.votes == "families"
+    weights = {} if families else common_shingles(distinct, n, params)
+    common = spark.sparkContext.broadcast(weights)
+    banded = materialise(_bands(distinct, common, params), "bands")
+    final = _groups(distinct, banded, common, params)
+    if families:
+        final = materialise(final, "families", light=True)
+        joined, heads = final.agg(F.count("*"), F.countDistinct("component")).first()
+        weights = common_shingles(distinct, n - joined + heads, params, final)
+        if weights:  # else the first pass had the right weights; a text without common shingles keeps its samples
+            common = spark.sparkContext.broadcast(weights)
+            anew = materialise(_bands(distinct, common, params, lowered=True), "bands")
+            banded = banded.join(small(anew.select("id"), params.broadcast_rows), "id", "left_anti").unionAll(anew)
+            final = _groups(distinct, banded, common, params)
     of = same.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id")).unionAll(final.select("id", F.col("component").alias("class_id")))
     of = materialise(of.groupBy("id").agg(F.min("class_id").alias("class_id")), "classes", light=True)
-    out = keyed.select("id").join(few(of), "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    out = keyed.select("id").join(small(of, params.broadcast_rows), "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from docloom.llm import decontam, embeddings, minhash, mixing
 from docloom.llm.common import components, shingle_hashes, word_hashes
+from docloom.llm.queries import NEAR_COPIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -169,6 +170,28 @@ def test_classes_equal_brute_force(spark, block):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_large_family_links_like_a_small_one(spark):
+    """Copies don't lower the weight of what they share: 30 members, each one edit off the base, among 70 strangers, as among 970; a shared passage still weighs less."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(80)]
+    rows = [(i, " ".join(base[: 2 * i + 5] + [f"e{i}"] + base[2 * i + 6 :])) for i in range(30)]
+    passage = " ".join(rng.choice(words) for _ in range(60))
+    rows += [(100 + i, " ".join(rng.choice(words) for _ in range(80))) for i in range(60)]
+    rows += [(200 + i, passage + " " + " ".join(rng.choice(words) for _ in range(5))) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, NEAR_COPIES).collect()}
+    assert all(got[i] == 0 for i in range(30))
+    assert all(got[i] == i for i in range(100, 160))
+    texts = spark.createDataFrame([(i, t) for i, t in rows], "id long, text string")
+    family = spark.createDataFrame([(i, 0) for i in range(30)], "id long, component long")
+    shingle = lambda t: int(minhash._shingles(" ".join(t), 5)[0].view(np.int64))
+    by_text, by_family = minhash.common_shingles(texts, 100, NEAR_COPIES), minhash.common_shingles(texts, 71, NEAR_COPIES, family)
+    assert by_text[shingle(base[:5])] == pytest.approx(1 - np.log(30 / 100)) and by_family[shingle(base[:5])] == pytest.approx(1 - np.log(1 / 71))
+    assert by_family[shingle(passage.split()[:5])] == pytest.approx(1 - np.log(10 / 71))
+    assert [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df.filter("doc_id < 160"), SF).orderBy("doc_id").collect()] == [0, *range(100, 160)]
+
+
 def test_consistent_samples_meet_weighted_jaccard():
     rng = np.random.default_rng(1)
     s = rng.integers(1, 1 << 62, 300).astype(np.uint64)
