@@ -16,6 +16,8 @@ from .common import bound_batches
 
 #: Symbols are bytes reduced to 6 bits: 0 stands for all that isn't a letter (runs count once), 1-26 for a-z, the rest for the commonest other bytes.
 BITS, SYMBOLS = 6, 64
+#: Characters of the pieces that the fit draws from a language with more text than it counts.
+PIECE = 4096
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -152,16 +154,20 @@ def build(counts: pd.DataFrame, table: bytes, order: int, max_nodes: int) -> Ppm
 def train(docs: DataFrame, learn: Column, order: int = 4, sample_bytes: int = 1_500_000, max_nodes: int = 40_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Ppm | None:
     """Fit the trees on rows where `learn` holds and neither text nor language is null; None if there are none.
 
-    At most about sample_bytes of UTF-8 text per language are counted (a documented bound of the fit, nothing else): of a language with more, the
-    documents whose hash lies below the share that fits. Contexts are counted on the executors; their sums, bounded by the sample, reach the driver.
+    At most about sample_bytes of UTF-8 text per language are counted (a documented bound of the fit, nothing else): of a language with more, the pieces
+    of PIECE characters whose hash lies below the share that fits, and at least the piece with the least hash, so that no language is missed and a long
+    text is neither taken nor left as a whole. Contexts are counted on the executors; their sums, bounded by the sample, reach the driver.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
-    sizes = {r["lang"]: r["b"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    rows = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("fit")).alias("h"))
+    pieces = F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / PIECE).cast("int"))
+    draw = lambda k: F.pmod(F.xxhash64("h", k), F.lit(1 << 30)) / float(1 << 30)
+    sizes = {r["lang"]: (r["b"], r["u"]) for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"), F.min(F.array_min(F.transform(pieces, draw))).alias("u")).collect()}
     if not sizes:
         return None
-    share = F.create_map(*(F.lit(x) for lang, b in sizes.items() for x in (lang, min(1.0, sample_bytes / max(1, b)))))
-    sample = rows.filter(F.col("u") < share[F.col("lang")]).select("lang", "text")
+    line = F.create_map(*(F.lit(x) for lang, (b, u) in sizes.items() for x in (lang, 1.0 if b <= sample_bytes else max(u, sample_bytes / b))))[F.col("lang")]
+    drawn = F.transform(F.filter(pieces, lambda k: draw(k) <= line), lambda k: F.substring("text", k * PIECE + 1, F.lit(PIECE)))
+    sample = rows.select("lang", F.explode(F.when(line == 1.0, F.array("text")).otherwise(drawn)).alias("text"))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
@@ -187,7 +193,9 @@ def train(docs: DataFrame, learn: Column, order: int = 4, sample_bytes: int = 1_
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array(np.full(m, depth), pa.int32()), pa.array(key >> BITS, pa.int64()), pa.array((key & (SYMBOLS - 1)), pa.int32()), pa.array(n, pa.int64())], ["lang", "depth", "context", "symbol", "n"])
 
     counts = sample.mapInArrow(count, "lang string, depth int, context long, symbol int, n long").groupBy("lang", "depth", "context", "symbol").agg(F.sum("n").alias("n")).filter("n > 1 or depth < 3").toPandas()
-    return build(counts, table, order, max_nodes) if len(counts) else None
+    missing = set(sizes) - set(counts["lang"])
+    assert not missing, f"no text drawn of {sorted(missing)}"
+    return build(counts, table, order, max_nodes)
 
 
 def identify(docs: DataFrame, model: Ppm | None, id_col: str = "doc_id", text_col: str = "text", unknown: str = "und") -> DataFrame:

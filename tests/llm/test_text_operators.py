@@ -73,6 +73,17 @@ def test_languages_held_out(spark):
     assert {r.lang_pred for r in langid.identify(odd, langid.train(docs.limit(0), F.lit(True))).collect()} == {"und"}
 
 
+def test_few_long_texts_are_drawn_in_pieces(spark):
+    """A language of two texts far beyond the bound is in the model, and a long text neither breaks the bound nor leaves out the short ones."""
+    long = ["lorem ipsum dolor " * 20_000, "sit amet elit " * 25_000]
+    rows = [(i, t, "la") for i, t in enumerate(long)] + [(9, "zzz " * 50_000, "mixed")] + [(10 + i, f"abc{i} def", "mixed") for i in range(3000)] + [(i, "null ids too " * 2000, "none") for i in (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True), sample_bytes=30_000)
+    assert model.languages == ["la", "mixed", "none"]
+    odd = spark.createDataFrame([(1, "lorem ipsum amet"), (2, "abc7 def"), (3, "null ids too")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(odd, model).orderBy("doc_id").collect()] == ["la", "mixed", "none"]
+
+
 def test_code_lengths_are_a_code(spark):
     """After any context the code lengths of all symbols satisfy Kraft's equality, and long texts cut into spans cost what they cost whole."""
     import numpy as np
