@@ -74,11 +74,13 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     """Rows (id, *keep, n_words, n_hit, n_items, items_sha256, contaminated), one for each row of docs, from whole texts.
 
     n_hit counts the words inside any occurrence of an item's window; n_items the items with such a window; items_sha256 is of their ids, sorted as
-    strings and comma-joined. contaminated: n_hit > 0 and at least a twentieth of the words. Null and empty texts have no words; rows that repeat an id
-    are told apart by a hash of their text; empty tables give no hits.
+    strings and comma-joined. contaminated: n_hit > 0 and at least a twentieth of the words. Null and empty texts have no words; rows that repeat an id,
+    or have none, are told apart by a hash of their text; empty tables give no hits.
     """
     tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    own = docs.select(docs[id_col].alias("doc"), tag.alias("tag"), docs[text_col].alias("text"))
+    # ids as strings that are never null, so that a null id meets its hits
+    key = F.coalesce(F.concat(F.lit("="), docs[id_col].cast("string")), F.lit(""))
+    own = docs.select(key.alias("doc"), tag.alias("tag"), docs[text_col].alias("text"))
     hits = hit_windows(own, bench.select(bench[item_id_col].alias("item"), bench[item_text_col].alias("text")))
     hits = materialise(hits, "hits")
     spans = hits.select("doc", "tag", "at", (F.col("at") + F.col("n")).alias("stop")).groupBy("doc", "tag", "at").agg(F.max("stop").alias("stop"))
@@ -86,9 +88,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     covered = spans.withColumn("reached", F.coalesce(before, F.lit(0))).groupBy("doc", "tag").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("at", "reached"))).cast("long").alias("n_hit"))
     named = hits.select("doc", "tag", F.col("item").cast("string").alias("item")).distinct().groupBy("doc", "tag").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
     found = materialise(covered.join(named, ["doc", "tag"]), "found")
-    base = docs.select(*(docs[c].alias(f"kept_{i}") for i, c in enumerate(keep)), docs[id_col].alias("doc"), tag.alias("tag"), F.size(words_of(docs[text_col])).cast("long").alias("n_words"))
+    base = docs.select(*(docs[c].alias(f"kept_{i}") for i, c in enumerate(keep)), docs[id_col].alias("own_id"), key.alias("doc"), tag.alias("tag"), F.size(words_of(docs[text_col])).cast("long").alias("n_words"))
     out = base.join(_small(found, found.count()), ["doc", "tag"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
     return out.select(
-        F.col("doc").alias(id_col), *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.col("own_id").alias(id_col), *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )

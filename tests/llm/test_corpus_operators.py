@@ -286,6 +286,13 @@ def test_hits_equal_brute_force(spark):
     assert decontam.decontaminate(df.limit(0), bf).count() == 0
 
 
+def test_null_ids_meet_their_hits(spark):
+    text = " ".join(f"q{i}" for i in range(30))
+    docs, bench = [(None, text), (None, "none"), (3, text)], spark.createDataFrame([(7, text)], "item_id long, text string")
+    got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id or 0, r.n_hit, r.contaminated) for r in got) == [(0, 0, False), (0, 30, True), (3, 30, True)]
+
+
 def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     docs, bench = [(1, " ".join(f"q{i}" for i in range(40))), (2, "none")], [(7, " ".join(f"q{i}" for i in range(5, 25)))]
