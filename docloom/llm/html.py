@@ -46,9 +46,10 @@ NAME_CUES = {
     }.items()
     for w in words.split()
 }
-#: Log odds of content for where a block stands; what is learnt from pages adds to them, within LEARNT_MOST for each feature.
-PLACE_ODDS = {"article": 5.0, "": 0.0, "menu": -9.0, "header": -9.0, "footer": -9.0, "side": -9.0, "form": -9.0, "notice": -9.0, "advert": -9.0, "comment": -9.0}
-LEARNT_MOST = 1.25
+#: Log odds of content for where a block stands; what is learnt from pages adds to them, within LEARNT_MOST for each of four features; many words can
+#: count for up to LENGTH_MOST, so that long prose without links can cross the cut wherever it stands, comments apart.
+PLACE_ODDS = {"article": 5.0, "": 0.0, "menu": -6.5, "header": -6.5, "footer": -6.5, "side": -6.5, "form": -6.5, "notice": -6.5, "advert": -6.5, "comment": -9.0}
+LEARNT_MOST, LENGTH_MOST = 1.25, 4.0
 #: Smoothness: adjacent blocks, and blocks with the same parent that aren't adjacent.
 ADJACENT, SIBLING = 1.0, 0.5
 
@@ -221,7 +222,7 @@ def train(pages: DataFrame, max_pages: int = 2000, id_col: str = "page_id", html
         group = total.setdefault(f.split("-")[0], [0, 0])
         group[0], group[1] = group[0] + a, group[1] + b
     odds = {f: math.log(a / total[f.split("-")[0]][0]) - math.log(b / total[f.split("-")[0]][1]) for f, (a, b) in sums.items() if a and b}
-    return BlockModel({f: max(-LEARNT_MOST, min(LEARNT_MOST, x)) for f, x in odds.items()})
+    return BlockModel({f: max(-LEARNT_MOST, min(LENGTH_MOST if f.startswith("words-") else LEARNT_MOST, x)) for f, x in odds.items()})
 
 
 def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:

@@ -43,6 +43,16 @@ def test_other_layouts_and_awkward_pages(spark):
     assert html.extract(df.limit(0), html.train(df.limit(0))).count() == 0
 
 
+def test_long_prose_in_a_named_wrapper_is_content(spark):
+    model = html.train(spark.read.parquet(f"{SF}/pages.parquet"))
+    prose = " ".join(["The committee met again and spoke at length of the old harbour wall, which nobody had repaired in years."] * 4)
+    for name in ("content has-sidebar", "legal", "social", "share", "tags", "search", "ad", "header", "copyright"):
+        page = f'<body><nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav><div class="{name}"><p>{prose}</p><p>{prose}</p></div><footer>&copy; me</footer></body>'
+        assert html.main_text(page, model) == f"{prose}\n\n{prose}", name
+    menu = '<div class="sidebar"><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><p>Buy now.</p></div>'
+    assert html.main_text(menu, model) == ""
+
+
 def test_min_cut_is_least(spark):
     import itertools
     import random
