@@ -326,11 +326,34 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     pair is either compared or already joined by links. Links are verified by weighted Jaccard similarity on whole texts; groups are their components. Null and empty texts, and texts without words, are groups of their own.
     With votes "families" a first pass with all weights level finds the families; shingle frequencies are then of families, and texts that hold a common
     shingle are sampled again and all candidates compared under these weights.
-    Rows that repeat an id count as one document of that group and get a row each. Nothing is capped or sampled.
+    Rows that repeat an id or have none are told apart and compared each by its own text; of a class one row is kept, and class_id is null only if all its
+    ids are. Nothing is capped or sampled.
     """
-    bound_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    own, numbered = _unique(docs, id_col)
+    if not numbered:
+        out = _classes(own.select(own[id_col].cast("long").alias("id"), F.coalesce(own[text_col], F.lit("")).alias("text")), params)
+        return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    return _judged_rows(own, params, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "kept")
+
+
+def _unique(docs: DataFrame, id_col: str) -> tuple[DataFrame, bool]:
+    """docs, or, if an id repeats or is null, docs written with a number row_ for each row; and whether they are."""
+    n, ids = docs.agg(F.count("*"), F.countDistinct(docs[id_col])).first()
+    return (docs, False) if n == ids else (materialise(docs.withColumn("row_", F.monotonically_increasing_id()), "rows"), True)
+
+
+def _judged_rows(own: DataFrame, params: NearDupParams, id_col: str, text_col: str) -> DataFrame:
+    """Rows (row_, id, class_id, kept) of numbered rows: each is compared by its own text; the first by id, nulls last, is kept of each class."""
+    found = _classes(own.select(F.col("row_").alias("id"), F.coalesce(own[text_col], F.lit("")).alias("text")), params)
+    named = materialise(found.select(F.col("id").alias("row_"), F.col("class_id").alias("c")).join(own.select("row_", own[id_col].cast("long").alias("id")), "row_"), "judged", light=True)
+    heads = named.groupBy("c").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "row_"))["row_"].alias("head"))
+    return named.join(heads, "c").select("row_", "id", "class_id", (F.col("row_") == F.col("head")).alias("kept"))
+
+
+def _classes(rows: DataFrame, params: NearDupParams) -> DataFrame:
+    """Rows (id, class_id) of rows (id, text) whose ids are neither null nor repeated."""
+    spark = rows.sparkSession
+    bound_batches(spark)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -350,8 +373,6 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     copies = same.count()
     known = same.select("id").distinct()
     distinct = rows.join(F.broadcast(known) if copies <= params.broadcast_rows else known, "id", "left_anti")
-    if keyed.count() != keyed.select("id").distinct().count():
-        distinct = distinct.groupBy("id").agg(F.min("text").alias("text"))
 
     families = params.votes == "families"
     weights = {} if families else common_shingles(distinct, n, params)
@@ -369,14 +390,15 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
             final = _groups(distinct, banded, common, params)
     of = same.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id")).unionAll(final.select("id", F.col("component").alias("class_id")))
     of = materialise(of.groupBy("id").agg(F.min("class_id").alias("class_id")), "classes", light=True)
-    out = keyed.select("id").join(small(of, params.broadcast_rows), "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    return keyed.select("id").join(small(of, params.broadcast_rows), "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those that aren't the first of their group; of rows that repeat an id one stays."""
+    """The rows of docs without those whose own text is a copy or near copy of a kept row's, whatever their ids."""
+    own, numbered = _unique(docs, id_col)
+    if numbered:
+        kept = _judged_rows(own, params, id_col, text_col).filter("kept").select("row_")
+        return own.join(small(materialise(kept, "kept", light=True), params.broadcast_rows), "row_", "left_semi").select(*docs.columns)
     judged = materialise(near_duplicates(docs, params, id_col, text_col), "judged", light=True)
-    gone = judged.filter("not kept").select(id_col).distinct()
-    out = docs.join(F.broadcast(gone) if gone.count() <= params.broadcast_rows else gone, id_col, "left_anti")
-    repeated = judged.groupBy(id_col).count().filter("count > 1").head(1)
-    return (out.dropDuplicates([id_col]) if repeated else out).select(*docs.columns)
+    gone = judged.filter("not kept").select(id_col)
+    return docs.join(F.broadcast(gone) if gone.count() <= params.broadcast_rows else gone, id_col, "left_anti").select(*docs.columns)

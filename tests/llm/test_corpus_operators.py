@@ -192,6 +192,14 @@ def test_a_large_family_links_like_a_small_one(spark):
     assert [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df.filter("doc_id < 160"), SF).orderBy("doc_id").collect()] == [0, *range(100, 160)]
 
 
+def test_texts_of_repeated_and_null_ids_stay(spark):
+    """Only rows whose own text is a copy of a kept row's are dropped."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (2, c), (None, c), (None, d), (None, None)]
+    left = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, ""), (0, d), (1, a), (2, b), (2, c)]
+
+
 def test_consistent_samples_meet_weighted_jaccard():
     rng = np.random.default_rng(1)
     s = rng.integers(1, 1 << 62, 300).astype(np.uint64)
