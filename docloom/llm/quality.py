@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import _powers, bound_batches, mix
 
+#: Labelled documents of a class that the fit reads at least, if there are so many.
+CLASS_LEAST = 200
 #: Features are hashed to so many places.
 PLACES = 1 << 19
 # byte classes: 0 white space, 1 word (letters, digits, all beyond ASCII), 2 other marks, 3 line end
@@ -151,16 +153,18 @@ def calibrate(margins: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[flo
 def train(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 4000, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> NbSvm | None:
     """Fit on labelled rows where `learn` (an expression over the id, there named i) holds; None if a class is missing there.
 
-    About max_docs labelled documents are read for the fit (a documented bound): those whose hash lies below the share that fits. Their ids, bounded so,
+    About max_docs labelled documents are read for the fit (a documented bound): those whose hash lies below the share that fits, of
+    a rare class about CLASS_LEAST at least; the line to probabilities is corrected for its larger share. Their ids, bounded so,
     are broadcast to the scan of the texts. Margins of held-back folds set the line to probabilities.
     """
     bound_batches(docs.sparkSession)
     own = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter(learn & F.col("y").isin(0, 1)).distinct()
-    n = own.count()
-    if not n:
+    sizes = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
+    if len(sizes) < 2:
         return None
+    share = {v: min(1.0, max(max_docs / sum(sizes.values()), CLASS_LEAST / k)) for v, k in sizes.items()}
     place = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    sample = F.broadcast(own.filter(place < min(1.0, max_docs / n)))
+    sample = F.broadcast(own.filter(place < F.when(F.col("y") == 1, share[1]).otherwise(share[0])))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,6 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 400
             held[out] = _margins(fit_svm(bags, y, inside), bags, out)
     model = fit_svm(bags, y, np.arange(len(y)))
     model.slope, model.offset = calibrate(held, y)
+    model.offset -= float(np.log(share[1] / share[0]))
     return model
 
 

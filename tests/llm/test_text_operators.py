@@ -198,6 +198,14 @@ def test_trie_equals_scanning_all_rules():
 # ---- quality
 
 
+def test_a_rare_class_is_drawn(spark):
+    """Three bad documents among 3,000 reach a fit on about 20."""
+    rows = [(i, f"a good text of word{i % 50} and more", 1) for i in range(3000)] + [(5000 + i, "!!! ??? buy $$$ now", 0) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    assert quality.train(df.drop("quality"), df.drop("text"), F.lit(True), max_docs=20) is not None
+    assert quality.train(df.drop("quality"), df.drop("text").filter("quality = 1"), F.lit(True)) is None
+
+
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     held = F.pmod(F.crc32(F.col("i").cast("string").cast("binary")), F.lit(5)) == 0
