@@ -72,19 +72,66 @@ def joined(spans: list[Span]) -> str:
 
 # ---- the random field: regions that may hold personal data, their tokens, whole-span features
 
-_REGION = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(] ?at ?[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]+)*|[+(]?[0-9][0-9 ().+\-]*[0-9]")
+_AT = re.compile(r"@|[\[(] ?at ?[\])]")
+_AFTER_AT = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]+)*")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_NUMBER = re.compile(r"[+(]?[0-9][0-9 ().+\-]*[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|[^\sA-Za-z0-9]")
 #: Words that announce a kind, looked for in the 24 characters before a region.
 _CUES = ("tel", "phone", "call", "mail", "ip", "host", "card", "visa")
-#: An entity has at most so many tokens.
-MAX_TOKENS = 40
+#: An entity has at most so many tokens and characters, a number at most so many runs of digits; the fit reads regions of MOST_FIT characters at most.
+MAX_TOKENS, MAX_CHARS, MAX_RUNS, MOST_FIT = 40, 320, 8, 400
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches with an at sign (or its spelling) or at least seven digits."""
-    if not any(c in text for c in "0123456789@") and "at]" not in text and "at)" not in text:
-        return []
-    return [m.span() for m in _REGION.finditer(text) if not m[0][-1].isdigit() or "@" in m[0] or m.end() - m.start() >= 7 and sum(c.isdigit() for c in m[0]) >= 7 or m[0].count(".") >= 3 or "at" in m[0]]
+    """Stretches with an at sign (or its spelling) or at least seven digits or three dots between digits, leftmost first, none overlapping.
+
+    At signs are looked for first and grown to both sides, numbers are runs: every character is read a bounded number of times, however long its run.
+    """
+    out: list[tuple[int, int]] = []
+    at, free, ats = 0, 0, _AT.finditer(text)
+    mail: tuple[int, int, int] | None = None  # where the local part begins and ends, and the region's end
+
+    def next_mail() -> tuple[int, int, int] | None:
+        for m in ats:
+            after = _AFTER_AT.match(text, m.end())
+            end = m.start() - (m.start() > free and text[m.start() - 1] == " ")
+            left = end
+            while left > free and text[left - 1] in _LOCAL:
+                left -= 1
+            if after and left < end:
+                return left, end, after.end()
+        return None
+
+    mail, number = next_mail(), _NUMBER.search(text)
+    while mail or number:
+        if mail and mail[1] <= at:
+            mail = next_mail()
+        elif number and number.start() < at:
+            number = _NUMBER.search(text, at)
+        elif mail and (not number or max(mail[0], at) <= number.start()):
+            out.append((max(mail[0], at), mail[2]))
+            at = free = mail[2]
+            mail = next_mail()
+        else:
+            digits = sum(map(str.isdigit, number[0]))
+            if digits >= 7 or number[0].count(".") >= 3:
+                out.append(number.span())
+            at = free = number.end()
+            number = _NUMBER.search(text, at)
+    return out
+
+
+def by_region(found: list[tuple[int, int]], spans: list[Span]) -> Iterator[tuple[int, int, list[Span]]]:
+    """Each region with the spans that touch it, in one walk over both."""
+    rest, active = iter(sorted(spans, key=lambda s: s[1])), []
+    ahead = next(rest, None)
+    for lo, hi in found:
+        while ahead and ahead[1] < hi:
+            active.append(ahead)
+            ahead = next(rest, None)
+        active = [s for s in active if s[2] > lo]
+        yield lo, hi, [s for s in active if s[1] < hi]
 
 
 def tokens(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
@@ -134,22 +181,36 @@ class SemiCrf:
 
     weights: dict[str, dict[str, float]] = field(default_factory=lambda: {k: {} for k in KINDS})
 
-    def lattice(self, text: str, lo: int, hi: int) -> tuple[int, list[tuple[int, int, list[str], tuple[bool, ...]]]]:
-        """The tokens' number and all candidate segments (first token, token after the last, features), none longer than MAX_TOKENS tokens."""
-        cut = tokens(text, lo, hi)
-        out = []
+    def lattice(self, text: str, cut: list[tuple[int, int]], taken: list[Span] = []) -> Iterator[tuple[int, int, list[str], tuple[bool, ...]]]:
+        """Candidate segments (first token, token after the last, features, kinds) in order of their first token, none that touches a taken span.
+
+        cut has the region's tokens. None is longer than MAX_TOKENS tokens or MAX_CHARS characters, none without an at sign has more than MAX_RUNS runs of digits.
+        """
+        digits, runs, letters, held, k, reach, mail = [0], [0], [0], [0], 0, 0, False
+        taken = sorted(taken, key=lambda t: t[1])
+        for a, b in cut:
+            while k < len(taken) and taken[k][1] < b:
+                reach, k = max(reach, taken[k][2]), k + 1
+            held.append(held[-1] + (reach > a))
+            digits.append(digits[-1] + (b - a if text[a].isdigit() else 0))
+            runs.append(runs[-1] + text[a].isdigit())
+            letters.append(letters[-1] + text[a].isalpha())
+        if cut:
+            mail = bool(_AT.search(text, cut[0][0], cut[-1][1]))
         for i, (a, _) in enumerate(cut):
             if text[a].isspace() or text[a] in ").-]%":
                 continue
             for j in range(i, min(len(cut), i + MAX_TOKENS)):
-                b = cut[j][1]
-                if b - a < 5 or b - a > 320 or not (text[b - 1].isascii() and text[b - 1].isalnum()):
+                b, n = cut[j][1], digits[j + 1] - digits[i]
+                if held[j + 1] > held[i] or b - a > MAX_CHARS or not mail and (n > 19 or runs[j + 1] - runs[i] > MAX_RUNS):
+                    break  # it only grows from here
+                if b - a < 5 or not (text[b - 1].isascii() and text[b - 1].isalnum()):
                     continue
-                s = text[a:b]
-                kinds = possible(s)
+                if not mail and (letters[j + 1] > letters[i] or n < 7) and j - i != 6:
+                    continue  # neither a card nor a phone number nor four octets
+                kinds = possible(text[a:b])
                 if any(kinds):
-                    out.append((i, j + 1, span_features(text, a, b), kinds))
-        return len(cut), out
+                    yield i, j + 1, span_features(text, a, b), kinds
 
     def scores(self, found: list[tuple[int, int, list[str], tuple[bool, ...]]]) -> np.ndarray:
         """Segments x kinds; a kind that a segment can't be scores -1000."""
@@ -157,31 +218,41 @@ class SemiCrf:
         return np.array([[sum(w[k].get(f, 0.0) for f in fs) if ok[k] else -1e3 for k in range(len(KINDS))] for _, _, fs, ok in found]).reshape(len(found), len(KINDS))
 
     def decode(self, text: str, lo: int, hi: int, taken: list[Span]) -> list[Span]:
-        """The best segmentation of a region by semi-Markov dynamic programming; segments that touch a taken span are left out."""
+        """The best segmentation of a region by semi-Markov dynamic programming; segments that touch a taken span are left out.
+
+        Segments come by their first token and are scored one by one, so memory is a few numbers a token.
+        """
         cut = tokens(text, lo, hi)
-        n, found = self.lattice(text, lo, hi)
-        found = [x for x in found if not any(cut[x[0]][0] < b and a < cut[x[1] - 1][1] for _, a, b in taken)]
-        if not found:
-            return []
-        s = self.scores(found)
-        ending: dict[int, list[int]] = {}
-        for x, (_, j, *_) in enumerate(found):
-            ending.setdefault(j, []).append(x)
-        best, back = [0.0] * (n + 1), [-1] * (n + 1)
-        for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            for x in ending.get(j, ()):
-                v = best[found[x][0]] + s[x].max()
-                if v > best[j] + 1e-12:
-                    best[j], back[j] = v, x
+        n, done, weights = len(cut), 0, [self.weights[k] for k in KINDS]
+        best: list[float] = [0.0] * (n + 1)
+        back: list[tuple[int, int] | None] = [None] * (n + 1)  # of the best segment that ends here: first token and kind
+        ending: list[float] = [0.0] * (n + 1)
+
+        def settle(upto: int) -> None:
+            nonlocal done
+            while done < upto:
+                done += 1
+                best[done] = best[done - 1]
+                if back[done] and ending[done] > best[done] + 1e-12:
+                    best[done] = ending[done]
+                else:
+                    back[done] = None
+
+        for i, j, fs, ok in self.lattice(text, cut, taken):
+            settle(i)  # no later segment ends at or before its own first token
+            own = [sum(w.get(f, 0.0) for f in fs) if k else -1e3 for w, k in zip(weights, ok, strict=True)]
+            top = max(own)
+            if back[j] is None or best[i] + top > ending[j] + 1e-12:
+                ending[j], back[j] = best[i] + top, (i, own.index(top))
+        settle(n)
         out, j = [], n
         while j > 0:
-            if back[j] < 0:
-                j -= 1
-            else:
-                i, end, *_ = found[back[j]]
-                out.append((KINDS[int(s[back[j]].argmax())], cut[i][0], cut[end - 1][1]))
+            if back[j]:
+                i, kind = back[j]
+                out.append((KINDS[kind], cut[i][0], cut[j - 1][1]))
                 j = i
+            else:
+                j -= 1
         return out[::-1]
 
     def fit(self, examples: list[tuple[str, int, int, list[Span]]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-3, seed: int = 5) -> SemiCrf:
@@ -189,7 +260,7 @@ class SemiCrf:
         built = []
         for text, lo, hi, gold in examples:
             cut = tokens(text, lo, hi)
-            n, found = self.lattice(text, lo, hi)
+            n, found = len(cut), list(self.lattice(text, cut))
             mark = {(a, b): KINDS.index(k) for k, a, b in gold}
             if found:
                 built.append((n, found, [mark.get((cut[i][0], cut[j - 1][1]), -1) for i, j, *_ in found]))
@@ -234,7 +305,8 @@ def _variants(text: str, lo: int, hi: int, gold: list[Span]) -> list[tuple[str,
 
 
 def train(docs: DataFrame, max_docs: int = 3000, max_regions: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> SemiCrf:
-    """Fit the field on regions of about max_docs documents (a documented bound; chosen by a hash of the id), at most max_regions of them.
+    """Fit the field on regions of about max_docs documents (a documented bound; chosen by a hash of the id), at most max_regions of them, none longer than
+    MOST_FIT characters.
 
     The patterns mark the segments; every seventh marked one also gives a variant spelling. Regions without a mark teach what is no personal data.
     """
@@ -246,11 +318,10 @@ def train(docs: DataFrame, max_docs: int = 3000, max_regions: int = 3000, id_col
         for b in batches:
             rows = []
             for t in b.column(0).to_pylist():
-                spans = base_spans(t)
-                for lo, hi in regions(t):
-                    inside = [s for s in spans if s[1] >= lo and s[2] <= hi]
-                    inside = [s for i, s in enumerate(inside) if not any(o[1] < s[2] and s[1] < o[2] for o in inside[:i])]
-                    if hi - lo <= 400:
+                for lo, hi, near in by_region(regions(t), base_spans(t)):
+                    if hi - lo <= MOST_FIT:
+                        inside = sorted((s for s in near if s[1] >= lo and s[2] <= hi), key=lambda s: (KINDS.index(s[0]), s[1]))
+                        inside = [s for i, s in enumerate(inside) if not any(o[1] < s[2] and s[1] < o[2] for o in inside[:i])]
                         rows.append((t[max(0, lo - 24) : hi + 1], lo - max(0, lo - 24), hi - max(0, lo - 24), joined([(k, a - max(0, lo - 24), z - max(0, lo - 24)) for k, a, z in inside])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((), (), (), ()), (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["text", "lo", "hi", "gold"])
 
@@ -265,7 +336,7 @@ def find(text: str | None, model: SemiCrf | None) -> tuple[list[Span], list[Span
     if not text:
         return [], []
     base = base_spans(text)
-    added = [s for lo, hi in regions(text) for s in model.decode(text, lo, hi, [b for b in base if b[1] < hi and lo < b[2]])] if model else []
+    added = [s for lo, hi, near in by_region(regions(text), base) for s in model.decode(text, lo, hi, near)] if model else []
     return base, base + added
 
 
@@ -282,7 +353,10 @@ def redact(text: str | None, spans: list[Span]) -> str | None:
 def detect(docs: DataFrame, model: SemiCrf | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """Rows (id, *keep, n_email, n_ip, n_card, n_phone, base_sha256, spans[, redacted]), one for each row of docs, from whole texts.
 
-    The counts and the digest are of the patterns' spans; spans has those and the added ones. Positions are code points, ends exclusive.
+    The counts and the digest are of the patterns' spans; spans has those and the added ones. Positions are code points, ends exclusive. A null text
+    counts as empty: no spans, and redacted stays null. Rows that repeat, or repeat an id, keep a row each; an empty table gives an empty one; columns that
+    keep doesn't name are left behind, whatever their names. Without a model only the patterns find. Added spans are bounded as entities are: MAX_TOKENS
+    tokens, MAX_CHARS characters, MAX_RUNS runs of digits in a number. Time and memory grow with the text's length.
     """
     bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
