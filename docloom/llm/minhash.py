@@ -193,7 +193,10 @@ def _bands(docs: DataFrame, common, params: NearDupParams, lowered: bool = False
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, common, params: NearDupParams) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the line. Each pair is compared exactly, on whole texts."""
+    """The pairs (a, b) whose weighted Jaccard similarity reaches the line. Each pair is compared exactly, on whole texts.
+
+    A text in many pairs as a is dealt out with its partners in parts of about block_rows, so that no task meets all of them.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh, last, known = Weigher(common.value, params), None, None
@@ -207,7 +210,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, common, params: NearDupParams) -
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return right.join(small(pairs, params.broadcast_rows), "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
+    heads = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / params.block_rows).cast("int").alias("parts")), "heads", light=True)
+    few = lambda df: small(df, params.broadcast_rows)
+    dealt = materialise(pairs.join(few(heads), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")), "pairs", light=True)
+    left = left.join(few(heads), "a").select("a", "ta", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return right.join(few(dealt), "b").join(left, ["a", "part"]).select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
 def _similar(texts: list[str], groups: np.ndarray, blocks: np.ndarray, weigh: Weigher, line: float) -> np.ndarray:
@@ -308,11 +315,17 @@ def _groups(distinct: DataFrame, banded: DataFrame, common, params: NearDupParam
     links = materialise(_verify(star, texts, common, params), "links")
     group = components(links)
     labelled = crowd.join(few(group), "id", "left").select("band", "h", "id", "bytes", F.coalesce("component", "id").alias("g"))
-    mixed = labelled.groupBy("band", "h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("n"), F.sum("bytes").alias("all")).filter("g0 != g1")
-    mixed = materialise(mixed.select("band", "h", F.ceil(F.greatest(F.col("n") / params.block_rows, F.col("all") / params.block_bytes)).cast("int").alias("blocks")), "mixed", light=True)
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    open_ = labelled.join(few(mixed), ["band", "h"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("band", "h", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("tile"), "id", "g", "block")
+    # of a mixed band the largest group and the rest get blocks of their own: pairs inside the group are joined already, so only tiles with the rest are made
+    per = labelled.groupBy("band", "h", "g").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    mixed = per.groupBy("band", "h").agg(F.count("*").alias("groups"), F.max(F.struct("n", "bytes", "g")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).filter("groups > 1")
+    fits = lambda n, size: F.greatest(F.lit(1), F.ceil(F.greatest(n / params.block_rows, size / params.block_bytes))).cast("int")
+    one = fits(F.col("n"), F.col("bytes")) == 1
+    mixed = mixed.select("band", "h", F.col("top.g").alias("first"), F.when(one, 0).otherwise(fits(F.col("top.n"), F.col("top.bytes"))).alias("ours"), F.when(one, 1).otherwise(fits(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"))).alias("rest"))
+    mixed = materialise(mixed, "mixed", light=True)
+    inside, every = (F.col("g") == F.col("first")) & (F.col("ours") > 0), F.col("ours") + F.col("rest")
+    block = F.when(inside, F.pmod(F.xxhash64("id"), F.col("ours"))).otherwise(F.col("ours") + F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
+    open_ = labelled.join(few(mixed), ["band", "h"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.when(inside, F.col("ours")).otherwise(0), every - 1)))
+    open_ = open_.select("band", "h", (F.least("block", "other") * every + F.greatest("block", "other")).alias("tile"), "id", "g", "block")
     more_links = materialise(_tiles(texts.join(few(materialise(open_, "open", light=True)), "id"), common, params), "links")
     return components(links.unionAll(more_links))
 
