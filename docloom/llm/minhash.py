@@ -42,37 +42,73 @@ class NearDupParams:
 
 #: Buckets of the first, coarse count of shingles: a fixed table per task, added up over tasks.
 COARSE = 1 << 20
+#: Plain minimum hashes of the first pass, which only finds families: bands x rows.
+FAMILY_BANDS, FAMILY_ROWS = 6, 4
 
 
 def _shingles(text: str | None, k: int) -> np.ndarray:
     return shingle_hashes(word_hashes(text), k)
 
 
-def common_shingles(docs: DataFrame, n: int, params: NearDupParams, families: DataFrame | None = None) -> dict[int, float]:
+def scan(rows: DataFrame, params: NearDupParams) -> DataFrame:
+    """One pass over the whole texts of rows (id, text), for what needs no weights. Two kinds of rows come out: (id, digest, bytes, bands) for each text,
+    and per task the blocks (block, counts) of a table that counts texts by bucket of shingle.
+
+    digest is of the words in order (null without words); bands are of FAMILY_BANDS x FAMILY_ROWS plain minimum hashes, for the search of families.
+    """
+    seeds = mix(np.arange(FAMILY_BANDS * FAMILY_ROWS, dtype=np.uint64) + np.uint64(0x0FA111E5))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COARSE, np.int64)
+        for b in batches:
+            digests, sizes, bands, parts = [], [], [], []
+            for t in b.column(1).to_pylist():
+                w = word_hashes(t)
+                sizes.append(len(t) * 2)
+                if not len(w):
+                    digests.append(None)
+                    bands.append(None)
+                    continue
+                place = np.arange(1, len(w) + 1, dtype=np.uint64)
+                digests.append(mix(w + place * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).tobytes() + mix(w ^ mix(place)).sum(dtype=np.uint64).tobytes())
+                s = np.unique(shingle_hashes(w, params.shingle))
+                parts.append((s & np.uint64(COARSE - 1)).astype(np.int32))
+                least = np.full(len(seeds), np.iinfo(np.uint64).max)
+                for i in range(0, len(s), 4096):
+                    least = np.minimum(least, mix(s[i : i + 4096, None] ^ seeds[None, :]).min(0))
+                h = np.arange(FAMILY_BANDS, dtype=np.uint64)
+                for row in least.reshape(FAMILY_BANDS, FAMILY_ROWS).T:
+                    h = mix(h * np.uint64(31) + row)
+                bands.append(h.view(np.int64))
+            if parts:
+                total += np.bincount(np.concatenate(parts), minlength=COARSE)
+            none = pa.nulls(b.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), none, pa.nulls(b.num_rows, pa.binary())], names)
+        step = 1 << 12
+        blocks = [(i, total[i * step : (i + 1) * step]) for i in range(COARSE // step)]
+        n = len(blocks)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array([i for i, _ in blocks], pa.int32()), pa.array([v.astype(np.uint32).tobytes() for _, v in blocks], pa.binary())], names)
+
+    names = ["id", "digest", "bytes", "bands", "block", "counts"]
+    return rows.select("id", "text").mapInArrow(work, "id long, digest binary, bytes long, bands array<long>, block int, counts binary")
+
+
+def common_shingles(docs: DataFrame, n: int, params: NearDupParams, coarse: DataFrame, families: DataFrame | None = None) -> dict[int, float]:
     """Weights of the shingles that at least a share `common` of all n distinct texts (rows of docs: id, text) hold; all others weigh the most.
 
     With families (id, component) all texts of a component count once for each shingle that any of them holds, and n is the number of families, texts of
     no component included.
 
     A shingle in a share f of texts weighs 1 - ln(max(f, common)): inverse document frequency, level below `common`. Counts are exact and over all texts:
-    a table of COARSE buckets, added up over tasks, leaves the buckets that reach the line; only shingles of those are counted one by one. No more than
-    mean length / common shingles (distinct ones of a family) can reach it, whatever the number of texts; so many go to the driver and the executors.
+    tables of COARSE buckets (coarse: block, counts; copies count there too, so no bucket is counted short), added up over tasks, leave the buckets that
+    reach the line; only shingles of those are counted one by one. No more than mean length / common shingles (distinct ones of a family) can reach it,
+    whatever the number of texts; so many go to the driver and the executors.
     """
     line = max(1, math.ceil(params.common * n))
     if n == 0:
         return {}
     k = params.shingle
 
-    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COARSE, np.int64)
-        for b in batches:
-            parts = [np.unique(_shingles(t, k)) for t in b.column(0).to_pylist()]
-            if parts:
-                total += np.bincount((np.concatenate(parts) & np.uint64(COARSE - 1)).astype(np.int64), minlength=COARSE)
-        step = 1 << 12
-        blocks = [(i, total[i * step : (i + 1) * step]) for i in range(COARSE // step)]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()), pa.array([v.astype(np.uint32).tobytes() for _, v in blocks], pa.binary())], ["block", "counts"])
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}  # as many tables as there are blocks at most, however many tasks sent theirs
         for b in batches:
@@ -81,8 +117,7 @@ def common_shingles(docs: DataFrame, n: int, params: NearDupParams, families: Da
         hot = [np.flatnonzero(t >= line) + (i << 12) for i, t in totals.items()]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hot) if hot else [], pa.int64())], ["bucket"])
 
-    few = docs.select("text").mapInArrow(coarse, "block int, counts binary")
-    hot = np.sort(few.repartition("block").mapInArrow(add, "bucket long").toPandas()["bucket"].to_numpy())
+    hot = np.sort(coarse.select("block", "counts").repartition("block").mapInArrow(add, "bucket long").toPandas()["bucket"].to_numpy())
     if not len(hot):
         return {}
     flags = np.zeros(COARSE, bool)
@@ -169,8 +204,8 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / (a[1].sum() + b[1].sum() - low))
 
 
-def _bands(docs: DataFrame, common, params: NearDupParams, lowered: bool = False) -> DataFrame:
-    """Rows (id, bytes, bands): the length and a hash for each band of each row (id, text) that has words; if lowered, of those with a common shingle only."""
+def _bands(docs: DataFrame, common, params: NearDupParams) -> DataFrame:
+    """Rows (id, bytes, bands): the length and a hash for each band of each row (id, text) that has words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Weigher(common.value, params)
@@ -178,7 +213,7 @@ def _bands(docs: DataFrame, common, params: NearDupParams, lowered: bool = False
             ids, sizes, bands = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s, w = weigh(t)
-                if not len(s) or lowered and not np.isin(s, weigh.keys).any():
+                if not len(s):
                     continue
                 x = icws(s, w, params.samples).reshape(params.bands, params.rows)
                 h = np.arange(params.bands, dtype=np.uint64)
@@ -337,8 +372,8 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     and texts that share a band are candidates. First every text is compared with the first of each of its bands; then, in bands whose texts these links
     leave in different groups, all pairs of different groups are compared, in tiles of bounded size and without a row for each pair. So each candidate
     pair is either compared or already joined by links. Links are verified by weighted Jaccard similarity on whole texts; groups are their components. Null and empty texts, and texts without words, are groups of their own.
-    With votes "families" a first pass with all weights level finds the families; shingle frequencies are then of families, and texts that hold a common
-    shingle are sampled again and all candidates compared under these weights.
+    With votes "families" a first pass by plain minimum hashes, verified with all weights level, finds the families; shingle frequencies are then of
+    families, and all texts are sampled and all candidates compared under these weights.
     Rows that repeat an id or have none are told apart and compared each by its own text; of a class one row is kept, and class_id is null only if all its
     ids are. Nothing is capped or sampled.
     """
@@ -368,39 +403,26 @@ def _classes(rows: DataFrame, params: NearDupParams) -> DataFrame:
     spark = rows.sparkSession
     bound_batches(spark)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = []
-            for t in b.column(1).to_pylist():
-                w = word_hashes(t)
-                place = np.arange(1, len(w) + 1, dtype=np.uint64)
-                d.append(None if not len(w) else (mix(w + place * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).tobytes() + mix(w ^ mix(place)).sum(dtype=np.uint64).tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d, pa.binary())], ["id", "digest"])
-
-    keyed = materialise(rows.mapInArrow(digest, "id long, digest binary"), "digests")
+    scanned = materialise(scan(rows, params), "scanned")
+    keyed, coarse = scanned.filter("block is null").select("id", "digest", "bytes", "bands"), scanned.filter("block is not null")
     first = keyed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     first = materialise(first, "firsts", light=True)
     n = first.count()
     more = keyed.filter("digest is not null").join(first, "digest").filter("id != rep").select("id", "rep").distinct()
     same = materialise(more, "same", light=True)
-    copies = same.count()
-    known = same.select("id").distinct()
-    distinct = rows.join(F.broadcast(known) if copies <= params.broadcast_rows else known, "id", "left_anti")
-
-    families = params.votes == "families"
-    weights = {} if families else common_shingles(distinct, n, params)
+    known = small(same.select("id"), params.broadcast_rows)
+    distinct = rows.join(known, "id", "left_anti")
+
+    if params.votes == "families":
+        level = spark.sparkContext.broadcast({})
+        banded = keyed.filter("digest is not null").join(known, "id", "left_anti").select("id", "bytes", "bands")
+        families = materialise(_groups(distinct, banded, level, params), "families", light=True)
+        joined, heads = families.agg(F.count("*"), F.countDistinct("component")).first()
+        weights = common_shingles(distinct, n - joined + heads, params, coarse, families)
+    else:
+        weights = common_shingles(distinct, n, params, coarse)
     common = spark.sparkContext.broadcast(weights)
-    banded = materialise(_bands(distinct, common, params), "bands")
-    final = _groups(distinct, banded, common, params)
-    if families:
-        final = materialise(final, "families", light=True)
-        joined, heads = final.agg(F.count("*"), F.countDistinct("component")).first()
-        weights = common_shingles(distinct, n - joined + heads, params, final)
-        if weights:  # else the first pass had the right weights; a text without common shingles keeps its samples
-            common = spark.sparkContext.broadcast(weights)
-            anew = materialise(_bands(distinct, common, params, lowered=True), "bands")
-            banded = banded.join(small(anew.select("id"), params.broadcast_rows), "id", "left_anti").unionAll(anew)
-            final = _groups(distinct, banded, common, params)
+    final = _groups(distinct, materialise(_bands(distinct, common, params), "bands"), common, params)
     of = same.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id")).unionAll(final.select("id", F.col("component").alias("class_id")))
     of = materialise(of.groupBy("id").agg(F.min("class_id").alias("class_id")), "classes", light=True)
     return keyed.select("id").join(small(of, params.broadcast_rows), "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))

@@ -186,7 +186,8 @@ def test_a_large_family_links_like_a_small_one(spark):
     texts = spark.createDataFrame([(i, t) for i, t in rows], "id long, text string")
     family = spark.createDataFrame([(i, 0) for i in range(30)], "id long, component long")
     shingle = lambda t: int(minhash._shingles(" ".join(t), 5)[0].view(np.int64))
-    by_text, by_family = minhash.common_shingles(texts, 100, NEAR_COPIES), minhash.common_shingles(texts, 71, NEAR_COPIES, family)
+    coarse = minhash.scan(texts, NEAR_COPIES).filter("block is not null")
+    by_text, by_family = minhash.common_shingles(texts, 100, NEAR_COPIES, coarse), minhash.common_shingles(texts, 71, NEAR_COPIES, coarse, family)
     assert by_text[shingle(base[:5])] == pytest.approx(1 - np.log(30 / 100)) and by_family[shingle(base[:5])] == pytest.approx(1 - np.log(1 / 71))
     assert by_family[shingle(passage.split()[:5])] == pytest.approx(1 - np.log(10 / 71))
     assert [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df.filter("doc_id < 160"), SF).orderBy("doc_id").collect()] == [0, *range(100, 160)]
