@@ -15,14 +15,20 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?=[\s=/]|\Z)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
+#: Comments, declarations and tags whose attributes are plainly written; other tags are read character by character.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\s+[^\s"'<>/=]+(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'=<>]+))?)*\s*/?)>|<(?=/?[A-Za-z])""", re.DOTALL)
+_TAG_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_AFTER_NAME = re.compile(r"\s*=\s*")
+_ATTRIBUTE_NAME = re.compile(r"[^\s/>=][^\s/>=]*")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>]+))?""")
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+_READ = frozenset("class id role style aria-hidden hidden".split())
 
 #: Elements that begin and end blocks of text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is never text of the page.
-DROPPED = frozenset("head script style noscript template svg math iframe object noframes canvas audio video select textarea button datalist map".split())
+DROPPED = frozenset("head script style noscript template iframe noframes select textarea datalist title".split())
 #: Of these the content is raw: markup inside doesn't count.
 RAW = frozenset("script style textarea title iframe noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,12 +52,15 @@ NAME_CUES = {
     }.items()
     for w in words.split()
 }
-#: Log odds of content for where a block stands; what is learnt from pages adds to them, within LEARNT_MOST for each of four features; many words can
-#: count for up to LENGTH_MOST, so that long prose without links can cross the cut wherever it stands, comments apart.
-PLACE_ODDS = {"article": 5.0, "": 0.0, "menu": -6.5, "header": -6.5, "footer": -6.5, "side": -6.5, "form": -6.5, "notice": -6.5, "advert": -6.5, "comment": -9.0}
-LEARNT_MOST, LENGTH_MOST = 1.25, 4.0
-#: Smoothness: adjacent blocks, and blocks with the same parent that aren't adjacent.
-ADJACENT, SIBLING = 1.0, 0.5
+#: Names that begin with one of the first words, or end in one of the second, describe an element (a page that has a sidebar, a post's tag) and announce nothing.
+DESCRIBES = frozenset("has with no without is tag category type format status single hentry".split())
+WRAPS = frozenset("body content text wrapper wrap container page layout main open closed enabled disabled".split())
+#: A part of the page with a name, or with a heading or article inside, that holds more than half of the words outside links, and this many, is a wrapper.
+WRAPPER_WORDS = 40
+#: How much a feature can say, by group: (least, most) log odds. The place is one of them; no group outweighs all others with the edges.
+BOUNDS = {"place": (-5.0, 5.0), "words": (-1.5, 1.5), "links": (-2.0, 1.0), "tag": (-0.75, 0.75), "stop": (-0.75, 0.75)}
+#: Smoothness: adjacent blocks (less if they stand far apart in the tree), and blocks with the same parent that aren't adjacent.
+ADJACENT, SIBLING = 1.5, 0.5
 
 
 @dataclass
@@ -63,49 +72,118 @@ class Block:
     path: tuple[int, ...]
 
 
-def _cue(tag: str, attributes: str, inside: str) -> str:
-    """Where an element stands, given where its parent does. Comments stay comments; a header inside the article belongs to it."""
+def _announced(name: str) -> str:
+    """What a class or id name announces: the last of its words that is a cue; "" if it only describes."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    if not words or words[0] in DESCRIBES or words[-1] in WRAPS:
+        return ""
+    return next((NAME_CUES[w] for w in reversed(words) if w in NAME_CUES), "")
+
+
+def _cue(tag: str, attributes: dict[str, str], inside: str) -> tuple[str, bool]:
+    """(where an element stands, given where its parent does; whether a name says so). Comments stay comments; a header inside the article belongs to it."""
     if inside == "comment":
-        return inside
-    own = TAG_CUES.get(tag, "")
-    if attributes.strip(" /\n\t"):
-        for key, value in _ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), value.strip("\"'")
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return "notice" if inside != "comment" else inside
-            if key == "role" and value.strip().lower() in ROLE_CUES:
-                own = ROLE_CUES[value.strip().lower()]
-            elif key in ("class", "id") and tag not in ("html", "body"):
-                for w in _NAME.findall(value):
-                    found = NAME_CUES.get(w.lower())
-                    if found and (own in ("", "article") or found == "comment"):
-                        own = found
+        return inside, False
+    own, named = TAG_CUES.get(tag, ""), False
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
+        return "notice", False
+    role = ROLE_CUES.get(attributes.get("role", "").strip().lower())
+    if role:
+        own = role
+    if tag not in ("html", "body"):
+        for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+            found = _announced(name)
+            if found and (own in ("", "article") or found == "comment"):
+                own, named = found, True
     if own == "header" and inside == "article" or not own:
-        return inside
-    if own == "article" and inside not in ("", "article") and tag not in ("article", "main"):
-        return inside  # a name alone doesn't make an article of a menu's part
-    return own
+        return inside, False
+    if own == "article" and inside not in ("", "article"):
+        return inside, False  # a teaser in a sidebar isn't the article; wrappers are told apart once the page is read
+    return own, named
+
+
+def _read_tag(page: str, at: int, unclosed: set[str]) -> tuple[str, str, dict[str, str], bool, int]:
+    """(slash, name, attributes, self-closing, end) of the tag at a place, as browsers read it: a quote opens a value only right after an equals sign.
+
+    A quote that is never closed counts as a character; unclosed remembers which ones, so that the rest of the page is looked through once.
+    """
+    m = _TAG_NAME.match(page, at)
+    i, n, found, closed = m.end(), len(page), {}, False
+    while i < n and page[i] != ">":
+        c = page[i]
+        if c == "/" or c.isspace():
+            closed = c == "/"
+            i += 1
+            continue
+        closed = False
+        name = _ATTRIBUTE_NAME.match(page, i)
+        if not name:  # an equals sign in front of a name
+            i += 1
+            continue
+        i, value = name.end(), ""
+        equals = _AFTER_NAME.match(page, i)
+        if equals:
+            i = equals.end()
+            quote = page[i : i + 1]
+            if quote in ("'", '"') and quote not in unclosed:
+                end = page.find(quote, i + 1)
+                if end < 0:
+                    unclosed.add(quote)
+                else:
+                    value, i = page[i + 1 : end], end + 1
+                    found.setdefault(name[0].lower(), value)
+                    continue
+            plain = _UNQUOTED.match(page, i)
+            value, i = plain[0], plain.end()
+        found.setdefault(name[0].lower(), value)
+    return m[1], m[2].lower(), found, closed, min(n, i + 1)
+
+
+@dataclass
+class _Part:
+    """An open element: name, cue and the part that set it, number; what it holds counts for whether it is a wrapper."""
+
+    name: str
+    cue: str
+    number: int
+    owner: _Part | None
+    above: _Part | None
+    named: bool = False
+    words: int = 0
+    titled: bool = False
+    main: bool = False
 
 
 def blocks(page: str | None) -> list[Block]:
     """The blocks of text of a page, in order; null and empty pages have none. Character references are decoded, white space becomes one blank."""
     if not page:
         return []
-    out: list[Block] = []
-    stack: list[tuple[str, str, int]] = []  # name, cue, number
+    out: list[tuple[Block, _Part | None]] = []
+    stack: list[_Part] = []
     parts: list[str] = []
-    at, number, links, linked, dropped = 0, 0, 0, 0, ""
+    unclosed: set[str] = set()
+    endless: set[str] = set()
+    at, number, links, linked, dropped, plain_words = 0, 0, 0, 0, "", 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, plain_words
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            out.append(Block(text, next((n for n, _, _ in reversed(stack) if n in BLOCKS), ""), stack[-1][1] if stack else "", linked, tuple(i for _, _, i in stack)))
+            owner = stack[-1].owner if stack else None
+            out.append((Block(text, next((e.name for e in reversed(stack) if e.name in BLOCKS), ""), owner.cue if owner else "", linked, tuple(e.number for e in stack)), owner))
+            n = round((text.count(" ") + 1) * (1 - min(1.0, linked / len(text))))
+            plain_words += n
+            part = owner
+            while part:
+                part.words, part = part.words + n, part.above
         parts.clear()
         linked = 0
 
-    def close(k: int) -> None:
-        del stack[k:]
+    def mark(name: str) -> None:
+        """Tell all parts that hold this element of a heading or an article."""
+        part = stack[-1].owner if stack else None
+        while part:
+            part.titled, part.main, part = True, part.main or name == "main", part.above
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -117,11 +195,16 @@ def blocks(page: str | None) -> list[Block]:
                 linked += len(text.strip())
         if not m:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        if m[2]:
+            at, slash, name = m.end(), m[1], m[2].lower()
+            attributes = None
+            closed = m[3].endswith("/")
+        elif m[0] == "<":
+            slash, name, attributes, closed, at = _read_tag(page, stop, unclosed)
+        else:
+            at = m.end()
             continue
-        if m[1]:
+        if slash:
             if dropped:
                 dropped = "" if name == dropped else dropped
             elif name == "a":
@@ -129,19 +212,21 @@ def blocks(page: str | None) -> list[Block]:
             elif name in BLOCKS:
                 flush()
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        close(k)
+                    if stack[k].name == name:
+                        del stack[k:]
                         break
             continue
         if dropped:
             continue
         if name in RAW or name in DROPPED:
-            end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
-            if m[3].rstrip().endswith("/") and name not in RAW:
+            if closed and name not in RAW or name in endless:
                 continue
+            end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
             if name in RAW:
                 at = end.end() if end else len(page)
-            elif end:
+            elif not end:
+                endless.add(name)
+            else:
                 body = re.compile(r"<body\b", re.IGNORECASE).search(page, at, end.start()) if name == "head" else None
                 if body:
                     at = body.start()
@@ -154,29 +239,50 @@ def blocks(page: str | None) -> list[Block]:
             parts.append("\n")
         elif name in BLOCKS:
             flush()
-            if name in ("p", "hr") or name in BLOCKS and stack and stack[-1][0] == "p":
-                while stack and stack[-1][0] == "p":
-                    close(len(stack) - 1)
+            while stack and stack[-1].name == "p":
+                stack.pop()
             if name in CLOSES:
                 same, border = (set(x.split()) for x in CLOSES[name])
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in border:
+                    if stack[k].name in border:
                         break
-                    if stack[k][0] in same:
-                        close(k)
+                    if stack[k].name in same:
+                        del stack[k:]
                         break
+            if name in ("h1", "article", "main"):
+                mark(name)
             if name not in VOID:
                 number += 1
-                stack.append((name, _cue(name, m[3], stack[-1][1] if stack else ""), number))
+                above = stack[-1].owner if stack else None
+                inside = above.cue if above else ""
+                if attributes is None:
+                    attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3] and not _READ.isdisjoint(re.findall(r"[a-z-]+", m[3].lower())) else {}
+                cue, named = _cue(name, attributes, inside)
+                own = cue != inside or named
+                part = _Part(name, cue, number, None, above, named)
+                part.owner = part if own else above
+                stack.append(part)
     flush()
-    return out
+
+    def place(part: _Part | None) -> str:
+        """The cue of the innermost part that isn't a mere wrapper."""
+        while part and part.cue != "article":
+            most = part.words >= WRAPPER_WORDS and 2 * part.words > plain_words
+            if not (part.main or part.cue != "comment" and most and (part.named or part.titled and part.cue != "header")):
+                break
+            part = part.above
+        return part.cue if part else ""
+
+    for b, owner in out:
+        b.cue = place(owner)
+    return [b for b, _ in out]
 
 
 def block_features(b: Block) -> list[str]:
-    """What is learnt of a block besides where it stands."""
+    """What the classifier sees of a block: where it stands, its tag, its length, the share of links, how it ends."""
     n = b.text.count(" ") + 1
     density = min(1.0, b.linked / max(1, len(b.text)))
-    return [f"tag-{b.tag}", f"words-{min(6, int(math.log2(n)))}", f"links-{int(density * 3)}", f"stop-{b.text[-1] in '.!?:;…”\"'}"]
+    return [f"place-{b.cue}", f"tag-{b.tag}", f"words-{min(6, int(math.log2(n)))}", f"links-{int(density * 3)}", f"stop-{b.text[-1] in '.!?:;…”\"'}"]
 
 
 @dataclass
@@ -186,18 +292,23 @@ class BlockModel:
     odds: dict[str, float] = field(default_factory=dict)
 
     def cost(self, b: Block) -> float:
-        return PLACE_ODDS.get(b.cue, 0.0) + sum(self.odds.get(f, 0.0) for f in block_features(b))
+        return sum(self.odds.get(f, 0.0) for f in block_features(b))
 
 
 #: Blocks that stand for each class before any page is seen, by feature: (content, other).
-PRIOR = {"links-0": (30, 10), "links-1": (8, 12), "links-2": (2, 20), "links-3": (2, 40), "words-0": (4, 16), "words-1": (6, 16), "words-2": (10, 14), "words-3": (20, 10), "words-4": (30, 6), "words-5": (30, 3), "words-6": (30, 2), "tag-p": (40, 10), "tag-li": (8, 24), "tag-div": (10, 16), "tag-h1": (20, 6), "tag-h2": (20, 6), "tag-h3": (16, 8), "tag-h4": (12, 8), "stop-True": (40, 12), "stop-False": (12, 40)}
+PRIOR = {
+    "place-article": (2000, 4), "place-menu": (4, 1000), "place-header": (4, 1000), "place-footer": (4, 1000), "place-side": (4, 1000), "place-form": (4, 1000), "place-notice": (4, 1000), "place-advert": (4, 1000), "place-comment": (4, 1000),
+    "links-0": (30, 10), "links-1": (8, 12), "links-2": (2, 20), "links-3": (2, 40), "words-0": (4, 16), "words-1": (6, 16), "words-2": (10, 14), "words-3": (20, 10), "words-4": (30, 6), "words-5": (30, 3), "words-6": (30, 2),
+    "tag-p": (40, 10), "tag-li": (8, 24), "tag-div": (10, 16), "tag-h1": (20, 6), "tag-h2": (20, 6), "tag-h3": (16, 8), "tag-h4": (12, 8), "stop-True": (40, 12), "stop-False": (12, 40),
+}
 
 
 def train(pages: DataFrame, max_pages: int = 2000, id_col: str = "page_id", html_col: str = "html") -> BlockModel:
     """Learn the block classifier from about max_pages pages (a documented bound; chosen by a hash of the id).
 
-    Blocks that stand in an article count as content and those in menus, footers and the like as not; features are counted on the executors, and
-    their sums, one row a feature, reach the driver.
+    Blocks that surely stand in an article count as content and those in menus, footers and the like as not; all features, the place among them, get the
+    log odds of these counts and of PRIOR's, held within BOUNDS. A block without a cue has place odds of 0 and is judged by the rest and by its neighbours.
+    Features are counted on the executors, and their sums, one row a feature, reach the driver.
     """
     bound_batches(pages.sparkSession)
     n = pages.count()
@@ -222,7 +333,46 @@ def train(pages: DataFrame, max_pages: int = 2000, id_col: str = "page_id", html
         group = total.setdefault(f.split("-")[0], [0, 0])
         group[0], group[1] = group[0] + a, group[1] + b
     odds = {f: math.log(a / total[f.split("-")[0]][0]) - math.log(b / total[f.split("-")[0]][1]) for f, (a, b) in sums.items() if a and b}
-    return BlockModel({f: max(-LEARNT_MOST, min(LENGTH_MOST if f.startswith("words-") else LEARNT_MOST, x)) for f, x in odds.items()})
+    return BlockModel({f: max(BOUNDS[f.split("-")[0]][0], min(BOUNDS[f.split("-")[0]][1], x)) for f, x in odds.items()})
+
+
+def _source_side(cost: list[float], index: dict[int, int], near: list[dict[int, float]], group: list[int]) -> list[bool]:
+    """Which nodes of a connected group are on the source's (content) side of the least cut: blocking flows over shortest paths until none is left."""
+    n, source, sink = len(group), len(group), len(group) + 1
+    room: list[dict[int, float]] = [{index[j]: w for j, w in near[i].items() if j in index} for i in group] + [{}, {}]
+    for k, c in enumerate(cost):
+        room[source][k], room[k][source] = max(0.0, c), 0.0
+        room[k][sink], room[sink][k] = max(0.0, -c), 0.0
+    while True:
+        level = {source: 0}
+        queue = deque([source])
+        while queue:
+            u = queue.popleft()
+            for v, r in room[u].items():
+                if r > 1e-12 and v not in level:
+                    level[v] = level[u] + 1
+                    queue.append(v)
+        if sink not in level:
+            return [k in level for k in range(n)]
+        left = {u: iter(list(room[u])) for u in level}
+        path = [source]
+        while path:
+            u = path[-1]
+            if u == sink:
+                flow = min(room[a][b] for a, b in zip(path, path[1:], strict=False))
+                for a, b in zip(path, path[1:], strict=False):
+                    room[a][b] -= flow
+                    room[b][a] = room[b].get(a, 0.0) + flow
+                full = next(k for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if room[a][b] <= 1e-12)
+                del path[full + 1 :]
+                left[path[-1]] = iter(list(room[path[-1]]))
+                continue
+            step = next((v for v in left[u] if room[u][v] > 1e-12 and level.get(v) == level[u] + 1), None)
+            if step is None:
+                level.pop(u)  # no way on from here in this round
+                path.pop()
+            else:
+                path.append(step)
 
 
 def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -246,46 +396,23 @@ def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[boo
                 if label[j] is None:
                     cost[j] += w if label[i] else -w
                     queue.append(j)
-    rest = [i for i in range(n) if label[i] is None]
-    if rest:
-        index = {i: k + 2 for k, i in enumerate(rest)}
-        room: list[dict[int, float]] = [{} for _ in range(len(rest) + 2)]  # 0 is the source (content), 1 the sink
-        for i in rest:
-            k = index[i]
-            room[0][k], room[k][0] = max(0.0, cost[i]), 0.0
-            room[k][1], room[1][k] = max(0.0, -cost[i]), 0.0
-            for j, w in near[i].items():
-                if j in index:
-                    room[k][index[j]] = w
-        while True:
-            back = {0: 0}
-            queue = deque([0])
-            while queue and 1 not in back:
-                u = queue.popleft()
-                for v, r in room[u].items():
-                    if r > 1e-12 and v not in back:
-                        back[v] = u
-                        queue.append(v)
-            if 1 not in back:
-                break
-            path, v = [], 1
-            while v:
-                path.append((back[v], v))
-                v = back[v]
-            flow = min(room[u][v] for u, v in path)
-            for u, v in path:
-                room[u][v] -= flow
-                room[v][u] += flow
-        for i in rest:
-            label[i] = index[i] in back
+    for first in range(n):
+        if label[first] is None:  # the unsettled nodes that hang together with this one
+            group, seen = [first], {first}
+            for i in group:
+                for j in near[i]:
+                    if label[j] is None and j not in seen:
+                        seen.add(j)
+                        group.append(j)
+            inside = _source_side([cost[i] for i in group], {i: k for k, i in enumerate(group)}, near, group)
+            for k, i in enumerate(group):
+                label[i] = inside[k]
     return [bool(x) for x in label]
 
 
-def main_text(page: str | None, model: BlockModel) -> str:
-    """The main text of a page: the blocks on the content side of the minimum cut, in order, joined by an empty line; "" if there are none."""
+def judged(page: str | None, model: BlockModel) -> tuple[list[Block], list[float], list[bool]]:
+    """The blocks of a page, their own costs (positive: content), and their labels by the minimum cut."""
     found = blocks(page)
-    if not found:
-        return ""
     unary = [model.cost(b) for b in found]
     edges, last = [], {}
     for i, b in enumerate(found):
@@ -300,20 +427,31 @@ def main_text(page: str | None, model: BlockModel) -> str:
         if parent in last and last[parent] != i - 1:
             edges.append((last[parent], i, SIBLING))
         last[parent] = i
-    return "\n\n".join(b.text for b, keep in zip(found, min_cut(unary, edges), strict=True) if keep)
+    return found, unary, min_cut(unary, edges) if found else []
+
+
+def main_text(page: str | None, model: BlockModel) -> tuple[str, int]:
+    """(the main text of a page: the blocks on the content side of the minimum cut, in order, joined by an empty line; how many blocks the cut moved)."""
+    found, unary, label = judged(page, model)
+    return "\n\n".join(b.text for b, keep in zip(found, label, strict=True) if keep), sum((u >= 0) != keep for u, keep in zip(unary, label, strict=True))
 
 
 def extract(pages: DataFrame, model: BlockModel, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """Rows (id, *keep, text, n_chars), one for each row of pages, from the whole html. Null and empty pages have the text "". n_chars counts code points."""
+    """Rows (id, *keep, text, n_chars, n_moved), one for each row of pages, from the whole html. Null and empty pages have the text "".
+
+    n_chars counts code points; n_moved the blocks whose label is another by the cut than by their own cost. Rows that repeat, or repeat an id, keep a row
+    each; an empty table gives an empty one; columns that keep doesn't name are left behind, whatever their names. Time grows with a page's length,
+    whatever its markup: a quote that is never closed, or an element without an end, is looked for once.
+    """
     bound_batches(pages.sparkSession)
     shipped = pages.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py(), shipped.value) for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*b.schema.names[:-1], "text", "n_chars"])
+            got = [main_text(x.as_py(), shipped.value) for x in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int64())], [*b.schema.names[:-1], "text", "n_chars", "n_moved"])
 
     slim = pages.select(pages[id_col].alias("k0"), *(pages[c].alias(f"k{i + 1}") for i, c in enumerate(keep)), pages[html_col].alias("html"))
     schema = ", ".join(f"{c} {t}" for c, t in slim.dtypes[:-1])
-    out = slim.mapInArrow(work, f"{schema}, text string, n_chars long")
-    return out.select(F.col("k0").alias(id_col), *(F.col(f"k{i + 1}").alias(c) for i, c in enumerate(keep)), "text", "n_chars")
+    out = slim.mapInArrow(work, f"{schema}, text string, n_chars long, n_moved long")
+    return out.select(F.col("k0").alias(id_col), *(F.col(f"k{i + 1}").alias(c) for i, c in enumerate(keep)), "text", "n_chars", "n_moved")
