@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. run() writes each stage's documents as Parquet in the shared
 folder and reads them again as the next one's, so that a lost executor never costs more than one stage.
+
+In every stage null and empty texts are documents without words, rows that repeat (or repeat an id, or have none) are judged each by its own text, further
+columns pass through whatever their names, and empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -27,6 +30,13 @@ def _unpacked(df: DataFrame, docs: DataFrame, **new) -> list:
     return [new[c].alias(c) if c in new else df[c] if c in ("doc_id", "text") else df["rest_"][c].alias(c) for c in docs.columns]
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, with mix_ in front as often as it takes to be no column of docs."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"mix_{name}"
+    return name
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the line."""
     model = quality.train(docs, _read(spark, sf_dir, "labels"), _fold(5, "i") != 0)
@@ -54,7 +64,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document that the mix of sources takes; copy counts from 1."""
     mixed = mixing.mix_sources(_packed(docs, "source"), keep=("text", "rest_")).filter("copies > 0")
-    return mixed.select(*_unpacked(mixed, docs), F.explode(F.sequence(F.lit(1), "copies")).alias("copy" if "copy" not in docs.columns else "mix_copy"))
+    return mixed.select(*_unpacked(mixed, docs), F.explode(F.sequence(F.lit(1), "copies")).alias(_free("copy", docs)))
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("personal_data", personal_data_stage), ("source_mix", mixing_stage)]

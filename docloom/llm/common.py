@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder where that is unset.
+
+    Without either, a local session (tests) gets a temporary one; on a cluster there is none that all machines see, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -16,6 +16,8 @@ from .common import bound_batches
 
 #: Symbols are bytes reduced to 6 bits: 0 stands for all that isn't a letter (runs count once), 1-26 for a-z, the rest for the commonest other bytes.
 BITS, SYMBOLS = 6, 64
+#: Code lengths (of 4 bytes) that a model holds at most over all languages: with very many languages it keeps fewer contexts, so that its broadcast is bounded.
+MOST_BITS = 64_000_000
 #: Characters of the pieces that the fit draws from a language with more text than it counts.
 PIECE = 4096
 _LETTER = re.compile(r"[^\W\d_]")
@@ -156,7 +158,9 @@ def train(docs: DataFrame, learn: Column, order: int = 4, sample_bytes: int = 1_
 
     At most about sample_bytes of UTF-8 text per language are counted (a documented bound of the fit, nothing else): of a language with more, the pieces
     of PIECE characters whose hash lies below the share that fits, and at least the piece with the least hash, so that no language is missed and a long
-    text is neither taken nor left as a whole. Contexts are counted on the executors; their sums, bounded by the sample, reach the driver.
+    text is neither taken nor left as a whole. Contexts are counted on the executors; their sums, bounded by the sample, reach the driver; symbols seen once
+    after a context of three or more are left out. Code lengths are exact for the reduced symbols; what a symbol stands for (which mark, which rare byte) would
+    cost every language the same and is left out of all.
     """
     bound_batches(docs.sparkSession)
     rows = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("fit")).alias("h"))
@@ -195,14 +199,15 @@ def train(docs: DataFrame, learn: Column, order: int = 4, sample_bytes: int = 1_
     counts = sample.mapInArrow(count, "lang string, depth int, context long, symbol int, n long").groupBy("lang", "depth", "context", "symbol").agg(F.sum("n").alias("n")).filter("n > 1 or depth < 3").toPandas()
     missing = set(sizes) - set(counts["lang"])
     assert not missing, f"no text drawn of {sorted(missing)}"
-    return build(counts, table, order, max_nodes)
+    return build(counts, table, order, min(max_nodes, MOST_BITS // (len(sizes) * SYMBOLS)))
 
 
 def identify(docs: DataFrame, model: Ppm | None, id_col: str = "doc_id", text_col: str = "text", unknown: str = "und") -> DataFrame:
     """Rows (id, lang_pred, score), one for each row of docs, from whole texts.
 
     score is the posterior of the language under equal priors, 2^-length normalised. A null text, a text without a letter, or no model gives
-    (unknown, 0). Ties go to the first language by code point.
+    (unknown, 0). Ties go to the first language by code point. Rows that repeat, or repeat an id, keep a row each; an empty table gives an empty one; further
+    columns are left behind, whatever their names.
     """
     bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,9 +29,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
     weighed = per.withColumn("w", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights)).cast("int") + 1)).withColumn("full", F.lit(float(cap)) * F.col("source_size"))
     order = Window.orderBy(F.col("full") / F.col("w"), F.col("source").isNull(), F.col("source"))
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / F.sum("w").over(after)
+    left = F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))  # of this source and those after it, without a frame that is summed anew for each
+    level = (F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / left
     filled = weighed.withColumn("level", level).withColumn("open", F.col("level") * F.col("w") < F.col("full"))
     # the first source that doesn't fill up sets the level of all that follow
     final = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -42,12 +44,13 @@ def _rate(tilt: Column, x: Column, cap: float) -> Column:
     return F.lit(cap) / (F.lit(1.0) + F.lit(cap - 1.0) * F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), tilt * x))))
 
 
-def balance(sizes: DataFrame, targets: DataFrame, cap: float, rounds: int = 25, tolerance: float = 1e-9) -> DataFrame:
+def balance(sizes: DataFrame, targets: DataFrame, cap: float, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
     """Rows (source, tilt): the dual variable of each source's token constraint.
 
     The rates nearest to one copy each in (bounded) relative entropy whose tokens add up to the target are exponential tilts in the document's size.
     The dual is convex with one variable a source. Newton steps run on all sources at once, each step one aggregate over the histogram of sizes;
-    a bracket keeps steps that overshoot (then the middle is taken). A source whose target is its cap has tilt +inf, one with target 0 -inf.
+    a bracket keeps steps that overshoot (then the middle is taken). A source whose target is its cap has tilt +inf, one with target 0 -inf. Sources that
+    haven't settled after all rounds are reported as a warning; the rounding that follows still brings their words to the target.
     """
     histogram = sizes.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
     unit = targets.select("source", "source_size", "target")
@@ -75,6 +78,8 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float, rounds: int = 25,
         )
         if not state.filter("not done").head(1):
             break
+    else:
+        warnings.warn(f"entropy balancing: sources unsettled after {rounds} rounds", stacklevel=2)
     return state.select("source", F.coalesce("fixed", "tilt").alias("tilt"), "unit")
 
 

@@ -191,9 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 400
 
 
 def score_quality(docs: DataFrame, model: NbSvm | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """Rows (id, *keep, score[, text]), one for each row of docs, from whole texts. Null and empty texts get the score of no features; without a model all get 1.
+    """Rows (id, *keep, score[, text]), one for each row of docs, from whole texts. Null and empty texts get the score of no features.
 
-    The model is a fixed number of weights (PLACES) and goes to the executors as a broadcast.
+    Without a model (labels of one class or none) all get 1: what nothing was learnt of isn't rejected. Rows that repeat, or repeat an id, keep a row each; an
+    empty table gives an empty one; columns that keep doesn't name are left behind, whatever their names. The model is a fixed number of weights (PLACES) and goes to the executors as a broadcast.
     """
     bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model and NbSvm(model.weights.astype(np.float32), model.bias, model.slope, model.offset))
