@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import bound_batches
+from .common import bound_batches, materialise
 
+#: A digest that more rows share than HOT_LEAST and than the rows' number over HOT_SHARE is joined by broadcast.
+HOT_LEAST, HOT_SHARE = 500, 20_000
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
 _PIECES = re.compile(r"[^ \t\n\r]+")
 _LOADED: dict[str, object] = {}
@@ -98,10 +100,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
 
     The digest is of the content (null: empty) and joins, with the tokenizer's version, to the stored counts. Only distinct texts that the cache lacks
     are encoded, whole, and appended to it: texts are reduced to one per digest before they are shuffled, so that a third of all rows with the same
-    text costs one row per task. Repeated ids keep a row each; an empty table encodes nothing.
+    text costs one row per task. Counts come back to the rows by digest; the few digests that many rows share (a share of 1 / HOT_SHARE at least, so no more
+    than HOT_SHARE of them) are broadcast instead. Repeated ids keep a row each; an empty table encodes nothing; further columns are left behind.
     """
     bound_batches(docs.sparkSession)
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
+    if not any(os.path.basename(f) == os.path.basename(tokenizer_path) for f in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(tokenizer_path)  # for executors that don't have the path
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.sha2(F.col("text"), 256))
     cache = lambda: read_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     missing = keyed.select("digest", "text").join(cache().select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
@@ -116,5 +121,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(part), pa.string()), digests.slice(i, 500), n], ["tokenizer", "digest", "n_tokens"])
 
     missing.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    sized = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sized.join(cache(), "digest").select(F.col("id").alias(id_col), "digest", "n_bytes", "n_tokens")
+    sized = materialise(keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "sized")
+    shared = materialise(sized.groupBy("digest").agg(F.count("*").alias("rows")).filter(F.col("rows") > max(HOT_LEAST, sized.count() // HOT_SHARE)).select("digest"), "shared", light=True)
+    hot = F.broadcast(cache().join(F.broadcast(shared), "digest", "left_semi"))
+    counted = sized.join(F.broadcast(shared), "digest", "left_anti").join(cache(), "digest").unionByName(sized.join(hot, "digest").select("digest", "id", "n_bytes", "n_tokens"))
+    return counted.select(F.col("id").alias(id_col), "digest", "n_bytes", "n_tokens")
