@@ -42,8 +42,10 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def hit_windows(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Rows (doc, tag, item, at, n): n words of a document from position at (1 is the first) are a window of an item, for all such places.
+def hit_windows(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """(hits, sets): rows (doc, tag, set, at, n) for all places where n words of a document from position at (1 is the first) are a window of items, and
+    rows (set, items) with the sorted item ids, as strings, of each set. Windows with the same items share a set, so a window that many items and many
+    documents have never makes a row for each pair of them. Windows are compared by 64-bit hashes of their words' 64-bit hashes.
 
     docs has doc, tag and text; bench has item and text. Fingerprints of both sides are joined; the documents that share one, and only these, are then
     compared window by window, which extends each hit to all that it is part of. Items of fewer words than a window are one window: documents are
@@ -66,8 +68,11 @@ def hit_windows(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: i
     every = hits[0]
     for h in hits[1:]:
         every = every.unionAll(h)
-    # one row per place; the items come in by hash
-    return materialise(every.distinct(), "hits").join(_small(windows.select("item", "w", F.col("n").alias("k")), n_windows), ["w"]).filter("k = n").select("doc", "tag", "item", "at", "n")
+    # one row per place; the items come in by hash, as sets
+    named = windows.groupBy("w", F.col("n").alias("k")).agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    named = materialise(named.withColumn("set", F.sha2(F.to_json("items"), 256)), "sets")
+    places = materialise(every.distinct(), "hits").join(_small(named.select("w", "k", "set"), n_windows), "w").filter("k = n").select("doc", "tag", "set", "at", "n")
+    return places, named.select("set", "items").dropDuplicates(["set"])
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -75,18 +80,22 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
     n_hit counts the words inside any occurrence of an item's window; n_items the items with such a window; items_sha256 is of their ids, sorted as
     strings and comma-joined. contaminated: n_hit > 0 and at least a twentieth of the words. Null and empty texts have no words; rows that repeat an id,
-    or have none, are told apart by a hash of their text; empty tables give no hits.
+    or have none, are told apart by a hash of their text; empty tables give no hits; columns that keep doesn't name are left behind, whatever their names.
     """
     tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     # ids as strings that are never null, so that a null id meets its hits
     key = F.coalesce(F.concat(F.lit("="), docs[id_col].cast("string")), F.lit(""))
     own = docs.select(key.alias("doc"), tag.alias("tag"), docs[text_col].alias("text"))
-    hits = hit_windows(own, bench.select(bench[item_id_col].alias("item"), bench[item_text_col].alias("text")))
+    hits, sets = hit_windows(own, bench.select(bench[item_id_col].alias("item"), bench[item_text_col].alias("text")))
     hits = materialise(hits, "hits")
     spans = hits.select("doc", "tag", "at", (F.col("at") + F.col("n")).alias("stop")).groupBy("doc", "tag", "at").agg(F.max("stop").alias("stop"))
     before = F.max("stop").over(Window.partitionBy("doc", "tag").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     covered = spans.withColumn("reached", F.coalesce(before, F.lit(0))).groupBy("doc", "tag").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("at", "reached"))).cast("long").alias("n_hit"))
-    named = hits.select("doc", "tag", F.col("item").cast("string").alias("item")).distinct().groupBy("doc", "tag").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    # documents that hit the same sets share the union of their items, which is taken once
+    met = materialise(hits.groupBy("doc", "tag").agg(F.array_sort(F.collect_set("set")).alias("met")).withColumn("union", F.sha2(F.array_join("met", ","), 256)), "met")
+    unions = met.select("union", "met").dropDuplicates(["union"]).select("union", F.explode("met").alias("set")).join(sets, "set").select("union", F.explode("items").alias("item")).distinct()
+    unions = unions.groupBy("union").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    named = met.select("doc", "tag", "union").join(unions, "union").drop("union")
     found = materialise(covered.join(named, ["doc", "tag"]), "found")
     base = docs.select(*(docs[c].alias(f"kept_{i}") for i, c in enumerate(keep)), docs[id_col].alias("own_id"), key.alias("doc"), tag.alias("tag"), F.size(words_of(docs[text_col])).cast("long").alias("n_words"))
     out = base.join(_small(found, found.count()), ["doc", "tag"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
