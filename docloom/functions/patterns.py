@@ -137,3 +137,14 @@ CONTRACT = (
     ("invoice_total", "cost", "string", False, False), ("covered_amount", "cost", "string", False, False), ("non_covered_amount", "cost", "string", False, False), ("line_item", "cost", "string", True, False),
     ("notes", "metadata", "string", False, False), ("language", "metadata", "string", False, False),
 )
+
+#: What a text must hold for any rule above to find something in it: one of these words, folded, or one of these patterns. A text without is never split.
+HINT_WORDS = (
+    "paciente", "nombre", "patient", "animal", "mascota", "especie", "raza", "species", "breed", "sex", "edad", "age", "peso", "weight", "vitales", "chip", "transponder", "identificaci", "nhc", "historia",
+    "clinica", "clínica", "centro", "centr0", "hospital", "direcci", "domicilio", "dir.", "veterinari", "propietari", "tutor", "titular", "dueñ", "owner", "cliente", "capa", "color", "pelo", "repro", "esteriliz", "castrad", "fertil", "fértil", "motivo", "reason",
+    "macho", "male", "hembra", "canin", "felin", "perro", "perra", "gato", "gata", "nac", "birth", "calle", "c/", "avda", "avd.", "avenida", "plaza", "pza", "paseo", "camino", "carretera", "ctra",
+    *(w for _, words in CLINICAL_LABELS + CLINICAL_WORDS for w in words if len(w) > 3), "cada", "cura", "mg", "sut",
+)
+HINT_PATTERN = r"[0-9](?:[/\-.][0-9]|\s*k?gs?\b)|p\.\s*[:\-]?\s*[0-9]|dra?\.?\s*[:\-]|\bn(?:[º°�]|ro)?\.?\s*[:\-]|(?m)^\s*(?:vet|dra?|dr/a|doctora?|h\.?\s*v|dir)\b"
+#: These count only in a text with a colon or a hyphen.
+HINT_LABELS = ("lab", "tac", "rm")

@@ -6,6 +6,9 @@ first accepted of equal values wins. Documents are exploded into lines once; con
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from docloom.functions.scores import FALLBACK_CONFIDENCE, LABEL_CONFIDENCE, kept
 from docloom.functions.text import fold, last_index, lines, matches, squeeze, strip
 from docloom.operators import people_places
 from docloom.operators.keyed import first_of, top
+from docloom.sources.scratch import spread, written
 
 COLUMNS = ("document_id", "key", "seq", "value", "snippet", "confidence", "anchor", "priority", "reason")
 
@@ -25,8 +29,9 @@ def _candidates(df: DataFrame, rank: int, key: Column | str, place: Column, valu
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """Array of (value, snippet) of a pattern's matches."""
-    return F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v, s: F.struct(v.alias("value"), s.alias("snippet")))
+    """Array of (value, snippet) of a pattern's matches. Most texts have none: they are looked through once, not once for each group."""
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v, s: F.struct(v.alias("value"), s.alias("snippet")))
+    return F.when(text.rlike(pattern), pairs).otherwise(F.array().cast("array<struct<value:string,snippet:string>>"))
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -144,8 +149,24 @@ def accepted(c: DataFrame) -> DataFrame:
     return c.withColumn("value", shaped).filter("value is not null").withColumn("confidence", kept_confidence(F.col("confidence")))
 
 
+def hinted(docs: DataFrame) -> DataFrame:
+    """Documents that hold a word or pattern without which no extractor finds anything: one look at each text before it is split and matched."""
+
+    def found(low: Column) -> Column:
+        holds = lambda words: reduce(or_, (F.contains(low, F.lit(w)) for w in words))
+        return holds(sorted(set(P.HINT_WORDS))) | low.rlike(P.HINT_PATTERN) | (holds(":-") & holds(P.HINT_LABELS))
+
+    # as an array's only element the folded text is made once, not once for each word
+    return docs.filter(F.exists(F.array(fold(F.coalesce("text", F.lit("")))), found))
+
+
 def mine(docs: DataFrame) -> DataFrame:
     """All candidates of documents (document_id, text) with offset, after acceptance; of equal folded values of a key the first."""
+    # looked through once and written: each extractor reads the few documents that are left
+    spark, limit = docs.sparkSession, "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(limit, "65535")) > 8000:
+        spark.conf.set(limit, "8000")  # longer generated methods aren't compiled by the JVM but interpreted
+    docs = written(hinted(spread(docs.select("document_id", "text"))).repartition("document_id"), "hinted")
     every = labelled(docs).unionByName(from_lines(docs)).unionByName(plain_dates(docs)).unionByName(dates(docs))
     every = every.unionByName(windowed(docs, 5, "microchip_id", P.CHIP_WINDOW, digits_of_chip(F.col("v")), LABEL_CONFIDENCE)).unionByName(windowed(docs, 7, "clinical_record_number", P.RECORD_WINDOW, F.trim("v"), LABEL_CONFIDENCE)).unionByName(windowed(docs, 8, "microchip_id", P.CHIP_OCR_WINDOW, digits_of_chip(F.col("v")), FALLBACK_CONFIDENCE))
     places = people_places.extract(docs)

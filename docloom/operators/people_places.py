@@ -89,6 +89,7 @@ def extract(docs: DataFrame) -> DataFrame:
         return F.when(line.rlike(pattern) & first.isNotNull(), _parts(first, F.when(~label("l2") & F.coalesce(F.col("l2").rlike(P.POSTAL_HINT), F.lit(False)), clean("l2"))))
 
     out.append(_entry("owner_address", 16, no * 10, labelled(P.OWNER_ADDRESS_LINE, 1), F.col("block3"), LABEL_CONFIDENCE))
+    placed = line.rlike(P.CLINIC_ADDRESS_LINE)  # looked at first: few lines are, and the contexts are long
     said = fold(F.regexp_extract("line", P.CLINIC_ADDRESS_LINE, 1))
     explicit = said.rlike("cl[ií]nica")
     context = F.concat_ws(" ", "past5", "next5")
@@ -96,10 +97,10 @@ def extract(docs: DataFrame) -> DataFrame:
     generic = line.rlike(P.GENERIC_ADDRESS_LINE) & ~explicit
     address = labelled(P.CLINIC_ADDRESS_LINE, 2)
     owned = F.coalesce(F.col("past2"), F.lit("")).rlike(P.OWNER_CONTEXT)  # two lines above a general label
-    out.append(_entry("clinic_address", 16, no * 10 + 1, F.when(explicit, address), F.col("block3"), LABEL_CONFIDENCE))
-    out.append(_entry("owner_address", 16, no * 10 + 1, F.when(~explicit & owners & ~clinics & generic, address), F.col("block3"), LABEL_CONFIDENCE))
-    out.append(_entry("clinic_address", 16, no * 10 + 2, F.when(~explicit & ~owned & clinics & ~owners & generic, address), F.col("block3"), LABEL_CONFIDENCE))
-    out.append(_entry("clinic_address", 16, no * 10 + 3, F.when(~explicit & ~owned & ~(generic & (owners != clinics)), address), F.col("block3"), FALLBACK_CONFIDENCE))
+    out.append(_entry("clinic_address", 16, no * 10 + 1, F.when(placed & explicit, address), F.col("block3"), LABEL_CONFIDENCE))
+    out.append(_entry("owner_address", 16, no * 10 + 1, F.when(placed & ~explicit & owners & ~clinics & generic, address), F.col("block3"), LABEL_CONFIDENCE))
+    out.append(_entry("clinic_address", 16, no * 10 + 2, F.when(placed & ~explicit & ~owned & clinics & ~owners & generic, address), F.col("block3"), LABEL_CONFIDENCE))
+    out.append(_entry("clinic_address", 16, no * 10 + 3, F.when(placed & ~explicit & ~owned & ~(generic & (owners != clinics)), address), F.col("block3"), FALLBACK_CONFIDENCE))
     # an address right below a clinic's line
     above = F.coalesce("p1", F.lit(""))
     out.append(_entry("clinic_address", 17, no * 10, F.when(line.rlike(P.STREET_START) & line.rlike(r"\d") & ~F.contains("line", F.lit(":")) & above.rlike(P.CLINIC_CONTEXT) & ~above.rlike(P.OWNER_CONTEXT), clean("line")), F.col("around11"), FALLBACK_CONFIDENCE))

@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import SPACE, count, squeeze
+from docloom.functions.text import SPACE, chars, squeeze
+from docloom.sources.scratch import spread
 
 # fixed values: limits, penalties and reasons
 PASS, LEAST_LENGTH, LEAST_WORDS = 0.60, 20, 3
 PRINTABLE, LETTERS, STRANGE = 0.9, 0.35, 0.15
 SUSPICIOUS = ("dratamiento", "draquea", "diene")
 MARKS = r""".,;:!?()\[\]{}'"\-_/\\%&+*#@"""
-VOWELS = "[aeiouáéíóúüAEIOUÁÉÍÓÚÜ]"
+VOWELS = "aeiouáéíóúüAEIOUÁÉÍÓÚÜ"
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, score, quality_pass, reasons): reasons comma-joined in the order of the rules. Null texts are too short."""
+def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, *keep, score, quality_pass, reasons): reasons comma-joined in the order of the rules. Null texts are too short.
+
+    Single characters are counted by what is left without them, words by a mark put in their place: no array of matches is built.
+    """
     x = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col), x.alias("x"), squeeze(x).alias("n"))
-    d = d.withColumn("w", F.concat(F.lit(" "), F.regexp_replace("n", r"[^\p{L}\p{N}_]+", "  "), F.lit(" ")))
-    n, w, size = F.col("n"), F.col("w"), F.length("n")
-    letters, alnum = count(n, r"\p{L}"), count(n, r"[\p{L}\p{N}]")
-    counted = d.withColumns({
-        "size": size, "letters": letters, "blank": count(n, " "), "alnum": alnum, "hidden": count(n, r"\p{C}"), "strange": count(n, rf"[^\p{{L}}\p{{N}} {MARKS}]"), "words": count(n, "[A-Za-zÀ-ÿ]{3,}"),
-        "vowels": count(n, VOWELS), "capitals": count(n, r"\p{Lu}"), "spaces": count(F.col("x"), SPACE), "breaks": count(F.col("x"), "\n"), "tokens": count(w, r"[\p{N}_]*\p{L}[\p{L}\p{N}_]*"),
-        "long": count(w, r"[\p{L}\p{N}_]{12,}") - count(w, r" [\p{N}_]{12,} "), "single": count(w, r" \p{L} "), "suspect": F.lower(n).rlike("|".join(SUSPICIOUS)),
+    d = spread(docs.select(F.col(id_col), *keep, x.alias("x"))).withColumn("n", squeeze(F.col("x")))
+    n, size = F.col("n"), F.length("n")
+    words = d.withColumn("w", F.concat(F.lit(" "), F.regexp_replace("n", r"[^\p{L}\p{N}_]+", "  "), F.lit(" ")))
+    w = F.col("w")
+    marked = lambda s, pattern: F.length(F.regexp_replace(s, pattern, "\x00")) - F.length(F.regexp_replace(s, pattern, ""))
+    counted = words.withColumns({
+        "size": size, "letters": chars(n, r"\p{L}"), "blank": size - F.length(F.replace(n, F.lit(" "), F.lit(""))), "alnum": chars(n, r"\p{L}\p{N}"), "hidden": chars(n, r"\p{C}"), "strange": chars(n, rf"^\p{{L}}\p{{N}} {MARKS}"), "words": marked(n, "[A-Za-zÀ-ÿ]{3,}"),
+        "vowels": size - F.length(F.translate(n, VOWELS, "")), "capitals": chars(n, r"\p{Lu}"), "spaces": chars(F.col("x"), SPACE[1:-1]), "breaks": F.length("x") - F.length(F.replace(F.col("x"), F.lit("\n"), F.lit(""))), "tokens": marked(w, r"[\p{N}_]*\p{L}[\p{L}\p{N}_]*"),
+        "long": marked(w, r"[\p{L}\p{N}_]{12,}") - marked(w, r" [\p{N}_]{12,} "), "single": marked(w, r" \p{L} "), "suspect": F.lower(n).rlike("|".join(SUSPICIOUS)),
     })
     c = F.col
     early = (
@@ -48,5 +53,5 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     for when, penalty, _ in rules:
         score = score - F.when(when, F.lit(penalty)).otherwise(F.lit(0.0))
     reasons = F.concat_ws(",", *(F.when(when, reason) for when, _, reason in rules))
-    out = counted.select(id_col, early.alias("early"), score.alias("score"), reasons.alias("reasons"), "suspect")
-    return out.select(id_col, F.when(c("early").isNull(), c("score")).otherwise(F.lit(0.0)).alias("score"), (c("early").isNull() & (c("score") >= PASS) & ~c("suspect")).alias("quality_pass"), F.coalesce("early", "reasons").alias("reasons"))
+    out = counted.select(id_col, *keep, early.alias("early"), score.alias("score"), reasons.alias("reasons"), "suspect")
+    return out.select(id_col, *keep, F.when(c("early").isNull(), c("score")).otherwise(F.lit(0.0)).alias("score"), (c("early").isNull() & (c("score") >= PASS) & ~c("suspect")).alias("quality_pass"), F.coalesce("early", "reasons").alias("reasons"))

@@ -66,7 +66,7 @@ def quality_gate_docs(spark, d):
 @query(_GATE + "SELECT lang, count(*) AS n, count(*) FILTER (quality_pass) AS passed, round(avg(score), 4) AS mean_score, max(l.quality) AS best_label FROM gate LEFT JOIN labels l USING (doc_id) GROUP BY lang")
 def quality_report(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", "quality")
-    joined = quality_gate.assess(docs).join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id", "left")
+    joined = quality_gate.assess(docs, keep=("lang",)).join(labels, "doc_id", "left")
     return joined.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("quality_pass").alias("passed"), F.round(F.avg("score"), 4).alias("mean_score"), F.max("quality").alias("best_label"))
 
 
