@@ -77,12 +77,47 @@ def species(x: Column) -> Column:
     return out
 
 
+def title(x: Column) -> Column:
+    """Every run of letters with a capital first and small letters after it: O'Neil, Ana-Maria."""
+    words = F.regexp_extract_all(x, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), "")
+
+
+def species_and_breed(species: Column, breed: Column, evidence: Column) -> Column:
+    """struct(species, breed) of a pair, mended from its own values and then from snippets (an array): the first word of a species names a missing one, and
+    what is left of that source is the breed if there is none, or if the source was the species itself. A breed loses labels and words of species."""
+    tokens = [w for _, found in SPECIES for w in found]
+    bare = lambda x: squeeze(F.regexp_replace(F.regexp_replace(x, rf"(?iU)\b(?:{'|'.join(tokens)})\b", " "), r"[\-_/|]+", " "))
+    both = F.transform(evidence, lambda e: F.coalesce(F.nullif(squeeze(F.regexp_extract(squeeze(e), r"(?i)(?:especie\s*/\s*raza|raza\s*/\s*especie)\s*[:\-]\s*([^\n;]{2,120})", 1)), F.lit("")), squeeze(e)))
+    sources = F.filter(F.concat(F.array(species, breed), F.coalesce(both, F.array().cast("array<string>"))), lambda x: x.isNotNull())
+
+    def named(x: Column) -> Column:
+        low, out = fold(x), F.lit(None).cast("string")
+        for name, found in reversed(SPECIES):
+            out = F.when(low.rlike(rf"(?U)\b(?:{'|'.join(found)})\b"), name).otherwise(out)
+        return out
+
+    def step(s: Column, x: Column) -> Column:
+        have = F.coalesce(F.nullif(s["species"], F.lit("")), named(x))
+        rest = F.nullif(bare(x), F.lit(""))
+        take = named(x).isNotNull() & rest.isNotNull() & (F.coalesce(s["breed"], F.lit("")).eqNullSafe(F.lit("")) | (x == have))
+        return F.struct(F.when(named(x).isNotNull(), have).otherwise(s["species"]).alias("species"), F.when(take, rest).otherwise(s["breed"]).alias("breed"))
+
+    pair = F.aggregate(sources, F.struct(species.alias("species"), breed.alias("breed")), step)
+
+    def shown(p: Column) -> Column:
+        clean = F.nullif(bare(F.coalesce(unlabelled(p["breed"], ("raza", "breed")), F.lit(""))), F.lit(""))
+        return F.struct(p["species"].alias("species"), F.array_join(F.transform(F.split(clean, " "), lambda w: F.when(w == F.lower(w), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))).otherwise(w)), " ").alias("breed"))
+
+    return F.transform(F.array(pair), shown)[0]
+
+
 def pet_name(x: Column) -> Column:
     """A name in title case without birth notes and labels; null for numbers and other fields' labels."""
     out = strip(F.regexp_replace(squeeze(x), r"(?iU)\s*[-–—]?\s*\b(?:f\.?\s*nac|fecha\s+(?:de\s+)?nac|nacimiento|nac\.?|dob|birth).*$", ""), EDGES)
     out = squeeze(F.regexp_replace(out, r"(?iU)^(?:paciente|nombre(?:\s+del\s+(?:paciente|animal))?|patient|animal|mascota)\s*[:\-|]\s*", ""))
     bad = out.rlike(r"^[\d\s]+$") | out.rlike(r"(?iU)^(?:especie|raza|sexo|chip|microchip|fecha|edad|peso|propietari[oa])\b\s*[:\-]")
-    return F.when((out != "") & ~bad, F.initcap(out))
+    return F.when((out != "") & ~bad, title(out))
 
 
 def age_years(born: Column, on: Column) -> Column:

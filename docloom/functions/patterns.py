@@ -127,6 +127,12 @@ VISIT_DAY_LINE = r"(?iu)\bd[ií]a\s+\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b"
 VISIT_BOUNDARY = r"(?iu)visita\s+(?:consulta\s+general|administrativa)\s+del\s+d[ií]a"
 NOT_VISIT = r"(?iu)\b(?:nacimiento|dob|microchip|chip|factura|invoice|emisi[oó]n|documento|dni|nif|pasaporte|id\b|identificaci[oó]n|lote|referencia|presupuesto|an[aá]lisis|laboratorio|orina|coprol[oó]gico|documentos?\s+pdf)\b"
 
+#: Keys that every visit has, and keys of fields that belong to visits.
+VISIT_META = ("visit_date", "admission_date", "discharge_date", "reason_for_visit")
+VISIT_KEYS = ("observations", "actions", "symptoms", "diagnosis", "procedure", "medication", "treatment_plan", "allergies", "vaccinations", "lab_result", "imaging", "weight")
+#: A folded text with one of these words is in Spanish.
+SPANISH_HINTS = ("paciente", "diagnost", "tratamiento")
+
 #: The canonical record: (key, section, type, repeatable, critical) in order.
 CONTRACT = (
     ("claim_id", "case", "string", False, False), ("clinic_name", "case", "string", False, False), ("clinic_address", "case", "string", False, False), ("vet_name", "case", "string", False, False), ("document_date", "case", "date", False, False),
@@ -143,6 +149,7 @@ HINT_WORDS = (
     "paciente", "nombre", "patient", "animal", "mascota", "especie", "raza", "species", "breed", "sex", "edad", "age", "peso", "weight", "vitales", "chip", "transponder", "identificaci", "nhc", "historia",
     "clinica", "clínica", "centro", "centr0", "hospital", "direcci", "domicilio", "dir.", "veterinari", "propietari", "tutor", "titular", "dueñ", "owner", "cliente", "capa", "color", "pelo", "repro", "esteriliz", "castrad", "fertil", "fértil", "motivo", "reason",
     "macho", "male", "hembra", "canin", "felin", "perro", "perra", "gato", "gata", "nac", "birth", "calle", "c/", "avda", "avd.", "avenida", "plaza", "pza", "paseo", "camino", "carretera", "ctra",
+    "diagnost", "tratamiento",
     *(w for _, words in CLINICAL_LABELS + CLINICAL_WORDS for w in words if len(w) > 3), "cada", "cura", "mg", "sut",
 )
 HINT_PATTERN = r"[0-9](?:[/\-.][0-9]|\s*k?gs?\b)|p\.\s*[:\-]?\s*[0-9]|dra?\.?\s*[:\-]|\bn(?:[º°�]|ro)?\.?\s*[:\-]|(?m)^\s*(?:vet|dra?|dr/a|doctora?|h\.?\s*v|dir)\b"

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import patterns as P
-from docloom.functions.normal import CHIP, digits_of_chip, species
+from docloom.functions.normal import CHIP, digits_of_chip, species, title as titled
 from docloom.functions.scores import FALLBACK_CONFIDENCE, LABEL_CONFIDENCE, kept_confidence
 from docloom.functions.text import fold, last_index, lines, matches, squeeze, strip
 from docloom.operators import people_places
@@ -88,10 +88,11 @@ def from_lines(docs: DataFrame) -> DataFrame:
     near = F.greatest(F.coalesce(F.max(is_label).over(w.rowsBetween(-8, -1)), F.lit(0)), F.coalesce(F.max(is_label).over(w.rowsBetween(1, 8)), F.lit(0)))
     rows = rows.withColumns({"low": fold(F.col("line")), "near_chip": near, "next9": _context(0, 8, "\n"), "around8": _context(-8, 8, "\n"), "next4": _context(0, 3), "around1": _context(-1, 1), "before3": _context(-3, 1), "before3_lines": _context(-3, 1, "\n"), "n_lines": F.count("*").over(Window.partitionBy("document_id"))})
     line, low, no = F.col("line"), F.col("low"), F.col("line_no")
-    chip_near = F.col("next9").rlike(P.CHIP_LABEL) | F.col("next9").rlike(CHIP)
+    first20 = F.array_join(F.slice(F.split("next9", "\n"), 1, F.greatest(F.lit(1), 21 - no)), "\n")  # the header ends with line 20, and so do its contexts
+    chip_near = first20.rlike(P.CHIP_LABEL) | first20.rlike(CHIP)
     header = rows.filter((no <= 20) & line.rlike(r"^[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2}$") & chip_near)
     header = first_of(header, ["document_id"], [F.asc("line_no")])
-    out = [_candidates(header, 1, "dob", no, line, F.col("next9"), FALLBACK_CONFIDENCE)]
+    out = [_candidates(header, 1, "dob", no, line, first20, FALLBACK_CONFIDENCE)]
     timeline = r"^-\s*([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})\s*-"
     out.append(_candidates(rows.filter(line.rlike(timeline)), 4, "document_date", no, F.regexp_extract("line", timeline, 1), line, FALLBACK_CONFIDENCE, reason=F.lit("timeline_unanchored")))
     out.append(_candidates(rows.filter((F.col("near_chip") == 1) & digits_of_chip(line).isNotNull()), 6, "microchip_id", no, digits_of_chip(line), F.col("around8"), LABEL_CONFIDENCE))
@@ -113,7 +114,7 @@ def from_lines(docs: DataFrame) -> DataFrame:
     patient = next4.rlike("canino|felino|raza|chip|especie")
     pet = F.when(~born.rlike(P.PET_GUARD) & (F.size(F.split(born, " ")) <= 3) & (patient | next4.rlike("nac")), born)
     title = line.rlike(r"^(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)(?:[\s'-]+(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)){0,2}$") & F.length("line").between(3, 40) & ~line.rlike(P.PET_GUARD) & ~low.rlike(r"^(?:nombre|especie|raza|sexo|chip|n[ºo°]?\s*chip|fecha|paciente|propietari[oa]|veterinari[oa]|diagn[oó]stico|tratamiento|medicaci[oó]n|vacunaci[oó]n|canin[oa]|felin[oa]|macho|hembra|historial|informe|ficha|capa|edad|peso)\b")
-    unnamed = F.when(title & patient, F.initcap(line))
+    unnamed = F.when(title & patient, titled(line))
     inside = F.when(line.rlike(P.CLINIC_IN_LINE), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_IN_LINE, 1), "(?i)^centr0$", "Centro"), strip(F.regexp_extract("line", P.CLINIC_IN_LINE, 2), " .,:;\t")))
     alone = F.when(line.rlike(P.CLINIC_LINE) & ~F.regexp_extract("line", P.CLINIC_LINE, 2).rlike("(?i)^de "), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_LINE, 1), r"(?i)^h\.?\s*v\.?$", "HV"), strip(F.regexp_extract("line", P.CLINIC_LINE, 2), " .,:;\t")))
     places = rows.select("document_id", "line", "line_no", F.posexplode(F.array_compact(F.array(inside, alone))).alias("i", "v"))
@@ -171,6 +172,9 @@ def mine(docs: DataFrame) -> DataFrame:
     every = every.unionByName(windowed(docs, 5, "microchip_id", P.CHIP_WINDOW, digits_of_chip(F.col("v")), LABEL_CONFIDENCE)).unionByName(windowed(docs, 7, "clinical_record_number", P.RECORD_WINDOW, F.trim("v"), LABEL_CONFIDENCE)).unionByName(windowed(docs, 8, "microchip_id", P.CHIP_OCR_WINDOW, digits_of_chip(F.col("v")), FALLBACK_CONFIDENCE))
     places = people_places.extract(docs)
     every = every.unionByName(_candidates(places, 0, F.col("key"), F.col("seq"), F.col("value"), F.col("snippet"), F.col("confidence")))
+    low = fold(F.coalesce("text", F.lit("")))
+    spanish = docs.filter(F.exists(F.array(low), lambda t: reduce(or_, (F.contains(t, F.lit(w)) for w in P.SPANISH_HINTS))))
+    every = every.unionByName(_candidates(spanish, 30, "language", F.lit(0), F.lit("es"), F.lit("Heuristic language inference based on Spanish clinical tokens"), FALLBACK_CONFIDENCE))
     ok = accepted(every).withColumn("_fold", fold(F.col("value")))
     kept = first_of(ok, ["document_id", "key", "_fold"], [F.asc("seq")]).drop("_fold")
     texts = docs.select("document_id", "text")

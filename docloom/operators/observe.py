@@ -34,6 +34,34 @@ def field_report(fields: DataFrame, doc: str, order: list[str], limit: int = 20)
     return counts.join(usual, [doc, "field"], "left")
 
 
+def candidate_gaps(report: DataFrame, with_candidates: DataFrame, doc: str) -> DataFrame:
+    """Per document: missing fields for which candidates were found (with_candidates: doc, field), and those without."""
+    missing = report.filter("missing > 0").join(with_candidates.select(doc, "field", F.lit(True).alias("_has")).distinct(), [doc, "field"], "left")
+    return missing.groupBy(doc).agg(F.count_if(F.col("_has").isNotNull()).alias("missing_with_candidates"), F.count_if(F.col("_has").isNull()).alias("missing_without_candidates"))
+
+
+def in_order(report: DataFrame) -> DataFrame:
+    """Field rows as a report lists them: by missing, rejected, suspicious and name, all descending."""
+    return report.orderBy(*(F.desc(c) for c in ("missing", "rejected", "suspicious", "field") if c in report.columns))
+
+
+def coverage(best: DataFrame, record: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (document_id, key, status, top1, confidence, line_number) for each document and key: whether the record (document_id, key) has it, the first
+    candidate of best (document_id, key, rank, value, confidence, snippet), and the line of its evidence if accepted."""
+    from docloom.operators.visits import line_of
+
+    grid = docs.select("document_id", "text", F.explode(F.array(*map(F.lit, keys))).alias("key"))
+    top1 = best.filter("rank = 1").select("document_id", "key", F.trim("value").alias("top1"), F.round("confidence", 2).alias("confidence"), "snippet")
+    have = record.select("document_id", "key", F.lit("accepted").alias("status")).distinct()
+    g = grid.join(top1, ["document_id", "key"], "left").join(have, ["document_id", "key"], "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+    return g.select("document_id", "key", "status", "top1", "confidence", F.when(F.col("status") == "accepted", line_of(F.col("text"), F.col("snippet"))).alias("line_number"))
+
+
+def date_choices(best: DataFrame) -> DataFrame:
+    """Rows (document_id, key, anchor, priority, reason): why the first candidate of each kind of date was taken."""
+    return best.filter(F.col("key").isin("visit_date", "document_date", "admission_date", "discharge_date") & (F.col("rank") == 1)).select("document_id", "key", "anchor", F.coalesce("priority", F.lit(0)).alias("priority"), "reason")
+
+
 def most_missing(report: DataFrame, doc: str, n: int = 10, by: str = "missing") -> DataFrame:
     """The n fields of each document that are missing (or rejected) most often."""
     return top(report.filter(F.col(by) > 0), [doc], [F.desc(by), F.asc("field")], n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.normal import same_value
@@ -90,21 +90,27 @@ def calibrated(fields: DataFrame, counts: DataFrame, keys: list[str], null_keys:
     return joined.withColumn("adjustment", review_adjustment(F.coalesce("accept_count", F.lit(0)), F.coalesce("edit_count", F.lit(0))))
 
 
-def apply_edits(fields: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new fields, change log) of batches of edits (batch, version, op, field_id, value, kind) against fields (field_id, version, value).
+def apply_edits(fields: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new fields, change log, refused batches) of one version step: batches of edits (document_id, batch, version, op, field_id, value, kind) against fields
+    (document_id, field_id, version, value), whose version is their document's.
 
-    A batch is all or nothing: one edit of an unknown field, of another version, or an addition of a known field rejects it. Edits that change
-    nothing aren't logged.
+    A batch is all or nothing: one edit of an unknown field, or an addition of a known one, rejects it. Of a document's batches on the active version the
+    first (by batch) without an error is applied and makes the next version; later ones on the same base, and those on any other, are refused with
+    BASE_VERSION_MISMATCH. Edits that change nothing aren't logged.
     """
-    known = fields.select(F.col("field_id"), F.col("version").alias("base"), F.col("value").alias("old"))
-    joined = edits.join(known, "field_id", "left")
-    error = F.when((F.col("op") == "ADD") & F.col("base").isNotNull(), "FIELD_EXISTS").when((F.col("op") != "ADD") & F.col("base").isNull(), "FIELD_NOT_FOUND").when((F.col("op") != "ADD") & (F.col("base") != F.col("version")), "VERSION_CONFLICT")
-    judged = joined.withColumn("error", error).withColumn("batch_error", F.max("error").over(Window.partitionBy("batch")))
-    good = judged.filter("batch_error is null")
+    active = fields.groupBy("document_id").agg(F.max("version").alias("active"))
+    known = fields.select("document_id", "field_id", F.col("value").alias("old"), F.lit(True).alias("known"))
+    joined = edits.join(active, "document_id", "left").join(known, ["document_id", "field_id"], "left")
+    error = F.when(~F.col("version").eqNullSafe(F.col("active")), "BASE_VERSION_MISMATCH").when((F.col("op") == "ADD") & F.col("known"), "FIELD_EXISTS").when((F.col("op") != "ADD") & F.col("known").isNull(), "FIELD_NOT_FOUND")
+    batches = joined.withColumn("error", error).groupBy("document_id", "batch").agg(F.max("error").alias("error"))
+    first = batches.filter("error is null").groupBy("document_id").agg(F.min("batch").alias("first"))
+    judged = batches.join(first, "document_id", "left").withColumn("error", F.when(F.col("error").isNull() & (F.col("batch") != F.col("first")), "BASE_VERSION_MISMATCH").otherwise(F.col("error")))
+    good = joined.join(judged.filter("error is null").select("document_id", "batch"), ["document_id", "batch"], "left_semi")
     idle = (F.col("op") == "UPDATE") & same_value(F.col("old"), F.col("value"), F.col("kind"))
-    log = good.filter(~idle).select("batch", "field_id", "op", F.col("old").alias("old_value"), F.when(F.col("op") != "DELETE", F.col("value")).alias("new_value"))
-    touched = log.select("field_id", "op", "new_value")
-    kept = fields.join(touched, "field_id", "left").filter("op is null or op != 'DELETE'")
-    kept = kept.withColumn("value", F.when(F.col("op") == "UPDATE", F.col("new_value")).otherwise(F.col("value"))).select(*fields.columns)
-    added = touched.filter("op = 'ADD'").select("field_id", F.col("new_value").alias("value")).withColumn("version", F.lit(1))
-    return kept.unionByName(added, allowMissingColumns=True), log
+    log = good.filter(~idle).select("document_id", "batch", "field_id", "op", F.col("old").alias("old_value"), F.when(F.col("op") != "DELETE", F.col("value")).alias("new_value"))
+    touched = good.groupBy("document_id", "field_id").agg(F.max(F.struct("op", "value")).alias("e"))  # a batch names a field once
+    stepped = fields.join(touched, ["document_id", "field_id"], "left").join(first, "document_id", "left").filter("e is null or e.op != 'DELETE'")
+    new = {"value": F.when(F.col("e.op") == "UPDATE", F.col("e.value")).otherwise(F.col("value")), "version": F.col("version") + F.col("first").isNotNull().cast("int")}
+    kept = stepped.select(*(new[c].alias(c) if c in new else c for c in fields.columns))
+    added = good.filter("op = 'ADD'").select("document_id", "field_id", (F.col("version") + 1).alias("version"), "value")
+    return kept.unionByName(added, allowMissingColumns=True), log, judged.filter("error is not null").select("document_id", "batch", "error")

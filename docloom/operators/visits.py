@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import patterns as P
 from docloom.functions.normal import visit_date, weight_kg
-from docloom.functions.text import matches
-from docloom.operators.keyed import carried, first_of, intervals, nearest
+from docloom.functions.text import LINE_END, fold, matches, squeeze
+from docloom.operators.keyed import carried, first_of, kth_match, latest, nearest
 
 
 def raw_lines(docs: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def raw_lines(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Rows (document_id, date, offset, k): dates of visits in the texts, by the words of their line; k counts the occurrences of a date.
+    """Rows (document_id, date, offset, line_start, k): dates of visits in the texts, by the words of their line; k counts the occurrences of a date.
 
     A line of another kind (births, invoices, lab) has none unless it reads like an entry of a timeline. A line that names a day takes the line before it
     into account.
@@ -34,7 +34,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     visit = line.rlike(P.VISIT_CONTEXT) | line.rlike(P.VISIT_LABEL) | line.rlike(P.VISIT_CLINICAL) | timeline | (line.rlike(P.VISIT_DAY_LINE) & F.col("previous").rlike(P.VISIT_CONTEXT))
     kept = rows.filter(visit & (timeline | ~line.rlike(P.NOT_VISIT)))
     found = matches(kept, "raw", P.VISIT_DATE, "document_id", "start").withColumn("date", visit_date(F.col("value"))).filter("date is not null")
-    placed = found.select("document_id", "date", (F.col("start") + F.col("offset")).alias("offset"))
+    placed = found.select("document_id", "date", (F.col("start") + F.col("offset")).alias("offset"), F.col("start").alias("line_start"))
     return placed.withColumn("k", F.row_number().over(Window.partitionBy("document_id", "date").orderBy("offset")))
 
 
@@ -48,14 +48,134 @@ def missing_visits(seen: DataFrame, known: DataFrame) -> DataFrame:
     return new.join(total, "document_id", "left").select("document_id", F.format_string("visit-%03d", number).alias("visit_id"), "date")
 
 
-def segments(docs: DataFrame, seen: DataFrame) -> DataFrame:
-    """Rows (document_id, offset, stop, date, segment): the text of each visit, up to the next visit's date or the next heading of one."""
-    ends = docs.select("document_id", F.length("text").alias("size"))
-    spans = intervals(seen.join(ends, "document_id"), ["document_id"], "offset", F.col("size"))
-    heads = matches(docs, "text", P.VISIT_BOUNDARY, "document_id").select("document_id", F.col("offset").alias("head"))
-    cut = spans.join(heads, "document_id", "left").groupBy(*spans.columns).agg(F.min(F.when(F.col("head") > F.col("offset"), F.col("head"))).alias("head"))
-    cut = cut.withColumn("stop", F.least("stop", F.coalesce("head", F.col("stop"))))
-    return cut.join(docs.select("document_id", "text"), "document_id").select("document_id", "offset", "stop", "date", F.substr("text", F.col("offset") + 1, F.col("stop") - F.col("offset")).alias("segment"))
+def boundaries(docs: DataFrame) -> DataFrame:
+    """Rows (document_id, heads): the offsets of visits' headings in each text, as a sorted array."""
+    heads = matches(docs, "text", P.VISIT_BOUNDARY, "document_id")
+    return heads.groupBy("document_id").agg(F.sort_array(F.collect_list("offset")).alias("heads"))
+
+
+def segments(docs: DataFrame, seen: DataFrame, roster: DataFrame) -> DataFrame:
+    """Rows (document_id, visit_id, start, stop, segment): the text of each visit of the roster (document_id, visit_id, date).
+
+    The k-th place of a date belongs to the k-th visit of that date, beyond the last to the last; a visit's first place counts. A segment begins at its
+    line's start, or at a heading on that line before the date, and ends at the next heading or at the start of the next date's line.
+    """
+    w = Window.partitionBy("document_id").orderBy("offset")
+    anchors = seen.withColumn("next_line", F.lead("line_start").over(w))
+    owned = kth_match(anchors.drop("k"), roster, ["document_id", "date"], ["offset"], ["visit_id"]).drop("k")
+    owned = first_of(owned, ["document_id", "visit_id"], [F.asc("offset")])
+    t = owned.join(docs.select("document_id", "text"), "document_id").join(boundaries(docs), "document_id", "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<int>")))
+    own_head = F.array_max(F.filter("heads", lambda h: (h <= F.col("offset")) & (h >= F.col("line_start"))))
+    next_head = F.array_min(F.filter("heads", lambda h: h > F.col("offset")))
+    start = F.coalesce(own_head, F.col("line_start"))
+    stop = F.greatest(start, F.least(F.length("text"), next_head, F.col("next_line")))
+    cut = t.withColumns({"start": start.cast("int"), "stop": stop.cast("int")})
+    cut = cut.withColumn("segment", F.regexp_replace(F.substr("text", F.col("start") + 1, F.col("stop") - F.col("start")), r"^\s+|\s+$", ""))
+    return cut.filter("segment != ''").select("document_id", "visit_id", "start", "stop", "segment")
+
+
+def snippet_offset(text: Column, snippet: Column) -> Column:
+    """Where a snippet stands in a text, from 0, whatever its case: whole if it has 8 characters or more, else by its first 48 (12 at least); null if nowhere."""
+    low, part = fold(text), fold(squeeze(snippet))
+    at = lambda x: F.nullif(F.instr(low, x), F.lit(0)) - 1
+    return F.when(F.length(part) >= 8, F.coalesce(at(part), F.when(F.length(part) >= 12, at(F.substring(part, 1, 48)))))
+
+
+def snippet_dates(snippet: Column) -> Column:
+    """The dates of a snippet that speaks of a visit and of nothing else, each once, in order."""
+    found = F.transform(F.regexp_extract_all(snippet, F.lit(f"({P.VISIT_DATE})"), F.lit(1)), visit_date)
+    return F.when(snippet.rlike(P.VISIT_CONTEXT) & ~snippet.rlike(P.NOT_VISIT), F.array_distinct(F.array_compact(found))).otherwise(F.array().cast("array<string>"))
+
+
+def line_of(text: Column, snippet: Column) -> Column:
+    """The number, from 1, of the first line that holds a snippet or is held by it; null if none does or the snippet is blank."""
+    part = fold(squeeze(snippet))
+    rows = F.transform(F.split(text, LINE_END), lambda x, i: F.struct((i + 1).alias("no"), fold(squeeze(x)).alias("line")))
+    hit = F.filter(rows, lambda r: (r["line"] != "") & (F.contains(r["line"], part) | F.contains(part, r["line"])))
+    return F.when(part != "", F.try_element_at(hit, F.lit(1))["no"])
+
+
+def classified(fields: DataFrame) -> DataFrame:
+    """Fields (document_id, key, value, snippet, scope, section) with their part: meta (what all visits have), visit or document.
+
+    A weight is the visit's only if it says so itself or its evidence is dated. Fields of visits get the scope and section of visits.
+    """
+    said = (fold(F.trim("scope")) == "visit") | (fold(F.trim("section")) == "visits")
+    weighed = F.coalesce(said, F.lit(False)) | (F.size(snippet_dates(F.coalesce("snippet", F.lit("")))) > 0)
+    part = F.when(F.col("key").isin(*P.VISIT_META), "meta").when((F.col("key") == "weight") & ~weighed, "document").when(F.col("key").isin(*P.VISIT_KEYS), "visit").otherwise("document")
+    f = fields.withColumn("part", part)
+    return f.withColumns({"scope": F.when(F.col("part") == "visit", "visit").otherwise(F.col("scope")), "section": F.when(F.col("part") == "visit", "visits").otherwise(F.col("section"))})
+
+
+def detected_dates(fields: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows (document_id, dates): the dates of visits in the order in which fields (classified, with seq) and then the text name them, each once."""
+    of = F.when((F.col("part") == "meta") & (F.col("key") == "visit_date"), F.array_compact(F.array(visit_date(F.col("value"))))).when(F.col("part") == "visit", snippet_dates(F.coalesce("snippet", F.lit(""))))
+    said = fields.select("document_id", F.struct(F.lit(0).alias("source"), F.col("seq").cast("long").alias("at")).alias("o"), F.explode(of).alias("date"))
+    told = seen.select("document_id", F.struct(F.lit(1).alias("source"), F.col("offset").cast("long").alias("at")).alias("o"), "date")
+    first = said.unionByName(told).groupBy("document_id", "date").agg(F.min("o").alias("o"))
+    return first.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "date"))), lambda x: x["date"]).alias("dates"))
+
+
+def resolved(fields: DataFrame, docs: DataFrame, seen: DataFrame, roster: DataFrame) -> DataFrame:
+    """Fields (document_id, field_id, snippet) with their visit_id and how it was found.
+
+    The evidence's own dates narrow the places that count, else all dates of the text do. Of these the place nearest to the evidence decides (ties: the
+    earlier date, then the earlier place), first between the headings around it, then anywhere; it stands for the k-th visit of its date. Evidence that isn't in
+    the text goes by its dates alone. Else the visit is unassigned. A document's places, headings and visits come as arrays, so no pairs are joined.
+    """
+    k = F.row_number().over(Window.partitionBy("document_id", "date").orderBy("offset")) - 1
+    places = seen.withColumn("k", k).groupBy("document_id").agg(F.collect_list(F.struct("offset", "date", "k")).alias("places"))
+    visits = roster.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("visit_id", "date"))).alias("visits"))
+    f = fields.join(docs.select("document_id", "text"), "document_id", "left").join(places, "document_id", "left").join(boundaries(docs), "document_id", "left").join(visits, "document_id", "left")
+    f = f.withColumns({"_dates": snippet_dates(F.coalesce("snippet", F.lit(""))), "_at": snippet_offset(F.col("text"), F.col("snippet"))})
+    at, none = F.col("_at"), F.array()
+    near = F.filter(F.coalesce("places", none.cast("array<struct<offset:int,date:string,k:int>>")), lambda p: (F.size("_dates") == 0) | F.array_contains("_dates", p["date"]))
+    ranked = F.transform(near, lambda p: F.struct(F.abs(p["offset"] - at).alias("far"), p["date"].alias("date"), p["k"].alias("k"), p["offset"].alias("offset")))
+    heads = F.coalesce("heads", none.cast("array<int>"))
+    low, high = F.array_max(F.filter(heads, lambda h: h <= at)), F.array_min(F.filter(heads, lambda h: h > at))
+    f = f.withColumns({"_near": ranked, "_low": low, "_high": high})
+    inside = F.filter("_near", lambda p: (F.col("_low").isNull() | (p["offset"] >= F.col("_low"))) & (F.col("_high").isNull() | (p["offset"] < F.col("_high"))))
+    f = f.withColumn("_pick", F.when(at.isNotNull(), F.coalesce(F.array_min(inside), F.array_min("_near"))))
+    same = F.filter("visits", lambda v: v["date"] == F.col("_pick.date"))
+    by_place = F.try_element_at(same, F.least(F.col("_pick.k") + 1, F.size(same)))["visit_id"]
+    dated = F.array_compact(F.transform("_dates", lambda d: F.try_element_at(F.filter("visits", lambda v: v["date"] == d), F.lit(1))["visit_id"]))
+    f = f.withColumns({"_place": F.when(F.size(same) > 0, by_place), "_date": F.try_element_at(dated, F.lit(1))})
+    by_date = F.when(F.col("_pick").isNull(), F.col("_date"))
+    how = F.when(F.col("_place").isNotNull(), "place").when(by_date.isNotNull(), "date").otherwise("unassigned")
+    return f.select(*fields.columns, F.coalesce("_place", by_date).alias("visit_id"), how.alias("how"))
+
+
+def distributed(meta: DataFrame, roster: DataFrame) -> DataFrame:
+    """Rows (document_id, visit_date, admission_date, discharge_date, reason_for_visit) of the unassigned visit: the first value of each key (by seq); of visit
+    dates the first that no visit of the roster has."""
+    norm = F.when(F.col("key") == "visit_date", visit_date(F.col("value"))).otherwise(F.col("value"))
+    m = meta.filter(F.col("key").isin(*P.VISIT_META)).withColumn("value", norm).filter("value is not null")
+    known = roster.select("document_id", F.col("date").alias("value"), F.lit("visit_date").alias("key")).distinct()
+    free = m.join(known, ["document_id", "key", "value"], "left_anti")
+    return free.groupBy("document_id").agg(*(F.min(F.when(F.col("key") == k, F.struct("seq", "value")))["value"].alias(k) for k in P.VISIT_META))
+
+
+def finalised(roster: DataFrame, assigned: DataFrame, leftover: DataFrame) -> DataFrame:
+    """Rows (document_id, visit_id, date, n_fields, position): visits by date, without one last, then id; the unassigned visit at the end if it holds a field
+    (assigned: document_id, visit_id, null for none) or something distributed to it."""
+    n = assigned.groupBy("document_id", F.coalesce("visit_id", F.lit("unassigned")).alias("visit_id")).agg(F.count("*").alias("n_fields"))
+    rest = n.filter("visit_id = 'unassigned'").select("document_id").unionByName(leftover.filter(" or ".join(f"{k} is not null" for k in P.VISIT_META)).select("document_id")).distinct()
+    every = roster.select("document_id", "visit_id", "date").unionByName(rest.select("document_id", F.lit("unassigned").alias("visit_id"), F.lit(None).cast("string").alias("date")))
+    out = every.join(n, ["document_id", "visit_id"], "left").withColumn("n_fields", F.coalesce("n_fields", F.lit(0)))
+    w = Window.partitionBy("document_id").orderBy(F.col("visit_id") == "unassigned", *visit_order(F.col("date"), F.col("visit_id")))
+    return out.withColumn("position", F.row_number().over(w))
+
+
+def visits_of(docs: DataFrame, fields: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(visits, fields of visits) of texts: fields (document_id, field_id, key, value, snippet, scope, section, seq) are classified, missing visits made,
+    fields assigned by their evidence, what is left distributed, and the list put in order. known has the visits there are (document_id, visit_id, date)."""
+    seen = occurrences(docs)
+    parts = classified(fields)
+    wanted = detected_dates(parts, seen).select("document_id", F.explode("dates").alias("date"))
+    told = seen.select("document_id", "date").unionByName(wanted.join(seen.select("document_id", "date").distinct(), ["document_id", "date"], "left_anti"))
+    roster = known.select("document_id", "visit_id", "date").unionByName(missing_visits(told, known))
+    assigned = resolved(parts.filter("part = 'visit'"), docs, seen, roster)
+    return finalised(roster, assigned, distributed(parts.filter("part = 'meta'"), roster)), assigned
 
 
 def assign(fields: DataFrame, visits: DataFrame) -> DataFrame:
@@ -84,6 +204,22 @@ def latest_weight(docs: DataFrame) -> DataFrame:
     return first_of(weighed, ["document_id"], [F.desc("date"), F.desc("line_no")]).select("document_id", "date", "weight")
 
 
+def newest_weight(candidates: DataFrame) -> DataFrame:
+    """The latest of weight candidates (document_id, date, offset, visit_no, field_no, value) of all sources: by date, then place, then order."""
+    return latest(candidates, ["document_id"], ["date", "offset", "visit_no", "field_no"])
+
+
+def segment_values(mined: DataFrame) -> DataFrame:
+    """One value for each visit and key of candidates mined from segments (document_id, visit_id, key, value, offset, seq): a weight's last, else the first."""
+    weight = F.when(F.col("key") == "weight", -F.col("offset")).otherwise(F.col("seq"))
+    return first_of(mined, ["document_id", "visit_id", "key"], [weight.asc(), F.asc("seq")])
+
+
+def only_absent(new: DataFrame, have: DataFrame) -> DataFrame:
+    """Values (document_id, visit_id, key, ...) for keys that a visit doesn't have yet."""
+    return new.join(have.select("document_id", "visit_id", "key").distinct(), ["document_id", "visit_id", "key"], "left_anti")
+
+
 def visit_order(date: Column, visit_id: Column) -> list[Column]:
     """Visits by date, those without one last, then by id."""
     return [F.coalesce(date, F.lit("9999-12-31")).asc(), visit_id.asc()]

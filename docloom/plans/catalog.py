@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import normal, scores, text, validators
-from docloom.operators import clauses, keyed, mining, observe, quality_gate, record, state, view, visits
+from docloom.operators import clauses, keyed, mining, observe, quality_gate, record, review, state, view, visits
 from docloom.sources.files import split_uploads, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,10 +108,12 @@ def users_without_error(spark, d):
     return keyed.without(table(spark, d, "customer").select("c_custkey"), bad, ["c_custkey"])
 
 
-@query(f"""WITH r AS (SELECT *, {_STATE_SQL} AS state FROM events), q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM r WHERE state = 'QUEUED' AND user_id NOT IN (SELECT user_id FROM r WHERE state = 'RUNNING' AND event_id % 50 = 0))
+@query(f"""WITH r AS (SELECT *, {_STATE_SQL} AS state FROM events), q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM r WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup'))
 SELECT user_id AS document_id, event_id AS run_id FROM q WHERE k = 1 ORDER BY ts, event_id LIMIT 10""")
 def queue_head(spark, d):
-    runs = _runs(spark, d).filter("state = 'QUEUED' or (state = 'RUNNING' and run_id % 50 = 0)")
+    named = {"view": "QUEUED", "signup": "RUNNING"}
+    e = table(spark, d, "events").filter(F.col("event_type").isin(*named))
+    runs = e.select(F.col("user_id").alias("document_id"), F.col("event_id").alias("run_id"), F.col("ts").alias("created_at"), F.when(F.col("event_type") == "view", "QUEUED").otherwise("RUNNING").alias("state"))
     return state.startable(runs).select("document_id", "run_id")
 
 
@@ -441,12 +443,30 @@ def visit_metrics(spark, d):
     return visits.scoping_metrics(o)
 
 
-@query("""WITH f AS (SELECT c_custkey AS id, 1 AS version, c_name AS value FROM customer), e AS (SELECT o_orderkey AS batch, CASE WHEN o_orderkey % 11 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN o_orderkey % 5 = 0 THEN 'DELETE' ELSE 'UPDATE' END AS op, CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE o_custkey END AS id, CASE WHEN o_orderkey % 3 = 0 THEN ' ' || c_name ELSE o_orderstatus END AS value FROM orders JOIN customer ON c_custkey = o_custkey)
-SELECT e.batch, e.id AS field_id, e.op, f.value AS old_value, CASE WHEN e.op <> 'DELETE' THEN e.value END AS new_value FROM e JOIN f USING (id) WHERE e.version = 1 AND NOT (e.op = 'UPDATE' AND trim(f.value) = trim(e.value))""")
-def edit_log(spark, d):
+_EDITS = """e AS (SELECT o_orderkey AS batch, o_custkey AS d, CASE WHEN o_orderkey % 11 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN o_orderkey % 5 = 0 THEN 'DELETE' ELSE 'UPDATE' END AS op, CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE o_custkey END AS id, CASE WHEN o_orderkey % 3 = 0 THEN ' ' || c_name ELSE o_orderstatus END AS value, c_name FROM orders JOIN customer ON c_custkey = o_custkey),
+g AS (SELECT * FROM e WHERE batch IN (SELECT min(batch) FROM e WHERE version = 1 AND id = d GROUP BY d))"""
+
+
+def _edited(spark, d):
+    """Every order is a batch with one edit of its customer's name: on another version, of another field, or good."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    edits = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("batch"), F.when(F.col("o_orderkey") % 11 == 0, 2).otherwise(1).alias("version"), F.when(F.col("o_orderkey") % 5 == 0, "DELETE").otherwise("UPDATE").alias("op"), F.when(F.col("o_orderkey") % 7 == 0, -1).otherwise(F.col("o_custkey")).alias("field_id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" "), F.col("c_name"))).otherwise(F.col("o_orderstatus")).alias("value"), F.lit("string").alias("kind"))
-    return state.apply_edits(c.select(F.col("c_custkey").alias("field_id"), F.lit(1).alias("version"), F.col("c_name").alias("value")), edits)[1]
+    edits = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("batch"), F.when(F.col("o_orderkey") % 11 == 0, 2).otherwise(1).alias("version"), F.when(F.col("o_orderkey") % 5 == 0, "DELETE").otherwise("UPDATE").alias("op"), F.when(F.col("o_orderkey") % 7 == 0, -1).otherwise(F.col("o_custkey")).alias("field_id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" "), F.col("c_name"))).otherwise(F.col("o_orderstatus")).alias("value"), F.lit("string").alias("kind"))
+    return state.apply_edits(c.select(F.col("c_custkey").alias("document_id"), F.col("c_custkey").alias("field_id"), F.lit(1).alias("version"), F.col("c_name").alias("value")), edits)
+
+
+@query(f"WITH {_EDITS} SELECT batch, id AS field_id, op, c_name AS old_value, CASE WHEN op <> 'DELETE' THEN value END AS new_value FROM g WHERE NOT (op = 'UPDATE' AND trim(c_name) = trim(value))")
+def edit_log(spark, d):
+    return _edited(spark, d)[1].drop("document_id")
+
+
+@query(f"WITH {_EDITS} SELECT c_custkey AS document_id, CASE WHEN g.d IS NULL THEN 1 ELSE 2 END AS version, CASE WHEN g.op = 'UPDATE' THEN g.value ELSE customer.c_name END AS value FROM customer LEFT JOIN g ON g.d = c_custkey WHERE g.op IS DISTINCT FROM 'DELETE'")
+def edited_fields(spark, d):
+    return _edited(spark, d)[0].select("document_id", "version", "value")
+
+
+@query(f"WITH {_EDITS} SELECT d AS document_id, batch, CASE WHEN version = 1 AND id <> d THEN 'FIELD_NOT_FOUND' ELSE 'BASE_VERSION_MISMATCH' END AS error FROM e WHERE batch NOT IN (SELECT batch FROM g)")
+def refused_edits(spark, d):
+    return _edited(spark, d)[2]
 
 
 @query("""WITH f AS (SELECT l_orderkey AS d, l_returnflag AS key, l_partkey::VARCHAR AS v, l_linenumber AS seq FROM lineitem)
@@ -456,11 +476,45 @@ def canonical_record(spark, d):
     return li.groupBy("document_id").agg(F.min(F.when(F.col("key") == "A", F.struct("seq", "v")))["v"].alias("single_a"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("key") == "N", F.struct("seq", "v")))), lambda s: s["v"]), ",").alias("many_n"))
 
 
-@query("""SELECT c_custkey, c_name FROM customer WHERE (contains(lower(c_name), '0012') OR contains(lower(c_mktsegment), 'build')) AND (CASE WHEN c_acctbal < 0 THEN 'unknown' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END) IN ('low', 'unknown')""")
+@query("""SELECT c_custkey, c_name FROM customer WHERE (contains(lower(c_name), '0012') OR contains(lower(c_mktsegment), '0012')) AND c_mktsegment <> 'MACHINERY' AND c_acctbal < 5000 AND c_nationkey % 2 = 0""")
 def structured_filter(spark, d):
-    band = F.when(F.col("c_acctbal") < 0, "unknown").when(F.col("c_acctbal") < 5000, "low").otherwise("high")
-    hit = F.contains(F.lower("c_name"), F.lit("0012")) | F.contains(F.lower("c_mktsegment"), F.lit("build"))
-    return table(spark, d, "customer").filter(hit & band.isin("low", "unknown")).select("c_custkey", "c_name")
+    """Critical fields with a value of a low or unknown band that speak of a term: a field per customer, without a value in one segment."""
+    band = F.when(F.col("c_acctbal") < 0, F.lit(None)).when(F.col("c_acctbal") < 5000, "low").otherwise("high")
+    item = F.struct(F.col("c_mktsegment").alias("shown"), band.alias("band"), (F.col("c_mktsegment") == "MACHINERY").alias("missing"))
+    fields = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_name").alias("label"), F.col("c_mktsegment").alias("key"), (F.col("c_nationkey") % 2 == 0).alias("is_critical"), F.lit(False).alias("repeatable"), F.array(item).alias("items"))
+    return review.structured_filter(fields, " 0012 ", ("low", "unknown"), only_critical=True, with_value=True).select("c_custkey", "c_name")
+
+
+@query("""WITH m AS (SELECT user_id, min(ts) AS marked FROM events WHERE event_type = 'signup' GROUP BY user_id), r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, ts DESC) AS k FROM events WHERE event_type IN ('purchase', 'click'))
+SELECT c_custkey AS document_id, CASE WHEN c_custkey % 4 = 0 OR marked IS NOT NULL THEN 'REVIEWED' ELSE 'IN_REVIEW' END AS review_status, c_custkey % 4 <> 0 AND marked IS NOT NULL AS newly, (c_custkey % 4 <> 0 AND marked IS NOT NULL AND EXISTS (SELECT 1 FROM r WHERE r.user_id = c_custkey)) AS has_run FROM customer LEFT JOIN m ON m.user_id = c_custkey""")
+def marked_reviewed(spark, d):
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.when(F.col("c_custkey") % 4 == 0, "REVIEWED").otherwise("IN_REVIEW").alias("review_status"), F.lit(None).cast("timestamp_ntz").alias("reviewed_at"), F.lit(None).cast("string").alias("reviewed_by"), F.lit(None).cast("long").alias("reviewed_run_id"))
+    e = table(spark, d, "events")
+    marks = e.filter("event_type = 'signup'").select(F.col("user_id").alias("document_id"), F.col("ts").cast("timestamp_ntz").alias("at"), F.lit("r").alias("by"))
+    runs = _runs(spark, d).withColumn("completed_at", F.col("created_at"))
+    return review.mark_reviewed(docs, runs, marks).select("document_id", "review_status", "newly", F.col("reviewed_run_id").isNotNull().alias("has_run"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'missing_policy_version' WHEN p_partkey % 7 = 0 THEN 'missing_band_cutoffs' WHEN p_size / 50.0 >= 0.75 THEN 'invalid_band_cutoffs' END AS reason FROM part""")
+def policy_reasons(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", review.policy(F.when(F.col("p_partkey") % 5 == 0, " ").otherwise("v1"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_size") / 50.0), F.lit(0.75))["reason"].alias("reason"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS d, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'microchip_id' ELSE 'notes' END AS key, o_orderkey::VARCHAR AS v FROM orders), c AS (SELECT c_custkey AS d, (900000000 + c_custkey)::VARCHAR AS chip FROM customer WHERE c_custkey % 2 = 0), first AS (SELECT d, min(seq) AS s FROM f WHERE key = 'microchip_id' GROUP BY d)
+SELECT f.d AS document_id, f.key, CASE WHEN f.key = 'microchip_id' AND seq = s AND chip IS NOT NULL THEN chip ELSE v END AS value FROM f LEFT JOIN first USING (d) LEFT JOIN c USING (d)
+UNION ALL SELECT c.d, 'microchip_id', chip FROM c LEFT JOIN first USING (d) WHERE s IS NULL""")
+def chip_upserts(spark, d):
+    f = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").cast("string").alias("field_id"), F.when(F.col("o_orderkey") % 3 == 0, "microchip_id").otherwise("notes").alias("key"), F.col("o_orderkey").cast("string").alias("value"), F.col("o_orderkey").alias("seq"))
+    chips = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("document_id"), (F.lit(900000000) + F.col("c_custkey")).cast("string").alias("chip"))
+    return review.upsert_chips(f, chips).select("document_id", "key", "value")
+
+
+@query("""WITH x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value / 50 END AS c, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value / 80 END AS m, CASE WHEN event_id % 2 = 0 THEN NULL ELSE (event_id % 21 - 10)::DOUBLE END AS a FROM events),
+y AS (SELECT event_id, CASE WHEN c IS NOT NULL THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, c)) WHEN m IS NOT NULL THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, m)) ELSE 0.0::DOUBLE END AS c, coalesce(a, 0.0::DOUBLE) AS a FROM x) SELECT event_id, round(c, 6) AS candidate, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, c + a / 100.0::DOUBLE)), 6) AS mapped FROM y""")
+def sanitised_confidences(spark, d):
+    e = table(spark, d, "events").select("event_id", F.lit(0.5).alias("text_extraction_reliability"), F.when(F.col("event_id") % 3 != 0, F.col("value") / 50).alias("field_candidate_confidence"), F.when(F.col("event_id") % 5 != 0, F.col("value") / 80).alias("field_mapping_confidence"), F.when(F.col("event_id") % 2 != 0, (F.col("event_id") % 21 - 10).cast("double")).alias("field_review_history_adjustment"), F.lit(0.1).alias("confidence"))
+    return review.sanitised_confidences(e).select("event_id", F.round("field_candidate_confidence", 6).alias("candidate"), F.round("field_mapping_confidence", 6).alias("mapped"))
 
 
 @query("""WITH a AS (SELECT l_partkey AS k, count(*) AS churn FROM lineitem GROUP BY l_partkey), b AS (SELECT p_partkey AS k, max(p_size) AS complexity FROM part WHERE p_size > 25 GROUP BY p_partkey)
