@@ -297,7 +297,7 @@ class BlockModel:
 
 #: Blocks that stand for each class before any page is seen, by feature: (content, other).
 PRIOR = {
-    "place-article": (2000, 4), "place-menu": (4, 1000), "place-header": (4, 1000), "place-footer": (4, 1000), "place-side": (4, 1000), "place-form": (4, 1000), "place-notice": (4, 1000), "place-advert": (4, 1000), "place-comment": (4, 1000),
+    "place-article": (2000, 1), "place-menu": (1, 1000), "place-header": (1, 1000), "place-footer": (1, 1000), "place-side": (1, 1000), "place-form": (1, 1000), "place-notice": (1, 1000), "place-advert": (1, 1000), "place-comment": (1, 1000),
     "links-0": (30, 10), "links-1": (8, 12), "links-2": (2, 20), "links-3": (2, 40), "words-0": (4, 16), "words-1": (6, 16), "words-2": (10, 14), "words-3": (20, 10), "words-4": (30, 6), "words-5": (30, 3), "words-6": (30, 2),
     "tag-p": (40, 10), "tag-li": (8, 24), "tag-div": (10, 16), "tag-h1": (20, 6), "tag-h2": (20, 6), "tag-h3": (16, 8), "tag-h4": (12, 8), "stop-True": (40, 12), "stop-False": (12, 40),
 }
