@@ -430,7 +430,12 @@ def judged(page: str | None, model: BlockModel) -> tuple[list[Block], list[float
     return found, unary, min_cut(unary, edges) if found else []
 
 
-def main_text(page: str | None, model: BlockModel) -> tuple[str, int]:
+def main_text(page: str | None, model: BlockModel) -> str:
+    """The main text of a page; "" if there is none."""
+    return cut_text(page, model)[0]
+
+
+def cut_text(page: str | None, model: BlockModel) -> tuple[str, int]:
     """(the main text of a page: the blocks on the content side of the minimum cut, in order, joined by an empty line; how many blocks the cut moved)."""
     found, unary, label = judged(page, model)
     return "\n\n".join(b.text for b, keep in zip(found, label, strict=True) if keep), sum((u >= 0) != keep for u, keep in zip(unary, label, strict=True))
@@ -448,7 +453,7 @@ def extract(pages: DataFrame, model: BlockModel, id_col: str = "page_id", html_c
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [main_text(x.as_py(), shipped.value) for x in b.column(b.num_columns - 1)]
+            got = [cut_text(x.as_py(), shipped.value) for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int64())], [*b.schema.names[:-1], "text", "n_chars", "n_moved"])
 
     slim = pages.select(pages[id_col].alias("k0"), *(pages[c].alias(f"k{i + 1}") for i, c in enumerate(keep)), pages[html_col].alias("html"))

@@ -181,7 +181,7 @@ class SemiCrf:
 
     weights: dict[str, dict[str, float]] = field(default_factory=lambda: {k: {} for k in KINDS})
 
-    def lattice(self, text: str, cut: list[tuple[int, int]], taken: list[Span] = []) -> Iterator[tuple[int, int, list[str], tuple[bool, ...]]]:
+    def candidates(self, text: str, cut: list[tuple[int, int]], taken: list[Span] = []) -> Iterator[tuple[int, int, list[str], tuple[bool, ...]]]:
         """Candidate segments (first token, token after the last, features, kinds) in order of their first token, none that touches a taken span.
 
         cut has the region's tokens. None is longer than MAX_TOKENS tokens or MAX_CHARS characters, none without an at sign has more than MAX_RUNS runs of digits.
@@ -212,6 +212,11 @@ class SemiCrf:
                 if any(kinds):
                     yield i, j + 1, span_features(text, a, b), kinds
 
+    def lattice(self, text: str, lo: int, hi: int) -> tuple[int, list[tuple[int, int, list[str], tuple[bool, ...]]]]:
+        """The number of tokens of a region and all its candidate segments, in a list: for the fit and for tests; decoding takes them one by one."""
+        cut = tokens(text, lo, hi)
+        return len(cut), list(self.candidates(text, cut))
+
     def scores(self, found: list[tuple[int, int, list[str], tuple[bool, ...]]]) -> np.ndarray:
         """Segments x kinds; a kind that a segment can't be scores -1000."""
         w = [self.weights[k] for k in KINDS]
@@ -238,7 +243,7 @@ class SemiCrf:
                 else:
                     back[done] = None
 
-        for i, j, fs, ok in self.lattice(text, cut, taken):
+        for i, j, fs, ok in self.candidates(text, cut, taken):
             settle(i)  # no later segment ends at or before its own first token
             own = [sum(w.get(f, 0.0) for f in fs) if k else -1e3 for w, k in zip(weights, ok, strict=True)]
             top = max(own)
@@ -260,7 +265,7 @@ class SemiCrf:
         built = []
         for text, lo, hi, gold in examples:
             cut = tokens(text, lo, hi)
-            n, found = len(cut), list(self.lattice(text, cut))
+            n, found = len(cut), list(self.candidates(text, cut))
             mark = {(a, b): KINDS.index(k) for k, a, b in gold}
             if found:
                 built.append((n, found, [mark.get((cut[i][0], cut[j - 1][1]), -1) for i, j, *_ in found]))

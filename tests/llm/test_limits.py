@@ -18,7 +18,7 @@ def model(spark):
 
 def test_names_that_describe_and_wrappers_keep_the_article(spark):
     m = model(spark)
-    text = lambda page: html.main_text(page, m)[0].split("\n\n")
+    text = lambda page: html.main_text(page, m).split("\n\n")
     p = PROSE.strip()
     assert text(f'<body><div class="content has-sidebar"><p>{p}</p><p>{p}</p></div></body>') == [p, p]
     assert text(f'<body><article class="post type-post tag-promotion"><p>{p}</p></article></body>') == [p]
@@ -36,7 +36,7 @@ def test_the_cut_overturns_a_block_s_own_cost(spark):
     page = f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div><div>{PROSE}</div><div>And so it went.</div><div>Yes</div><div>{PROSE}</div></div></body>"
     blocks, unary, label = html.judged(page, m)
     at = [b.text for b in blocks].index("Yes")
-    assert unary[at] < 0 and label[at] and html.main_text(page, m)[1] >= 1
+    assert unary[at] < 0 and label[at] and html.cut_text(page, m)[1] >= 1
 
 
 def test_no_group_of_features_outweighs_all_others():
@@ -77,7 +77,7 @@ def test_the_field_s_gradient_points_uphill():
 
     def chance(crf):
         cut = pii.tokens(text, 5, 17)
-        found = list(crf.lattice(text, cut))
+        found = crf.lattice(text, 5, 17)[1]
         s = crf.scores(found)
 
         def walk(i):  # sum over all segmentations from token i on
