@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import normal, patterns as P
 from docloom.functions.text import blank_to_null, fold, squeeze, strip
+from docloom.operators import mining
+from docloom.sources.scratch import written
 
 
 def clinic_name(x: Column) -> Column:
@@ -63,6 +65,24 @@ def with_derived(wide: DataFrame, as_of: Column) -> DataFrame:
     return d.withColumn("age_origin", F.when(F.col("age").isNull() & derived.isNotNull(), "derived").when(F.col("age").isNotNull(), "extracted")).withColumn("age", F.coalesce("age", derived))
 
 
+def of_texts(docs: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(records, ranked candidates) of texts (document_id, text): the best candidates in normal form as one wide row per document, species and breed mended
+    from each other and their evidence, dates and age filled in. A text without candidates has no row."""
+    ranked = written(mining.ranked(mining.mine(docs)), "ranked")
+    wide = mining.record(normalised(ranked))
+    proof = ranked.filter(F.col("key").isin("species", "breed") & (F.col("rank") == 1)).groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("key") == "breed", "snippet"))), lambda s: s["snippet"]).alias("_proof"))
+    pair = wide.join(proof, "document_id", "left").withColumn("_pair", normal.species_and_breed(F.col("species"), F.col("breed"), F.col("_proof")))
+    mended = pair.withColumns({"species": F.col("_pair.species"), "breed": F.col("_pair.breed")}).drop("_pair", "_proof")
+    return with_derived(mended, as_of), ranked
+
+
+def visit_inputs(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fields, known visits) of ranked candidates, as visits.visits_of takes them: a field per candidate, no visit known before."""
+    table = mining.contract(ranked.sparkSession).select("key", "section")
+    fields = ranked.select("document_id", F.concat_ws(":", "key", "rank").alias("field_id"), "key", "value", "snippet", F.lit(None).cast("string").alias("scope"), "seq").join(F.broadcast(table), "key")
+    return fields, ranked.sparkSession.createDataFrame([], "document_id string, visit_id string, date string")
+
+
 def same(x: Column, y: Column) -> Column:
     """Equality of a field's values in accuracy figures."""
     return fold(squeeze(F.coalesce(x, F.lit("")))) == fold(squeeze(F.coalesce(y, F.lit(""))))

@@ -60,6 +60,13 @@ def step_groups(events: DataFrame, run: str = "run_id") -> DataFrame:
     return events.withColumn("attempt", F.coalesce("attempt", F.lit(1))).groupBy(run, "step", "attempt").agg(F.min("started_at").alias("started_at"), F.when(~going, F.max("ended_at")).alias("ended_at"), status.alias("status"))
 
 
+def run_history(runs: DataFrame, steps: DataFrame, document: str = "document_id") -> DataFrame:
+    """Rows (document, n, runs): a document's runs in order of creation, each with its steps (run_id, step, started_at) in order of start."""
+    done = steps.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("started_at", "step"))), lambda s: s["step"]).alias("steps"))
+    r = runs.join(done, "run_id", "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<string>")))
+    return r.groupBy(document).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("created_at", "run_id", "state", "steps"))).alias("runs"))
+
+
 def duration_shown(start: Column, end: Column) -> Column:
     seconds = F.unix_timestamp(end) - F.unix_timestamp(start)
     return F.when(seconds < 0, F.lit(None)).when(seconds < 1, "<1s").otherwise(F.concat(seconds.cast("string"), F.lit("s")))

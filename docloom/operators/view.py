@@ -49,6 +49,13 @@ def worst_bands(fields: DataFrame, doc: str = "document_id") -> DataFrame:
     return worst.groupBy(doc).agg(*(F.count_if(F.col("r") == i).alias(n) for i, n in enumerate(("low", "medium", "high", "unknown"))))
 
 
+def concept_summary(fields: DataFrame, doc: str = "document_id") -> DataFrame:
+    """Per document the concepts whose best confidence (of fields with a value) is low, medium or high, or that have none."""
+    best = fields.filter("value is not null and trim(value) != ''").groupBy(doc, "concept").agg(F.max(unit(F.col("confidence"))).alias("confidence"))
+    b = bands(best)
+    return b.groupBy(doc).agg(F.count("*").alias("detected"), *(F.count_if(F.col("band") == n).alias(n) for n in ("low", "medium", "high")), F.count_if(F.col("band").isNull()).alias("unknown"))
+
+
 def slots(fields: DataFrame, aliases: DataFrame) -> DataFrame:
     """The best candidate of each slot: aliases (slot, key, document_scope) bring a slot's keys together; a document's own fields come first where the
     slot is the document's, then confidence (none counts as 0), then order. critical if any candidate is."""

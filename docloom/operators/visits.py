@@ -220,6 +220,11 @@ def only_absent(new: DataFrame, have: DataFrame) -> DataFrame:
     return new.join(have.select("document_id", "visit_id", "key").distinct(), ["document_id", "visit_id", "key"], "left_anti")
 
 
+def latest_past(date: Column, on: Column) -> Column:
+    """Aggregate: the latest of dates that don't lie after a day; null if all do."""
+    return F.max(F.when(date <= on, date))
+
+
 def visit_order(date: Column, visit_id: Column) -> list[Column]:
     """Visits by date, those without one last, then by id."""
     return [F.coalesce(date, F.lit("9999-12-31")).asc(), visit_id.asc()]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import normal, scores, text, validators
 from docloom.operators import clauses, keyed, mining, observe, quality_gate, record, review, state, view, visits
-from docloom.sources.files import split_uploads, table
+from docloom.sources.files import object_payload, split_uploads, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,8 +76,8 @@ _STATES = {"signup": "QUEUED", "view": "RUNNING", "click": "COMPLETED", "purchas
 _STATE_SQL = "CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'RUNNING' WHEN 'error' THEN 'FAILED' ELSE 'COMPLETED' END"
 
 
-def _runs(spark, d):
-    e = table(spark, d, "events")
+def _runs(spark, d, kinds=tuple(_STATES)):
+    e = table(spark, d, "events").filter(F.col("event_type").isin(*kinds))
     st = F.create_map(*(F.lit(x) for p in _STATES.items() for x in p))[F.col("event_type")]
     return e.select(F.col("user_id").alias("document_id"), F.col("event_id").alias("run_id"), F.col("ts").alias("created_at"), st.alias("state"), F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, "EXTRACTION_FAILED").otherwise("odd")).alias("failure_type"), "value")
 
@@ -131,10 +131,13 @@ def step_groups(spark, d):
     return g.select("run_id", "step", "attempt", _seconds("started_at").alias("started"), _seconds("ended_at").alias("ended"), "status")
 
 
-@query("SELECT user_id, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS runs FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id")
+@query(f"SELECT user_id, count(*) AS n, string_agg(event_id::VARCHAR || ':' || {_STATE_SQL} || CASE WHEN event_id % 2 = 0 THEN ':a,b' ELSE ':' END, ' ' ORDER BY ts, event_id) AS runs FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id")
 def run_history(spark, d):
-    e = table(spark, d, "events").filter(F.col("event_type").isin("error", "purchase"))
-    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda s: s["event_id"].cast("string")), ",").alias("runs"))
+    e = table(spark, d, "events").filter(F.col("event_type").isin("error", "purchase") & (F.col("event_id") % 2 == 0))
+    steps = e.select(F.col("event_id").alias("run_id"), F.explode(F.array(F.struct(F.lit("b").alias("step"), F.lit(2).alias("started_at")), F.struct(F.lit("a").alias("step"), F.lit(1).alias("started_at")))).alias("s")).select("run_id", "s.*")
+    h = state.run_history(_runs(spark, d, ("error", "purchase")), steps)
+    shown = F.array_join(F.transform("runs", lambda r: F.concat(r["run_id"].cast("string"), F.lit(":"), r["state"], F.lit(":"), F.array_join(r["steps"], ","))), " ")
+    return h.select(F.col("document_id").alias("user_id"), "n", shown.alias("runs"))
 
 
 @query("SELECT o_orderkey, c_name, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 50")
@@ -152,7 +155,7 @@ def review_transitions(spark, d):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN json_extract_string(props, '$.k')::BIGINT > 50 THEN 'applied' ELSE 'pending' END AS status FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_payload(spark, d):
-    e = table(spark, d, "events").select("event_id", F.from_json("props", "k bigint").alias("p")).filter("p.k is not null")
+    e = table(spark, d, "events").select("event_id", object_payload(F.col("props"), "k bigint").alias("p")).filter("p.k is not null")
     return e.select("event_id", F.col("p.k").cast("string").alias("k"), F.when(F.col("p.k") > 50, "applied").otherwise("pending").alias("status"))
 
 
@@ -379,19 +382,19 @@ def catalog_lookup(spark, d):
     return keyed.unique_match(p.select("p_partkey", "p_type"), p.select("p_type", F.col("p_brand").alias("address")), "p_type", "address").select("p_partkey", "address")
 
 
-@query("""WITH s AS (SELECT o_custkey, max(o_totalprice) AS c FROM orders GROUP BY o_custkey) SELECT count(*) FILTER (c < 200000) AS low, count(*) FILTER (c >= 200000 AND c < 400000) AS med, count(*) FILTER (c >= 400000) AS high FROM s""")
+@query("""WITH s AS (SELECT o_orderpriority AS document_id, o_custkey, max(least(1.0::DOUBLE, o_totalprice / 400000.0::DOUBLE)) AS c FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderpriority, o_custkey)
+SELECT document_id, count(*) AS detected, count(*) FILTER (c < 0.5::DOUBLE) AS low, count(*) FILTER (c >= 0.5::DOUBLE AND c < 0.75::DOUBLE) AS medium, count(*) FILTER (c >= 0.75::DOUBLE) AS high, 0::BIGINT AS unknown FROM s GROUP BY document_id""")
 def concept_summary(spark, d):
-    s = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("c"))
-    return s.agg(F.count_if(F.col("c") < 200000).alias("low"), F.count_if((F.col("c") >= 200000) & (F.col("c") < 400000)).alias("med"), F.count_if(F.col("c") >= 400000).alias("high"))
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("document_id"), F.col("o_custkey").alias("concept"), F.when(F.col("o_orderstatus") == "P", " ").otherwise("x").alias("value"), (F.col("o_totalprice") / 400000.0).alias("confidence"))
+    return view.concept_summary(o)
 
 
 @query("""WITH x AS (SELECT l_suppkey, l_partkey, l_quantity, CASE WHEN l_linenumber = 1 THEN 0 ELSE 1 END AS scope, l_orderkey * 10 + l_linenumber AS seq, l_returnflag = 'R' AS critical FROM lineitem)
 SELECT l_suppkey AS slot, l_partkey AS best, crit AS critical FROM (SELECT *, bool_or(critical) OVER (PARTITION BY l_suppkey) AS crit, row_number() OVER (PARTITION BY l_suppkey ORDER BY scope, coalesce(l_quantity, 0) DESC, seq) AS r FROM x) WHERE r = 1""")
 def best_slot_candidate(spark, d):
-    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", F.when(F.col("l_linenumber") == 1, 0).otherwise(1).alias("scope"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_returnflag") == "R").alias("critical"))
-    critical = li.groupBy("l_suppkey").agg(F.bool_or("critical").alias("critical"))
-    best = keyed.first_of(li.drop("critical"), ["l_suppkey"], [F.asc("scope"), F.desc(F.coalesce("l_quantity", F.lit(0.0))), F.asc("seq")])
-    return best.join(critical, "l_suppkey").select(F.col("l_suppkey").alias("slot"), F.col("l_partkey").alias("best"), "critical")
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("document_id"), F.col("l_returnflag").alias("key"), F.col("l_partkey").cast("string").alias("value"), (F.col("l_quantity") / 50).alias("confidence"), F.when(F.col("l_linenumber") == 1, "document").otherwise("visit").alias("scope"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_returnflag") == "R").alias("is_critical"))
+    aliases = spark.createDataFrame([("goods", k, True) for k in "ANR"], "slot string, key string, document_scope boolean")
+    return view.slots(li, aliases).select(F.col("document_id").alias("slot"), F.col("value").cast("long").alias("best"), "critical")
 
 
 # ---- texts: lines, dates, digits, mining
@@ -431,10 +434,25 @@ def age_years(spark, d):
     return table(spark, d, "orders").select("o_orderkey", normal.age_years(F.col("o_orderdate").cast("date"), F.lit("1998-12-01").cast("date")).alias("years")).filter("years is not null")
 
 
+def _told_and_known(spark, d):
+    """Events with an odd number as dates that texts name, those with an even one as visits."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("date"), "event_id")
+    return e.filter("event_id % 2 != 0"), e.filter("event_id % 2 = 0").withColumn("visit_id", F.col("event_id").cast("string"))
+
+
 @query("""SELECT user_id, event_type, (count(*) FILTER (event_id % 2 = 0) ) AS have, greatest(0, count(*) - 2 * count(*) FILTER (event_id % 2 = 0)) AS missing FROM events GROUP BY user_id, event_type""")
 def missing_counts(spark, d):
-    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("event_id") % 2 == 0).alias("have"))
-    return e.select("user_id", "event_type", "have", F.greatest(F.lit(0), F.col("n") - 2 * F.col("have")).alias("missing"))
+    seen, known = _told_and_known(spark, d)
+    more = visits.missing_visits(seen, known).groupBy("document_id", "date").agg(F.count("*").alias("missing"))
+    every = known.select("document_id", "date", F.lit(1).alias("n")).unionByName(seen.select("document_id", "date", F.lit(0).alias("n"))).groupBy("document_id", "date").agg(F.sum("n").alias("have"))
+    return every.join(more, ["document_id", "date"], "left").select(F.col("document_id").alias("user_id"), F.col("date").alias("event_type"), "have", F.coalesce("missing", F.lit(0)).alias("missing"))
+
+
+@query("""WITH g AS (SELECT user_id, event_type, count(*) - 2 * count(*) FILTER (event_id % 2 = 0) AS more FROM events GROUP BY user_id, event_type), t AS (SELECT user_id, count(*) FILTER (event_id % 2 = 0) AS n FROM events GROUP BY user_id),
+x AS (SELECT user_id, event_type, unnest(range(1, more + 1)) AS i FROM g WHERE more > 0)
+SELECT user_id AS document_id, 'visit-' || lpad((n + row_number() OVER (PARTITION BY user_id ORDER BY event_type, i))::VARCHAR, 3, '0') AS visit_id, event_type AS date FROM x JOIN t USING (user_id)""")
+def generated_visits(spark, d):
+    return visits.missing_visits(*_told_and_known(spark, d))
 
 
 @query("""SELECT o_custkey AS document_id, count(*) AS total, count(*) FILTER (o_orderstatus <> 'P') AS assigned, count(*) FILTER (o_orderstatus = 'F') AS anchored, count(*) FILTER (o_orderstatus = 'P') AS unassigned FROM orders GROUP BY o_custkey""")
@@ -472,8 +490,11 @@ def refused_edits(spark, d):
 @query("""WITH f AS (SELECT l_orderkey AS d, l_returnflag AS key, l_partkey::VARCHAR AS v, l_linenumber AS seq FROM lineitem)
 SELECT d AS document_id, max(v) FILTER (key = 'A' AND r = 1) AS single_a, coalesce(string_agg(v, ',' ORDER BY seq, v) FILTER (key = 'N'), '') AS many_n FROM (SELECT *, row_number() OVER (PARTITION BY d, key ORDER BY seq, v) AS r FROM f) GROUP BY d""")
 def canonical_record(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_returnflag").alias("key"), F.col("l_partkey").cast("string").alias("v"), F.col("l_linenumber").alias("seq"))
-    return li.groupBy("document_id").agg(F.min(F.when(F.col("key") == "A", F.struct("seq", "v")))["v"].alias("single_a"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("key") == "N", F.struct("seq", "v")))), lambda s: s["v"]), ",").alias("many_n"))
+    """Parts of an order as its candidates: one for a single field, all for a repeatable one."""
+    key = F.when(F.col("l_returnflag") == "A", "pet_name").when(F.col("l_returnflag") == "N", "diagnosis").otherwise("breed")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), key.alias("key"), F.col("l_partkey").cast("string").alias("value"), F.col("l_linenumber").alias("seq"))
+    best = li.withColumn("rank", F.row_number().over(Window.partitionBy("document_id", "key").orderBy("seq", "value")))
+    return mining.record(best).select("document_id", F.col("pet_name").alias("single_a"), F.array_join("diagnosis", ",").alias("many_n"))
 
 
 @query("""SELECT c_custkey, c_name FROM customer WHERE (contains(lower(c_name), '0012') OR contains(lower(c_mktsegment), '0012')) AND c_mktsegment <> 'MACHINERY' AND c_acctbal < 5000 AND c_nationkey % 2 = 0""")
@@ -528,7 +549,8 @@ def hotspot_signals(spark, d):
 @query("""SELECT user_id, max(CASE WHEN ts <= TIMESTAMP '2024-01-20' THEN ts END)::DATE::VARCHAR AS latest FROM events WHERE event_type = 'view' GROUP BY user_id""")
 def latest_past_visit(spark, d):
     e = table(spark, d, "events").filter("event_type = 'view'")
-    return e.groupBy("user_id").agg(F.date_format(F.max(F.when(F.col("ts") <= F.lit("2024-01-20 00:00:00").cast(dict(e.dtypes)["ts"]), F.col("ts"))), "yyyy-MM-dd").alias("latest"))
+    latest = visits.latest_past(F.col("ts"), F.lit("2024-01-20 00:00:00").cast(dict(e.dtypes)["ts"]))
+    return e.groupBy("user_id").agg(F.date_format(latest, "yyyy-MM-dd").alias("latest"))
 
 
 @query()
@@ -544,6 +566,20 @@ def visit_occurrences(spark, d):
     return visits.occurrences(docs)
 
 
+@query()
+def document_records(spark, d):
+    """The canonical record of every document; tests hold extraction against the published cases."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    return record.of_texts(docs, F.lit("2024-01-31").cast("date"))[0]
+
+
+@query()
+def document_visits(spark, d):
+    """The visits of every document, from its text and the fields mined from it."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    return visits.visits_of(docs, *record.visit_inputs(record.of_texts(docs, F.lit("2024-01-31").cast("date"))[1]))[0]
+
+
 # ---- the reader's view
 
 @query("""WITH f AS (SELECT l_suppkey AS d, l_returnflag || l_linestatus AS k, min(CASE WHEN l_quantity / 50 < 0.5 THEN 0 WHEN l_quantity / 50 < 0.75 THEN 1 ELSE 2 END) AS r FROM lineitem GROUP BY l_suppkey, l_returnflag || l_linestatus)
@@ -573,6 +609,26 @@ def distinct_event_keys(spark, d):
     return keyed.first_of(e, ["event_type", "user_id"], [F.asc("event_id")]).select("event_type", "user_id", F.col("event_id").alias("first_event"))
 
 
+@query("""SELECT DISTINCT user_id, event_type, event_id % 2 = 0 AS even, value > 50 AS large FROM events""")
+def distinct_events(spark, d):
+    """Debug events that agree in all seven parts are one."""
+    e = table(spark, d, "events")
+    parts = e.select(F.col("user_id").alias("document_id"), F.col("event_type").alias("field"), (F.col("event_id") % 2 == 0).alias("status"), (F.col("value") > 50).alias("raw"), F.lit("n").alias("normalized"), F.lit(None).cast("string").alias("reason"), F.lit(1).alias("page"))
+    return view.distinct_events(parts).select(F.col("document_id").alias("user_id"), F.col("field").alias("event_type"), F.col("status").alias("even"), F.col("raw").alias("large"))
+
+
+@query("""WITH x AS (SELECT o_custkey AS d, CASE o_orderkey % 3 WHEN 0 THEN 'peso' WHEN 1 THEN 'sexo' ELSE 'edad' END AS key, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 200)::VARCHAR || ' kg' WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'macho' ELSE 'x' END ELSE o_orderkey::VARCHAR END AS v, o_orderkey AS k FROM orders),
+y AS (SELECT d, key, CASE key WHEN 'peso' THEN k % 200 BETWEEN 1 AND 120 WHEN 'sexo' THEN k % 2 = 0 ELSE length(v) <= 3 END AS ok FROM x), c AS (SELECT unnest(['peso', 'sexo', 'edad', 'dob']) AS key)
+SELECT key, CASE WHEN ok THEN 'accepted' ELSE 'rejected' END AS status, count(*) AS n FROM y GROUP BY 1, 2
+UNION ALL SELECT c.key, 'missing', count(*) FROM (SELECT DISTINCT d FROM x) p CROSS JOIN c WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.d = p.d AND x.key = c.key) GROUP BY c.key""")
+def validated_grid(spark, d):
+    k = F.col("o_orderkey") % 3
+    v = F.when(k == 0, F.concat((F.col("o_orderkey") % 200).cast("string"), F.lit(" kg"))).when(k == 1, F.when(F.col("o_orderkey") % 2 == 0, "macho").otherwise("x")).otherwise(F.col("o_orderkey").cast("string"))
+    fields = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.when(k == 0, "peso").when(k == 1, "sexo").otherwise("edad").alias("key"), v.alias("value"))
+    asked = spark.createDataFrame([(x,) for x in ("peso", "sexo", "edad", "dob")], "key string")
+    return view.validated(fields, asked).groupBy("key", "status").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT l_partkey, bool_or(l_returnflag = 'R') AS critical, count(DISTINCT l_suppkey) AS suppliers, max(l_shipdate)::DATE::VARCHAR AS last_ship FROM lineitem GROUP BY l_partkey""")
 def slot_criticality(spark, d):
     return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("critical"), F.countDistinct("l_suppkey").alias("suppliers"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("last_ship"))

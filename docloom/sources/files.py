@@ -42,6 +42,11 @@ def append_artifacts(rows: DataFrame, path: str) -> None:
     rows.withColumn("payload", F.to_json("payload")).write.partitionBy("artifact_type").mode("append").parquet(path)
 
 
+def object_payload(payload: Column, schema: str) -> Column:
+    """A payload's fields as a struct; null if it isn't a JSON object."""
+    return F.when(F.ltrim(payload).startswith("{"), F.from_json(payload, schema))
+
+
 def active_artifacts(artifacts: DataFrame) -> DataFrame:
     """The newest artifact of each run and type."""
     return latest(artifacts, ["run_id", "artifact_type"], ["created_at", "artifact_id"])

@@ -58,3 +58,18 @@ def test_visit_dates(spark):
     found = visits.occurrences(docs).groupBy("document_id").agg(F.array_sort(F.collect_set("date")).alias("dates"))
     dates = {r["document_id"]: r["dates"] for r in found.collect()}
     assert {case: dates.get(case, []) for case, _, _ in VISIT_CASES} == {case: KNOWN_VISIT_MISSES.get(case, want) for case, _, want in VISIT_CASES}
+
+
+def test_text_to_record_and_visits(spark):
+    text = "Paciente: Luna\nEspecie: canina\nRaza: labrador\nSexo: Hembra\nFecha de nacimiento: 15/03/2018\nChip: 941000024967769\nAporta la cartilla completa, con sus sellos al corriente y en buen estado de lectura.\nVisita: 10/02/2024\nDiagnóstico: otitis leve en consulta del 10/02/2024\nControl 05/03/2024\nPeso: 12,5 kg\n"
+    docs = spark.createDataFrame([("d", text), ("e", None), ("f", "")], "document_id string, text string")
+    records, ranked = record.of_texts(docs, F.lit("2024-06-01").cast("date"))
+    rows = {r["document_id"]: r.asDict() for r in records.collect()}
+    assert set(rows) == {"d"}
+    want = {"pet_name": "Luna", "species": "canino", "breed": "Labrador", "sex": "hembra", "dob": "15/03/2018", "microchip_id": "941000024967769"}
+    assert {k: rows["d"][k] for k in want} == want
+    final, assigned = visits.visits_of(docs, *record.visit_inputs(ranked))
+    assert [(r["visit_id"], r["date"]) for r in final.filter("document_id = 'd' and date is not null").orderBy("position").collect()][:1] == [("visit-001", "2024-02-10")]
+    assert "2024-03-05" in {r["date"] for r in final.collect()}
+    dates = {r["visit_id"]: r["date"] for r in final.collect()}
+    assert {dates[r["visit_id"]] for r in assigned.filter("key = 'diagnosis' and visit_id is not null").collect()} == {"2024-02-10"}
