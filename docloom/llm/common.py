@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,6 +64,20 @@ def materialise(df: DataFrame, name: str = "t", light: bool = False) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order, name: str = "number") -> DataFrame:
+    """df with its rows' places, from 0 without gaps, in the given order; df should be a written table, for the sort samples it first.
+
+    A distributed sort deals the rows out by range and writes them with their task and their place in it; the places before each task are a running sum
+    over one row per task. Rows that are equal in all of the order stand in any order among each other.
+    """
+    at = materialise(df.orderBy(*order).withColumn(f"{name}_at_", F.monotonically_increasing_id()), name)
+    task, inside = F.shiftright(f"{name}_at_", 33), F.col(f"{name}_at_").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = at.groupBy(task.alias(f"{name}_task_")).agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy(f"{name}_task_").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(f"{name}_task_", F.coalesce(before, F.lit(0)).alias(f"{name}_start_"))
+    return at.join(F.broadcast(starts), task == starts[f"{name}_task_"]).select(*df.columns, (F.col(f"{name}_start_") + inside).alias(name))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id long, component long), component the smallest id reachable.
 
@@ -91,6 +106,26 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+#: Long texts are split into words so many bytes at a time.
+SLICE_BYTES = 4 << 20
+
+
+def word_slices(raw: bytes | None, fold: bytes, step: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text in order, as lists of those in about `step` bytes each; fold maps each byte to what stands for it, separators to blanks."""
+    raw = (raw or b"").translate(fold)
+    begin = 0
+    while begin < len(raw):
+        end = raw.find(b" ", begin + step)
+        end = len(raw) if end < 0 else end
+        yield raw[begin:end].split()
+        begin = end
+
+
+def byte_fold(kept: Callable[[int], bool]) -> bytes:
+    """A table for word_slices: A-Z become a-z, bytes that aren't kept become blanks."""
+    return bytes((b + 32 if 65 <= b <= 90 else b) if kept(b) else 32 for b in range(256))
+
+
 #: Bytes of words: digits, letters and whatever isn't ASCII; A-Z are lower-cased, all else is 0.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) else 0 for b in range(256))
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
