@@ -124,6 +124,8 @@ VISIT_LABEL = r"(?iu)\bfecha\s+de\s+(?:visita|consulta|cita|atenci[oó]n|explora
 VISIT_CLINICAL = r"(?iu)\b(?:revisar|reevaluar|tratamiento|medicaci[oó]n|exploraci[oó]n|seguimiento)\b"
 VISIT_TIMELINE_LINE = r"(?iu)^\s*[-*•]?\s*\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\s*[-–—]\s*\d{1,2}:\d{2}(?::\d{2})?(?:\s*[-–—]\s*.*)?$"
 VISIT_DAY_LINE = r"(?iu)\bd[ií]a\s+\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b"
+TIMELINE_HEADER = r"^\s*[-*•]?\s*(\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})\s*[-–—]\s*\d{1,2}:\d{2}(?::\d{2})?"
+WEIGHT_TOKEN = r"(?i)\b(?:peso|pv|p\.)?\s*([0-9]+(?:[.,][0-9]+)?)\s*(kgs?|g)\b"
 VISIT_BOUNDARY = r"(?iu)visita\s+(?:consulta\s+general|administrativa)\s+del\s+d[ií]a"
 NOT_VISIT = r"(?iu)\b(?:nacimiento|dob|microchip|chip|factura|invoice|emisi[oó]n|documento|dni|nif|pasaporte|id\b|identificaci[oó]n|lote|referencia|presupuesto|an[aá]lisis|laboratorio|orina|coprol[oó]gico|documentos?\s+pdf)\b"
 

@@ -54,33 +54,59 @@ def boundaries(docs: DataFrame) -> DataFrame:
     return heads.groupBy("document_id").agg(F.sort_array(F.collect_list("offset")).alias("heads"))
 
 
+def numbered_roster(roster: DataFrame) -> DataFrame:
+    """A roster with no, the place of each visit in its document's list: as given, else by visit_id."""
+    return roster if "no" in roster.columns else roster.withColumn("no", F.row_number().over(Window.partitionBy("document_id").orderBy("visit_id")))
+
+
 def segments(docs: DataFrame, seen: DataFrame, roster: DataFrame) -> DataFrame:
     """Rows (document_id, visit_id, start, stop, segment): the text of each visit of the roster (document_id, visit_id, date).
 
     The k-th place of a date belongs to the k-th visit of that date, beyond the last to the last; a visit's first place counts. A segment begins at its
-    line's start, or at a heading on that line before the date, and ends at the next heading or at the start of the next date's line.
+    line's start, or at a heading on that line before the date, and ends at the next heading or at the start of the next date's line. A document's
+    places are an array beside its text, which is joined once, not once for each visit.
     """
     w = Window.partitionBy("document_id").orderBy("offset")
     anchors = seen.withColumn("next_line", F.lead("line_start").over(w))
-    owned = kth_match(anchors.drop("k"), roster, ["document_id", "date"], ["offset"], ["visit_id"]).drop("k")
+    owned = kth_match(anchors.drop("k"), numbered_roster(roster), ["document_id", "date"], ["offset"], ["no"]).drop("k")
     owned = first_of(owned, ["document_id", "visit_id"], [F.asc("offset")])
-    t = owned.join(docs.select("document_id", "text"), "document_id").join(boundaries(docs), "document_id", "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<int>")))
-    own_head = F.array_max(F.filter("heads", lambda h: (h <= F.col("offset")) & (h >= F.col("line_start"))))
-    next_head = F.array_min(F.filter("heads", lambda h: h > F.col("offset")))
-    start = F.coalesce(own_head, F.col("line_start"))
-    stop = F.greatest(start, F.least(F.length("text"), next_head, F.col("next_line")))
-    cut = t.withColumns({"start": start.cast("int"), "stop": stop.cast("int")})
-    cut = cut.withColumn("segment", F.regexp_replace(F.substr("text", F.col("start") + 1, F.col("stop") - F.col("start")), r"^\s+|\s+$", ""))
-    return cut.filter("segment != ''").select("document_id", "visit_id", "start", "stop", "segment")
+    places = owned.groupBy("document_id").agg(F.collect_list(F.struct("visit_id", "offset", "line_start", "next_line")).alias("places"))
+    t = places.join(docs.select("document_id", "text"), "document_id").join(boundaries(docs), "document_id", "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<int>")))
 
+    def cut(p: Column) -> Column:
+        own_head = F.array_max(F.filter("heads", lambda h: (h <= p["offset"]) & (h >= p["line_start"])))
+        next_head = F.array_min(F.filter("heads", lambda h: h > p["offset"]))
+        start = F.coalesce(own_head, p["line_start"])
+        stop = F.greatest(start, F.least(F.length("text"), next_head, p["next_line"]))
+        return F.struct(p["visit_id"].alias("visit_id"), start.cast("int").alias("start"), stop.cast("int").alias("stop"), F.regexp_replace(F.substr("text", (start + 1).cast("int"), (stop - start).cast("int")), r"^\s+|\s+$", "").alias("segment"))
 
-def snippet_offset(text: Column, snippet: Column) -> Column:
-    """Where a snippet stands in a text, from 0, whatever its case: whole if it has 8 characters or more, else by its first 48 (12 at least); null if nowhere."""
-    low, part = fold(text), fold(squeeze(snippet))
+    return t.select("document_id", F.explode(F.transform("places", cut)).alias("s")).select("document_id", "s.*").filter("segment != ''")
+
+
+def _offset_in(low: Column, snippet: Column) -> Column:
+    part = fold(squeeze(snippet))
     at = lambda x: F.nullif(F.instr(low, x), F.lit(0)) - 1
     return F.when(F.length(part) >= 8, F.coalesce(at(part), F.when(F.length(part) >= 12, at(F.substring(part, 1, 48)))))
 
 
+def snippet_offset(text: Column, snippet: Column) -> Column:
+    """Where a snippet stands in a text, from 0, whatever its case: whole if it has 8 characters or more, else by its first 48 (12 at least); null if nowhere."""
+    return _offset_in(fold(text), snippet)
+
+
+def snippet_places(fields: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (document_id, snippet, at): where each snippet of a document's fields stands. A text is folded and joined once for all its snippets."""
+    asked = fields.filter("snippet is not null").groupBy("document_id").agg(F.collect_set("snippet").alias("snippets"))
+    t = asked.join(docs.select("document_id", fold(F.coalesce("text", F.lit(""))).alias("low")), "document_id")
+    found = F.transform(F.array("low"), lambda low: F.transform("snippets", lambda s: F.struct(s.alias("snippet"), _offset_in(low, s).alias("at"))))[0]
+    return t.select("document_id", F.explode(found).alias("s")).select("document_id", "s.*").filter("at is not null")
+
+
+def first_visit_date(x: Column) -> Column:
+    """The first date in a text that can be a visit's, as ISO text; null if none can."""
+    return F.try_element_at(F.array_compact(F.transform(F.regexp_extract_all(x, F.lit(f"({P.VISIT_DATE})"), F.lit(1)), visit_date)), F.lit(1))
+
+
 def snippet_dates(snippet: Column) -> Column:
     """The dates of a snippet that speaks of a visit and of nothing else, each once, in order."""
     found = F.transform(F.regexp_extract_all(snippet, F.lit(f"({P.VISIT_DATE})"), F.lit(1)), visit_date)
@@ -119,30 +145,34 @@ def detected_dates(fields: DataFrame, seen: DataFrame) -> DataFrame:
 def resolved(fields: DataFrame, docs: DataFrame, seen: DataFrame, roster: DataFrame) -> DataFrame:
     """Fields (document_id, field_id, snippet) with their visit_id and how it was found.
 
-    The evidence's own dates narrow the places that count, else all dates of the text do. Of these the place nearest to the evidence decides (ties: the
-    earlier date, then the earlier place), first between the headings around it, then anywhere; it stands for the k-th visit of its date. Evidence that isn't in
-    the text goes by its dates alone. Else the visit is unassigned. A document's places, headings and visits come as arrays, so no pairs are joined.
+    Evidence that names dates of visits: of the places of these dates the one nearest to the evidence decides (ties: the earlier date, then the earlier place),
+    first between the headings around it, then anywhere; it stands for the k-th visit of its date. If the evidence or the dates aren't in the text, the first
+    of its dates that has a visit counts. Evidence without any date goes by place in the same way, among all dates, if the document's visits have several; if they
+    have one date only, it is that date's first visit. Else the visit is unassigned. A document's places, headings and visits come as arrays, so no pairs are joined.
     """
     k = F.row_number().over(Window.partitionBy("document_id", "date").orderBy("offset")) - 1
     places = seen.withColumn("k", k).groupBy("document_id").agg(F.collect_list(F.struct("offset", "date", "k")).alias("places"))
-    visits = roster.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("visit_id", "date"))).alias("visits"))
-    f = fields.join(docs.select("document_id", "text"), "document_id", "left").join(places, "document_id", "left").join(boundaries(docs), "document_id", "left").join(visits, "document_id", "left")
-    f = f.withColumns({"_dates": snippet_dates(F.coalesce("snippet", F.lit(""))), "_at": snippet_offset(F.col("text"), F.col("snippet"))})
-    at, none = F.col("_at"), F.array()
+    visits = numbered_roster(roster).filter("date is not null").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("no", "visit_id", "date"))).alias("visits"), F.countDistinct("date").alias("_n_dates"))
+    f = fields.join(snippet_places(fields, docs), ["document_id", "snippet"], "left").join(places, "document_id", "left").join(boundaries(docs), "document_id", "left").join(visits, "document_id", "left")
+    snippet = F.coalesce("snippet", F.lit(""))
+    f = f.withColumns({"_dates": snippet_dates(snippet), "_token": snippet.rlike(P.VISIT_DATE), "_n_dates": F.coalesce("_n_dates", F.lit(0))})
+    at, none = F.col("at"), F.array()
+    by_text = (F.size("_dates") > 0) | (~F.col("_token") & (F.col("_n_dates") > 1))
     near = F.filter(F.coalesce("places", none.cast("array<struct<offset:int,date:string,k:int>>")), lambda p: (F.size("_dates") == 0) | F.array_contains("_dates", p["date"]))
     ranked = F.transform(near, lambda p: F.struct(F.abs(p["offset"] - at).alias("far"), p["date"].alias("date"), p["k"].alias("k"), p["offset"].alias("offset")))
     heads = F.coalesce("heads", none.cast("array<int>"))
     low, high = F.array_max(F.filter(heads, lambda h: h <= at)), F.array_min(F.filter(heads, lambda h: h > at))
     f = f.withColumns({"_near": ranked, "_low": low, "_high": high})
     inside = F.filter("_near", lambda p: (F.col("_low").isNull() | (p["offset"] >= F.col("_low"))) & (F.col("_high").isNull() | (p["offset"] < F.col("_high"))))
-    f = f.withColumn("_pick", F.when(at.isNotNull(), F.coalesce(F.array_min(inside), F.array_min("_near"))))
+    f = f.withColumn("_pick", F.when(at.isNotNull() & by_text, F.coalesce(F.array_min(inside), F.array_min("_near"))))
     same = F.filter("visits", lambda v: v["date"] == F.col("_pick.date"))
     by_place = F.try_element_at(same, F.least(F.col("_pick.k") + 1, F.size(same)))["visit_id"]
     dated = F.array_compact(F.transform("_dates", lambda d: F.try_element_at(F.filter("visits", lambda v: v["date"] == d), F.lit(1))["visit_id"]))
     f = f.withColumns({"_place": F.when(F.size(same) > 0, by_place), "_date": F.try_element_at(dated, F.lit(1))})
     by_date = F.when(F.col("_pick").isNull(), F.col("_date"))
-    how = F.when(F.col("_place").isNotNull(), "place").when(by_date.isNotNull(), "date").otherwise("unassigned")
-    return f.select(*fields.columns, F.coalesce("_place", by_date).alias("visit_id"), how.alias("how"))
+    only = F.when(~F.col("_token") & (F.col("_n_dates") == 1), F.try_element_at("visits", F.lit(1))["visit_id"])
+    how = F.when(F.col("_place").isNotNull(), "place").when(by_date.isNotNull(), "date").when(only.isNotNull(), "only").otherwise("unassigned")
+    return f.select(*fields.columns, F.coalesce("_place", by_date, only).alias("visit_id"), how.alias("how"))
 
 
 def distributed(meta: DataFrame, roster: DataFrame) -> DataFrame:
@@ -197,11 +227,13 @@ def scoping_metrics(assigned: DataFrame) -> DataFrame:
 
 
 def latest_weight(docs: DataFrame) -> DataFrame:
-    """Rows (document_id, date, weight): the last weight under the latest dated heading of each text."""
-    rows = raw_lines(docs).withColumn("own", visit_date(F.regexp_extract("line", r"^\s*[-*•]?\s*(\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})\s*[-–—]", 1)))
-    dated = carried(rows, ["document_id"], ["line_no"], F.col("own"), "date")
-    weighed = dated.withColumn("weight", weight_kg(F.regexp_extract("line", r"(?i)([0-9]+(?:[.,][0-9]+)?\s*(?:kgs?|gr?))\b", 1))).filter("weight is not null and date is not null")
-    return first_of(weighed, ["document_id"], [F.desc("date"), F.desc("line_no")]).select("document_id", "date", "weight")
+    """Rows (document_id, date, weight, line): the last weight at or under the latest heading with date and time of each text, and its line."""
+    rows = raw_lines(docs).withColumn("own", visit_date(F.regexp_extract("line", P.TIMELINE_HEADER, 1)))
+    headed = F.when(F.col("line").rlike(P.TIMELINE_HEADER), F.struct("own"))
+    dated = carried(rows, ["document_id"], ["line_no"], headed, "_head").withColumn("date", F.col("_head.own"))
+    token = lambda g: F.regexp_extract("line", P.WEIGHT_TOKEN, g)
+    weighed = dated.withColumn("weight", weight_kg(F.concat_ws(" ", token(1), token(2)))).filter("weight is not null and date is not null")
+    return first_of(weighed, ["document_id"], [F.desc("date"), F.desc("line_no")]).select("document_id", "date", "weight", "line")
 
 
 def newest_weight(candidates: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import normal, scores, text, validators
-from docloom.operators import clauses, keyed, mining, observe, quality_gate, record, review, state, view, visits
+from docloom.operators import clauses, keyed, mining, observe, quality_gate, record, review, state, view, visit_chart, visits
 from docloom.sources.files import object_payload, split_uploads, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -575,9 +575,98 @@ def document_records(spark, d):
 
 @query()
 def document_visits(spark, d):
-    """The visits of every document, from its text and the fields mined from it."""
+    """The visits of every document with what they hold, from its text, the fields mined from it and from each visit's own text."""
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
-    return visits.visits_of(docs, *record.visit_inputs(record.of_texts(docs, F.lit("2024-01-31").cast("date"))[1]))[0]
+    return visit_chart.chart(docs, record.visit_inputs(record.of_texts(docs, F.lit("2024-01-31").cast("date"))[1])[0])[0]
+
+
+# ---- clinical texts composed of the tables: a customer is a document, an order a visit
+
+def _histories(spark, d):
+    """Texts (document_id, text): under a heading with date and time each order's weight and case, by order number."""
+    o = table(spark, d, "orders")
+    case = F.lpad(F.col("o_orderkey").cast("string"), 9, "0")
+    part = F.concat(F.lit("- "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" - 10:30 - Control caso "), case, F.lit("\nPeso: "), (F.col("o_orderkey") % 100 + 1).cast("string"), F.lit(" kg\nDiagnóstico: otitis "), case, F.lit("\n"))
+    whole = o.groupBy(F.col("o_custkey").cast("string").alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("part")))).alias("parts"))
+    return whole.select("document_id", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text"))
+
+
+def _procedures(spark, d):
+    """A field of every third order, whose evidence is in the order's heading."""
+    case = F.lpad(F.col("o_orderkey").cast("string"), 9, "0")
+    none = F.lit(None).cast("string")
+    return table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("document_id"), F.concat(F.lit("f"), case).alias("field_id"), F.lit("procedure").alias("key"), F.concat(F.lit("sutura "), case).alias("value"), F.concat(F.lit("Control caso "), case).alias("snippet"), none.alias("scope"), none.alias("section"), F.col("o_orderkey").alias("seq"))
+
+
+#: Orders as visits: n counts a customer's orders of a day, no the visits: first days in order of their first order, then the days' further orders.
+_ORDER_VISITS = """a AS (SELECT o_custkey, o_orderkey AS k, o_orderdate::DATE AS day, (o_orderkey % 100 + 1) || ' kg' AS w, lpad(o_orderkey::VARCHAR, 9, '0') AS c, row_number() OVER (PARTITION BY o_custkey, o_orderdate::DATE ORDER BY o_orderkey) AS n, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderdate::DATE) AS f FROM orders),
+v AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n > 1, f, n) AS no, count(*) FILTER (n = 1) OVER (PARTITION BY o_custkey) AS days FROM a)"""
+
+
+@query(f"""WITH {_ORDER_VISITS}, p AS (SELECT o_custkey, no, string_agg('sutura ' || c, ',' ORDER BY k) AS procedures FROM (SELECT o_custkey, k, c, CASE WHEN days = 1 THEN 1 ELSE no END AS no FROM v WHERE k % 3 = 0) GROUP BY o_custkey, no),
+l AS (SELECT o_custkey, max_by(w, day || lpad(no::VARCHAR, 9, '0')) AS current FROM v GROUP BY o_custkey)
+SELECT v.o_custkey::VARCHAR AS document_id, 'visit-' || lpad(no::VARCHAR, 3, '0') AS visit_id, day::VARCHAR AS date, row_number() OVER (PARTITION BY v.o_custkey ORDER BY day, no)::INT AS position, w AS weight, 'otitis ' || c AS diagnosis, procedures, current
+FROM v LEFT JOIN p USING (o_custkey, no) JOIN l USING (o_custkey)""")
+def charted_visits(spark, d):
+    """Visits with the fields assigned to them and mined from their own text, and the document's current weight."""
+    listed, fields, of_docs = visit_chart.chart(_histories(spark, d), _procedures(spark, d))
+    one = lambda key: F.max(F.when(F.col("key") == key, F.col("value"))).alias(key)
+    procedures = F.array_join(F.array_sort(F.collect_list(F.when((F.col("key") == "procedure") & (F.col("origin") == "assigned"), F.col("value")))), ",")
+    held = fields.groupBy("document_id", "visit_id").agg(one("weight"), one("diagnosis"), F.nullif(procedures, F.lit("")).alias("procedures"))
+    current = of_docs.filter("key = 'weight'").select("document_id", F.col("value").alias("current"))
+    return listed.join(held, ["document_id", "visit_id"], "left").join(current, "document_id", "left").select("document_id", "visit_id", "date", "position", "weight", "diagnosis", "procedures", "current")
+
+
+@query(f"WITH {_ORDER_VISITS}, s AS (SELECT *, length('- dd/mm/yyyy - 10:30 - Control caso 123456789' || chr(10) || 'Peso: ' || w || chr(10) || 'Diagnóstico: otitis 123456789') AS size FROM v) SELECT o_custkey::VARCHAR AS document_id, 'visit-' || lpad(no::VARCHAR, 3, '0') AS visit_id, strftime(day, '%Y-%m-%d') AS date, (sum(size + 1) OVER (PARTITION BY o_custkey ORDER BY k) - size - 1)::INT AS start, md5('- ' || strftime(day, '%d/%m/%Y') || ' - 10:30 - Control caso ' || c || chr(10) || 'Peso: ' || w || chr(10) || 'Diagnóstico: otitis ' || c) AS digest FROM s")
+def visit_segments(spark, d):
+    """The text of each visit."""
+    docs = _histories(spark, d)
+    seen = visits.occurrences(docs)
+    dates = visits.detected_dates(visits.classified(_procedures(spark, d)), seen)
+    roster = visit_chart.roster(dates, seen, visit_chart.no_visits(spark)[0])
+    return visits.segments(docs, seen, roster).join(roster, ["document_id", "visit_id"]).select("document_id", "visit_id", "date", "start", F.md5("segment").alias("digest"))
+
+
+@query("""WITH a AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey AS k, length('- dd/mm/yyyy - 10:30 - Control caso 123456789' || chr(10) || 'Peso: ' || (o_orderkey % 100 + 1) || ' kg' || chr(10) || 'Diagnóstico: otitis 123456789') + 1 AS size FROM orders)
+SELECT o_custkey::VARCHAR AS document_id, date, (sum(size) OVER (PARTITION BY o_custkey ORDER BY k) - size + 2)::BIGINT AS offset, row_number() OVER (PARTITION BY o_custkey, date ORDER BY k)::INT AS k FROM a""")
+def history_occurrences(spark, d):
+    """Where the histories name dates of visits."""
+    return visits.occurrences(_histories(spark, d)).select("document_id", "date", F.col("offset").cast("long").alias("offset"), "k")
+
+
+@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey DESC) AS r FROM orders) SELECT o_custkey::VARCHAR AS document_id, strftime(o_orderdate, '%Y-%m-%d') AS date, (o_orderkey % 100 + 1) || ' kg' AS weight FROM x WHERE r = 1""")
+def history_weights(spark, d):
+    """The last weight under the latest heading of each history."""
+    return visits.latest_weight(_histories(spark, d)).select("document_id", "date", "weight")
+
+
+_STORED = """s AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderkey % 7 AS m, strftime(o_orderdate, '%d/%m/%Y') AS day, o_orderpriority AS clerk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_custkey % 10 > 1)"""
+
+
+def _stored(spark, d):
+    """A stored record for each customer: a visit per order, some malformed; every tenth customer's payload is broken, every tenth's list is none."""
+    o, c, m = table(spark, d, "orders"), F.col("o_custkey"), F.col("o_orderkey") % 7
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    visit = F.concat(F.lit('{"visit_id": "v'), F.col("o_orderkey").cast("string"), F.lit('", "visit_date": '), F.when(m == 1, F.lit("17")).otherwise(quoted(F.date_format("o_orderdate", "dd/MM/yyyy"))), F.when(m == 2, F.concat(F.lit(', "clerk": '), quoted(F.col("o_orderpriority")))).otherwise(""), F.lit(', "fields": '), F.when(m == 3, F.lit('{"a": 1}')).otherwise(F.concat(F.lit('[{"key": "weight", "value": "'), (F.col("o_orderkey") % 100 + 1).cast("string"), F.lit(' kg"}]'))), F.lit("}"))
+    part = F.when(m == 0, quoted(F.col("o_orderkey").cast("string"))).otherwise(visit)
+    whole = o.groupBy(c.alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("part")))).alias("parts"))
+    body = F.concat(F.lit('{"visits": ['), F.array_join(F.transform("parts", lambda p: p["part"]), ", "), F.lit("]}"))
+    tenth = F.col("document_id") % 10
+    return whole.select(F.col("document_id").cast("string").alias("document_id"), F.when(tenth == 0, F.lit('{"visits": [')).when(tenth == 1, F.lit('{"visits": 5}')).otherwise(body).alias("payload"))
+
+
+@query(f"""WITH {_STORED}, g AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY place) AS no FROM s WHERE m <> 0) SELECT c::VARCHAR AS document_id, 'v' || k AS visit_id, CASE WHEN m <> 1 THEN strftime(strptime(day, '%d/%m/%Y'), '%Y-%m-%d') END AS date, no::INT AS no, CASE WHEN m = 2 THEN '{{"clerk":"' || clerk || '"}}' END AS rest, CASE WHEN m <> 3 THEN (k % 100 + 1) || ' kg' END AS weight FROM g""")
+def stored_visits(spark, d):
+    """Visits and their fields out of stored records, with members of other names."""
+    v, f, _ = visit_chart.parsed_visits(_stored(spark, d))
+    return v.join(f.select("document_id", "visit_id", F.col("value").alias("weight")), ["document_id", "visit_id"], "left").select("document_id", "visit_id", "date", "no", "rest", "weight")
+
+
+@query(f"""WITH {_STORED} SELECT c::VARCHAR AS document_id, CASE m WHEN 0 THEN 'VISIT_NOT_AN_OBJECT' ELSE 'FIELDS_NOT_A_LIST' END AS reason, CASE m WHEN 0 THEN '"' || k || '"' ELSE '{{"a":1}}' END AS part FROM s WHERE m IN (0, 3)
+UNION ALL SELECT DISTINCT o_custkey::VARCHAR, CASE o_custkey % 10 WHEN 0 THEN 'PAYLOAD_NOT_AN_OBJECT' ELSE 'VISITS_NOT_A_LIST' END, CASE o_custkey % 10 WHEN 0 THEN '{{"visits": [' ELSE '5' END FROM orders WHERE o_custkey % 10 < 2""")
+def refused_payload_parts(spark, d):
+    """What stored records hold in place of visits and fields."""
+    return visit_chart.parsed_visits(_stored(spark, d))[2]
 
 
 # ---- the reader's view

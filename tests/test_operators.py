@@ -110,8 +110,8 @@ def test_visits(spark):
     head = spark.createDataFrame([("h", "x\nVisita consulta general del dia 01/02/2024\nsano\nVisita administrativa del dia siguiente\npago")], "document_id string, text string")
     one = spark.createDataFrame([("h", "visit-001", "2024-02-01")], "document_id string, visit_id string, date string")
     assert [r.segment for r in visits.segments(head, visits.occurrences(head), one).collect()] == ["Visita consulta general del dia 01/02/2024\nsano"]
-    weighed = spark.createDataFrame([("w", "- 01/02/2024 - visita\nPeso 7,5 kg\n- 05/02/2024 - control\n8 kg")], "document_id string, text string")
-    assert rows(visits.latest_weight(weighed), "document_id") == [("w", "2024-02-05", "8 kg")]
+    weighed = spark.createDataFrame([("w", "- 01/02/2024 - 10:30 - visita\nPeso 7,5 kg\n- 05/02/2024 - 9:15 - control\n8 kg")], "document_id string, text string")
+    assert rows(visits.latest_weight(weighed), "document_id") == [("w", "2024-02-05", "8 kg", "8 kg")]
 
 
 def test_assignment_strategies(spark):
