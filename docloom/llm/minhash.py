@@ -429,11 +429,16 @@ def _classes(rows: DataFrame, params: NearDupParams) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those whose own text is a copy or near copy of a kept row's, whatever their ids."""
-    own, numbered = _unique(docs, id_col)
+    """The rows of docs without those whose own text is a copy or near copy of a kept row's, whatever their ids. Further columns pass through, whatever their
+    names: they travel in one struct, so none clashes with what is added on the way."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    packed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in rest)).alias("rest") if rest else F.lit(0).alias("rest"))
+    own, numbered = _unique(packed, "id")
     if numbered:
-        kept = _judged_rows(own, params, id_col, text_col).filter("kept").select("row_")
-        return own.join(small(materialise(kept, "kept", light=True), params.broadcast_rows), "row_", "left_semi").select(*docs.columns)
-    judged = materialise(near_duplicates(docs, params, id_col, text_col), "judged", light=True)
-    gone = judged.filter("not kept").select(id_col)
-    return docs.join(F.broadcast(gone) if gone.count() <= params.broadcast_rows else gone, id_col, "left_anti").select(*docs.columns)
+        kept = _judged_rows(own, params, "id", "text").filter("kept").select("row_")
+        out = own.join(small(materialise(kept, "kept", light=True), params.broadcast_rows), "row_", "left_semi")
+    else:
+        judged = materialise(near_duplicates(own, params, "id", "text"), "judged", light=True)
+        gone = judged.filter("not kept").select("id")
+        out = own.join(F.broadcast(gone) if gone.count() <= params.broadcast_rows else gone, "id", "left_anti")
+    return out.select(*(out["id"].alias(c) if c == id_col else out["text"].alias(c) if c == text_col else out["rest"][c].alias(c) for c in docs.columns))

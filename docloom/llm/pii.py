@@ -19,7 +19,8 @@ Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _RUN = re.compile(r"\+?[0-9][+0-9 ().\-]*")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Runs of numbers with dots between them: it matches at every digit, so it never looks back.
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -31,6 +32,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _addresses(dotted: str, start: int) -> Iterator[tuple[int, int]]:
+    """Where four numbers of a run in turn are an address, parts at most 255; the four that fail are passed over as a match."""
+    parts = dotted.split(".")
+    for i in range(0, len(parts) - 3, 4):
+        four = parts[i : i + 4]
+        size = sum(map(len, four)) + 3
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+            yield start, start + size
+        start += size + 1
+
+
 def base_spans(text: str) -> list[Span]:
     """Matches of the fixed patterns, leftmost and non-overlapping per kind, that pass their kind's test; by kind, then start."""
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
@@ -50,9 +62,8 @@ def base_spans(text: str) -> list[Span]:
         if n < 7:
             continue
         if run[0].count(".") >= 3:
-            for m in _IP.finditer(text, lo, hi):
-                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
-                    found["ip"].append(("ip", *m.span()))
+            for m in _DOTTED.finditer(text, lo, hi):
+                found["ip"] += [("ip", a, b) for a, b in _addresses(m[0], m.start())]
         if n >= 16:
             for m in _CARD.finditer(text, lo, hi):
                 digits = _NOT_DIGIT.sub("", m[0]) if m.end() - m.start() < 64 else ""

@@ -129,3 +129,29 @@ def test_slim_rows_of_embeddings_are_small(spark):
     plan = p.plan(50_000)
     code = embeddings._cells(df, plan, p).first().code
     assert len(code) == -(-plan.planes * plan.tables // 8) + p.projections < 64
+
+
+def test_dotted_numbers_equal_the_plain_pattern_and_take_time_in_proportion():
+    import re
+
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(9)
+    for _ in range(20_000):
+        text = "".join(rng.choices("019.25+ x", [5, 4, 3, 9, 3, 2, 1, 1, 1], k=rng.randrange(7, 40)))
+        want = [("ip", *m.span()) for m in plain.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [s for s in pii.base_spans(text) if s[0] == "ip"] == want, text
+    began = time.time()
+    for text in ("1" * 2_000_000 + "...", "1." * 1_000_000, "a@" + "b-" * 1_000_000):
+        pii.base_spans(text)
+    assert time.time() - began < 15
+
+
+def test_columns_named_like_those_of_the_operator_pass_through(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, "A", "a", 1.5), (1, "quite another text that has nothing to do with the first one at all", "B", "b", 2.5), (None, text, "C", "c", 3.5), (2, "a third text of several words which nobody else has written so far here", "D", "d", 4.5)]
+    for given in (rows, [r for r in rows if r[0] is not None][1:]):
+        docs = spark.createDataFrame(given, "doc_id long, text string, row_ string, id string, rest double")
+        out = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        got = {r.row_: (r.doc_id, r.text, r.id, r.rest) for r in out.collect()}
+        assert all(got[r[2]] == (r[0], r[1], r[3], r[4]) for r in given if r[2] in got) and len(got) == len(given) - (len(given) == 4)
