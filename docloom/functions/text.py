@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 #: White space as Unicode has it, with the four separators U+001C to U+001F.
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
@@ -56,6 +57,11 @@ def lines(df: DataFrame, text: str = "text", *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(cut).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
+def line_window(first: int, last: int, *keys: str) -> WindowSpec:
+    """For aggregates over the lines around each line, from `first` to `last` lines on (negative: before it): the lines of a text are sorted once for all of them."""
+    return Window.partitionBy(*keys).orderBy("line_no").rowsBetween(first, last)
+
+
 def matches(df: DataFrame, text: str, pattern: str, *keys: str) -> DataFrame:
     """Rows (*keys, match_no, offset, value): all matches of a pattern without groups, offset in code points from 0.
 

@@ -25,11 +25,22 @@ def snapshot_counts(fields: DataFrame, run: list[str]) -> DataFrame:
     )
 
 
-def field_report(fields: DataFrame, doc: str, order: list[str], limit: int = 20) -> DataFrame:
-    """Per document and field over its last `limit` runs: missing, rejected, accepted, the commonest value and the mean confidence."""
+def flagged(fields: DataFrame, run: list[str], as_of: Column | None = None) -> DataFrame:
+    """Fields with flags: why accepted values look wrong. What other fields of the run hold comes from one window over it, not from a join of fields with fields."""
+    ok = F.col("status") == "accepted"
+    w = Window.partitionBy(*run)
+    of = lambda key: F.max(F.when(ok & (F.col("field") == key), F.col("value"))).over(w)
+    f = fields.withColumns({"_clinic": of("clinic_address"), "_visit": of("visit_date")})
+    reasons = suspicious(F.col("field"), F.col("value"), F.col("_clinic"), F.col("_visit"), F.current_date() if as_of is None else as_of)
+    return f.withColumn("flags", F.when(ok, reasons).otherwise(F.array().cast("array<string>"))).drop("_clinic", "_visit")
+
+
+def field_report(fields: DataFrame, doc: str, order: list[str], limit: int = 20, as_of: Column | None = None) -> DataFrame:
+    """Per document and field over its last `limit` runs: missing, rejected, accepted and suspicious ones, the commonest value and the mean confidence of accepted ones."""
     runs = last_n(fields.select(doc, *order).distinct(), [doc], order, limit)
-    recent = fields.join(runs, [doc, *order], "left_semi")
-    counts = recent.groupBy(doc, "field").agg(F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "rejected").alias("rejected"), F.count_if(F.col("status") == "accepted").alias("accepted"), F.bround(F.avg("confidence"), 2).alias("mean_confidence"))
+    recent = flagged(fields.join(runs, [doc, *order], "left_semi"), [doc, *order], as_of)
+    ok = F.col("status") == "accepted"
+    counts = recent.groupBy(doc, "field").agg(F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "rejected").alias("rejected"), F.count_if(ok).alias("accepted"), F.count_if(F.size("flags") > 0).alias("suspicious"), F.bround(F.avg(F.when(ok, F.col("confidence"))), 2).alias("mean_confidence"))
     usual = commonest(recent.filter("status = 'accepted'"), [doc, "field"], "value", order[0]).select(doc, "field", F.col("value").alias("usual"))
     return counts.join(usual, [doc, "field"], "left")
 
@@ -68,15 +79,20 @@ def most_missing(report: DataFrame, doc: str, n: int = 10, by: str = "missing")
 
 
 def triage(fields: DataFrame, run: list[str], as_of: Column | None = None) -> DataFrame:
-    """Per run: missing, rejected and suspicious fields as sorted, comma-joined names; suspicious ones with their reasons as name:reason.
-
-    What other fields of the run hold comes from one aggregate over it, not from a join of fields with fields.
-    """
-    ok = F.col("status") == "accepted"
-    w = Window.partitionBy(*run)
-    of = lambda key: F.max(F.when(ok & (F.col("field") == key), F.col("value"))).over(w)
-    flags = suspicious(F.col("field"), F.col("value"), F.col("_clinic"), F.col("_visit"), F.current_date() if as_of is None else as_of)
-    f = fields.withColumns({"_clinic": of("clinic_address"), "_visit": of("visit_date")}).withColumn("_flags", F.when(ok, flags).otherwise(F.array().cast("array<string>")))
+    """Per run: missing, rejected and suspicious fields as sorted, comma-joined names; suspicious ones with their reasons as name:reason."""
     named = lambda when: F.array_join(F.array_sort(F.collect_list(F.when(when, F.col("field")))), ",")
-    reasons = F.array_join(F.array_sort(F.flatten(F.collect_list(F.transform("_flags", lambda x: F.concat_ws(":", F.col("field"), x))))), ",")
-    return f.groupBy(*run).agg(named(F.col("status") == "missing").alias("missing"), named(F.col("status") == "rejected").alias("rejected"), reasons.alias("suspicious"))
+    reasons = F.array_join(F.array_sort(F.flatten(F.collect_list(F.transform("flags", lambda x: F.concat_ws(":", F.col("field"), x))))), ",")
+    return flagged(fields, run, as_of).groupBy(*run).agg(named(F.col("status") == "missing").alias("missing"), named(F.col("status") == "rejected").alias("rejected"), reasons.alias("suspicious"))
+
+
+def hotspots(churn: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """Rows (key, churn, complexity) of places that changed (churn: a row a change) or are complex (sizes: key, complexity), whichever of both they are: the number of changes
+    and the greatest complexity, 0 without. Each side is an aggregate before they meet."""
+    a = churn.groupBy(key).agg(F.count("*").alias("churn"))
+    b = sizes.groupBy(key).agg(F.max("complexity").alias("complexity"))
+    return a.join(b, key, "full").select(key, F.coalesce("churn", F.lit(0)).alias("churn"), F.coalesce("complexity", F.lit(0)).alias("complexity"))
+
+
+def rollup(rows: DataFrame, by: str, who: str, large: Column) -> DataFrame:
+    """Rows (by, n, users, large): of each status its rows, distinct owners and large ones."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.countDistinct(who).alias("users"), F.count_if(large).alias("large"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.scores import unit
@@ -56,6 +56,15 @@ def mark_reviewed(documents: DataFrame, runs: DataFrame, marks: DataFrame) -> Da
     return d.select(*(F.when(F.col("newly"), new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in documents.columns), "newly")
 
 
+def review_states(actions: DataFrame, document: str = "document_id") -> DataFrame:
+    """Rows (document, action_id, status, changes) after actions (document, action_id, action MARK or REOPEN, at): the last one decides; changes counts those that altered
+    the status, for marking what is reviewed or reopening what isn't does nothing. A document starts in review."""
+    w = Window.partitionBy(document).orderBy("at", "action_id")
+    altered = F.col("action") != F.coalesce(F.lag("action").over(w), F.lit("REOPEN"))
+    judged = actions.withColumn("_altered", altered)
+    return judged.groupBy(document).agg(F.max_by(F.struct("action_id", "action"), F.struct("at", "action_id")).alias("_last"), F.count_if("_altered").alias("changes")).select(document, "_last.action_id", F.when(F.col("_last.action") == "MARK", "REVIEWED").otherwise("IN_REVIEW").alias("status"), "changes")
+
+
 def reopened(documents: DataFrame, asked: DataFrame) -> DataFrame:
     """Documents after requests (document_id) to reopen them: reviewed ones are in review again, without time, reviewer and run; newly says which."""
     d = documents.join(asked.select("document_id", F.lit(True).alias("_asked")).distinct(), "document_id", "left").withColumn("newly", F.coalesce("_asked", F.lit(False)) & (F.col("review_status") == "REVIEWED"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.normal import same_value
@@ -91,6 +91,33 @@ def calibration_counts(deltas: DataFrame, scope: list[str], order: list[str]) ->
     return lookup(a, e, [], scope)
 
 
+_SUMS = {"accept": "accept_delta", "edit": "edit_delta"}
+
+
+def calibration_state(deltas: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+    """Deltas per scope in a form that further deltas can be added to: rows (*scope, accept_sum, accept_low, edit_sum, edit_low), low the lowest running sum, 0 at most.
+
+    Counts that never fall below 0 depend on the order of all deltas, so counts alone can't take a later retraction right; the sum and its lowest point can, for
+    those of two stretches, one after the other, give those of both.
+    """
+    w = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = deltas.withColumns({f"_{k}": F.sum(c).over(w) for k, c in _SUMS.items()})
+    return run.groupBy(*scope).agg(*(x for k, c in _SUMS.items() for x in (F.sum(c).cast("long").alias(f"{k}_sum"), F.least(F.lit(0), F.min(f"_{k}")).cast("long").alias(f"{k}_low"))))
+
+
+def added_state(earlier: DataFrame, later: DataFrame, scope: list[str]) -> DataFrame:
+    """The state of two stretches of deltas, the first before the second: one row per scope of each side is all that is read. Null scopes match."""
+    both = earlier.withColumn("_at", F.lit(0)).unionByName(later.withColumn("_at", F.lit(1)))
+    part = lambda c, at: F.coalesce(F.sum(F.when(F.col("_at") == at, F.col(c))), F.lit(0))
+    out = [x for k in _SUMS for x in ((part(f"{k}_sum", 0) + part(f"{k}_sum", 1)).alias(f"{k}_sum"), F.least(part(f"{k}_low", 0), part(f"{k}_sum", 0) + part(f"{k}_low", 1)).alias(f"{k}_low"))]
+    return both.groupBy(*scope).agg(*out)
+
+
+def state_counts(state: DataFrame, scope: list[str]) -> DataFrame:
+    """Rows (*scope, accept_count, edit_count): what applying all deltas in order, with a floor of 0 after each, has come to."""
+    return state.select(*scope, *((F.col(f"{k}_sum") - F.col(f"{k}_low")).alias(f"{k}_count") for k in _SUMS))
+
+
 def calibrated(fields: DataFrame, counts: DataFrame, keys: list[str], null_keys: list[str]) -> DataFrame:
     """Fields with the adjustment that past reviews of their context give: one join for all fields, null mappings matching null."""
     joined = lookup(fields, counts.select(*keys, *null_keys, "accept_count", "edit_count"), keys, null_keys)

@@ -118,3 +118,8 @@ def vocabulary_suggestions(candidates: DataFrame, most: int = 5, detected_most:
     seen = seen.groupBy("document_id", "key", word(F.col("value")).alias("_w")).agg(F.min_by("value", "seq").alias("value"), F.max("confidence").alias("confidence"), F.min("seq").alias("seq")).drop("_w")
     seen = top(seen, ["document_id", "key"], [F.desc_nulls_last("confidence"), F.asc("seq")], detected_most).withColumn("section", F.lit("detected"))
     return good.unionByName(seen).select("document_id", "key", "section", "value", "confidence", "rank")
+
+
+def slot_summary(rows: DataFrame, slot: str, critical: Column, member: str, day: str) -> DataFrame:
+    """Rows (slot, critical, members, last_day): a slot is critical if any of its rows is; its distinct members and last day."""
+    return rows.groupBy(slot).agg(F.bool_or(critical).alias("critical"), F.countDistinct(member).alias("members"), F.date_format(F.max(day), "yyyy-MM-dd").alias("last_day"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import normal, scores, text, validators
-from docloom.operators import clauses, keyed, mining, observe, quality_gate, record, review, state, view, visit_chart, visits
-from docloom.sources.files import object_payload, split_uploads, table
+from docloom.operators import clauses, edit_chain, keyed, mining, observe, quality_gate, record, review, state, view, visit_chart, visits, web_addresses
+from docloom.sources.files import object_payload, read_raw_texts, split_uploads, table, write_raw_texts
+from docloom.sources.scratch import shared_dir
+from docloom.streaming import merge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,7 +102,7 @@ def document_status(spark, d):
 
 @query("SELECT event_type AS status, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (value > 50) AS large FROM events GROUP BY event_type")
 def status_rollup(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("value") > 50).alias("large"))
+    return observe.rollup(table(spark, d, "events").withColumnRenamed("event_type", "status"), "status", "user_id", F.col("value") > 50)
 
 
 @query("SELECT DISTINCT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'error')")
@@ -108,12 +111,13 @@ def users_without_error(spark, d):
     return keyed.without(table(spark, d, "customer").select("c_custkey"), bad, ["c_custkey"])
 
 
-@query(f"""WITH r AS (SELECT *, {_STATE_SQL} AS state FROM events), q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM r WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup'))
+@query("""WITH q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 200))
 SELECT user_id AS document_id, event_id AS run_id FROM q WHERE k = 1 ORDER BY ts, event_id LIMIT 10""")
 def queue_head(spark, d):
-    named = {"view": "QUEUED", "signup": "RUNNING"}
-    e = table(spark, d, "events").filter(F.col("event_type").isin(*named))
-    runs = e.select(F.col("user_id").alias("document_id"), F.col("event_id").alias("run_id"), F.col("ts").alias("created_at"), F.when(F.col("event_type") == "view", "QUEUED").otherwise("RUNNING").alias("state"))
+    """Views are queued runs, signups of a large value going ones, which block some users and not others."""
+    e = table(spark, d, "events")
+    of = F.when(F.col("event_type") == "view", "QUEUED").when((F.col("event_type") == "signup") & (F.col("value") > 200), "RUNNING")
+    runs = e.select(F.col("user_id").alias("document_id"), F.col("event_id").alias("run_id"), F.col("ts").alias("created_at"), of.alias("state")).filter("state is not null")
     return state.startable(runs).select("document_id", "run_id")
 
 
@@ -147,10 +151,12 @@ def page_list(spark, d):
     return keyed.page(joined, [F.desc("o_orderdate"), F.desc("o_orderkey")], 50, 1).select("o_orderkey", "c_name", "o_orderstatus")
 
 
-@query("SELECT event_id, user_id, CASE WHEN event_type = 'purchase' THEN 'REVIEWED' ELSE 'IN_REVIEW' END AS review FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type IN ('purchase', 'error')) WHERE r = 1")
+@query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, event_type <> coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'error') AS altered FROM events WHERE event_type IN ('purchase', 'error'))
+SELECT max(event_id) FILTER (r = 1) AS event_id, user_id, CASE WHEN max(event_type) FILTER (r = 1) = 'purchase' THEN 'REVIEWED' ELSE 'IN_REVIEW' END AS review, count(*) FILTER (altered) AS changes FROM a GROUP BY user_id""")
 def review_transitions(spark, d):
     e = table(spark, d, "events").filter(F.col("event_type").isin("purchase", "error"))
-    return keyed.latest(e.select("event_id", "user_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", F.when(F.col("event_type") == "purchase", "REVIEWED").otherwise("IN_REVIEW").alias("review"))
+    actions = e.select("user_id", F.col("event_id").alias("action_id"), F.when(F.col("event_type") == "purchase", "MARK").otherwise("REOPEN").alias("action"), F.col("ts").alias("at"))
+    return review.review_states(actions, "user_id").select(F.col("action_id").alias("event_id"), "user_id", F.col("status").alias("review"), "changes")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN json_extract_string(props, '$.k')::BIGINT > 50 THEN 'applied' ELSE 'pending' END AS status FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
@@ -213,6 +219,11 @@ def _fields(spark, d):
     return f.withColumn("status", F.when((F.col("field") == "segment") & (F.col("value") == "MACHINERY"), "rejected").otherwise(F.col("status"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.7)))
 
 
+def _named_fields(spark, d):
+    """The same fields, segments as species and balances as sexes, which are suspicious as such."""
+    return _fields(spark, d).withColumn("field", F.when(F.col("field") == "segment", "species").when(F.col("field") == "balance", "sex").otherwise(F.col("field")))
+
+
 @query(f"WITH {_FIELDS_SQL} SELECT run, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'accepted' AND confidence < 0.6) AS low, count(*) FILTER (status = 'accepted' AND confidence >= 0.6 AND confidence < 0.8) AS mid, count(*) FILTER (status = 'accepted' AND confidence >= 0.8) AS high, count(*) AS total FROM g GROUP BY run")
 def snapshot_counts(spark, d):
     return observe.snapshot_counts(_fields(spark, d), ["run"])
@@ -220,9 +231,9 @@ def snapshot_counts(spark, d):
 
 @query(f"""WITH {_FIELDS_SQL}, recent AS (SELECT * FROM g WHERE run IN (SELECT run FROM (SELECT c_custkey AS run, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY c_custkey DESC) AS r FROM customer) WHERE r <= 20)),
 u AS (SELECT doc, key, value, row_number() OVER (PARTITION BY doc, key ORDER BY count(*) DESC, min(run)) AS r FROM recent WHERE status = 'accepted' GROUP BY doc, key, value)
-SELECT a.doc, a.key AS field, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'accepted') AS accepted, max(u.value) AS usual FROM recent a LEFT JOIN (SELECT * FROM u WHERE r = 1) u ON u.doc = a.doc AND u.key = a.key GROUP BY a.doc, a.key""")
+SELECT a.doc, a.key2 AS field, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'accepted' AND key2 IN ('species', 'sex')) AS suspicious, round_even(avg(confidence) FILTER (status = 'accepted'), 2) AS mean_confidence, max(u.value) AS usual FROM (SELECT *, CASE key WHEN 'segment' THEN 'species' WHEN 'balance' THEN 'sex' ELSE key END AS key2 FROM recent) a LEFT JOIN (SELECT * FROM u WHERE r = 1) u ON u.doc = a.doc AND u.key = a.key GROUP BY a.doc, a.key, a.key2""")
 def field_report(spark, d):
-    return observe.field_report(_fields(spark, d), "doc", ["run"]).drop("mean_confidence")
+    return observe.field_report(_named_fields(spark, d), "doc", ["run"])
 
 
 @query(f"WITH {_FIELDS_SQL}, m AS (SELECT doc, key, count(*) FILTER (status = 'missing') AS missing FROM g GROUP BY doc, key) SELECT doc, key AS field, missing, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY missing DESC, key) AS r FROM m WHERE missing > 0) WHERE r <= 10")
@@ -230,21 +241,38 @@ def most_missing_fields(spark, d):
     return observe.most_missing(observe.field_report(_fields(spark, d), "doc", ["run"], 10**6), "doc").select("doc", "field", "missing", "rank")
 
 
-@query(f"WITH {_FIELDS_SQL} SELECT run, coalesce(string_agg(key, ',' ORDER BY key) FILTER (status = 'missing'), '') AS missing, coalesce(string_agg(key, ',' ORDER BY key) FILTER (status = 'rejected'), '') AS rejected FROM g GROUP BY run")
+@query(f"""WITH {_FIELDS_SQL}, h AS (SELECT *, CASE key WHEN 'segment' THEN 'species' WHEN 'balance' THEN 'sex' ELSE key END AS field FROM g) SELECT run, coalesce(string_agg(field, ',' ORDER BY field) FILTER (status = 'missing'), '') AS missing, coalesce(string_agg(field, ',' ORDER BY field) FILTER (status = 'rejected'), '') AS rejected,
+coalesce(string_agg(field || ':' || field || '_outside_allowed_set', ',' ORDER BY field) FILTER (status = 'accepted' AND field IN ('species', 'sex')), '') AS suspicious FROM h GROUP BY run""")
 def triage_lists(spark, d):
-    return observe.triage(_fields(spark, d), ["run"]).select("run", "missing", "rejected")
-
-
-@query("""WITH x AS (SELECT p_partkey, p_partkey % 3 AS k, CASE p_partkey % 3 WHEN 0 THEN p_size::VARCHAR || CASE WHEN p_partkey % 2 = 0 THEN ' lb' ELSE ' kg' END WHEN 1 THEN p_size::VARCHAR || '0000000' || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE '' END ELSE p_type END AS v FROM part)
-SELECT p_partkey, CASE k WHEN 0 THEN concat_ws(',', CASE WHEN v LIKE '%lb' THEN 'weight_contains_non_kg_letters' END, CASE WHEN regexp_extract(v, '[0-9]+')::DOUBLE < 0.5 OR regexp_extract(v, '[0-9]+')::DOUBLE > 120 THEN 'weight_out_of_range' END)
-WHEN 1 THEN concat_ws(',', CASE WHEN regexp_matches(v, '[a-z]') THEN 'microchip_contains_letters' END, CASE WHEN length(v) NOT BETWEEN 9 AND 15 THEN 'microchip_length_out_of_range' END, CASE WHEN regexp_matches(v, '[^0-9]') THEN 'microchip_non_digit_characters' END, CASE WHEN length(regexp_replace(v, '[^0-9]', '', 'g')) = 9 AND regexp_matches(v, '^[6-9]') THEN 'microchip_phone_like_digits' END)
-ELSE 'species_outside_allowed_set' END AS flags FROM x""")
+    return observe.triage(_named_fields(spark, d), ["run"])
+
+
+@query("""WITH x AS (SELECT p_partkey, p_partkey % 10 AS k, p_partkey % 20 >= 10 AS odd, p_size AS z, p_type AS t, lpad(p_size::VARCHAR, 2, '0') AS zz FROM part),
+y AS (SELECT *, CASE k WHEN 0 THEN z || CASE WHEN odd THEN ' lb' ELSE ' kg' END WHEN 1 THEN z || '0000000' || CASE WHEN odd THEN 'x' ELSE '' END WHEN 2 THEN t WHEN 3 THEN CASE WHEN odd THEN 'macho' ELSE t END WHEN 4 THEN CASE WHEN odd THEN z::VARCHAR ELSE 'Datos' END
+ WHEN 5 THEN CASE WHEN odd THEN 'Clinica ' || t ELSE z::VARCHAR END WHEN 6 THEN CASE WHEN odd THEN 'Calle Mayor ' || z ELSE 'tel 9' || zz || '000000' END WHEN 7 THEN CASE WHEN odd THEN 'Calle Sol ' || zz ELSE t END WHEN 8 THEN CASE WHEN odd THEN '01/01/' || (1950 + z) ELSE '05/06/' || (2000 + z) END ELSE repeat('n', 2 * z) END AS v FROM x)
+SELECT p_partkey, CASE k WHEN 0 THEN concat_ws(',', CASE WHEN odd THEN 'weight_contains_non_kg_letters' END, CASE WHEN z < 0.5 OR z > 120 THEN 'weight_out_of_range' END)
+WHEN 1 THEN concat_ws(',', CASE WHEN odd THEN 'microchip_contains_letters' END, CASE WHEN length(v) NOT BETWEEN 9 AND 15 THEN 'microchip_length_out_of_range' END, CASE WHEN odd THEN 'microchip_non_digit_characters' END, CASE WHEN length(z::VARCHAR) = 2 AND z >= 60 THEN 'microchip_phone_like_digits' END)
+WHEN 2 THEN 'species_outside_allowed_set' WHEN 3 THEN CASE WHEN odd THEN '' ELSE 'sex_outside_allowed_set' END
+WHEN 4 THEN CASE WHEN odd THEN concat_ws(',', 'pet_name_numeric_only', CASE WHEN length(v) <= 1 THEN 'pet_name_too_short' END) ELSE 'pet_name_is_stopword' END
+WHEN 5 THEN CASE WHEN odd THEN '' ELSE concat_ws(',', 'clinic_name_numeric_only', CASE WHEN length(v) <= 2 THEN 'clinic_name_too_short' END, 'clinic_name_missing_institution_token') END
+WHEN 6 THEN CASE WHEN odd THEN '' ELSE 'clinic_address_contains_phone_token,clinic_address_contains_phone_number' END
+WHEN 7 THEN CASE WHEN odd THEN CASE WHEN v = 'Calle Sol 07' THEN 'owner_address_matches_clinic_address' ELSE '' END ELSE concat_ws(',', CASE WHEN length(v) < 10 THEN 'owner_address_too_short' END, 'owner_address_no_address_tokens') END
+WHEN 8 THEN CASE WHEN odd THEN CASE WHEN (DATE '2024-01-01' - make_date(1950 + z, 1, 1)) / 365.25 > 40 THEN 'dob_implausibly_old' ELSE '' END ELSE concat_ws(',', CASE WHEN 2000 + z >= 2024 THEN 'dob_future_date' END, CASE WHEN z = 20 THEN 'dob_matches_visit_date' END) END
+ELSE CASE WHEN 2 * z > 80 THEN 'value_too_long' ELSE '' END END AS flags FROM y""")
 def validator_flags(spark, d):
-    k, odd = F.col("p_partkey") % 3, F.col("p_partkey") % 2 == 0
-    v = F.when(k == 0, F.concat(F.col("p_size").cast("string"), F.when(odd, " lb").otherwise(" kg"))).when(k == 1, F.concat(F.col("p_size").cast("string"), F.lit("0000000"), F.when(odd, "x").otherwise(""))).otherwise(F.col("p_type"))
-    field = F.when(k == 0, "weight").when(k == 1, "microchip_id").otherwise("species")
-    none = F.lit(None).cast("string")
-    return table(spark, d, "part").select("p_partkey", F.array_join(validators.suspicious(field, v, none, none, F.lit("2024-01-01").cast("date")), ",").alias("flags"))
+    """A value of each kind of field for every part, right and wrong ones."""
+    k, odd, z, t = F.col("p_partkey") % 10, F.col("p_partkey") % 20 >= 10, F.col("p_size").cast("string"), F.col("p_type")
+    two, or_ = F.lpad(z, 2, "0"), lambda a, b: F.when(odd, a).otherwise(b)
+    c = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    year = lambda base: (F.lit(base) + F.col("p_size")).cast("string")
+    values = [
+        ("weight", c(z, or_(" lb", " kg"))), ("microchip_id", c(z, "0000000", or_("x", ""))), ("species", t), ("sex", or_("macho", t)), ("pet_name", or_(z, "Datos")), ("clinic_name", or_(c("Clinica ", t), z)), ("clinic_address", or_(c("Calle Mayor ", z), c("tel 9", two, "000000"))),
+        ("owner_address", or_(c("Calle Sol ", two), t)), ("dob", or_(c("01/01/", year(1950)), c("05/06/", year(2000)))), ("notes", F.repeat(F.lit("n"), 2 * F.col("p_size"))),
+    ]
+    field, v = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, value) in enumerate(values):
+        field, v = F.when(k == i, name).otherwise(field), F.when(k == i, value).otherwise(v)
+    return table(spark, d, "part").select("p_partkey", F.array_join(validators.suspicious(field, v, F.lit("Calle Sol 07"), F.lit("05/06/2020"), F.lit("2024-01-01").cast("date")), ",").alias("flags"))
 
 
 @query("""WITH x AS (SELECT o_orderkey, o_orderkey % 4 AS k, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN (o_orderkey % 200)::VARCHAR || ' kg' WHEN 2 THEN o_orderpriority ELSE o_orderkey::VARCHAR END AS v, o_orderdate FROM orders)
@@ -403,8 +431,8 @@ def best_slot_candidate(spark, d):
 SELECT doc_id, line_no::INT AS line_no, length(line)::INT AS size, lag(length(line)) OVER (PARTITION BY doc_id ORDER BY line_no)::INT AS before, max(length(line)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING)::INT AS after FROM l""")
 def line_context(spark, d):
     rows = text.lines(table(spark, d, "documents"), "text", "doc_id").withColumn("size", F.length("line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    return rows.select("doc_id", "line_no", "size", F.lag("size").over(w).alias("before"), F.max("size").over(w.rowsBetween(1, 8)).alias("after"))
+    near = lambda first, last: F.max("size").over(text.line_window(first, last, "doc_id"))
+    return rows.select("doc_id", "line_no", "size", near(-1, -1).alias("before"), near(1, 8).alias("after"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}|\d{4}[/.\-]\d{1,2}[/.\-]\d{1,2})\b')) AS token FROM documents), n AS (SELECT doc_id, token, string_split(translate(token, '-.', '//'), '/') AS p FROM t),
@@ -541,9 +569,8 @@ def sanitised_confidences(spark, d):
 @query("""WITH a AS (SELECT l_partkey AS k, count(*) AS churn FROM lineitem GROUP BY l_partkey), b AS (SELECT p_partkey AS k, max(p_size) AS complexity FROM part WHERE p_size > 25 GROUP BY p_partkey)
 SELECT coalesce(a.k, b.k) AS k, coalesce(churn, 0) AS churn, coalesce(complexity, 0) AS complexity FROM a FULL JOIN b ON a.k = b.k""")
 def hotspot_signals(spark, d):
-    a = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("churn"))
-    b = table(spark, d, "part").filter("p_size > 25").groupBy(F.col("p_partkey").alias("k")).agg(F.max("p_size").alias("complexity"))
-    return a.join(b, "k", "full").select("k", F.coalesce("churn", F.lit(0)).alias("churn"), F.coalesce("complexity", F.lit(0)).alias("complexity"))
+    sizes = table(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("complexity"))
+    return observe.hotspots(table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")), sizes, "k")
 
 
 @query("""SELECT user_id, max(CASE WHEN ts <= TIMESTAMP '2024-01-20' THEN ts END)::DATE::VARCHAR AS latest FROM events WHERE event_type = 'view' GROUP BY user_id""")
@@ -669,6 +696,99 @@ def refused_payload_parts(spark, d):
     return visit_chart.parsed_visits(_stored(spark, d))[2]
 
 
+# ---- edits in chains, calibration by increments, stores, streams
+
+_CHAIN = """e AS (SELECT o_custkey AS d, o_orderkey AS batch, row_number() OVER w AS i, 1 + coalesce(count(*) FILTER (o_orderkey % 5 <> 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'UPDATE' WHEN o_orderkey % 11 = 0 THEN 'DELETE' WHEN o_orderkey % 13 = 0 THEN 'ADD' ELSE 'UPDATE' END AS op, CASE WHEN o_orderkey % 5 = 0 THEN '-1' ELSE o_custkey::VARCHAR END AS field, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderpriority END AS value FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+r AS (SELECT c_custkey AS d, 0::BIGINT AS i, 1::BIGINT AS version, c_name AS value, true AS has, NULL::BIGINT AS batch, NULL::VARCHAR AS old, NULL::VARCHAR AS op, NULL::VARCHAR AS error, NULL::BIGINT AS base FROM customer
+ UNION ALL SELECT d, i, CASE WHEN error IS NULL THEN version + 1 ELSE version END, CASE WHEN error IS NOT NULL THEN old WHEN op = 'DELETE' THEN NULL ELSE value END, CASE WHEN error IS NOT NULL THEN has WHEN op = 'DELETE' THEN false ELSE true END, batch, old, op, error, base
+ FROM (SELECT r.d, e.i, r.version, r.has, r.value AS old, e.value, e.batch, e.op, e.base, CASE WHEN e.base <> r.version THEN 'BASE_VERSION_MISMATCH' WHEN e.field = '-1' OR (e.op <> 'ADD' AND NOT r.has) THEN 'FIELD_NOT_FOUND' WHEN e.op = 'ADD' AND r.has THEN 'FIELD_EXISTS' END AS error FROM r JOIN e ON e.d = r.d AND e.i = r.i + 1))"""
+
+
+def _chained(spark, d):
+    """A batch per order with one edit of its customer's name, made on the version that it would be if no earlier one but those of an unknown field had failed."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    before = F.count_if(k % 5 != 0).over(Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1))
+    op = F.when(k % 5 == 0, "UPDATE").when(k % 11 == 0, "DELETE").when(k % 13 == 0, "ADD").otherwise("UPDATE")
+    edits = o.select(F.col("o_custkey").alias("document_id"), k.alias("batch"), (F.lit(1) + F.coalesce(before, F.lit(0))).alias("version"), F.lit(0).alias("seq"), op.alias("op"), F.when(k % 5 == 0, "-1").otherwise(F.col("o_custkey").cast("string")).alias("field_id"), F.when(k % 3 == 0, F.col("o_orderstatus")).otherwise(F.col("o_orderpriority")).alias("value"), F.lit("string").alias("kind"))
+    fields = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.col("c_custkey").alias("field_id"), F.lit(1).alias("version"), F.col("c_name").alias("value"))
+    return edit_chain.apply_edit_chain(fields, edits)
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT batch, version::INT AS version, op, old AS old_value, CASE WHEN op <> 'DELETE' THEN value END AS new_value FROM r WHERE i > 0 AND error IS NULL AND NOT (op = 'UPDATE' AND trim(old) = trim(value))")
+def edit_chain_log(spark, d):
+    return _chained(spark, d)[1].select("batch", "version", "op", "old_value", "new_value")
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT d::VARCHAR AS document_id, version::INT AS version, value FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY i DESC) AS k FROM r) WHERE k = 1 AND has")
+def edit_chain_fields(spark, d):
+    return _chained(spark, d)[0].select("document_id", "version", "value")
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT d::VARCHAR AS document_id, batch, base::INT AS version, error FROM r WHERE error IS NOT NULL")
+def edit_chain_refused(spark, d):
+    return _chained(spark, d)[2]
+
+
+_RETRACTIONS = """x AS (SELECT user_id, event_id, (event_type = 'view')::INT AS a, (event_type = 'click')::INT AS e, ts AS tm, 0 AS k FROM events WHERE event_type IN ('view', 'click')
+ UNION ALL SELECT user_id, event_id, -(event_type = 'view')::INT, -(event_type = 'click')::INT, CASE WHEN value > 60 THEN ts - INTERVAL 6 HOUR ELSE ts + INTERVAL 6 HOUR END, 1 FROM events WHERE event_type IN ('view', 'click') AND value > 30)"""
+
+
+@query(f"""WITH {_RETRACTIONS}, y AS (SELECT *, sum(a) OVER w AS ra, sum(e) OVER w AS re FROM x WINDOW w AS (PARTITION BY user_id ORDER BY tm, event_id, k ROWS UNBOUNDED PRECEDING))
+SELECT user_id, (sum(a) - least(0, min(ra)))::BIGINT AS accept_count, (sum(e) - least(0, min(re)))::BIGINT AS edit_count FROM y GROUP BY user_id""")
+def calibration_increments(spark, d):
+    """Counts kept up in four increments of deltas and retractions, some of which come before what they take back; the SQL counts anew over all."""
+    e = table(spark, d, "events").filter(F.col("event_type").isin("view", "click"))
+    deltas = e.select("user_id", "event_id", F.col("event_id").alias("snapshot_id"), (F.col("event_type") == "view").cast("int").alias("accept_delta"), (F.col("event_type") == "click").cast("int").alias("edit_delta"), F.col("ts").alias("at"), "value")
+    undone = deltas.filter("value > 30").select("snapshot_id", F.lit("reverted").alias("status"))
+    late = F.when(F.col("value") > 60, F.expr("at - INTERVAL 6 HOUR")).otherwise(F.expr("at + INTERVAL 6 HOUR"))
+    back = state.reverted(deltas, undone).withColumn("at", late)
+    every = deltas.withColumn("k", F.lit(0)).unionByName(back.withColumn("k", F.lit(1))).withColumn("day", F.date_format("at", "yyyy-MM-dd"))
+    scope, held = ["user_id"], None
+    for first, past in (("", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22"), ("2024-01-22", "9")):
+        new = state.calibration_state(every.filter((F.col("day") >= first) & (F.col("day") < past)), scope, ["at", "event_id", "k"])
+        held = new if held is None else state.added_state(held, new, scope)
+    return state.state_counts(held, scope)
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def event_log_latest(spark, d):
+    """The latest event of each user, kept by a stream over the events; it is run twice, and the second run finds nothing new."""
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).select(*events.columns)
+    path = f"{shared_dir(spark).rstrip('/')}/event-log-{uuid.uuid4().hex}"
+    keys, order = ["user_id"], ["ts", "event_id"]
+    for _ in range(2):
+        merge.keep_latest(stream, f"{path}/log", f"{path}/checkpoint", keys, order)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
+    return merge.current(spark, f"{path}/log", keys, order, schema).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT conv_id::VARCHAR AS document_id, turn::VARCHAR AS run_id, CASE WHEN role = 'user' THEN md5(text) END AS digest FROM conversations")
+def raw_text_store(spark, d):
+    """Texts written to the store, and all turns with what the store has for them: those of users."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("string").alias("run_id"), "role", "text")
+    path = f"{shared_dir(spark).rstrip('/')}/texts-{uuid.uuid4().hex}"
+    write_raw_texts(c.filter("role = 'user'"), path)
+    return read_raw_texts(spark, path, c.select("document_id", "run_id")).select("document_id", "run_id", F.md5("text").alias("digest"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Calle ' || c_name || ' , ' || (c_custkey % 200 + 1) || ', ' || (28000 + c_custkey % 1000) || ' Madrid' WHEN 1 THEN 'Edificio ' || c_mktsegment || ' & hijos, ' || (28000 + c_custkey % 1000) END AS address FROM customer""")
+def snippet_addresses(spark, d):
+    """Addresses out of a snippet of markup for each customer: after a street's word, after a label, and none. A tag is a blank."""
+    k, c = F.col("c_custkey"), F.concat
+    post, m = (F.lit(28000) + k % 1000).cast("string"), k % 3
+    direct = c(F.lit("Hospital <b>Sol</b>&nbsp;Calle <i>"), F.col("c_name"), F.lit("</i>,  "), (k % 200 + 1).cast("string"), F.lit(", "), post, F.lit(" Madrid Tel&eacute;fono 91 000 00 00"))
+    label = c(F.lit("Direcci&oacute;n: Edificio "), F.col("c_mktsegment"), F.lit(" &amp; hijos, "), post, F.lit(" Horario: 9 a 20."))
+    return web_addresses.snippet_addresses(table(spark, d, "customer").select("c_custkey", F.when(m == 0, direct).when(m == 1, label).otherwise(F.col("c_name")).alias("snippet")), "c_custkey", "snippet")
+
+
+@query()
+def page_addresses(spark, d):
+    """The first address that each page shows; tests hold it against worked pages."""
+    return web_addresses.page_addresses(table(spark, d, "pages"))
+
+
 # ---- the reader's view
 
 @query("""WITH f AS (SELECT l_suppkey AS d, l_returnflag || l_linestatus AS k, min(CASE WHEN l_quantity / 50 < 0.5 THEN 0 WHEN l_quantity / 50 < 0.75 THEN 1 ELSE 2 END) AS r FROM lineitem GROUP BY l_suppkey, l_returnflag || l_linestatus)
@@ -720,4 +840,5 @@ def validated_grid(spark, d):
 
 @query("""SELECT l_partkey, bool_or(l_returnflag = 'R') AS critical, count(DISTINCT l_suppkey) AS suppliers, max(l_shipdate)::DATE::VARCHAR AS last_ship FROM lineitem GROUP BY l_partkey""")
 def slot_criticality(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("critical"), F.countDistinct("l_suppkey").alias("suppliers"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("last_ship"))
+    li = view.slot_summary(table(spark, d, "lineitem"), "l_partkey", F.col("l_returnflag") == "R", "l_suppkey", "l_shipdate")
+    return li.select("l_partkey", "critical", F.col("members").alias("suppliers"), F.col("last_day").alias("last_ship"))

@@ -26,15 +26,51 @@ def split_uploads(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter("error is null").drop("error"), judged.filter("error is not null")
 
 
-def write_raw_texts(texts: DataFrame, path: str) -> None:
-    """Append texts (document_id, run_id, text), in folders by document and run."""
-    texts.write.partitionBy("document_id", "run_id").mode("append").parquet(path)
+#: Folders of a store of texts or files, by a hash of the document.
+BUCKETS = 256
 
 
-def read_raw_texts(spark: SparkSession, path: str, runs: DataFrame) -> DataFrame:
+def bucket_of(document_id: Column, buckets: int = BUCKETS) -> Column:
+    """The folder of a document; of a literal id the optimizer makes a constant, by which folders are left out."""
+    return F.pmod(F.xxhash64(document_id.cast("string")), F.lit(buckets)).cast("int")
+
+
+def _stored(rows: DataFrame, path: str, files: int | None, buckets: int) -> None:
+    placed = rows.withColumn("bucket", bucket_of(F.col("document_id"), buckets))
+    n = files or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [c for c in ("bucket", "document_id", "run_id") if c in placed.columns]
+    placed.repartitionByRange(n, *order).sortWithinPartitions(*order).write.partitionBy("bucket").mode("append").parquet(path)
+
+
+def write_raw_texts(texts: DataFrame, path: str, files: int | None = None, buckets: int = BUCKETS) -> None:
+    """Append texts (document_id, run_id, text). Rows are dealt out by ranges of (bucket, document, run), so that an append makes no more than files + buckets files, however many
+    documents and runs, and each file holds a narrow range of documents, which its statistics tell."""
+    _stored(texts.select("document_id", "run_id", "text"), path, files, buckets)
+
+
+def read_raw_texts(spark: SparkSession, path: str, runs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Runs with their text; null where there is none."""
-    stored = spark.read.schema("text string, document_id string, run_id string").parquet(path)
-    return runs.join(stored, ["document_id", "run_id"], "left")
+    stored = spark.read.schema("document_id string, run_id string, text string, bucket int").parquet(path)
+    asked = runs.withColumn("bucket", bucket_of(F.col("document_id"), buckets))
+    return asked.join(stored, ["bucket", "document_id", "run_id"], "left").select(*runs.columns, "text")
+
+
+def lookup_raw_text(spark: SparkSession, path: str, document_id: str, run_id: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """A document's stored texts (of one run, if given): one bucket is listed and read, and of its files only those whose range holds the document."""
+    stored = spark.read.schema("document_id string, run_id string, text string, bucket int").parquet(path)
+    found = stored.filter((F.col("bucket") == bucket_of(F.lit(document_id), buckets)) & (F.col("document_id") == document_id))
+    return (found if run_id is None else found.filter(F.col("run_id") == run_id)).drop("bucket")
+
+
+def write_originals(files: DataFrame, path: str, tasks: int | None = None, buckets: int = BUCKETS) -> None:
+    """Append original files (document_id, filename, content) in the layout of texts; content is bytes."""
+    _stored(files.select("document_id", "filename", "content"), path, tasks, buckets)
+
+
+def lookup_original(spark: SparkSession, path: str, document_id: str, buckets: int = BUCKETS) -> DataFrame:
+    """A document's original file."""
+    stored = spark.read.schema("document_id string, filename string, content binary, bucket int").parquet(path)
+    return stored.filter((F.col("bucket") == bucket_of(F.lit(document_id), buckets)) & (F.col("document_id") == document_id)).drop("bucket")
 
 
 def append_artifacts(rows: DataFrame, path: str) -> None:
