@@ -46,6 +46,12 @@ def blank_to_null(x: Column) -> Column:
     return F.nullif(F.trim(x), F.lit(""))
 
 
+def is_empty(x: Column, kind: str) -> Column:
+    """Whether a value of a type (as DataFrame.dtypes names it) is none: null, a blank text, an empty list or map."""
+    full = F.size(x) > 0 if kind.startswith(("array", "map")) else F.trim(x) != "" if kind == "string" else x.isNotNull()
+    return ~F.coalesce(full, F.lit(False))
+
+
 def shorten(x: Column, most: int) -> Column:
     """At most so many characters, the last an ellipsis where text was cut."""
     return F.when(F.length(x) > most, F.concat(F.rtrim(F.substring(x, 1, most - 1)), F.lit("…"))).otherwise(x)

@@ -83,6 +83,24 @@ def intervals(df: DataFrame, keys: Sequence[str], order: str, end: Column) -> Da
     return df.withColumn("stop", F.coalesce(F.lead(order).over(Window.partitionBy(*keys).orderBy(order)), end))
 
 
+def enclosed(df: DataFrame, marks: DataFrame, keys: Sequence[str], place: str, mark: str) -> DataFrame:
+    """Each row with the last mark of its key at or before its place and the first after it: both sides of an as-of match from one sort of rows and marks
+    together, so that no pairs are made. Null where there is none."""
+    rows = df.select(*keys, F.col(place).alias("_p"), F.lit(1).alias("_row_first"), F.struct(*df.columns).alias("_row"))
+    ends = marks.select(*keys, F.col(mark).alias("_p"), F.lit(0).alias("_row_first"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    at = F.when(F.col("_row").isNull(), F.col("_p"))
+    w = Window.partitionBy(*keys).orderBy("_p", "_row_first")
+    both = ends.unionByName(rows).withColumns({"_before": F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_after": F.first(at, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    return both.filter("_row is not null").select("_row.*", F.col("_before").alias("begins"), F.col("_after").alias("ends"))
+
+
+def count_deltas(df: DataFrame, keys: Sequence[str], order: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """Rows with <c>_delta for each count: its change against the row before of the same key; null for the first. A missing count is 0."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    first = F.row_number().over(w) == 1
+    return df.withColumns({f"{c}_delta": F.when(~first, F.coalesce(F.col(c), F.lit(0)) - F.coalesce(F.lag(c).over(w), F.lit(0))) for c in counts})
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], place: str, right_place: str, right_id: str) -> DataFrame:
     """Left rows with the right row of the same key nearest to their place: ties go to the lesser place, then id. Rows without one keep nulls.
 

@@ -18,7 +18,7 @@ from docloom.functions.scores import FALLBACK_CONFIDENCE, LABEL_CONFIDENCE, kept
 from docloom.functions.text import fold, last_index, lines, matches, squeeze, strip
 from docloom.operators import people_places
 from docloom.operators.keyed import first_of, top
-from docloom.sources.scratch import spread, written
+from docloom.sources.scratch import at_most, spread, written
 
 COLUMNS = ("document_id", "key", "seq", "value", "snippet", "confidence", "anchor", "priority", "reason")
 
@@ -162,11 +162,9 @@ def hinted(docs: DataFrame) -> DataFrame:
 
 
 def mine(docs: DataFrame) -> DataFrame:
-    """All candidates of documents (document_id, text) with offset, after acceptance; of equal folded values of a key the first."""
+    """All candidates of documents (document_id, text) with offset, after acceptance; of equal folded values of a key the first. They are written, so that what is built on
+    them doesn't plan the extractors anew."""
     # looked through once and written: each extractor reads the few documents that are left
-    spark, limit = docs.sparkSession, "spark.sql.codegen.hugeMethodLimit"
-    if int(spark.conf.get(limit, "65535")) > 8000:
-        spark.conf.set(limit, "8000")  # longer generated methods aren't compiled by the JVM but interpreted
     docs = written(hinted(spread(docs.select("document_id", "text"))).repartition("document_id"), "hinted")
     every = labelled(docs).unionByName(from_lines(docs)).unionByName(plain_dates(docs)).unionByName(dates(docs))
     every = every.unionByName(windowed(docs, 5, "microchip_id", P.CHIP_WINDOW, digits_of_chip(F.col("v")), LABEL_CONFIDENCE)).unionByName(windowed(docs, 7, "clinical_record_number", P.RECORD_WINDOW, F.trim("v"), LABEL_CONFIDENCE)).unionByName(windowed(docs, 8, "microchip_id", P.CHIP_OCR_WINDOW, digits_of_chip(F.col("v")), FALLBACK_CONFIDENCE))
@@ -178,7 +176,9 @@ def mine(docs: DataFrame) -> DataFrame:
     ok = accepted(every).withColumn("_fold", fold(F.col("value")))
     kept = first_of(ok, ["document_id", "key", "_fold"], [F.asc("seq")]).drop("_fold")
     texts = docs.select("document_id", "text")
-    return kept.withColumn("snippet", F.trim("snippet")).join(texts, "document_id").withColumn("offset", last_index(F.col("text"), F.col("snippet"))).drop("text").withColumn("snippet", F.substring("snippet", 1, 220))
+    placed = kept.withColumn("snippet", F.trim("snippet")).join(texts, "document_id").withColumn("offset", last_index(F.col("text"), F.col("snippet"))).drop("text").withColumn("snippet", F.substring("snippet", 1, 220))
+    with at_most(docs.sparkSession, "spark.sql.codegen.hugeMethodLimit", 8000, 65535):  # longer generated methods aren't compiled by the JVM but interpreted
+        return written(placed, "mined")
 
 
 def rank_keys(c: DataFrame) -> DataFrame:

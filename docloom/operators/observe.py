@@ -51,21 +51,24 @@ def candidate_gaps(report: DataFrame, with_candidates: DataFrame, doc: str) -> D
     return missing.groupBy(doc).agg(F.count_if(F.col("_has").isNotNull()).alias("missing_with_candidates"), F.count_if(F.col("_has").isNull()).alias("missing_without_candidates"))
 
 
-def in_order(report: DataFrame) -> DataFrame:
-    """Field rows as a report lists them: by missing, rejected, suspicious and name, all descending."""
-    return report.orderBy(*(F.desc(c) for c in ("missing", "rejected", "suspicious", "field") if c in report.columns))
+def in_order(report: DataFrame, doc: str) -> DataFrame:
+    """Field rows with their position in the document's report: by missing, rejected, suspicious and name, all descending."""
+    w = Window.partitionBy(doc).orderBy(*(F.desc(c) for c in ("missing", "rejected", "suspicious", "field") if c in report.columns))
+    return report.withColumn("position", F.row_number().over(w))
 
 
 def coverage(best: DataFrame, record: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (document_id, key, status, top1, confidence, line_number) for each document and key: whether the record (document_id, key) has it, the first
-    candidate of best (document_id, key, rank, value, confidence, snippet), and the line of its evidence if accepted."""
-    from docloom.operators.visits import line_of
+    candidate of best (document_id, key, rank, value, confidence, snippet), and the line of its evidence if accepted. A text is joined once, with an array of its candidates; keys are laid out after that."""
+    from docloom.operators.visits import lines_of
 
-    grid = docs.select("document_id", "text", F.explode(F.array(*map(F.lit, keys))).alias("key"))
     top1 = best.filter("rank = 1").select("document_id", "key", F.trim("value").alias("top1"), F.round("confidence", 2).alias("confidence"), "snippet")
+    held = top1.groupBy("document_id").agg(F.collect_list(F.struct("key", "top1", "confidence", "snippet")).alias("held"))
+    placed = docs.select("document_id", "text").join(held, "document_id", "left").select("document_id", F.explode(lines_of(F.col("text"), F.col("held"))).alias("c")).select("document_id", "c.*")
     have = record.select("document_id", "key", F.lit("accepted").alias("status")).distinct()
-    g = grid.join(top1, ["document_id", "key"], "left").join(have, ["document_id", "key"], "left").withColumn("status", F.coalesce("status", F.lit("missing")))
-    return g.select("document_id", "key", "status", "top1", "confidence", F.when(F.col("status") == "accepted", line_of(F.col("text"), F.col("snippet"))).alias("line_number"))
+    grid = docs.select("document_id", F.explode(F.array(*map(F.lit, keys))).alias("key"))
+    g = grid.join(placed, ["document_id", "key"], "left").join(have, ["document_id", "key"], "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+    return g.select("document_id", "key", "status", "top1", "confidence", F.when(F.col("status") == "accepted", F.col("line")).alias("line_number"))
 
 
 def date_choices(best: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.scores import unit
+from docloom.functions.text import is_empty
 from docloom.operators.keyed import latest
 
 # fixed values: order of steps, the contract's name and version
@@ -122,8 +123,7 @@ def shape_errors(present: Column, lists: Column, keys: Sequence[str], repeatable
 def populated_keys(record: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows (document_id, populated): the keys, in order, whose column holds a text that isn't blank or an array that isn't empty."""
     kinds = dict(record.dtypes)
-    full = lambda k: F.size(k) > 0 if kinds[k].startswith("array") else F.trim(k) != ""
-    return record.select("document_id", F.array_compact(F.array(*(F.when(F.coalesce(full(k), F.lit(False)), F.lit(k)) for k in keys))).alias("populated"))
+    return record.select("document_id", F.array_compact(F.array(*(F.when(~is_empty(F.col(k), kinds[k]), F.lit(k)) for k in keys))).alias("populated"))
 
 
 def enqueued(runs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -143,13 +143,15 @@ def created(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return documents, documents.select("document_id", F.lit("UPLOADED").alias("status"), F.col("created_at"))
 
 
-def ordered_steps(groups: DataFrame) -> DataFrame:
-    """Step groups by start (none first), then the pipeline's order, then attempt."""
+def ordered_steps(groups: DataFrame, run: str = "run_id") -> DataFrame:
+    """Step groups with their position in the run: by start (none first), then the pipeline's order, then attempt. Runs are ordered each by itself, never all at once."""
     order = F.create_map(*(F.lit(x) for pair in STEP_ORDER.items() for x in pair))
-    return groups.orderBy(F.coalesce(F.unix_micros("started_at"), F.lit(0)), F.coalesce(order[F.col("step")], F.lit(99)), "attempt")
+    w = Window.partitionBy(run).orderBy(F.coalesce(F.unix_micros("started_at"), F.lit(0)), F.coalesce(order[F.col("step")], F.lit(99)), "attempt")
+    return groups.withColumn("position", F.row_number().over(w))
 
 
 def in_sections(fields: DataFrame, sections: DataFrame, slots: DataFrame) -> DataFrame:
-    """Fields by the order of their section (section, place) and of their slot (key, place): small fixed tables, broadcast; what isn't in them comes last."""
+    """Fields with their position in the document, by the order of their section (section, place) and of their slot (key, place): small fixed tables, broadcast; what isn't in them comes last."""
     f = fields.join(F.broadcast(sections.select("section", F.col("place").alias("_s"))), "section", "left").join(F.broadcast(slots.select("key", F.col("place").alias("_k"))), "key", "left")
-    return f.orderBy(F.coalesce("_s", F.lit(10**6)), F.coalesce("_k", F.lit(10**6)), "key").select(*fields.columns)
+    w = Window.partitionBy("document_id").orderBy(F.coalesce("_s", F.lit(10**6)), F.coalesce("_k", F.lit(10**6)), "key")
+    return f.withColumn("position", F.row_number().over(w)).select(*fields.columns, "position")

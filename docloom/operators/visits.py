@@ -113,14 +113,26 @@ def snippet_dates(snippet: Column) -> Column:
     return F.when(snippet.rlike(P.VISIT_CONTEXT) & ~snippet.rlike(P.NOT_VISIT), F.array_distinct(F.array_compact(found))).otherwise(F.array().cast("array<string>"))
 
 
-def line_of(text: Column, snippet: Column) -> Column:
-    """The number, from 1, of the first line that holds a snippet or is held by it; null if none does or the snippet is blank."""
+def _line_in(rows: Column, snippet: Column) -> Column:
     part = fold(squeeze(snippet))
-    rows = F.transform(F.split(text, LINE_END), lambda x, i: F.struct((i + 1).alias("no"), fold(squeeze(x)).alias("line")))
     hit = F.filter(rows, lambda r: (r["line"] != "") & (F.contains(r["line"], part) | F.contains(part, r["line"])))
     return F.when(part != "", F.try_element_at(hit, F.lit(1))["no"])
 
 
+def _folded_lines(text: Column) -> Column:
+    return F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), lambda x, i: F.struct((i + 1).alias("no"), fold(squeeze(x)).alias("line")))
+
+
+def line_of(text: Column, snippet: Column) -> Column:
+    """The number, from 1, of the first line that holds a snippet or is held by it; null if none does or the snippet is blank."""
+    return _line_in(_folded_lines(text), snippet)
+
+
+def lines_of(text: Column, held: Column) -> Column:
+    """An array of structs with a snippet, each with line, the number of its line; the text is split and folded once for all."""
+    return F.transform(F.array(_folded_lines(text)), lambda rows: F.transform(held, lambda h: F.struct(h["key"].alias("key"), h["top1"].alias("top1"), h["confidence"].alias("confidence"), _line_in(rows, h["snippet"]).alias("line"))))[0]
+
+
 def classified(fields: DataFrame) -> DataFrame:
     """Fields (document_id, key, value, snippet, scope, section) with their part: meta (what all visits have), visit or document.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import normal, scores, text, validators
-from docloom.operators import clauses, edit_chain, keyed, mining, observe, quality_gate, record, review, state, view, visit_chart, visits, web_addresses
+from docloom.operators import clauses, edit_chain, keyed, mining, observe, quality_gate, record, review, review_projection, state, view, visit_chart, visits, web_addresses
 from docloom.sources.files import object_payload, read_raw_texts, split_uploads, table, write_raw_texts
 from docloom.sources.scratch import shared_dir
 from docloom.streaming import merge
@@ -696,6 +696,115 @@ def refused_payload_parts(spark, d):
     return visit_chart.parsed_visits(_stored(spark, d))[2]
 
 
+# ---- clinical cards composed of the tables: a customer is a document, of one of three kinds
+
+_PETS, _OWNERS = ("Luna", "Toby", "Kira", "Nico", "Thor"), ("Ana García", "Juan Pérez", "Eva Gil", "Luis Mora", "Rosa Soler")
+_CARDS = (
+    "Clínica Veterinaria Sol\nPaciente: {pet}\nEspecie: Canina\nRaza: Labrador\nSexo: Hembra\nFecha de nacimiento: 05/07/{year}\nMicrochip: {chip}\nPeso: {kg},5 kg\nPropietario: {owner}\nFecha de visita: 11/02/2026\nDiagnóstico: otitis externa\nTratamiento: gotas óticas\n",
+    "HISTORIAL CLÍNICO\nHospital Veterinario Norte\nC/ Mayor {kg}, 28001 Madrid\nDatos del paciente\nNombre: {pet}\nEspecie/Raza: Felino / Siamés\nSexo: M\nNacimiento: {year}-03-04\nChip nº {chip}\nTitular: {owner}\nDomicilio: Calle Luna {kg}, 28013 Madrid\nEdad: 5 años\nPeso 3500 g\n",
+    "Centro Veterinario Mar\nMascota: {pet}\nPerra mestiza\nHembra\n- 05/02/2024 - 10:30 - Consulta\nPeso: {kg} kg\nDiagnóstico: gastritis\nVeterinaria: Dra. Marta Ruiz\nPropietaria: {owner}\n",
+)
+#: kind, key, value, confidence, first number of its rank, and the start of the line that holds its evidence; '' where the evidence is no part of a line.
+_CARD_VALUES = """(0, 'clinic_name', 'Clínica Veterinaria Sol', 0.5, 0, 'Clínica'), (0, 'pet_name', '{pet}', 0.66, 1, 'Paciente'), (0, 'species', 'Canina', 0.66, 0, 'Especie'), (0, 'breed', 'Labrador', 0.66, 0, 'Raza'), (0, 'sex', 'Hembra', 0.66, 0, 'Sexo'), (0, 'dob', '05/07/{year}', 0.66, 0, 'Fecha de nac'),
+(0, 'microchip_id', '{chip}', 0.66, 2.5, 'Microchip'), (0, 'weight', '{kg},5 kg', 0.66, 0, 'Peso'), (0, 'owner_name', '{owner}', 0.66, 0, 'Propietario'), (0, 'visit_date', '11/02/2026', 0.66, 0, 'Fecha de vis'), (0, 'diagnosis', 'otitis externa', 0.66, 0, 'Diagn'), (0, 'medication', 'gotas óticas', 0.66, 0, 'Tratamiento'), (0, 'treatment_plan', 'gotas óticas', 0.66, 0, 'Tratamiento'), (0, 'document_date', '05/07/{year}', 0.5, 0, ''), (0, 'language', 'es', 0.5, 0, ''),
+(1, 'clinic_name', 'Hospital Veterinario Norte', 0.5, 2, 'Hospital'), (1, 'clinic_address', 'C/ Mayor {kg}, 28001 Madrid', 0.5, 2.5, 'Hospital'), (1, 'pet_name', '{pet}', 0.66, 1, 'Nombre'), (1, 'species', 'Felino / Siamés', 0.66, 0, 'Especie'), (1, 'breed', 'Felino / Siamés', 0.66, 0, 'Especie'), (1, 'sex', 'M', 0.66, 0, 'Sexo'), (1, 'dob', '{year}-03-04', 0.66, 0, 'Nacimiento'),
+(1, 'microchip_id', '{chip}', 0.66, 2.5, 'Chip'), (1, 'owner_name', '{owner}', 0.66, 0, 'Titular'), (1, 'owner_address', 'Calle Luna {kg}, 28013 Madrid', 0.66, 2.5, 'Domicilio'), (1, 'age', '5 años', 0.66, 0, 'Edad'), (1, 'weight', '3500 g', 0.66, 0, 'Peso'), (1, 'document_date', '{year}-03-04', 0.5, 1, ''), (1, 'language', 'es', 0.5, 0, ''),
+(2, 'clinic_name', 'Centro Veterinario Mar', 0.5, 2, 'Centro'), (2, 'pet_name', '{pet}', 0.66, 1, 'Mascota'), (2, 'sex', 'hembra', 0.5, 0, 'Hembra'), (2, 'weight', '{kg} kg', 0.66, 0, 'Peso'), (2, 'diagnosis', 'gastritis', 0.66, 0, 'Diagn'), (2, 'vet_name', 'Dra. Marta Ruiz', 0.66, 0, 'Veterinaria'), (2, 'owner_name', '{owner}', 0.66, 0, 'Propietaria'), (2, 'visit_date', '05/02/2024', 0.66, 4, ''), (2, 'document_date', '05/02/2024', 0.5, 0, '')"""
+_CARD_SQL = f"""c AS (SELECT c_custkey, c_custkey % 3 AS kind, (['{"', '".join(_PETS)}'])[c_custkey % 5 + 1] AS pet, (['{"', '".join(_OWNERS)}'])[c_custkey // 5 % 5 + 1] AS owner, (941000000000000 + c_custkey)::VARCHAR AS chip, (c_custkey % 80 + 1)::VARCHAR AS kg, (2010 + c_custkey % 12)::VARCHAR AS year FROM customer)"""
+
+
+def _cards(spark, d):
+    k = F.col("c_custkey")
+    one = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    text = F.element_at(F.array(*map(F.lit, _CARDS)), (k % 3 + 1).cast("int"))
+    for name, value in (("pet", one(_PETS, k)), ("owner", one(_OWNERS, F.floor(k / 5))), ("chip", (F.lit(941000000000000) + k).cast("string")), ("kg", (k % 80 + 1).cast("string")), ("year", (F.lit(2010) + k % 12).cast("string"))):
+        text = F.replace(text, F.lit(f"{{{name}}}"), value)
+    return table(spark, d, "customer").select(k.cast("string").alias("document_id"), text.alias("text"))
+
+
+@query(f"""WITH {_CARD_SQL}, e(kind, key, value, confidence, k1, line) AS (VALUES {_CARD_VALUES})
+SELECT c_custkey::VARCHAR AS document_id, key, replace(replace(replace(replace(replace(value, '{{pet}}', pet), '{{owner}}', owner), '{{chip}}', chip), '{{kg}}', kg), '{{year}}', year) AS value, confidence::DOUBLE AS confidence, k1::DOUBLE AS k1 FROM c JOIN e USING (kind)""")
+def card_candidates(spark, d):
+    """The best candidate of each field of each card, with its confidence and the first number of its rank."""
+    best = mining.ranked(mining.mine(_cards(spark, d))).filter("rank = 1")
+    return best.select("document_id", "key", "value", "confidence", "k1")
+
+
+@query(f"""WITH {_CARD_SQL} SELECT c_custkey::VARCHAR AS document_id, pet AS pet_name, owner AS owner_name,
+CASE kind WHEN 0 THEN 'Clínica Veterinaria Sol' WHEN 1 THEN 'Hospital Veterinario Norte' ELSE 'Centro Veterinario Mar' END AS clinic_name, CASE kind WHEN 1 THEN 'Calle Mayor ' || kg || ', 28001 Madrid' END AS clinic_address, CASE kind WHEN 2 THEN 'Dra. Marta Ruiz' END AS vet_name, CASE kind WHEN 1 THEN 'Calle Luna ' || kg || ', 28013 Madrid' END AS owner_address,
+CASE kind WHEN 0 THEN 'canino' WHEN 1 THEN 'felino' END AS species, CASE kind WHEN 0 THEN 'Labrador' WHEN 1 THEN 'Siamés' END AS breed, CASE WHEN kind <> 1 THEN 'hembra' END AS sex, CASE WHEN kind <> 2 THEN chip END AS microchip_id, CASE kind WHEN 0 THEN kg || ',5 kg' WHEN 1 THEN '3500 g' ELSE kg || ' kg' END AS weight,
+CASE kind WHEN 0 THEN '05/07/' || year WHEN 1 THEN '04/03/' || year END AS dob, CASE kind WHEN 0 THEN (2025 - year::INT)::VARCHAR WHEN 1 THEN '5 años' END AS age, CASE kind WHEN 0 THEN 'derived' WHEN 1 THEN 'extracted' END AS age_origin, CASE kind WHEN 0 THEN '11/02/2026' WHEN 2 THEN '05/02/2024' END AS visit_date, CASE kind WHEN 0 THEN '05/07/' || year WHEN 1 THEN '04/03/' || year ELSE '05/02/2024' END AS document_date,
+CASE kind WHEN 0 THEN 'otitis externa' WHEN 2 THEN 'gastritis' ELSE '' END AS diagnosis, CASE kind WHEN 0 THEN 'gotas óticas' ELSE '' END AS medication, CASE WHEN kind <> 2 THEN 'es' END AS language FROM c""")
+def card_records(spark, d):
+    """The canonical record of each card."""
+    r = record.of_texts(_cards(spark, d), F.lit("2026-03-01").cast("date"))[0]
+    single = ("pet_name", "owner_name", "clinic_name", "clinic_address", "vet_name", "owner_address", "species", "breed", "sex", "microchip_id", "weight", "dob", "age", "age_origin", "visit_date", "document_date", "language")
+    return r.select("document_id", *single, *(F.array_join(F.coalesce(k, F.array().cast("array<string>")), ",").alias(k) for k in ("diagnosis", "medication")))
+
+
+@query(f"""WITH {_CARD_SQL}, e(kind, key, value, confidence, k1, line) AS (VALUES {_CARD_VALUES}),
+t(kind, lines) AS (VALUES {", ".join(f"({i}, {t.splitlines()})" for i, t in enumerate(_CARDS))}),
+n AS (SELECT e.kind, e.key, list_position(list_transform(lines, lambda x: starts_with(x, line)), true) AS no FROM e JOIN t USING (kind) WHERE line <> ''),
+k AS (SELECT unnest(['pet_name', 'weight', 'sex', 'age', 'owner_name', 'microchip_id', 'vet_name']) AS key)
+SELECT c_custkey::VARCHAR AS document_id, k.key, CASE WHEN n.no IS NULL THEN 'missing' ELSE 'accepted' END AS status, n.no::INT AS line_number FROM c CROSS JOIN k LEFT JOIN n ON n.kind = c.kind AND n.key = k.key""")
+def card_coverage(spark, d):
+    """Which fields of each card were found, and the lines of their evidence."""
+    docs = _cards(spark, d)
+    best = mining.ranked(mining.mine(docs))
+    found = observe.coverage(best, best.filter("rank = 1").select("document_id", "key"), docs, ["pet_name", "weight", "sex", "age", "owner_name", "microchip_id", "vet_name"])
+    return found.select("document_id", "key", "status", "line_number")
+
+
+# ---- ages, views, sections
+
+@query(f"""WITH x AS (SELECT c_custkey AS c, c_custkey % 6 AS m, make_date(2023 - (c_custkey % 9)::INT, 1 + (c_custkey % 12)::INT, 1 + (c_custkey % 28)::INT) AS born FROM customer), v AS (SELECT user_id AS c, max(ts)::DATE AS day FROM events WHERE ts < TIMESTAMP '2024-01-21' GROUP BY user_id),
+y AS (SELECT x.*, coalesce(v.day, DATE '2024-01-20') AS on_day FROM x LEFT JOIN v USING (c)), z AS (SELECT *, year(on_day) - year(born) - CASE WHEN strftime(on_day, '%m%d') < strftime(born, '%m%d') THEN 1 ELSE 0 END AS years, (year(on_day) - year(born)) * 12 + month(on_day) - month(born) - CASE WHEN day(on_day) < day(born) THEN 1 ELSE 0 END AS months FROM y)
+SELECT c::VARCHAR AS document_id, CASE m WHEN 1 THEN '7' WHEN 2 THEN 'viejo' WHEN 3 THEN '1' ELSE years::VARCHAR END AS age, CASE WHEN m IN (1, 2) THEN 'machine' WHEN m = 3 THEN 'human' ELSE 'derived' END AS origin, CASE m WHEN 1 THEN '7 años' WHEN 2 THEN NULL WHEN 3 THEN '1 año' ELSE CASE WHEN years < 1 THEN months || CASE WHEN months = 1 THEN ' mes' ELSE ' meses' END ELSE years || CASE WHEN years = 1 THEN ' año' ELSE ' años' END END END AS display_value, m <> 3 AS made FROM z WHERE m <> 0""")
+def review_ages(spark, d):
+    """Age fields after review's projection: of records with an age, with a person's age field, and with a birth date only."""
+    k, c = F.col("c_custkey"), table(spark, d, "customer")
+    m, doc = k % 6, k.cast("string").alias("document_id")
+    born = F.make_date((F.lit(2023) - k % 9).cast("int"), (k % 12 + 1).cast("int"), (k % 28 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    records = c.select(doc, F.when(m == 1, "7").when(m == 2, "viejo").alias("age"), F.when(m != 0, F.date_format(born, "dd/MM/yyyy")).alias("dob"), none.alias("document_date"))
+    fields = c.filter(m == 3).select(doc, F.lit("f1").alias("field_id"), F.lit("age").alias("key"), F.lit(" 1 ").alias("value"), F.lit("human").alias("origin"), none.alias("display_value"), F.lit(1).alias("seq"))
+    seen = table(spark, d, "events").select(F.col("user_id").cast("string").alias("document_id"), F.date_format("ts", "yyyy-MM-dd").alias("date"))
+    ages = review_projection.projected_ages(records, fields, seen, F.lit("2024-01-20").cast("date"))
+    return review_projection.upsert_ages(fields, ages).select("document_id", F.col("value").alias("age"), "origin", "display_value", (F.col("field_id") == "backfill-age").alias("made"))
+
+
+@query("""SELECT o_custkey::VARCHAR AS document_id, 'mvp-1' AS version, 7 AS n_sections, 17 AS n_slots, CASE WHEN o_custkey % 10 = 1 THEN 0 ELSE count(*) END AS n_visits FROM orders WHERE o_custkey % 10 <> 0 GROUP BY o_custkey""")
+def canonical_views(spark, d):
+    """The canonical view of stored records without one of their own."""
+    v = review_projection.canonical_view(_stored(spark, d))
+    size = lambda c: F.json_array_length(c).cast("int")
+    return v.select("document_id", "version", size("sections").alias("n_sections"), size("field_slots").alias("n_slots"), size("visits").alias("n_visits"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS d, o_orderpriority AS key, min(o_orderkey) AS seq, min_by(o_orderstatus, o_orderkey) AS t FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey, o_orderpriority) SELECT d AS document_id, key, (2999 + row_number() OVER (PARTITION BY d ORDER BY seq))::INT AS position, t AS value_type FROM f""")
+def visit_definitions(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderpriority").alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("value_type"), F.lit("visit").alias("scope"), F.when(F.col("o_orderstatus") == "P", "other").alias("classification"), F.lit(None).cast("boolean").alias("is_critical"))
+    return review_projection.visit_definitions(o).select("document_id", "key", "position", "value_type")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
+SELECT a.event_id, max(b.event_id) FILTER (b.event_type = 'purchase' AND b.r < a.r) IS NOT NULL AS has_before, max(b.ts) FILTER (b.event_type = 'purchase' AND b.ts <= a.ts) AS begins, min(b.ts) FILTER (b.event_type = 'purchase' AND b.ts > a.ts) AS ends FROM e a JOIN e b USING (user_id) WHERE a.event_type = 'error' GROUP BY a.event_id, a.r""")
+def enclosing_boundaries(spark, d):
+    """The purchases before and after each error of a user."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    m = keyed.enclosed(e.filter("event_type = 'error'"), e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("mark")), ["user_id"], "ts", "mark")
+    return m.select("event_id", F.col("begins").isNotNull().alias("has_before"), "begins", "ends")
+
+
+@query("""WITH x AS (SELECT o_custkey, o_orderkey, o_orderkey * 3 % 7 AS a, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 5 END AS b, o_orderstatus AS s, o_orderpriority AS p FROM orders)
+SELECT o_orderkey, a - lag(a) OVER w AS a_delta, CASE WHEN lag(o_orderkey) OVER w IS NOT NULL THEN coalesce(b, 0) - coalesce(lag(b) OVER w, 0) END AS b_delta, lag(o_orderkey) OVER w IS NOT NULL AND s IS DISTINCT FROM lag(s) OVER w AS status_changed, lag(o_orderkey) OVER w IS NOT NULL AND p IS DISTINCT FROM lag(p) OVER w AS priority_changed FROM x WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+def goal_changes(spark, d):
+    """Counts and several fields of each snapshot (an order) against the one before of the same document (a customer)."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") * 3 % 7).alias("a"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 5).alias("b"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    c = keyed.changes(keyed.count_deltas(o, ["o_custkey"], ["o_orderkey"], ["a", "b"]), ["o_custkey"], ["o_orderkey"], ["status", "priority"])
+    return c.select("o_orderkey", "a_delta", "b_delta", F.col("changed_status").alias("status_changed"), F.col("changed_priority").alias("priority_changed"))
+
+
 # ---- edits in chains, calibration by increments, stores, streams
 
 _CHAIN = """e AS (SELECT o_custkey AS d, o_orderkey AS batch, row_number() OVER w AS i, 1 + coalesce(count(*) FILTER (o_orderkey % 5 <> 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,

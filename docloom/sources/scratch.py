@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,23 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def at_most(spark: SparkSession, key: str, most: int, default: int) -> Iterator[None]:
+    """Hold a setting of the session to a bound for what is run inside; afterwards it is what it was."""
+    old = spark.conf.get(key, None)
+    if int(old or default) <= most:
+        yield
+        return
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt out anew if it comes in fewer partitions than there are cores: a small file of few row groups, so little is moved. Others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
