@@ -34,6 +34,22 @@ def digits_of_chip(x: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(x, CHIP, 1), F.lit("")), F.when(F.length(compact).between(9, 15), compact))
 
 
+# fixed values: labels of chip numbers, what names one in a text, and labels of other fields that may trail it
+CHIP_LABELS = ("microchip", "micr0chip", "chip", "transponder", "identificación electrónica", "identificacion electronica", "nº chip", "n.o chip", "n° chip", "id")
+CHIP_IN_TEXT = r"(?i)(?:microchip|micr0chip|chip|transponder|identificaci[oó]n\s+electr[oó]nica)\s*(?:n[ºo]\.?|nro\.?|id)?\s*[:\-]?\s*([^\n;]{3,80})"
+AFTER_CHIP = r"(?i)(?:(?:^|\s)(?:paciente|propietario|propietaria|tutor|especie|raza|sexo|edad|fecha))+$"
+
+
+def chip_with_evidence(value: Column, snippet: Column) -> Column:
+    """A chip number from its value, else from what follows a chip's label in the evidence; without labels, marks and other fields' labels at its end."""
+    label = rf"(?iU)\b(?:{'|'.join(map(re.escape, CHIP_LABELS))})\b\s*[:\-]?\s*"
+    bare = lambda x: squeeze(strip(F.regexp_replace(squeeze(x), label, ""), EDGES))
+    both = F.array(bare(value), bare(F.regexp_extract(squeeze(snippet), CHIP_IN_TEXT, 1)))
+    text = F.try_element_at(F.filter(both, lambda x: x != ""), F.lit(1))
+    whole = F.array(squeeze(F.regexp_replace(squeeze(F.regexp_replace(text, r"[^A-Za-z0-9./_\- ]+", " ")), AFTER_CHIP, "")))
+    return F.transform(whole, digits_of_chip)[0]  # as an array's element a text is made once, however often it is used
+
+
 def date_dmy(x: Column) -> Column:
     """A date as dd/mm/yyyy from d/m/y or y/m/d with slashes, dots or dashes; two-digit years from 69 on are in the last century."""
     raw = F.translate(F.regexp_extract(unlabelled(x, ("fecha", "date", "visita", "consulta")), DATE, 1), "-.", "//")

@@ -57,6 +57,15 @@ def shorten(x: Column, most: int) -> Column:
     return F.when(F.length(x) > most, F.concat(F.rtrim(F.substring(x, 1, most - 1)), F.lit("…"))).otherwise(x)
 
 
+#: How long snippets, evidence, previews and samples of tokens may be.
+SNIPPET, EVIDENCE, PREVIEW, SAMPLE = 180, 220, 80, 30
+
+
+def cuts(x: Column) -> list[Column]:
+    """A text as it is shown: a snippet with an ellipsis where text was cut, evidence, preview and token sample cut short."""
+    return [shorten(x, SNIPPET).alias("snippet"), *(F.substring(x, 1, n).alias(name) for name, n in (("evidence", EVIDENCE), ("preview", PREVIEW), ("sample", SAMPLE)))]
+
+
 def lines(df: DataFrame, text: str = "text", *keys: str) -> DataFrame:
     """Rows (*keys, line_no, line): the trimmed lines that aren't blank, numbered densely from 1. Null text has none."""
     cut = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), LINE_END), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")), lambda x: x != "")

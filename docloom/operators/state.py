@@ -53,6 +53,22 @@ def recover_orphans(runs: DataFrame) -> DataFrame:
     return runs.withColumn("failure_type", F.when(orphan, "PROCESS_TERMINATED").otherwise(F.col("failure_type"))).withColumn("state", F.when(orphan, "FAILED").otherwise(F.col("state")))
 
 
+def step_events(steps: DataFrame) -> DataFrame:
+    """The append-only events of steps (run_id, step, attempt, started_at, ended_at, status, error_code): RUNNING at the start, and the outcome at the end of those that have ended, with its error
+    if it failed. step_groups folds them back."""
+    none = F.lit(None)
+    kinds = dict(steps.dtypes)
+    begin = F.struct(F.lit("RUNNING").alias("status"), none.cast(kinds["ended_at"]).alias("ended_at"), none.cast("string").alias("error_code"), F.col("started_at").alias("created_at"))
+    end = F.struct("status", "ended_at", F.when(F.col("status") == "FAILED", F.col("error_code")).alias("error_code"), F.col("ended_at").alias("created_at"))
+    both = F.array_compact(F.array(begin, F.when(F.col("ended_at").isNotNull() & (F.col("status") != "RUNNING"), end)))
+    return steps.select("run_id", "step", "attempt", "started_at", F.explode(both).alias("e")).select("run_id", "step", "attempt", "started_at", "e.*")
+
+
+def artifacts_of_documents(artifacts: DataFrame, runs: DataFrame, kind: str, document: str = "document_id") -> DataFrame:
+    """Artifacts (run_id, artifact_type, ...) of a type with the document of their run, for all documents at once: filtered before the join on the run."""
+    return artifacts.filter(F.col("artifact_type") == kind).join(runs.select("run_id", document), "run_id")
+
+
 def step_groups(events: DataFrame, run: str = "run_id") -> DataFrame:
     """Rows (run, step, attempt): first start, last end (null while one is running), status by failure before running before success."""
     status = F.when(F.bool_or(F.col("status") == "FAILED"), "FAILED").when(F.bool_or(F.col("status") == "RUNNING"), "RUNNING").otherwise("SUCCEEDED")

@@ -805,6 +805,62 @@ def goal_changes(spark, d):
     return c.select("o_orderkey", "a_delta", "b_delta", F.col("changed_status").alias("status_changed"), F.col("changed_priority").alias("priority_changed"))
 
 
+# ---- small forms: cuts, hints, chips, steps, lookups
+
+@query("SELECT doc_id, CASE WHEN length(text) > 180 THEN rtrim(left(text, 179), ' ') || '…' ELSE text END AS snippet, left(text, 220) AS evidence, left(text, 80) AS preview, left(text, 30) AS sample FROM documents")
+def text_cuts(spark, d):
+    return table(spark, d, "documents").select("doc_id", *text.cuts(F.col("text")))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn > 0 THEN 'page:' || turn || CASE WHEN role = 'user' THEN ' | snippet:' || left(trim(text), 80) ELSE '' END WHEN role = 'user' THEN 'snippet:' || left(trim(text), 80) END AS hint FROM conversations")
+def source_hints(spark, d):
+    page, snippet = F.when(F.col("turn") > 0, F.col("turn")), F.when(F.col("role") == "user", F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", scores.source_hint(page, snippet).alias("hint"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN NULL ELSE (900000000 + p_partkey)::VARCHAR END AS chip FROM part")
+def chips_with_evidence(spark, d):
+    """Chip numbers from a labelled value, from digits in groups with another label after them, from the evidence, and none."""
+    k, n = F.col("p_partkey") % 4, (F.lit(900000000) + F.col("p_partkey")).cast("string")
+    value = F.when(k == 0, F.concat(F.lit("Microchip: "), n)).when(k == 1, F.concat(F.substring(n, 1, 3), F.lit("-"), F.substring(n, 4, 3), F.lit(" "), F.substring(n, 7, 3), F.lit(" Especie"))).otherwise("id: ")
+    snippet = F.when(k == 2, F.concat(F.lit("Transponder nº: "), n, F.lit("; canino"))).otherwise("chip: no consta")
+    return table(spark, d, "part").select("p_partkey", normal.chip_with_evidence(value, snippet).alias("chip"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, ts, event_type, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'RUNNING' ELSE 'SUCCEEDED' END AS status FROM events)
+SELECT event_id AS run_id, 'RUNNING' AS status, NULL::VARCHAR AS error_code, NULL::BIGINT AS took FROM s UNION ALL SELECT event_id, status, CASE WHEN status = 'FAILED' THEN 'E' || user_id END, event_id % 100 FROM s WHERE status <> 'RUNNING'""")
+def step_event_log(spark, d):
+    e = table(spark, d, "events")
+    status = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "view", "RUNNING").otherwise("SUCCEEDED")
+    end = F.when(status != "RUNNING", F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 100))
+    steps = e.select(F.col("event_id").alias("run_id"), F.lit("EXTRACTION").alias("step"), F.lit(1).alias("attempt"), F.col("ts").alias("started_at"), end.alias("ended_at"), status.alias("status"), F.concat(F.lit("E"), F.col("user_id").cast("string")).alias("error_code"))
+    took = F.floor((_micros("ended_at") - _micros("started_at")) / 1000000)
+    return state.step_events(steps).select("run_id", "status", "error_code", took.alias("took"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '<1s' ELSE (event_id % 5 * 30) || 's' END AS shown FROM events")
+def step_durations(spark, d):
+    k = F.col("event_id") % 5
+    begin = F.col("ts").cast("timestamp")
+    end = F.when(k == 0, begin - F.expr("INTERVAL 30 SECOND")).when(k == 1, begin).otherwise(begin + F.make_dt_interval(secs=k * 30))
+    return table(spark, d, "events").select("event_id", state.duration_shown(begin, end).alias("shown"))
+
+
+@query("""WITH a AS (SELECT o_custkey, l_orderkey, l_linenumber, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R') SELECT o_custkey AS document_id, arg_max(l_orderkey * 10 + l_linenumber, (l_shipdate, l_orderkey * 10 + l_linenumber)) AS artifact_id FROM a GROUP BY o_custkey""")
+def latest_document_artifacts(spark, d):
+    """Of each document the newest artifact of one type over all of its runs: customers, orders and line items."""
+    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("artifact_type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("artifact_id"), F.col("l_shipdate").alias("created_at"))
+    runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("document_id"))
+    return keyed.latest(state.artifacts_of_documents(a, runs, "R"), ["document_id"], ["created_at", "artifact_id"]).select("document_id", "artifact_id")
+
+
+@query("""SELECT s_suppkey, u.n_name AS name FROM supplier LEFT JOIN (SELECT s_nationkey AS address, min(s_name) AS n_name FROM supplier GROUP BY s_nationkey HAVING count(DISTINCT s_name) = 1) u ON address = s_nationkey""")
+def reverse_lookup(spark, d):
+    """The one name that an address of the catalog has, if it is one: a supplier's nation as its address."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("address"), F.col("s_name").alias("name"))
+    return keyed.unique_match(s.drop("name"), s.select("address", "name"), "address", "name").select("s_suppkey", "name")
+
+
 # ---- edits in chains, calibration by increments, stores, streams
 
 _CHAIN = """e AS (SELECT o_custkey AS d, o_orderkey AS batch, row_number() OVER w AS i, 1 + coalesce(count(*) FILTER (o_orderkey % 5 <> 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,

@@ -102,3 +102,19 @@ def keep_snapshots(old: DataFrame, new: DataFrame, most: int = 20) -> DataFrame:
 def accuracy_cases(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a JSON file of the shape {cases: [...]}, a row a case."""
     return spark.read.option("multiLine", True).json(path).select(F.explode("cases").alias("c")).select("c.*")
+
+
+CONTRACT_SCHEMA = "contract_name string, contract_revision string, fields array<struct<key: string, label: string, section: string, value_type: string, repeatable: boolean, critical: boolean, optional: boolean>>"
+
+
+def read_contract(spark: SparkSession, path: str) -> DataFrame:
+    """The fields of a contract's JSON file, a row a field with its place in the file: a short list, to be broadcast where it is joined."""
+    whole = spark.read.schema(CONTRACT_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return whole.select("contract_name", "contract_revision", F.posexplode("fields").alias("position", "f")).select("contract_name", "contract_revision", "position", "f.*")
+
+
+def contract_errors(contract: DataFrame) -> DataFrame:
+    """Rows (key, error) of a contract's fields that can't be used: without a key or a type, or with a key that another field has."""
+    n = contract.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.trim("value_type"), F.lit("")) == "").alias("untyped"))
+    blank = F.coalesce(F.trim("key"), F.lit("")) == ""
+    return n.select("key", F.when(blank, "MISSING_KEY").when(F.col("n") > 1, "DUPLICATE_KEY").when(F.col("untyped") > 0, "MISSING_TYPE").alias("error")).filter("error is not null")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import is_empty
 from docloom.operators import keyed, mining, observe, record, review, review_projection as rp
-from docloom.sources.files import accuracy_cases
+from docloom.sources.files import accuracy_cases, contract_errors, read_contract
 
 
 def rows(df, *order):
@@ -108,3 +108,12 @@ def test_texts_that_mining_skips_hold_nothing(spark, monkeypatch):
     monkeypatch.setattr(mining, "hinted", lambda d: d)
     assert sorted(map(repr, got)) == sorted(map(repr, mining.mine(docs).select(*cols).collect())) and len(got) > 100
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit", None) in (None, "65535")
+
+
+def test_contracts_from_files(spark, tmp_path):
+    field = lambda k, t="string": {"key": k, "label": k, "section": "s", "value_type": t, "repeatable": False, "critical": True, "optional": False}
+    path = tmp_path / "contract.json"
+    path.write_text(json.dumps({"contract_name": "n", "contract_revision": "r", "fields": [field("b"), field("a", ""), field("b"), field(" "), field("c")]}))
+    got = read_contract(spark, str(path))
+    assert rows(got.select("position", "key", "critical", "contract_revision"), "position") == [(0, "b", True, "r"), (1, "a", True, "r"), (2, "b", True, "r"), (3, " ", True, "r"), (4, "c", True, "r")]
+    assert rows(contract_errors(got), "key") == [(" ", "MISSING_KEY"), ("a", "MISSING_TYPE"), ("b", "DUPLICATE_KEY")]
