@@ -85,8 +85,8 @@ PET_GUARD = r"(?iu)\d{3,}|^[A-Z]{2,3}\d|calle|avda|portal|telf|tel[eé]f|c/|dire
 CLINIC_IN_LINE = r"(?iu)\b(?:en\s+el|en\s+la)\s+(centr[o0]|cl[ií]nica|hospital(?:\s+veterinari[oa])?)\s+([A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9][^\n,;]{2,100})"
 CLINIC_LINE = r"(?iu)^\s*(hv|h\.?\s*v\.?|hospital(?:\s+veterinari[oa])?|centro(?:\s+veterinari[oa])?|cl[ií]nica(?:\s+veterinari[oa])?)\s+([A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9][^\n,;:]{2,100})\s*$"
 
-VET_LABEL = r"(?iu)^\s*(?:veterinari(?:o/a|o|a)|vet|dr\.?|dra\.?|dr/a|doctora?)(?!\w)\s*[:\-]?\s*(.*)$"
-OWNER_LABEL = r"(?iu)^\s*(?:propietari(?:o|a)|titular|dueñ(?:o|a)|owner)(?!\w)\s*[:\-]?\s*(.*)$"
+VET_LABEL = r"(?iu)^\s*(?:veterinari(?:o|a|o/a)|vet|dr\.?|dra\.?|dr/a|doctor|doctora)\b\s*[:\-]?\s*(.*)$"
+OWNER_LABEL = r"(?iu)^\s*(?:propietari(?:o|a)|titular|dueñ(?:o|a)|owner)\b\s*[:\-]?\s*(.*)$"
 OWNER_NAME_LABEL = r"(?iu)^\s*nombre\s*(?::|-)?\s*(.*)$"
 CLIENT_HEADER = r"(?iu)^\s*datos\s+del\s+cliente\s*$"
 CLIENT_TABLE_LABEL = r"(?iu)^\s*(?:especie|raza|f/?nto|capa|n[º°o]?\s*chip)\s*$"
