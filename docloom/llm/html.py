@@ -55,10 +55,14 @@ NAME_CUES = {
 #: Names that begin with one of the first words, or end in one of the second, describe an element (a page that has a sidebar, a post's tag) and announce nothing.
 DESCRIBES = frozenset("has with no without is tag category type format status single hentry".split())
 WRAPS = frozenset("body content text wrapper wrap container page layout main open closed enabled disabled".split())
-#: A part of the page with a name, or with a heading or article inside, that holds more than half of the words outside links, and this many, is a wrapper.
+#: A part of the page with a name, or with a heading or article inside, that holds more than half of the words outside links, and this many, is a wrapper, unless
+#: it stands beside an article that says so by name and holds a paragraph: a sidebar or footer may be longer than the article. Fewer words can't tell a wrapper.
 WRAPPER_WORDS = 40
-#: How much a feature can say, by group: (least, most) log odds. The place is one of them; no group outweighs all others with the edges.
-BOUNDS = {"place": (-5.0, 5.0), "words": (-1.5, 1.5), "links": (-2.0, 1.0), "tag": (-0.75, 0.75), "stop": (-0.75, 0.75)}
+#: How much a counted feature can say, by group: (least, most) log odds.
+BOUNDS = {"words": (-1.0, 1.0), "links": (-2.0, 0.75), "tag": (-0.5, 0.5), "stop": (-0.5, 0.5)}
+#: Log odds of the place. It isn't counted, as places are also what tells which blocks to count: 50 to 1 by a name, little for a block that stands nowhere
+#: by name (what isn't the article mostly has one). A named part of prose stays out by it; links and stubs inside an article can outweigh it.
+PLACE = {"article": math.log(50), "": 0.5} | dict.fromkeys("menu header footer side form notice advert comment".split(), -math.log(50))
 #: Smoothness: adjacent blocks (less if they stand far apart in the tree), and blocks with the same parent that aren't adjacent.
 ADJACENT, SIBLING = 1.5, 0.5
 
@@ -152,6 +156,7 @@ class _Part:
     words: int = 0
     titled: bool = False
     main: bool = False
+    in_article: bool = False
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -164,13 +169,15 @@ def blocks(page: str | None) -> list[Block]:
     unclosed: set[str] = set()
     endless: set[str] = set()
     at, number, links, linked, dropped, plain_words = 0, 0, 0, 0, "", 0
+    told = False  # whether an article by name holds a paragraph
 
     def flush() -> None:
-        nonlocal linked, plain_words
+        nonlocal linked, plain_words, told
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
             owner = stack[-1].owner if stack else None
             out.append((Block(text, next((e.name for e in reversed(stack) if e.name in BLOCKS), ""), owner.cue if owner else "", linked, tuple(e.number for e in stack)), owner))
+            told = told or out[-1][0].tag == "p" and out[-1][0].cue == "article"
             n = round((text.count(" ") + 1) * (1 - min(1.0, linked / len(text))))
             plain_words += n
             part = owner
@@ -259,7 +266,7 @@ def blocks(page: str | None) -> list[Block]:
                     attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3] and not _READ.isdisjoint(re.findall(r"[a-z-]+", m[3].lower())) else {}
                 cue, named = _cue(name, attributes, inside)
                 own = cue != inside or named
-                part = _Part(name, cue, number, None, above, named)
+                part = _Part(name, cue, number, None, above, named, in_article=bool(above) and (above.in_article or above.cue == "article"))
                 part.owner = part if own else above
                 stack.append(part)
     flush()
@@ -267,7 +274,7 @@ def blocks(page: str | None) -> list[Block]:
     def place(part: _Part | None) -> str:
         """The cue of the innermost part that isn't a mere wrapper."""
         while part and part.cue != "article":
-            most = part.words >= WRAPPER_WORDS and 2 * part.words > plain_words
+            most = part.words >= WRAPPER_WORDS and 2 * part.words > plain_words and (part.in_article or not told)
             if not (part.main or part.cue != "comment" and most and (part.named or part.titled and part.cue != "header")):
                 break
             part = part.above
@@ -279,25 +286,24 @@ def blocks(page: str | None) -> list[Block]:
 
 
 def block_features(b: Block) -> list[str]:
-    """What the classifier sees of a block: where it stands, its tag, its length, the share of links, how it ends."""
+    """What is counted of a block: its tag, its length, the share of links, how it ends."""
     n = b.text.count(" ") + 1
     density = min(1.0, b.linked / max(1, len(b.text)))
-    return [f"place-{b.cue}", f"tag-{b.tag}", f"words-{min(6, int(math.log2(n)))}", f"links-{int(density * 3)}", f"stop-{b.text[-1] in '.!?:;…”\"'}"]
+    return [f"tag-{b.tag}", f"words-{min(6, int(math.log2(n)))}", f"links-{int(density * 3)}", f"stop-{b.text[-1] in '.!?:;…”\"'}"]
 
 
 @dataclass
 class BlockModel:
-    """Log odds of content by feature."""
+    """Log odds of content by feature; with those of the place they are a block's own cost."""
 
     odds: dict[str, float] = field(default_factory=dict)
 
     def cost(self, b: Block) -> float:
-        return sum(self.odds.get(f, 0.0) for f in block_features(b))
+        return PLACE[b.cue] + sum(self.odds.get(f, 0.0) for f in block_features(b))
 
 
 #: Blocks that stand for each class before any page is seen, by feature: (content, other).
 PRIOR = {
-    "place-article": (2000, 1), "place-menu": (1, 1000), "place-header": (1, 1000), "place-footer": (1, 1000), "place-side": (1, 1000), "place-form": (1, 1000), "place-notice": (1, 1000), "place-advert": (1, 1000), "place-comment": (1, 1000),
     "links-0": (30, 10), "links-1": (8, 12), "links-2": (2, 20), "links-3": (2, 40), "words-0": (4, 16), "words-1": (6, 16), "words-2": (10, 14), "words-3": (20, 10), "words-4": (30, 6), "words-5": (30, 3), "words-6": (30, 2),
     "tag-p": (40, 10), "tag-li": (8, 24), "tag-div": (10, 16), "tag-h1": (20, 6), "tag-h2": (20, 6), "tag-h3": (16, 8), "tag-h4": (12, 8), "stop-True": (40, 12), "stop-False": (12, 40),
 }
@@ -306,8 +312,9 @@ PRIOR = {
 def train(pages: DataFrame, max_pages: int = 2000, id_col: str = "page_id", html_col: str = "html") -> BlockModel:
     """Learn the block classifier from about max_pages pages (a documented bound; chosen by a hash of the id).
 
-    Blocks that surely stand in an article count as content and those in menus, footers and the like as not; all features, the place among them, get the
-    log odds of these counts and of PRIOR's, held within BOUNDS. A block without a cue has place odds of 0 and is judged by the rest and by its neighbours.
+    Blocks that stand in an article by name count as content and those in menus, footers and the like as not. What they look like (tag, length, links, last
+    mark) gets the log odds of these counts and of PRIOR's, held within BOUNDS; the place itself isn't counted, so that it isn't learned from its own label.
+    A block that stands nowhere by name is judged by its looks and by its neighbours.
     Features are counted on the executors, and their sums, one row a feature, reach the driver.
     """
     bound_batches(pages.sparkSession)
