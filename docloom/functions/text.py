@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -52,6 +54,11 @@ def is_empty(x: Column, kind: str) -> Column:
     return ~F.coalesce(full, F.lit(False))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, where x is made once however often f uses it: Spark makes an expression under a condition anew for each use."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def shorten(x: Column, most: int) -> Column:
     """At most so many characters, the last an ellipsis where text was cut."""
     return F.when(F.length(x) > most, F.concat(F.rtrim(F.substring(x, 1, most - 1)), F.lit("…"))).otherwise(x)

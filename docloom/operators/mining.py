@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from docloom.functions import patterns as P
 from docloom.functions.normal import CHIP, digits_of_chip, species, title as titled
 from docloom.functions.scores import FALLBACK_CONFIDENCE, LABEL_CONFIDENCE, kept_confidence
-from docloom.functions.text import fold, last_index, lines, matches, squeeze, strip
+from docloom.functions.text import fold, last_index, matches, squeeze, strip
 from docloom.operators import people_places
 from docloom.operators.keyed import first_of, top
+from docloom.operators.line_rows import emitted, entry, line_rows, lines_at
 from docloom.sources.scratch import at_most, spread, written
 
 COLUMNS = ("document_id", "key", "seq", "value", "snippet", "confidence", "anchor", "priority", "reason")
@@ -76,56 +77,49 @@ def plain_dates(docs: DataFrame) -> DataFrame:
     return _candidates(found, 2, "document_date", F.col("match_no"), F.col("value"), F.substr("text", start + 1, F.col("offset") + F.length("value") + 36 - start), FALLBACK_CONFIDENCE)
 
 
-def _context(lo: int, hi: int, glue: str = " ") -> Column:
-    return F.array_join(F.collect_list("line").over(Window.partitionBy("document_id").orderBy("line_no").rowsBetween(lo, hi)), glue)
-
-
 def from_lines(docs: DataFrame) -> DataFrame:
-    """Extractors that read lines: birth date in the header, timeline, chip numbers near their label, clinical lines, sex, species, weight."""
-    w = Window.partitionBy("document_id").orderBy("line_no")
-    rows = lines(docs, "text", "document_id")
-    is_label = F.col("line").rlike(P.CHIP_LABEL).cast("int")
-    near = F.greatest(F.coalesce(F.max(is_label).over(w.rowsBetween(-8, -1)), F.lit(0)), F.coalesce(F.max(is_label).over(w.rowsBetween(1, 8)), F.lit(0)))
-    rows = rows.withColumns({"low": fold(F.col("line")), "near_chip": near, "next9": _context(0, 8, "\n"), "around8": _context(-8, 8, "\n"), "next4": _context(0, 3), "around1": _context(-1, 1), "before3": _context(-3, 1), "before3_lines": _context(-3, 1, "\n"), "n_lines": F.count("*").over(Window.partitionBy("document_id"))})
+    """Extractors that read lines: birth date in the header, timeline, chip numbers near their label, clinical lines, sex, species, weight, persons and places.
+
+    All of them look at each line once, in one pass over rows that carry the lines around.
+    """
+    rows = line_rows(docs)
     line, low, no = F.col("line"), F.col("low"), F.col("line_no")
-    first20 = F.array_join(F.slice(F.split("next9", "\n"), 1, F.greatest(F.lit(1), 21 - no)), "\n")  # the header ends with line 20, and so do its contexts
-    chip_near = first20.rlike(P.CHIP_LABEL) | first20.rlike(CHIP)
-    header = rows.filter((no <= 20) & line.rlike(r"^[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2}$") & chip_near)
-    header = first_of(header, ["document_id"], [F.asc("line_no")])
-    out = [_candidates(header, 1, "dob", no, line, first20, FALLBACK_CONFIDENCE)]
+    # the header ends with line 20, and so do its contexts; the first such line of a text counts
+    header = F.array_join(F.slice("around", F.col("own"), F.least(F.lit(9), F.greatest(F.lit(1), 21 - no))), "\n")
+    short_date = (no <= 20) & line.rlike(r"^[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2}$")
+    heads = F.when(short_date, F.when(header.rlike(P.CHIP_LABEL) | header.rlike(CHIP), no))
+    rows = rows.withColumn("first_head", F.min(heads).over(Window.partitionBy("document_id")))
+    out = [entry("dob", 1, no, F.when(no == F.col("first_head"), line), header, FALLBACK_CONFIDENCE)]
     timeline = r"^-\s*([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})\s*-"
-    out.append(_candidates(rows.filter(line.rlike(timeline)), 4, "document_date", no, F.regexp_extract("line", timeline, 1), line, FALLBACK_CONFIDENCE, reason=F.lit("timeline_unanchored")))
-    out.append(_candidates(rows.filter((F.col("near_chip") == 1) & digits_of_chip(line).isNotNull()), 6, "microchip_id", no, digits_of_chip(line), F.col("around8"), LABEL_CONFIDENCE))
+    out.append(entry("document_date", 4, no, F.when(line.rlike(timeline), F.regexp_extract("line", timeline, 1)), line, FALLBACK_CONFIDENCE, "timeline_unanchored"))
+    labels = F.exists(F.concat(lines_at(-8, -1), lines_at(1, 8)), lambda x: x.rlike(P.CHIP_LABEL))
+    chip = digits_of_chip(line)
+    out.append(entry("microchip_id", 6, no, F.when(chip.isNotNull(), F.when(labels, chip)), F.array_join(lines_at(-8, 8), "\n"), LABEL_CONFIDENCE))
     has = lambda x, words: x.rlike("|".join(words))
     colon = F.contains("line", F.lit(":"))
     cut = F.when(colon, F.split("line", ":", 2)).when(F.contains("line", F.lit("-")), F.split("line", "-", 2))
-    parts = rows.withColumns({"head": F.lower(cut[0]), "rest": cut[1]})
-    emits = [F.when((F.col("rest") != "") & has(F.col("head"), words), F.struct(F.lit(k).alias("key"), F.col("rest").alias("value"), F.lit(LABEL_CONFIDENCE).alias("c"))) for k, words in P.CLINICAL_LABELS]
-    emits += [F.when(has(low, words) & (~colon if k == "diagnosis" else F.lit(True)), F.struct(F.lit(k).alias("key"), line.alias("value"), F.lit(FALLBACK_CONFIDENCE).alias("c"))) for k, words in P.CLINICAL_WORDS]
-    clinical = parts.select("document_id", "line", "line_no", F.posexplode(F.array_compact(F.array(*emits))).alias("i", "e"))
-    out.append(_candidates(clinical, 20, F.col("e.key"), no * 100 + F.col("i"), F.col("e.value"), line, F.col("e.c")))
-    male, female = has(low, ("macho", "male")), has(low, ("hembra", "female"))
-    short = F.when(F.contains(F.lower("around1"), F.lit("sexo")), F.when(low.isin("m", "macho", "male"), "macho").when(low.isin("h", "hembra", "female"), "hembra"))
-    kg = F.regexp_replace(F.lower(F.regexp_extract("line", P.WEIGHT_LINE, 2)), "^kgs$", "kg")
-    weighed = line.rlike(P.WEIGHT_LINE) & (F.col("before3").rlike(P.ANY_DATE) | F.col("before3").rlike(P.VISIT_TIMELINE) | (F.col("n_lines") <= 5))
-    entry = lambda key, value, snippet: F.struct(F.lit(key).alias("key"), value.alias("value"), snippet.alias("snippet"))
-    next4 = F.lower("next4")
-    born = F.nullif(squeeze(F.regexp_extract("line", P.PET_BIRTH_LINE, 1)), F.lit(""))
-    patient = next4.rlike("canino|felino|raza|chip|especie")
-    pet = F.when(~born.rlike(P.PET_GUARD) & (F.size(F.split(born, " ")) <= 3) & (patient | next4.rlike("nac")), born)
-    title = line.rlike(r"^(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)(?:[\s'-]+(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)){0,2}$") & F.length("line").between(3, 40) & ~line.rlike(P.PET_GUARD) & ~low.rlike(r"^(?:nombre|especie|raza|sexo|chip|n[ºo°]?\s*chip|fecha|paciente|propietari[oa]|veterinari[oa]|diagn[oó]stico|tratamiento|medicaci[oó]n|vacunaci[oó]n|canin[oa]|felin[oa]|macho|hembra|historial|informe|ficha|capa|edad|peso)\b")
-    unnamed = F.when(title & patient, titled(line))
+    head, rest = F.lower(cut[0]), cut[1]
+    clinical = [(k, F.when((rest != "") & has(head, words), rest), LABEL_CONFIDENCE) for k, words in P.CLINICAL_LABELS]
+    clinical += [(k, F.when(has(low, words) & (~colon if k == "diagnosis" else F.lit(True)), line), FALLBACK_CONFIDENCE) for k, words in P.CLINICAL_WORDS]
+    out += [entry(k, 20, no * 100 + i, value, line, c) for i, (k, value, c) in enumerate(clinical)]
     inside = F.when(line.rlike(P.CLINIC_IN_LINE), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_IN_LINE, 1), "(?i)^centr0$", "Centro"), strip(F.regexp_extract("line", P.CLINIC_IN_LINE, 2), " .,:;\t")))
     alone = F.when(line.rlike(P.CLINIC_LINE) & ~F.regexp_extract("line", P.CLINIC_LINE, 2).rlike("(?i)^de "), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_LINE, 1), r"(?i)^h\.?\s*v\.?$", "HV"), strip(F.regexp_extract("line", P.CLINIC_LINE, 2), " .,:;\t")))
-    places = rows.select("document_id", "line", "line_no", F.posexplode(F.array_compact(F.array(inside, alone))).alias("i", "v"))
-    out.append(_candidates(places, 18, "clinic_name", no * 100 + F.col("i"), F.col("v"), line, FALLBACK_CONFIDENCE))
-    physical = [F.when(pet.isNotNull(), entry("pet_name", pet, line)), F.when(unnamed.isNotNull(), entry("pet_name", unnamed, line)), F.when(male, entry("sex", F.lit("macho"), line)), F.when(female, entry("sex", F.lit("hembra"), line)), F.when(species(low).isNotNull() & ~F.contains("low", F.lit(" ")), entry("species", species(low), line)), F.when(short.isNotNull(), entry("sex", short, F.col("around1"))), F.when(weighed, entry("weight", F.concat(F.regexp_extract("line", P.WEIGHT_LINE, 1), F.lit(" "), kg), F.col("before3_lines")))]
-    body = rows.select("document_id", "line_no", F.posexplode(F.array_compact(F.array(*physical))).alias("i", "e"))
-    out.append(_candidates(body, 21, F.col("e.key"), no * 100 + F.col("i"), F.col("e.value"), F.col("e.snippet"), FALLBACK_CONFIDENCE))
-    every = out[0]
-    for o in out[1:]:
-        every = every.unionByName(o)
-    return every
+    out += [entry("clinic_name", 18, no * 100 + i, value, line, FALLBACK_CONFIDENCE) for i, value in enumerate((inside, alone))]
+    next4 = F.lower(F.array_join(lines_at(0, 3), " "))
+    patient = next4.rlike("canino|felino|raza|chip|especie")
+    born = F.nullif(squeeze(F.regexp_extract("line", P.PET_BIRTH_LINE, 1)), F.lit(""))
+    pet = F.when(line.rlike(P.PET_BIRTH_LINE), F.when(~born.rlike(P.PET_GUARD) & (F.size(F.split(born, " ")) <= 3) & (patient | next4.rlike("nac")), born))
+    title = line.rlike(r"^(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)(?:[\s'-]+(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)){0,2}$") & F.length("line").between(3, 40) & ~line.rlike(P.PET_GUARD) & ~low.rlike(r"^(?:nombre|especie|raza|sexo|chip|n[ºo°]?\s*chip|fecha|paciente|propietari[oa]|veterinari[oa]|diagn[oó]stico|tratamiento|medicaci[oó]n|vacunaci[oó]n|canin[oa]|felin[oa]|macho|hembra|historial|informe|ficha|capa|edad|peso)\b")
+    around1, before3 = F.array_join(lines_at(-1, 1), " "), lines_at(-3, 1)
+    single = low.isin("m", "macho", "male", "h", "hembra", "female")
+    short = F.when(single, F.when(F.contains(F.lower(around1), F.lit("sexo")), F.when(low.isin("m", "macho", "male"), "macho").otherwise("hembra")))
+    kg = F.regexp_replace(F.lower(F.regexp_extract("line", P.WEIGHT_LINE, 2)), "^kgs$", "kg")
+    dated = F.array_join(before3, " ")
+    weighed = F.when(line.rlike(P.WEIGHT_LINE), F.when(dated.rlike(P.ANY_DATE) | dated.rlike(P.VISIT_TIMELINE) | (F.col("n_lines") <= 5), F.concat(F.regexp_extract("line", P.WEIGHT_LINE, 1), F.lit(" "), kg)))
+    kind = F.when(~F.contains("low", F.lit(" ")), species(low))
+    body = (("pet_name", pet, line), ("pet_name", F.when(title, F.when(patient, titled(line))), line), ("sex", F.when(has(low, ("macho", "male")), "macho"), line), ("sex", F.when(has(low, ("hembra", "female")), "hembra"), line), ("species", kind, line), ("sex", short, around1), ("weight", weighed, F.array_join(before3, "\n")))
+    out += [entry(k, 21, no * 100 + i, value, snippet, FALLBACK_CONFIDENCE) for i, (k, value, snippet) in enumerate(body)]
+    return emitted(rows, out + people_places.entries())
 
 
 def accepted(c: DataFrame) -> DataFrame:
@@ -147,7 +141,8 @@ def accepted(c: DataFrame) -> DataFrame:
         .when((key == "clinical_record_number") & value.rlike(rf"\b{P.NUMERIC_DATE}\b"), F.lit(None).cast("string"))
         .otherwise(value)
     )
-    return c.withColumn("value", shaped).filter("value is not null").withColumn("confidence", kept_confidence(F.col("confidence")))
+    # as a generator's only element the value is made once; a filter on the expression itself would be pushed into each branch and make it there again
+    return c.withColumn("value", F.explode_outer(F.array(shaped))).filter("value is not null").withColumn("confidence", kept_confidence(F.col("confidence")))
 
 
 def hinted(docs: DataFrame) -> DataFrame:
@@ -168,8 +163,6 @@ def mine(docs: DataFrame) -> DataFrame:
     docs = written(hinted(spread(docs.select("document_id", "text"))).repartition("document_id"), "hinted")
     every = labelled(docs).unionByName(from_lines(docs)).unionByName(plain_dates(docs)).unionByName(dates(docs))
     every = every.unionByName(windowed(docs, 5, "microchip_id", P.CHIP_WINDOW, digits_of_chip(F.col("v")), LABEL_CONFIDENCE)).unionByName(windowed(docs, 7, "clinical_record_number", P.RECORD_WINDOW, F.trim("v"), LABEL_CONFIDENCE)).unionByName(windowed(docs, 8, "microchip_id", P.CHIP_OCR_WINDOW, digits_of_chip(F.col("v")), FALLBACK_CONFIDENCE))
-    places = people_places.extract(docs)
-    every = every.unionByName(_candidates(places, 0, F.col("key"), F.col("seq"), F.col("value"), F.col("snippet"), F.col("confidence")))
     low = fold(F.coalesce("text", F.lit("")))
     spanish = docs.filter(F.exists(F.array(low), lambda t: reduce(or_, (F.contains(t, F.lit(w)) for w in P.SPANISH_HINTS))))
     every = every.unionByName(_candidates(spanish, 30, "language", F.lit(0), F.lit("es"), F.lit("Heuristic language inference based on Spanish clinical tokens"), FALLBACK_CONFIDENCE))

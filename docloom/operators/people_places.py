@@ -1,24 +1,28 @@
-"""Extractors of persons and addresses: lines with the lines around them as columns, each rule one expression."""
+"""Extractors of persons and addresses: each rule one expression over a line and the lines around it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions import patterns as P
 from docloom.functions.scores import FALLBACK_CONFIDENCE, LABEL_CONFIDENCE
-from docloom.functions.text import fold, lines, squeeze, strip
+from docloom.functions.text import fold, once, squeeze, strip
+from docloom.operators.line_rows import entry, line_at, lines_at
 
 _EDGE = " .,:;\t\r\n"
 
 
 def person(x: Column) -> Column:
     """A person's name of two to five words, most of them names; null for addresses, phones, mail and licences."""
-    x = strip(squeeze(x), _EDGE)
-    words = F.split(x, " ")
-    named = F.size(F.filter(words, lambda w: w.rlike(P.NAME_TOKEN)))
-    bad = F.contains(x, F.lit("@")) | x.rlike(P.PHONE_LIKE) | x.rlike(P.LICENSE_ONLY) | x.rlike(P.ADDRESS_LIKE)
-    return F.when((x != "") & ~bad & F.size(words).between(2, 5) & (named >= F.greatest(F.lit(2), F.floor(F.size(words) * 0.6))), x)
+
+    def named(x: Column) -> Column:
+        words = F.split(x, " ")
+        names = F.size(F.filter(words, lambda w: w.rlike(P.NAME_TOKEN)))
+        bad = F.contains(x, F.lit("@")) | x.rlike(P.PHONE_LIKE) | x.rlike(P.LICENSE_ONLY) | x.rlike(P.ADDRESS_LIKE)
+        return F.when((x != "") & F.size(words).between(2, 5) & ~bad & (names >= F.greatest(F.lit(2), F.floor(F.size(words) * 0.6))), x)
+
+    return once(strip(squeeze(x), _EDGE), named)
 
 
 def before_address(x: Column) -> Column:
@@ -26,87 +30,71 @@ def before_address(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"(?iu)(?:^|\s+)[(\[{]?(?:c/\S*|(?:" + "|".join(w.replace(" ", r"\s+") for w in P.ADDRESS_WORDS) + r")[.,:;)\]}]*(?=\s|$)).*$", ""))
 
 
-def around(docs: DataFrame) -> DataFrame:
-    """Lines of documents with their neighbours: l1.. the lines after, p1 the one before, joined contexts before and after."""
-    w = Window.partitionBy("document_id").orderBy("line_no")
-    rows = lines(docs, "text", "document_id")
-    joined = lambda lo, hi, glue=" ": F.array_join(F.collect_list("line").over(w.rowsBetween(lo, hi)), glue)
-    near = {f"l{i}": F.lead("line", i).over(w) for i in range(1, 5)} | {"p1": F.lag("line").over(w)}
-    return rows.withColumns(near | {"after8": F.collect_list("line").over(w.rowsBetween(1, 8)), "before8": F.collect_list("line").over(w.rowsBetween(-8, -1)), "within2": joined(-2, 2), "past2": joined(-2, -1), "past3": joined(-3, 3), "past5": joined(-5, -1), "next5": joined(1, 5), "next7": joined(1, 7), "block3": joined(0, 2, "\n"), "block4": joined(0, 3, "\n"), "around13": joined(-1, 3), "around11": joined(-1, 1, "\n")})
-
-
-def _entry(key: str, rank: int, place: Column, value: Column, snippet: Column, confidence: float) -> Column:
-    return F.when((value != "") & value.isNotNull(), F.struct(F.lit(key).alias("key"), (F.lit(rank).cast("long") * 10**9 + place).alias("seq"), value.alias("value"), snippet.alias("snippet"), F.lit(confidence).alias("confidence")))
-
-
 def _parts(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), " ")
 
 
-def extract(docs: DataFrame) -> DataFrame:
-    """Rows (document_id, key, seq, value, snippet, confidence) of persons and places."""
-    rows = around(docs)
+def entries() -> list[Column]:
+    """Persons and places found at a line of `line_rows`, each one candidate or null."""
     line, no = F.col("line"), F.col("line_no")
-    clean = lambda c: strip(F.coalesce(F.col(c), F.lit("")), _EDGE)
-    label = lambda c: F.coalesce(F.col(c).rlike(P.SIMPLE_LABEL), F.lit(False))
+    near = {f"l{i}": line_at(i) for i in range(1, 5)} | {"p1": line_at(-1), "after8": lines_at(1, 8), "before8": lines_at(-8, -1)}
+    near |= {name: F.array_join(lines_at(lo, hi), glue) for name, lo, hi, glue in (("within2", -2, 2, " "), ("past2", -2, -1, " "), ("past3", -3, 3, " "), ("past5", -5, -1, " "), ("next5", 1, 5, " "), ("next7", 1, 7, " "), ("block3", 0, 2, "\n"), ("block4", 0, 3, "\n"), ("around13", -1, 3, " "), ("around11", -1, 1, "\n"))}
+    near["line"] = line
+    clean = lambda c: strip(F.coalesce(near[c], F.lit("")), _EDGE)
+    label = lambda c: F.coalesce(near[c].rlike(P.SIMPLE_LABEL), F.lit(False))
     out = []
 
     # persons: a label with the name on its line, or on the next line after a colon
     for key, pattern, guard in (("vet_name", P.VET_LABEL, P.ADDRESS_LIKE), ("owner_name", P.OWNER_LABEL, P.VET_OR_CLINIC)):
         own = F.trim(F.regexp_extract("line", pattern, 1))
-        source = F.when(own != "", own).when(F.contains("line", F.lit(":")), F.col("l1"))
+        source = F.when(own != "", own).when(F.contains("line", F.lit(":")), near["l1"])
         name = person(before_address(source) if key == "owner_name" else source)
-        out.append(_entry(key, 9 if key == "vet_name" else 10, no * 10, F.when(line.rlike(pattern) & ~fold(line).rlike(guard), name), line, LABEL_CONFIDENCE))
-    owner_near, header_before = F.col("within2").rlike(P.OWNER_CONTEXT), F.exists("before8", lambda x: x.rlike(P.CLIENT_HEADER))
-    allowed = (owner_near | header_before) & ~F.col("within2").rlike(P.VET_OR_CLINIC) & (owner_near | ~F.col("past2").rlike(P.PATIENT_LABEL))
+        out.append(entry(key, 9 if key == "vet_name" else 10, no * 10, F.when(line.rlike(pattern) & ~fold(line).rlike(guard), name), line, LABEL_CONFIDENCE))
+    owner_near, header_before = near["within2"].rlike(P.OWNER_CONTEXT), F.exists(near["before8"], lambda x: x.rlike(P.CLIENT_HEADER))
+    allowed = (owner_near | header_before) & ~near["within2"].rlike(P.VET_OR_CLINIC) & (owner_near | ~near["past2"].rlike(P.PATIENT_LABEL))
     own = F.trim(F.regexp_extract("line", P.OWNER_NAME_LABEL, 1))
-    names = F.transform(F.filter("after8", lambda x: ~x.rlike(P.CLIENT_TABLE_LABEL)), lambda x: person(before_address(x)))
+    names = F.transform(F.filter(near["after8"], lambda x: ~x.rlike(P.CLIENT_TABLE_LABEL)), lambda x: person(before_address(x)))
     below = F.try_element_at(F.filter(names, lambda x: x.isNotNull()), F.lit(1))
-    out.append(_entry("owner_name", 11, no * 10, F.when(line.rlike(P.OWNER_NAME_LABEL) & allowed, F.when(own != "", person(before_address(own))).otherwise(below)), line, LABEL_CONFIDENCE))
+    out.append(entry("owner_name", 11, no * 10, F.when(line.rlike(P.OWNER_NAME_LABEL) & allowed, F.when(own != "", person(before_address(own))).otherwise(below)), line, LABEL_CONFIDENCE))
 
     # the clinic's name as a heading in capitals above an address and a section
     heading = (no == 1) & (line == F.upper("line")) & line.rlike(r"\p{Lu}") & F.length("line").between(3, 60) & ~line.rlike(r"[:\-\d]") & ~line.isin(*P.HEADER_WORDS)
-    out.append(_entry("clinic_name", 12, no * 10, F.when(heading & F.col("next7").rlike(P.HEADER_ADDRESS) & F.col("next7").rlike(P.HEADER_SECTION), line), F.col("block4"), FALLBACK_CONFIDENCE))
+    out.append(entry("clinic_name", 12, no * 10, F.when(heading & near["next7"].rlike(P.HEADER_ADDRESS) & near["next7"].rlike(P.HEADER_SECTION), line), near["block4"], FALLBACK_CONFIDENCE))
     # an address over three lines near the top
-    third = F.coalesce(F.col("l2").rlike(P.POSTAL_HINT), F.lit(False)) & ~F.col("l2").rlike(P.HEADER_SECTION) & ~F.col("l1").rlike(P.HEADER_SECTION)
-    three = (no <= 8) & line.rlike(P.STREET_START) & ~label("line") & ~label("l1") & third & (line.rlike(r"\d") | F.col("l1").rlike(r"\d")) & ~F.col("around13").rlike(P.OWNER_CONTEXT)
-    out.append(_entry("clinic_address", 13, no * 10, F.when(three, _parts(clean("line"), clean("l1"), clean("l2"))), F.col("block4"), FALLBACK_CONFIDENCE))
+    third = F.coalesce(near["l2"].rlike(P.POSTAL_HINT), F.lit(False)) & ~near["l2"].rlike(P.HEADER_SECTION) & ~near["l1"].rlike(P.HEADER_SECTION)
+    three = (no <= 8) & line.rlike(P.STREET_START) & ~label("line") & ~label("l1") & third & (line.rlike(r"\d") | near["l1"].rlike(r"\d")) & ~near["around13"].rlike(P.OWNER_CONTEXT)
+    out.append(entry("clinic_address", 13, no * 10, F.when(three, _parts(clean("line"), clean("l1"), clean("l2"))), near["block4"], FALLBACK_CONFIDENCE))
     # a name above an address, with what belongs to the address below it
-    known = F.col("past3").rlike(P.OWNER_ADDRESS_CONTEXT)
-    block = line.rlike(P.NAME_LINE) & ~label("line") & ~label("l1") & F.col("l1").rlike(P.ADDRESS_LIKE) & F.col("l1").rlike(r"\d") & (known | (F.col("past3").rlike(P.IDENTIFICATION) & ~F.col("past3").rlike(P.CLINIC_ADDRESS_CONTEXT)))
-    belongs = lambda c: F.coalesce(~label(c) & ~clean(c).rlike(P.NAME_LINE) & ~F.lower(clean(c)).isin(*P.LOCALITY_NOT) & ~F.col(c).rlike(r"^\s*-\s*\d{1,2}[/\-.]") & (clean(c).rlike(P.POSTAL_HINT) | clean(c).rlike(P.LOCALITY_LINE)), F.lit(False))
+    known = near["past3"].rlike(P.OWNER_ADDRESS_CONTEXT)
+    block = line.rlike(P.NAME_LINE) & ~label("line") & ~label("l1") & near["l1"].rlike(P.ADDRESS_LIKE) & near["l1"].rlike(r"\d") & (known | (near["past3"].rlike(P.IDENTIFICATION) & ~near["past3"].rlike(P.CLINIC_ADDRESS_CONTEXT)))
+    belongs = lambda c: F.coalesce(~label(c) & ~clean(c).rlike(P.NAME_LINE) & ~F.lower(clean(c)).isin(*P.LOCALITY_NOT) & ~near[c].rlike(r"^\s*-\s*\d{1,2}[/\-.]") & (clean(c).rlike(P.POSTAL_HINT) | clean(c).rlike(P.LOCALITY_LINE)), F.lit(False))
     tail = [F.when(belongs("l2"), clean("l2")), F.when(belongs("l2") & belongs("l3"), clean("l3")), F.when(belongs("l2") & belongs("l3") & belongs("l4"), clean("l4"))]
-    out.append(_entry("owner_address", 14, no * 10, F.when(block, _parts(clean("l1"), *tail)), F.col("block3"), FALLBACK_CONFIDENCE))
+    out.append(entry("owner_address", 14, no * 10, F.when(block, _parts(clean("l1"), *tail)), near["block3"], FALLBACK_CONFIDENCE))
     # an address inside the value of an owner's label
     cut = F.when(F.contains("line", F.lit(":")), F.split("line", ":", 2)).when(F.contains("line", F.lit("-")), F.split("line", "-", 2))
     inner = F.regexp_extract(strip(F.coalesce(cut[1], F.lit("")), _EDGE), rf"({P.STREET_START.replace('(?iu)', '(?iu:', 1)}).*$)", 1)
-    out.append(_entry("owner_address", 15, no * 10, F.when(cut[0].rlike(P.OWNER_HEADER), strip(inner, _EDGE)), line, LABEL_CONFIDENCE))
+    out.append(entry("owner_address", 15, no * 10, F.when(cut[0].rlike(P.OWNER_HEADER), strip(inner, _EDGE)), line, LABEL_CONFIDENCE))
     # labelled addresses, on their line or the next, with a postal line after
 
     def labelled(pattern: str, group: int) -> Column:
         given = strip(F.regexp_extract("line", pattern, group), _EDGE)
         first = F.when(given != "", given).when(~label("l1"), clean("l1"))
-        return F.when(line.rlike(pattern) & first.isNotNull(), _parts(first, F.when(~label("l2") & F.coalesce(F.col("l2").rlike(P.POSTAL_HINT), F.lit(False)), clean("l2"))))
+        return F.when(line.rlike(pattern) & first.isNotNull(), _parts(first, F.when(~label("l2") & F.coalesce(near["l2"].rlike(P.POSTAL_HINT), F.lit(False)), clean("l2"))))
 
-    out.append(_entry("owner_address", 16, no * 10, labelled(P.OWNER_ADDRESS_LINE, 1), F.col("block3"), LABEL_CONFIDENCE))
+    out.append(entry("owner_address", 16, no * 10, labelled(P.OWNER_ADDRESS_LINE, 1), near["block3"], LABEL_CONFIDENCE))
     placed = line.rlike(P.CLINIC_ADDRESS_LINE)  # looked at first: few lines are, and the contexts are long
     said = fold(F.regexp_extract("line", P.CLINIC_ADDRESS_LINE, 1))
     explicit = said.rlike("cl[ií]nica")
-    context = F.concat_ws(" ", "past5", "next5")
+    context = F.concat_ws(" ", near["past5"], near["next5"])
     owners, clinics = context.rlike(P.OWNER_ADDRESS_CONTEXT), context.rlike(P.CLINIC_ADDRESS_CONTEXT)
     generic = line.rlike(P.GENERIC_ADDRESS_LINE) & ~explicit
     address = labelled(P.CLINIC_ADDRESS_LINE, 2)
-    owned = F.coalesce(F.col("past2"), F.lit("")).rlike(P.OWNER_CONTEXT)  # two lines above a general label
-    out.append(_entry("clinic_address", 16, no * 10 + 1, F.when(placed & explicit, address), F.col("block3"), LABEL_CONFIDENCE))
-    out.append(_entry("owner_address", 16, no * 10 + 1, F.when(placed & ~explicit & owners & ~clinics & generic, address), F.col("block3"), LABEL_CONFIDENCE))
-    out.append(_entry("clinic_address", 16, no * 10 + 2, F.when(placed & ~explicit & ~owned & clinics & ~owners & generic, address), F.col("block3"), LABEL_CONFIDENCE))
-    out.append(_entry("clinic_address", 16, no * 10 + 3, F.when(placed & ~explicit & ~owned & ~(generic & (owners != clinics)), address), F.col("block3"), FALLBACK_CONFIDENCE))
+    owned = F.coalesce(near["past2"], F.lit("")).rlike(P.OWNER_CONTEXT)  # two lines above a general label
+    out.append(entry("clinic_address", 16, no * 10 + 1, F.when(placed & explicit, address), near["block3"], LABEL_CONFIDENCE))
+    out.append(entry("owner_address", 16, no * 10 + 1, F.when(placed & ~explicit & owners & ~clinics & generic, address), near["block3"], LABEL_CONFIDENCE))
+    out.append(entry("clinic_address", 16, no * 10 + 2, F.when(placed & ~explicit & ~owned & clinics & ~owners & generic, address), near["block3"], LABEL_CONFIDENCE))
+    out.append(entry("clinic_address", 16, no * 10 + 3, F.when(placed & ~explicit & ~owned & ~(generic & (owners != clinics)), address), near["block3"], FALLBACK_CONFIDENCE))
     # an address right below a clinic's line
-    above = F.coalesce("p1", F.lit(""))
-    out.append(_entry("clinic_address", 17, no * 10, F.when(line.rlike(P.STREET_START) & line.rlike(r"\d") & ~F.contains("line", F.lit(":")) & above.rlike(P.CLINIC_CONTEXT) & ~above.rlike(P.OWNER_CONTEXT), clean("line")), F.col("around11"), FALLBACK_CONFIDENCE))
-    # in groups, so that each stage's generated code stays small enough to be compiled
-    every = None
-    for i in range(0, len(out), 3):
-        part = rows.select("document_id", F.explode(F.array_compact(F.array(*out[i : i + 3]))).alias("e")).select("document_id", "e.*")
-        every = part if every is None else every.unionAll(part)
-    return every
+    above = F.coalesce(near["p1"], F.lit(""))
+    out.append(entry("clinic_address", 17, no * 10, F.when(line.rlike(P.STREET_START) & line.rlike(r"\d") & ~F.contains("line", F.lit(":")) & above.rlike(P.CLINIC_CONTEXT) & ~above.rlike(P.OWNER_CONTEXT), clean("line")), near["around11"], FALLBACK_CONFIDENCE))
+    return out
