@@ -154,6 +154,15 @@ HINT_WORDS = (
     "diagnost", "tratamiento",
     *(w for _, words in CLINICAL_LABELS + CLINICAL_WORDS for w in words if len(w) > 3), "cada", "cura", "mg", "sut",
 )
-HINT_PATTERN = r"[0-9](?:[/\-.][0-9]|\s*k?gs?\b)|p\.\s*[:\-]?\s*[0-9]|dra?\.?\s*[:\-]|\bn(?:[º°�]|ro)?\.?\s*[:\-]|(?m)^\s*(?:vet|dra?|dr/a|doctora?|h\.?\s*v|dir)\b"
+#: Shapes that count without a word: dates, weights, short labels; and what a line may begin with. For Python's regular expressions, on a folded text.
+HINT_SHAPES = r"[0-9](?:[/\-.][0-9]|\s*k?gs?\b)|p\.\s*(?:[:\-]\s*)?[0-9]|dra?\.?\s*[:\-]|\bn(?:[º°�]|ro)?\.?\s*[:\-]"
+HINT_LINE_STARTS = r"(?:vet|dra?|dr/a|doctora?|h\.?\s*v|dir)\b"
 #: These count only in a text with a colon or a hyphen.
 HINT_LABELS = ("lab", "tac", "rm")
+#: For each pattern of the label table, words of which one is in whatever it matches, folded. Only texts with such a word are matched.
+LABEL_CUES = (
+    ("paciente", "nombre", "patient", "animal", "mascota"), ("especie",), ("especie",), ("especie", "species"), ("raza", "breed"), ("sex",), ("edad", "age"), ("nac", "nto", "dob", "birth"),
+    ("peso", "weight", "p."), ("vitales",), ("datos", "paciente", "mascota", "especie", "raza", "sexo", "chip"), ("chip", "transponder", "identificaci"), ("nhc", "histori"), ("visit", "consulta"), ("fecha", "date"),
+    ("clinica", "clínica", "centro", "centr0", "hospital"), ("direcci", "domicilio"), ("veterinari", "dr"), ("propietari", "tutor"), ("direcci", "domicilio", "dir."), ("capa", "color"), ("pelo",),
+    ("repro", "esterilizad", "castrad", "fertil", "fértil"), ("motivo", "reason"),
+)

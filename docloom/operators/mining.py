@@ -17,6 +17,7 @@ from docloom.functions.normal import CHIP, digits_of_chip, species, title as tit
 from docloom.functions.scores import FALLBACK_CONFIDENCE, LABEL_CONFIDENCE, kept_confidence
 from docloom.functions.text import fold, last_index, matches, squeeze, strip
 from docloom.operators import people_places
+from docloom.operators.cues import cued, may_hold
 from docloom.operators.keyed import first_of, top
 from docloom.operators.line_rows import emitted, entry, line_rows, lines_at
 from docloom.sources.scratch import at_most, spread, written
@@ -29,20 +30,20 @@ def _candidates(df: DataFrame, rank: int, key: Column | str, place: Column, valu
     return df.select("document_id", (F.lit(key) if isinstance(key, str) else key).alias("key"), (F.lit(rank * 10**9) + place).cast("long").alias("seq"), value.alias("value"), snippet.alias("snippet"), (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence"), (none if anchor is None else anchor).alias("anchor"), (F.lit(0) if priority is None else priority).cast("int").alias("priority"), (none if reason is None else reason).alias("reason"))
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """Array of (value, snippet) of a pattern's matches. Most texts have none: they are looked through once, not once for each group."""
+def _found(text: Column, pattern: str, may: Column | None = None) -> Column:
+    """Array of (value, snippet) of a pattern's matches, in texts that may hold any. Most have none: they are looked through once, not once for each group."""
     pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v, s: F.struct(v.alias("value"), s.alias("snippet")))
-    return F.when(text.rlike(pattern), pairs).otherwise(F.array().cast("array<struct<value:string,snippet:string>>"))
+    return F.when(text.rlike(pattern) if may is None else may & text.rlike(pattern), pairs).otherwise(F.array().cast("array<struct<value:string,snippet:string>>"))
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """Matches of the label table, in its order."""
+    """Matches of the label table, in its order. Where docs carries cues, a text is matched with the patterns that it holds a word of."""
     x = F.coalesce("text", F.lit(""))
 
     def tagged(i: int, key: str):
         return lambda m, j: F.struct(F.lit(key).alias("key"), (F.lit(i * 10**6) + j).alias("place"), m["value"].alias("value"), m["snippet"].alias("snippet"))
 
-    each = [F.transform(_found(x, f"(?iu){p}"), tagged(i, k)) for i, (k, p) in enumerate(P.LABELLED)]
+    each = [F.transform(_found(x, f"(?iu){p}", may_hold(docs, i)), tagged(i, k)) for i, (k, p) in enumerate(P.LABELLED)]
     rows = docs.select("document_id", "text", F.explode(F.concat(*each)).alias("m")).select("document_id", "text", "m.*")
     # an address under a general label isn't the clinic's if one of the two lines above speaks of the owner
     above = F.filter(F.split(F.substr("text", F.lit(1), F.greatest(F.lit(0), F.instr("text", F.trim("snippet")) - 1)), "\n"), lambda x: F.trim(x) != "")
@@ -146,32 +147,26 @@ def accepted(c: DataFrame) -> DataFrame:
 
 
 def hinted(docs: DataFrame) -> DataFrame:
-    """Documents that hold a word or pattern without which no extractor finds anything: one look at each text before it is split and matched."""
-
-    def found(low: Column) -> Column:
-        holds = lambda words: reduce(or_, (F.contains(low, F.lit(w)) for w in words))
-        return holds(sorted(set(P.HINT_WORDS))) | low.rlike(P.HINT_PATTERN) | (holds(":-") & holds(P.HINT_LABELS))
-
-    # as an array's only element the folded text is made once, not once for each word
-    return docs.filter(F.exists(F.array(fold(F.coalesce("text", F.lit("")))), found))
+    """Documents that hold a word or shape without which no extractor finds anything (docs has cues)."""
+    return docs.filter("hint")
 
 
 def mine(docs: DataFrame) -> DataFrame:
     """All candidates of documents (document_id, text) with offset, after acceptance; of equal folded values of a key the first. They are written, so that what is built on
     them doesn't plan the extractors anew."""
-    # looked through once and written: each extractor reads the few documents that are left
-    docs = written(hinted(spread(docs.select("document_id", "text"))).repartition("document_id"), "hinted")
+    # looked through once and written: each extractor reads the few documents that are left, and each label pattern those with one of its words
+    docs = written(hinted(cued(spread(docs.select("document_id", "text")))).drop("hint").repartition("document_id"), "hinted")
     every = labelled(docs).unionByName(from_lines(docs)).unionByName(plain_dates(docs)).unionByName(dates(docs))
     every = every.unionByName(windowed(docs, 5, "microchip_id", P.CHIP_WINDOW, digits_of_chip(F.col("v")), LABEL_CONFIDENCE)).unionByName(windowed(docs, 7, "clinical_record_number", P.RECORD_WINDOW, F.trim("v"), LABEL_CONFIDENCE)).unionByName(windowed(docs, 8, "microchip_id", P.CHIP_OCR_WINDOW, digits_of_chip(F.col("v")), FALLBACK_CONFIDENCE))
     low = fold(F.coalesce("text", F.lit("")))
     spanish = docs.filter(F.exists(F.array(low), lambda t: reduce(or_, (F.contains(t, F.lit(w)) for w in P.SPANISH_HINTS))))
     every = every.unionByName(_candidates(spanish, 30, "language", F.lit(0), F.lit("es"), F.lit("Heuristic language inference based on Spanish clinical tokens"), FALLBACK_CONFIDENCE))
-    ok = accepted(every).withColumn("_fold", fold(F.col("value")))
-    kept = first_of(ok, ["document_id", "key", "_fold"], [F.asc("seq")]).drop("_fold")
+    with at_most(docs.sparkSession, "spark.sql.codegen.hugeMethodLimit", 8000, 65535):  # longer generated methods aren't compiled by the JVM but interpreted
+        ok = written(accepted(every), "accepted")  # the extractors' plan ends here: what follows is planned without it
+    kept = first_of(ok.withColumn("_fold", fold(F.col("value"))), ["document_id", "key", "_fold"], [F.asc("seq")]).drop("_fold")
     texts = docs.select("document_id", "text")
     placed = kept.withColumn("snippet", F.trim("snippet")).join(texts, "document_id").withColumn("offset", last_index(F.col("text"), F.col("snippet"))).drop("text").withColumn("snippet", F.substring("snippet", 1, 220))
-    with at_most(docs.sparkSession, "spark.sql.codegen.hugeMethodLimit", 8000, 65535):  # longer generated methods aren't compiled by the JVM but interpreted
-        return written(placed, "mined")
+    return written(placed, "mined")
 
 
 def rank_keys(c: DataFrame) -> DataFrame:
