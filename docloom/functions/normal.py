@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, fold, plain, squeeze, strip
+from .text import blank_to_null, fold, once, plain, squeeze, strip
 
 # fixed values: patterns, limits and word lists
 DATE = r"\b(\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}|\d{4}[/.\-]\d{1,2}[/.\-]\d{1,2})\b"
@@ -63,20 +63,24 @@ def date_dmy(x: Column) -> Column:
 
 def visit_date(x: Column) -> Column:
     """A visit's date as ISO text: yyyy-mm-dd, dd/mm/yyyy or dd/mm/yy of this century, between 1900 and 2100."""
-    x = F.trim(x)
-    short = F.regexp_replace(x, r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2})$", "$1/$2/20$3")
-    long = F.translate(short, "-.", "//")
-    d = F.coalesce(F.try_to_date(F.when(x.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), x), "yyyy-M-d"), F.try_to_date(F.when(long.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), long), "d/M/yyyy"))
-    return F.when(F.year(d).between(1900, 2100), F.date_format(d, "yyyy-MM-dd"))
+    day_first = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-]"
+    iso = F.regexp_replace(F.regexp_replace(F.trim(x), day_first + r"(\d{4})\z", "$3-$2-$1"), day_first + r"(\d{2})\z", "20$3-$2-$1")
+    date = once(iso, lambda t: F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}\z"), t).try_cast("date"))
+    return once(date, lambda d: F.when(F.year(d).between(1900, 2100), d.cast("string")))
 
 
 def weight_kg(x: Column) -> Column:
     """A weight as 'n kg' between the limits; grams count as thousandths, the comma as a point."""
-    number, unit = F.regexp_extract(x, WEIGHT, 1), F.lower(F.regexp_extract(x, WEIGHT, 2))
-    kg = F.replace(number, F.lit(","), F.lit(".")).try_cast("double")
-    kg = F.when(unit.isin("g", "gr"), kg / 1000.0).otherwise(kg)
-    shown = F.when(kg == F.floor(kg), F.floor(kg).cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", kg), r"0+$", ""))
-    return F.when(kg.between(LEAST_KG, MOST_KG), F.concat(shown, F.lit(" kg")))
+
+    def in_kg(x: Column) -> Column:
+        number = F.replace(F.regexp_extract(x, WEIGHT, 1), F.lit(","), F.lit(".")).try_cast("double")
+        return once(number, lambda n: F.when(n.isNotNull(), F.when(F.lower(F.regexp_extract(x, WEIGHT, 2)).isin("g", "gr"), n / 1000.0).otherwise(n)))
+
+    def shown(kg: Column) -> Column:
+        text = F.when(kg == F.floor(kg), F.floor(kg).cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", kg), r"0+$", ""))
+        return F.when(kg.between(LEAST_KG, MOST_KG), F.concat(text, F.lit(" kg")))
+
+    return once(once(x, in_kg), shown)
 
 
 def sex(x: Column) -> Column:

@@ -25,17 +25,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
     A line of another kind (births, invoices, lab) has none unless it reads like an entry of a timeline. A line that names a day takes the line before it
     into account.
     """
-    rows = raw_lines(docs)
+    rows = raw_lines(docs.filter(F.col("text").rlike(P.VISIT_DATE)))  # texts without a date aren't split
     w = Window.partitionBy("document_id").orderBy("line_no")
     previous = F.last(F.nullif("line", F.lit("")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("previous", F.coalesce(previous, F.lit("")))
     line = F.col("line")
-    timeline = line.rlike(P.VISIT_TIMELINE_LINE)
-    visit = line.rlike(P.VISIT_CONTEXT) | line.rlike(P.VISIT_LABEL) | line.rlike(P.VISIT_CLINICAL) | timeline | (line.rlike(P.VISIT_DAY_LINE) & F.col("previous").rlike(P.VISIT_CONTEXT))
-    kept = rows.filter(visit & (timeline | ~line.rlike(P.NOT_VISIT)))
-    found = matches(kept, "raw", P.VISIT_DATE, "document_id", "start").withColumn("date", visit_date(F.col("value"))).filter("date is not null")
-    placed = found.select("document_id", "date", (F.col("start") + F.col("offset")).alias("offset"), F.col("start").alias("line_start"))
-    return placed.withColumn("k", F.row_number().over(Window.partitionBy("document_id", "date").orderBy("offset")))
+    # the commonest kind is asked for first; only lines with a date are looked at
+    speaks = line.rlike(P.VISIT_CONTEXT) | line.rlike(P.VISIT_LABEL) | line.rlike(P.VISIT_CLINICAL) | (line.rlike(P.VISIT_DAY_LINE) & F.col("previous").rlike(P.VISIT_CONTEXT))
+    kept = rows.filter(F.col("raw").rlike(P.VISIT_DATE)).filter(line.rlike(P.VISIT_TIMELINE_LINE) | (speaks & ~line.rlike(P.NOT_VISIT)))
+    found = matches(kept, "raw", P.VISIT_DATE, "document_id", "start")
+    # as a generator's only element the date is made once
+    placed = found.select("document_id", (F.col("start") + F.col("offset")).alias("offset"), F.col("start").alias("line_start"), F.explode(F.array_compact(F.array(visit_date(F.col("value"))))).alias("date"))
+    return placed.select("document_id", "date", "offset", "line_start").withColumn("k", F.row_number().over(Window.partitionBy("document_id", "date").orderBy("offset")))
 
 
 def missing_visits(seen: DataFrame, known: DataFrame) -> DataFrame:
@@ -48,10 +49,13 @@ def missing_visits(seen: DataFrame, known: DataFrame) -> DataFrame:
     return new.join(total, "document_id", "left").select("document_id", F.format_string("visit-%03d", number).alias("visit_id"), "date")
 
 
-def boundaries(docs: DataFrame) -> DataFrame:
-    """Rows (document_id, heads): the offsets of visits' headings in each text, as a sorted array."""
-    heads = matches(docs, "text", P.VISIT_BOUNDARY, "document_id")
-    return heads.groupBy("document_id").agg(F.sort_array(F.collect_list("offset")).alias("heads"))
+def headings(text: Column) -> Column:
+    """The offsets of visits' headings in a text, as a sorted array; empty where there are none."""
+    gaps, values = F.split(text, P.VISIT_BOUNDARY), F.regexp_extract_all(text, F.lit(f"({P.VISIT_BOUNDARY})"), F.lit(1))
+    steps = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(F.length(g).alias("gap"), F.length(v).alias("own")))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("heads"))
+    placed = F.aggregate(steps, start, lambda s, m: F.struct((s["end"] + m["gap"] + m["own"]).alias("end"), F.concat(s["heads"], F.array(s["end"] + m["gap"])).alias("heads")))["heads"]
+    return F.when(text.rlike(P.VISIT_BOUNDARY), placed).otherwise(F.array().cast("array<int>"))
 
 
 def numbered_roster(roster: DataFrame) -> DataFrame:
@@ -71,7 +75,7 @@ def segments(docs: DataFrame, seen: DataFrame, roster: DataFrame) -> DataFrame:
     owned = kth_match(anchors.drop("k"), numbered_roster(roster), ["document_id", "date"], ["offset"], ["no"]).drop("k")
     owned = first_of(owned, ["document_id", "visit_id"], [F.asc("offset")])
     places = owned.groupBy("document_id").agg(F.collect_list(F.struct("visit_id", "offset", "line_start", "next_line")).alias("places"))
-    t = places.join(docs.select("document_id", "text"), "document_id").join(boundaries(docs), "document_id", "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<int>")))
+    t = places.join(docs.select("document_id", "text"), "document_id").withColumn("heads", headings(F.coalesce("text", F.lit(""))))
 
     def cut(p: Column) -> Column:
         own_head = F.array_max(F.filter("heads", lambda h: (h <= p["offset"]) & (h >= p["line_start"])))
@@ -95,11 +99,11 @@ def snippet_offset(text: Column, snippet: Column) -> Column:
 
 
 def snippet_places(fields: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows (document_id, snippet, at): where each snippet of a document's fields stands. A text is folded and joined once for all its snippets."""
+    """Rows (document_id, snippet, at, heads): where each snippet of a document's fields stands, and the headings of its text. A text is folded and joined once for all its snippets."""
     asked = fields.filter("snippet is not null").groupBy("document_id").agg(F.collect_set("snippet").alias("snippets"))
-    t = asked.join(docs.select("document_id", fold(F.coalesce("text", F.lit(""))).alias("low")), "document_id")
+    t = asked.join(docs.select("document_id", F.coalesce("text", F.lit("")).alias("text")), "document_id").select("document_id", "snippets", fold(F.col("text")).alias("low"), headings(F.col("text")).alias("heads"))
     found = F.transform(F.array("low"), lambda low: F.transform("snippets", lambda s: F.struct(s.alias("snippet"), _offset_in(low, s).alias("at"))))[0]
-    return t.select("document_id", F.explode(found).alias("s")).select("document_id", "s.*").filter("at is not null")
+    return t.select("document_id", "heads", F.explode(found).alias("s")).select("document_id", "s.*", "heads").filter("at is not null")
 
 
 def first_visit_date(x: Column) -> Column:
@@ -165,7 +169,7 @@ def resolved(fields: DataFrame, docs: DataFrame, seen: DataFrame, roster: DataFr
     k = F.row_number().over(Window.partitionBy("document_id", "date").orderBy("offset")) - 1
     places = seen.withColumn("k", k).groupBy("document_id").agg(F.collect_list(F.struct("offset", "date", "k")).alias("places"))
     visits = numbered_roster(roster).filter("date is not null").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("no", "visit_id", "date"))).alias("visits"), F.countDistinct("date").alias("_n_dates"))
-    f = fields.join(snippet_places(fields, docs), ["document_id", "snippet"], "left").join(places, "document_id", "left").join(boundaries(docs), "document_id", "left").join(visits, "document_id", "left")
+    f = fields.join(snippet_places(fields, docs), ["document_id", "snippet"], "left").join(places, "document_id", "left").join(visits, "document_id", "left")
     snippet = F.coalesce("snippet", F.lit(""))
     f = f.withColumns({"_dates": snippet_dates(snippet), "_token": snippet.rlike(P.VISIT_DATE), "_n_dates": F.coalesce("_n_dates", F.lit(0))})
     at, none = F.col("at"), F.array()
@@ -240,12 +244,17 @@ def scoping_metrics(assigned: DataFrame) -> DataFrame:
 
 def latest_weight(docs: DataFrame) -> DataFrame:
     """Rows (document_id, date, weight, line): the last weight at or under the latest heading with date and time of each text, and its line."""
-    rows = raw_lines(docs).withColumn("own", visit_date(F.regexp_extract("line", P.TIMELINE_HEADER, 1)))
-    headed = F.when(F.col("line").rlike(P.TIMELINE_HEADER), F.struct("own"))
-    dated = carried(rows, ["document_id"], ["line_no"], headed, "_head").withColumn("date", F.col("_head.own"))
+    line = F.col("line")
+    # only headings and lines with a weight count; what is read from them is made once, as a generator's only element
+    weighed = line.rlike(r"(?i)[0-9]\s*k?g")  # cheap, and without it there is no weight
+    texts = docs.filter(F.col("text").rlike(r"[0-9]:[0-9]{2}") & F.col("text").rlike(r"(?i)[0-9]\s*k?g"))  # a heading names a time
+    rows = raw_lines(texts).select("document_id", "line_no", "line").filter(line.rlike(P.TIMELINE_HEADER) | (weighed & line.rlike(P.WEIGHT_TOKEN)))
     token = lambda g: F.regexp_extract("line", P.WEIGHT_TOKEN, g)
-    weighed = dated.withColumn("weight", weight_kg(F.concat_ws(" ", token(1), token(2)))).filter("weight is not null and date is not null")
-    return first_of(weighed, ["document_id"], [F.desc("date"), F.desc("line_no")]).select("document_id", "date", "weight", "line")
+    headed = F.when(line.rlike(P.TIMELINE_HEADER), F.struct(visit_date(F.regexp_extract("line", P.TIMELINE_HEADER, 1)).alias("own")))
+    read = F.struct(headed.alias("head"), F.when(weighed, weight_kg(F.concat_ws(" ", token(1), token(2)))).alias("weight"))
+    rows = rows.select("document_id", "line_no", "line", F.explode(F.array(read)).alias("r")).select("document_id", "line_no", "line", "r.*")
+    dated = carried(rows, ["document_id"], ["line_no"], F.col("head"), "_head").withColumn("date", F.col("_head.own"))
+    return latest(dated.filter("weight is not null and date is not null").select("document_id", "date", "weight", "line", "line_no"), ["document_id"], ["date", "line_no"]).drop("line_no")
 
 
 def newest_weight(candidates: DataFrame) -> DataFrame:

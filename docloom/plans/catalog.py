@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import normal, scores, text, validators
 from docloom.operators import clauses, edit_chain, keyed, mining, observe, quality_gate, record, review, review_projection, state, view, visit_chart, visits, web_addresses
 from docloom.sources.files import object_payload, read_raw_texts, split_uploads, table, write_raw_texts
-from docloom.sources.scratch import shared_dir
+from docloom.sources.scratch import shared_dir, written
 from docloom.streaming import merge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -614,7 +614,7 @@ def _histories(spark, d):
     o = table(spark, d, "orders")
     case = F.lpad(F.col("o_orderkey").cast("string"), 9, "0")
     part = F.concat(F.lit("- "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" - 10:30 - Control caso "), case, F.lit("\nPeso: "), (F.col("o_orderkey") % 100 + 1).cast("string"), F.lit(" kg\nDiagnóstico: otitis "), case, F.lit("\n"))
-    whole = o.groupBy(F.col("o_custkey").cast("string").alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("part")))).alias("parts"))
+    whole = o.groupBy(F.col("o_custkey").cast("string").alias("document_id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", part.alias("part")))).alias("parts"))
     return whole.select("document_id", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text"))
 
 
@@ -636,7 +636,7 @@ SELECT v.o_custkey::VARCHAR AS document_id, 'visit-' || lpad(no::VARCHAR, 3, '0'
 FROM v LEFT JOIN p USING (o_custkey, no) JOIN l USING (o_custkey)""")
 def charted_visits(spark, d):
     """Visits with the fields assigned to them and mined from their own text, and the document's current weight."""
-    listed, fields, of_docs = visit_chart.chart(_histories(spark, d), _procedures(spark, d))
+    listed, fields, of_docs = visit_chart.chart(written(_histories(spark, d), "histories"), _procedures(spark, d))
     one = lambda key: F.max(F.when(F.col("key") == key, F.col("value"))).alias(key)
     procedures = F.array_join(F.array_sort(F.collect_list(F.when((F.col("key") == "procedure") & (F.col("origin") == "assigned"), F.col("value")))), ",")
     held = fields.groupBy("document_id", "visit_id").agg(one("weight"), one("diagnosis"), F.nullif(procedures, F.lit("")).alias("procedures"))
@@ -647,10 +647,10 @@ def charted_visits(spark, d):
 @query(f"WITH {_ORDER_VISITS}, s AS (SELECT *, length('- dd/mm/yyyy - 10:30 - Control caso 123456789' || chr(10) || 'Peso: ' || w || chr(10) || 'Diagnóstico: otitis 123456789') AS size FROM v) SELECT o_custkey::VARCHAR AS document_id, 'visit-' || lpad(no::VARCHAR, 3, '0') AS visit_id, strftime(day, '%Y-%m-%d') AS date, (sum(size + 1) OVER (PARTITION BY o_custkey ORDER BY k) - size - 1)::INT AS start, md5('- ' || strftime(day, '%d/%m/%Y') || ' - 10:30 - Control caso ' || c || chr(10) || 'Peso: ' || w || chr(10) || 'Diagnóstico: otitis ' || c) AS digest FROM s")
 def visit_segments(spark, d):
     """The text of each visit."""
-    docs = _histories(spark, d)
-    seen = visits.occurrences(docs)
+    docs = written(_histories(spark, d), "histories")
+    seen = written(visits.occurrences(docs), "seen")
     dates = visits.detected_dates(visits.classified(_procedures(spark, d)), seen)
-    roster = visit_chart.roster(dates, seen, visit_chart.no_visits(spark)[0])
+    roster = written(visit_chart.roster(dates, seen, visit_chart.no_visits(spark)[0]), "roster")
     return visits.segments(docs, seen, roster).join(roster, ["document_id", "visit_id"]).select("document_id", "visit_id", "date", "start", F.md5("segment").alias("digest"))
 
 
