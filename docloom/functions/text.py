@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +56,16 @@ def is_empty(x: Column, kind: str) -> Column:
     return ~F.coalesce(full, F.lit(False))
 
 
+def cue(x: Column) -> Column:
+    """A text in which every letter that a pattern without regard to case takes for a plain one is that letter: long s, dotless and dotted i among them."""
+    return F.replace(F.lower(F.upper(x)), F.lit("\u0307"), F.lit(""))
+
+
+def holds(x: Column, *words: str) -> Column:
+    """Whether a text holds one of some words, which need no pattern."""
+    return reduce(or_, (F.contains(x, F.lit(w)) for w in words))
+
+
 def once(x: Column, f: Callable[[Column], Column]) -> Column:
     """f of x, where x is made once however often f uses it: Spark makes an expression under a condition anew for each use."""
     return F.get(F.transform(F.array(x), f), F.lit(0))

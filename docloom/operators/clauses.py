@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import LINE_END, blank_to_null, fold, squeeze
+from docloom.functions.text import LINE_END, blank_to_null, fold, once, squeeze
 
 # fixed values: the words that tell observations from actions
 SUMMARY_PREFIX = r"(?iu)^(?:visita|consulta|control|revisi[oó]n|seguimiento|ingreso)\b"
@@ -67,7 +67,8 @@ def _kind(clause: Column, raw: Column) -> Column:
     later = F.when(acts, "action").when(clause.rlike(DIAGNOSTIC) & ~treatment & ~told & ~medical & ~clause.rlike(ACTION_VERB), "observation").when(clause.rlike(ACTION_VERB), "action").otherwise("observation")
     watched = (clause.rlike(ANAMNESIS) & ~clause.rlike(PERFORMED)) | (clause.rlike(HEADER) & ~treatment) | (clause.rlike(FINDING) & ~treatment & ~dosage) | clause.rlike(HOME)
     follows = clause.rlike(MORE_ADMIN) | clause.rlike(MORE_ACTION)
-    return F.when(watched, "observation").when(clause.rlike(ADMIN), "action").when(follows & (later == "observation"), "action_after").otherwise(later)
+    rest = once(later, lambda x: F.when((x == "observation") & follows, "action_after").otherwise(x))
+    return F.when(watched, "observation").when(clause.rlike(ADMIN), "action").otherwise(rest)
 
 
 def split_clauses(text: Column) -> Column:
@@ -79,7 +80,7 @@ def split_clauses(text: Column) -> Column:
 
 def observations_actions(segments: DataFrame, text: str = "segment") -> DataFrame:
     """segments with observations and actions: the clauses of each kind, each once, joined by a blank; null where there are none."""
-    judged = F.transform(split_clauses(F.col(text)), lambda raw: F.struct(clean(raw).alias("clause"), _kind(clean(raw), raw).alias("kind")))
+    judged = F.transform(split_clauses(F.col(text)), lambda raw: once(clean(raw), lambda c: F.struct(c.alias("clause"), F.when(c != "", _kind(c, raw)).alias("kind"))))
     empty = F.struct(F.array().cast("array<string>").alias("o"), F.array().cast("array<string>").alias("a"))
 
     def step(s: Column, x: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docloom.functions import patterns as P
 from docloom.functions.normal import CHIP, digits_of_chip, species, title as titled
 from docloom.functions.scores import FALLBACK_CONFIDENCE, LABEL_CONFIDENCE, kept_confidence
-from docloom.functions.text import fold, last_index, matches, squeeze, strip
+from docloom.functions.text import cue, fold, holds, last_index, matches, once, squeeze, strip
 from docloom.operators import people_places
 from docloom.operators.cues import cued, may_hold
 from docloom.operators.keyed import first_of, top
@@ -36,14 +36,16 @@ def _found(text: Column, pattern: str, may: Column | None = None) -> Column:
     return F.when(text.rlike(pattern) if may is None else may & text.rlike(pattern), pairs).otherwise(F.array().cast("array<struct<value:string,snippet:string>>"))
 
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """Matches of the label table, in its order. Where docs carries cues, a text is matched with the patterns that it holds a word of."""
+def labelled(docs: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """Matches of the label table, in its order, of all keys or of the given ones. Where docs carries cues, a text is matched with the patterns that it holds a word of."""
     x = F.coalesce("text", F.lit(""))
 
     def tagged(i: int, key: str):
         return lambda m, j: F.struct(F.lit(key).alias("key"), (F.lit(i * 10**6) + j).alias("place"), m["value"].alias("value"), m["snippet"].alias("snippet"))
 
-    each = [F.transform(_found(x, f"(?iu){p}", may_hold(docs, i)), tagged(i, k)) for i, (k, p) in enumerate(P.LABELLED)]
+    each = [F.transform(_found(x, f"(?iu){p}", may_hold(docs, i)), tagged(i, k)) for i, (k, p) in enumerate(P.LABELLED) if keys is None or k in keys]
+    if not each:
+        each = [F.array().cast("array<struct<key:string,place:int,value:string,snippet:string>>")]
     rows = docs.select("document_id", "text", F.explode(F.concat(*each)).alias("m")).select("document_id", "text", "m.*")
     # an address under a general label isn't the clinic's if one of the two lines above speaks of the owner
     above = F.filter(F.split(F.substr("text", F.lit(1), F.greatest(F.lit(0), F.instr("text", F.trim("snippet")) - 1)), "\n"), lambda x: F.trim(x) != "")
@@ -78,49 +80,62 @@ def plain_dates(docs: DataFrame) -> DataFrame:
     return _candidates(found, 2, "document_date", F.col("match_no"), F.col("value"), F.substr("text", start + 1, F.col("offset") + F.length("value") + 36 - start), FALLBACK_CONFIDENCE)
 
 
-def from_lines(docs: DataFrame) -> DataFrame:
+def from_lines(docs: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """Extractors that read lines: birth date in the header, timeline, chip numbers near their label, clinical lines, sex, species, weight, persons and places.
 
-    All of them look at each line once, in one pass over rows that carry the lines around.
+    All of them look at each line once, in one pass over rows that carry the lines around. Only rules of the given keys are asked, if any are given.
     """
     rows = line_rows(docs)
-    line, low, no = F.col("line"), F.col("low"), F.col("line_no")
+    # words that a pattern can't match without are looked for first: most lines have none of them
+    rows = rows.withColumns({"cue": cue(F.col("line")), "cut": F.when(F.contains("line", F.lit(":")), F.split("line", ":", 2)).when(F.contains("line", F.lit("-")), F.split("line", "-", 2))})
+    rows = rows.withColumns({"head": F.lower(F.col("cut")[0]), "rest": F.col("cut")[1]})
+    line, low, no, seen = F.col("line"), F.col("low"), F.col("line_no"), F.col("cue")
     # the header ends with line 20, and so do its contexts; the first such line of a text counts
     header = F.array_join(F.slice("around", F.col("own"), F.least(F.lit(9), F.greatest(F.lit(1), 21 - no))), "\n")
-    short_date = (no <= 20) & line.rlike(r"^[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2}$")
+    short_date = (no <= 20) & (F.length("line") <= 8) & line.rlike(r"^[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2}$")
     heads = F.when(short_date, F.when(header.rlike(P.CHIP_LABEL) | header.rlike(CHIP), no))
-    rows = rows.withColumn("first_head", F.min(heads).over(Window.partitionBy("document_id")))
-    out = [entry("dob", 1, no, F.when(no == F.col("first_head"), line), header, FALLBACK_CONFIDENCE)]
+    out = []
+
+    def rule(key: str, *rest) -> None:
+        if keys is None or key in keys:
+            out.append(entry(key, *rest))
+
+    if keys is None or "dob" in keys:
+        rows = rows.withColumn("first_head", F.min(heads).over(Window.partitionBy("document_id")))
+        rule("dob", 1, no, F.when(no == F.col("first_head"), line), header, FALLBACK_CONFIDENCE)
     timeline = r"^-\s*([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})\s*-"
-    out.append(entry("document_date", 4, no, F.when(line.rlike(timeline), F.regexp_extract("line", timeline, 1)), line, FALLBACK_CONFIDENCE, "timeline_unanchored"))
+    rule("document_date", 4, no, F.when(line.startswith("-") & line.rlike(timeline), F.regexp_extract("line", timeline, 1)), line, FALLBACK_CONFIDENCE, "timeline_unanchored")
     labels = F.exists(F.concat(lines_at(-8, -1), lines_at(1, 8)), lambda x: x.rlike(P.CHIP_LABEL))
-    chip = digits_of_chip(line)
-    out.append(entry("microchip_id", 6, no, F.when(chip.isNotNull(), F.when(labels, chip)), F.array_join(lines_at(-8, 8), "\n"), LABEL_CONFIDENCE))
-    has = lambda x, words: x.rlike("|".join(words))
-    colon = F.contains("line", F.lit(":"))
-    cut = F.when(colon, F.split("line", ":", 2)).when(F.contains("line", F.lit("-")), F.split("line", "-", 2))
-    head, rest = F.lower(cut[0]), cut[1]
+    chip = F.when(line.rlike("(?:[0-9][^0-9]*){9}"), digits_of_chip(line))
+    rule("microchip_id", 6, no, once(chip, lambda x: F.when(x.isNotNull(), F.when(labels, x))), F.array_join(lines_at(-8, 8), "\n"), LABEL_CONFIDENCE)
+    has = lambda x, words: holds(x, *words)
+    colon, head, rest = F.contains("line", F.lit(":")), F.col("head"), F.col("rest")
     clinical = [(k, F.when((rest != "") & has(head, words), rest), LABEL_CONFIDENCE) for k, words in P.CLINICAL_LABELS]
     clinical += [(k, F.when(has(low, words) & (~colon if k == "diagnosis" else F.lit(True)), line), FALLBACK_CONFIDENCE) for k, words in P.CLINICAL_WORDS]
-    out += [entry(k, 20, no * 100 + i, value, line, c) for i, (k, value, c) in enumerate(clinical)]
-    inside = F.when(line.rlike(P.CLINIC_IN_LINE), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_IN_LINE, 1), "(?i)^centr0$", "Centro"), strip(F.regexp_extract("line", P.CLINIC_IN_LINE, 2), " .,:;\t")))
-    alone = F.when(line.rlike(P.CLINIC_LINE) & ~F.regexp_extract("line", P.CLINIC_LINE, 2).rlike("(?i)^de "), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_LINE, 1), r"(?i)^h\.?\s*v\.?$", "HV"), strip(F.regexp_extract("line", P.CLINIC_LINE, 2), " .,:;\t")))
-    out += [entry("clinic_name", 18, no * 100 + i, value, line, FALLBACK_CONFIDENCE) for i, value in enumerate((inside, alone))]
+    for i, (k, value, c) in enumerate(clinical):
+        rule(k, 20, no * 100 + i, value, line, c)
+    inside = F.when(holds(seen, "centr", "nica", "hospital") & line.rlike(P.CLINIC_IN_LINE), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_IN_LINE, 1), "(?i)^centr0$", "Centro"), strip(F.regexp_extract("line", P.CLINIC_IN_LINE, 2), " .,:;\t")))
+    alone = F.when(holds(seen, "v", "hospital", "centro", "nica") & line.rlike(P.CLINIC_LINE) & ~F.regexp_extract("line", P.CLINIC_LINE, 2).rlike("(?i)^de "), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_LINE, 1), r"(?i)^h\.?\s*v\.?$", "HV"), strip(F.regexp_extract("line", P.CLINIC_LINE, 2), " .,:;\t")))
+    for i, value in enumerate((inside, alone)):
+        rule("clinic_name", 18, no * 100 + i, value, line, FALLBACK_CONFIDENCE)
     next4 = F.lower(F.array_join(lines_at(0, 3), " "))
     patient = next4.rlike("canino|felino|raza|chip|especie")
     born = F.nullif(squeeze(F.regexp_extract("line", P.PET_BIRTH_LINE, 1)), F.lit(""))
-    pet = F.when(line.rlike(P.PET_BIRTH_LINE), F.when(~born.rlike(P.PET_GUARD) & (F.size(F.split(born, " ")) <= 3) & (patient | next4.rlike("nac")), born))
-    title = line.rlike(r"^(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)(?:[\s'-]+(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)){0,2}$") & F.length("line").between(3, 40) & ~line.rlike(P.PET_GUARD) & ~low.rlike(r"^(?:nombre|especie|raza|sexo|chip|n[ºo°]?\s*chip|fecha|paciente|propietari[oa]|veterinari[oa]|diagn[oó]stico|tratamiento|medicaci[oó]n|vacunaci[oó]n|canin[oa]|felin[oa]|macho|hembra|historial|informe|ficha|capa|edad|peso)\b")
+    pet = F.when(holds(seen, "nac", "dob", "birth") & line.rlike(P.PET_BIRTH_LINE), F.when(~born.rlike(P.PET_GUARD) & (F.size(F.split(born, " ")) <= 3) & (patient | next4.rlike("nac")), born))
+    title = F.length("line").between(3, 40) & ~colon & line.rlike(r"^(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)(?:[\s'-]+(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)){0,2}$") & ~line.rlike(P.PET_GUARD) & ~low.rlike(r"^(?:nombre|especie|raza|sexo|chip|n[ºo°]?\s*chip|fecha|paciente|propietari[oa]|veterinari[oa]|diagn[oó]stico|tratamiento|medicaci[oó]n|vacunaci[oó]n|canin[oa]|felin[oa]|macho|hembra|historial|informe|ficha|capa|edad|peso)\b")
     around1, before3 = F.array_join(lines_at(-1, 1), " "), lines_at(-3, 1)
     single = low.isin("m", "macho", "male", "h", "hembra", "female")
     short = F.when(single, F.when(F.contains(F.lower(around1), F.lit("sexo")), F.when(low.isin("m", "macho", "male"), "macho").otherwise("hembra")))
     kg = F.regexp_replace(F.lower(F.regexp_extract("line", P.WEIGHT_LINE, 2)), "^kgs$", "kg")
     dated = F.array_join(before3, " ")
-    weighed = F.when(line.rlike(P.WEIGHT_LINE), F.when(dated.rlike(P.ANY_DATE) | dated.rlike(P.VISIT_TIMELINE) | (F.col("n_lines") <= 5), F.concat(F.regexp_extract("line", P.WEIGHT_LINE, 1), F.lit(" "), kg)))
+    weighed = F.when(F.contains(seen, F.lit("g")) & line.rlike(P.WEIGHT_LINE), F.when(dated.rlike(P.ANY_DATE) | dated.rlike(P.VISIT_TIMELINE) | (F.col("n_lines") <= 5), F.concat(F.regexp_extract("line", P.WEIGHT_LINE, 1), F.lit(" "), kg)))
     kind = F.when(~F.contains("low", F.lit(" ")), species(low))
     body = (("pet_name", pet, line), ("pet_name", F.when(title, F.when(patient, titled(line))), line), ("sex", F.when(has(low, ("macho", "male")), "macho"), line), ("sex", F.when(has(low, ("hembra", "female")), "hembra"), line), ("species", kind, line), ("sex", short, around1), ("weight", weighed, F.array_join(before3, "\n")))
-    out += [entry(k, 21, no * 100 + i, value, snippet, FALLBACK_CONFIDENCE) for i, (k, value, snippet) in enumerate(body)]
-    return emitted(rows, out + people_places.entries())
+    for i, (k, value, snippet) in enumerate(body):
+        rule(k, 21, no * 100 + i, value, snippet, FALLBACK_CONFIDENCE)
+    if keys is None or not people_places.KEYS.isdisjoint(keys):
+        out += people_places.entries()
+    return emitted(rows, out)
 
 
 def accepted(c: DataFrame) -> DataFrame:
@@ -151,16 +166,28 @@ def hinted(docs: DataFrame) -> DataFrame:
     return docs.filter("hint")
 
 
-def mine(docs: DataFrame) -> DataFrame:
+def mine(docs: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """All candidates of documents (document_id, text) with offset, after acceptance; of equal folded values of a key the first. They are written, so that what is built on
-    them doesn't plan the extractors anew."""
+    them doesn't plan the extractors anew. With keys, only their candidates are made: keys don't depend on each other, so these are the same as without."""
+    asked = lambda *of: keys is None or any(k in keys for k in of)
     # looked through once and written: each extractor reads the few documents that are left, and each label pattern those with one of its words
     docs = written(hinted(cued(spread(docs.select("document_id", "text")))).drop("hint").repartition("document_id"), "hinted")
-    every = labelled(docs).unionByName(from_lines(docs)).unionByName(plain_dates(docs)).unionByName(dates(docs))
-    every = every.unionByName(windowed(docs, 5, "microchip_id", P.CHIP_WINDOW, digits_of_chip(F.col("v")), LABEL_CONFIDENCE)).unionByName(windowed(docs, 7, "clinical_record_number", P.RECORD_WINDOW, F.trim("v"), LABEL_CONFIDENCE)).unionByName(windowed(docs, 8, "microchip_id", P.CHIP_OCR_WINDOW, digits_of_chip(F.col("v")), FALLBACK_CONFIDENCE))
-    low = fold(F.coalesce("text", F.lit("")))
-    spanish = docs.filter(F.exists(F.array(low), lambda t: reduce(or_, (F.contains(t, F.lit(w)) for w in P.SPANISH_HINTS))))
-    every = every.unionByName(_candidates(spanish, 30, "language", F.lit(0), F.lit("es"), F.lit("Heuristic language inference based on Spanish clinical tokens"), FALLBACK_CONFIDENCE))
+    parts = [labelled(docs, keys), from_lines(docs, keys)]
+    if asked("document_date"):
+        parts.append(plain_dates(docs))
+    if asked(*(k for k, *_ in P.DATE_ANCHORS)):
+        parts.append(dates(docs))
+    if asked("microchip_id"):
+        parts += [windowed(docs, 5, "microchip_id", P.CHIP_WINDOW, digits_of_chip(F.col("v")), LABEL_CONFIDENCE), windowed(docs, 8, "microchip_id", P.CHIP_OCR_WINDOW, digits_of_chip(F.col("v")), FALLBACK_CONFIDENCE)]
+    if asked("clinical_record_number"):
+        parts.append(windowed(docs, 7, "clinical_record_number", P.RECORD_WINDOW, F.trim("v"), LABEL_CONFIDENCE))
+    if asked("language"):
+        low = fold(F.coalesce("text", F.lit("")))
+        spanish = docs.filter(F.exists(F.array(low), lambda t: reduce(or_, (F.contains(t, F.lit(w)) for w in P.SPANISH_HINTS))))
+        parts.append(_candidates(spanish, 30, "language", F.lit(0), F.lit("es"), F.lit("Heuristic language inference based on Spanish clinical tokens"), FALLBACK_CONFIDENCE))
+    every = reduce(DataFrame.unionByName, parts)
+    if keys is not None:
+        every = every.filter(F.col("key").isin(*keys))
     with at_most(docs.sparkSession, "spark.sql.codegen.hugeMethodLimit", 8000, 65535):  # longer generated methods aren't compiled by the JVM but interpreted
         ok = written(accepted(every), "accepted")  # the extractors' plan ends here: what follows is planned without it
     kept = first_of(ok.withColumn("_fold", fold(F.col("value"))), ["document_id", "key", "_fold"], [F.asc("seq")]).drop("_fold")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from docloom.functions import patterns as P
 from docloom.functions.scores import FALLBACK_CONFIDENCE, LABEL_CONFIDENCE
-from docloom.functions.text import fold, once, squeeze, strip
+from docloom.functions.text import fold, holds, once, squeeze, strip
 from docloom.operators.line_rows import entry, line_at, lines_at
 
 _EDGE = " .,:;\t\r\n"
+#: The keys that the rules here have values for.
+KEYS = frozenset(("vet_name", "owner_name", "clinic_name", "clinic_address", "owner_address"))
 
 
 def person(x: Column) -> Column:
@@ -35,8 +37,8 @@ def _parts(*parts: Column) -> Column:
 
 
 def entries() -> list[Column]:
-    """Persons and places found at a line of `line_rows`, each one candidate or null."""
-    line, no = F.col("line"), F.col("line_no")
+    """Persons and places found at a line of `line_rows`, each one candidate or null. The rows also have the line as cue text and cut, its two parts at a colon or hyphen."""
+    line, no, seen, cut = F.col("line"), F.col("line_no"), F.col("cue"), F.col("cut")
     near = {f"l{i}": line_at(i) for i in range(1, 5)} | {"p1": line_at(-1), "after8": lines_at(1, 8), "before8": lines_at(-8, -1)}
     near |= {name: F.array_join(lines_at(lo, hi), glue) for name, lo, hi, glue in (("within2", -2, 2, " "), ("past2", -2, -1, " "), ("past3", -3, 3, " "), ("past5", -5, -1, " "), ("next5", 1, 5, " "), ("next7", 1, 7, " "), ("block3", 0, 2, "\n"), ("block4", 0, 3, "\n"), ("around13", -1, 3, " "), ("around11", -1, 1, "\n"))}
     near["line"] = line
@@ -45,24 +47,25 @@ def entries() -> list[Column]:
     out = []
 
     # persons: a label with the name on its line, or on the next line after a colon
-    for key, pattern, guard in (("vet_name", P.VET_LABEL, P.ADDRESS_LIKE), ("owner_name", P.OWNER_LABEL, P.VET_OR_CLINIC)):
+    for key, pattern, guard, words in (("vet_name", P.VET_LABEL, P.ADDRESS_LIKE, ("vet", "dr", "doctor")), ("owner_name", P.OWNER_LABEL, P.VET_OR_CLINIC, ("propietari", "titular", "due", "owner"))):
         own = F.trim(F.regexp_extract("line", pattern, 1))
         source = F.when(own != "", own).when(F.contains("line", F.lit(":")), near["l1"])
         name = person(before_address(source) if key == "owner_name" else source)
-        out.append(entry(key, 9 if key == "vet_name" else 10, no * 10, F.when(line.rlike(pattern) & ~fold(line).rlike(guard), name), line, LABEL_CONFIDENCE))
+        out.append(entry(key, 9 if key == "vet_name" else 10, no * 10, F.when(holds(seen, *words) & line.rlike(pattern) & ~fold(line).rlike(guard), name), line, LABEL_CONFIDENCE))
     owner_near, header_before = near["within2"].rlike(P.OWNER_CONTEXT), F.exists(near["before8"], lambda x: x.rlike(P.CLIENT_HEADER))
     allowed = (owner_near | header_before) & ~near["within2"].rlike(P.VET_OR_CLINIC) & (owner_near | ~near["past2"].rlike(P.PATIENT_LABEL))
     own = F.trim(F.regexp_extract("line", P.OWNER_NAME_LABEL, 1))
     names = F.transform(F.filter(near["after8"], lambda x: ~x.rlike(P.CLIENT_TABLE_LABEL)), lambda x: person(before_address(x)))
     below = F.try_element_at(F.filter(names, lambda x: x.isNotNull()), F.lit(1))
-    out.append(entry("owner_name", 11, no * 10, F.when(line.rlike(P.OWNER_NAME_LABEL) & allowed, F.when(own != "", person(before_address(own))).otherwise(below)), line, LABEL_CONFIDENCE))
+    out.append(entry("owner_name", 11, no * 10, F.when(F.contains(seen, F.lit("nombre")) & line.rlike(P.OWNER_NAME_LABEL) & allowed, F.when(own != "", person(before_address(own))).otherwise(below)), line, LABEL_CONFIDENCE))
 
     # the clinic's name as a heading in capitals above an address and a section
     heading = (no == 1) & (line == F.upper("line")) & line.rlike(r"\p{Lu}") & F.length("line").between(3, 60) & ~line.rlike(r"[:\-\d]") & ~line.isin(*P.HEADER_WORDS)
     out.append(entry("clinic_name", 12, no * 10, F.when(heading & near["next7"].rlike(P.HEADER_ADDRESS) & near["next7"].rlike(P.HEADER_SECTION), line), near["block4"], FALLBACK_CONFIDENCE))
     # an address over three lines near the top
     third = F.coalesce(near["l2"].rlike(P.POSTAL_HINT), F.lit(False)) & ~near["l2"].rlike(P.HEADER_SECTION) & ~near["l1"].rlike(P.HEADER_SECTION)
-    three = (no <= 8) & line.rlike(P.STREET_START) & ~label("line") & ~label("l1") & third & (line.rlike(r"\d") | near["l1"].rlike(r"\d")) & ~near["around13"].rlike(P.OWNER_CONTEXT)
+    street = holds(seen, "c/", "calle", "av", "plaza", "pza", "paseo", "camino", "carretera", "ctra")
+    three = (no <= 8) & street & line.rlike(P.STREET_START) & ~label("line") & ~label("l1") & third & (line.rlike(r"\d") | near["l1"].rlike(r"\d")) & ~near["around13"].rlike(P.OWNER_CONTEXT)
     out.append(entry("clinic_address", 13, no * 10, F.when(three, _parts(clean("line"), clean("l1"), clean("l2"))), near["block4"], FALLBACK_CONFIDENCE))
     # a name above an address, with what belongs to the address below it
     known = near["past3"].rlike(P.OWNER_ADDRESS_CONTEXT)
@@ -71,18 +74,17 @@ def entries() -> list[Column]:
     tail = [F.when(belongs("l2"), clean("l2")), F.when(belongs("l2") & belongs("l3"), clean("l3")), F.when(belongs("l2") & belongs("l3") & belongs("l4"), clean("l4"))]
     out.append(entry("owner_address", 14, no * 10, F.when(block, _parts(clean("l1"), *tail)), near["block3"], FALLBACK_CONFIDENCE))
     # an address inside the value of an owner's label
-    cut = F.when(F.contains("line", F.lit(":")), F.split("line", ":", 2)).when(F.contains("line", F.lit("-")), F.split("line", "-", 2))
     inner = F.regexp_extract(strip(F.coalesce(cut[1], F.lit("")), _EDGE), rf"({P.STREET_START.replace('(?iu)', '(?iu:', 1)}).*$)", 1)
-    out.append(entry("owner_address", 15, no * 10, F.when(cut[0].rlike(P.OWNER_HEADER), strip(inner, _EDGE)), line, LABEL_CONFIDENCE))
+    out.append(entry("owner_address", 15, no * 10, F.when(holds(seen, "propietari", "titular", "due", "owner", "cliente", "tutor") & cut[0].rlike(P.OWNER_HEADER), strip(inner, _EDGE)), line, LABEL_CONFIDENCE))
     # labelled addresses, on their line or the next, with a postal line after
 
     def labelled(pattern: str, group: int) -> Column:
         given = strip(F.regexp_extract("line", pattern, group), _EDGE)
         first = F.when(given != "", given).when(~label("l1"), clean("l1"))
-        return F.when(line.rlike(pattern) & first.isNotNull(), _parts(first, F.when(~label("l2") & F.coalesce(near["l2"].rlike(P.POSTAL_HINT), F.lit(False)), clean("l2"))))
+        return F.when(holds(seen, "dir", "domicilio") & line.rlike(pattern) & first.isNotNull(), _parts(first, F.when(~label("l2") & F.coalesce(near["l2"].rlike(P.POSTAL_HINT), F.lit(False)), clean("l2"))))
 
     out.append(entry("owner_address", 16, no * 10, labelled(P.OWNER_ADDRESS_LINE, 1), near["block3"], LABEL_CONFIDENCE))
-    placed = line.rlike(P.CLINIC_ADDRESS_LINE)  # looked at first: few lines are, and the contexts are long
+    placed = holds(seen, "dir", "domicilio") & line.rlike(P.CLINIC_ADDRESS_LINE)  # looked at first: few lines are, and the contexts are long
     said = fold(F.regexp_extract("line", P.CLINIC_ADDRESS_LINE, 1))
     explicit = said.rlike("cl[ií]nica")
     context = F.concat_ws(" ", near["past5"], near["next5"])
@@ -96,5 +98,5 @@ def entries() -> list[Column]:
     out.append(entry("clinic_address", 16, no * 10 + 3, F.when(placed & ~explicit & ~owned & ~(generic & (owners != clinics)), address), near["block3"], FALLBACK_CONFIDENCE))
     # an address right below a clinic's line
     above = F.coalesce(near["p1"], F.lit(""))
-    out.append(entry("clinic_address", 17, no * 10, F.when(line.rlike(P.STREET_START) & line.rlike(r"\d") & ~F.contains("line", F.lit(":")) & above.rlike(P.CLINIC_CONTEXT) & ~above.rlike(P.OWNER_CONTEXT), clean("line")), near["around11"], FALLBACK_CONFIDENCE))
+    out.append(entry("clinic_address", 17, no * 10, F.when(street & ~F.contains("line", F.lit(":")) & line.rlike(P.STREET_START) & line.rlike(r"\d") & above.rlike(P.CLINIC_CONTEXT) & ~above.rlike(P.OWNER_CONTEXT), clean("line")), near["around11"], FALLBACK_CONFIDENCE))
     return out

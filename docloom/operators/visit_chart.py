@@ -91,7 +91,7 @@ def segment_fields(cuts: DataFrame) -> DataFrame:
     """Rows (document_id, visit_id, key, value, snippet, offset, seq): what mining finds in each visit's text (segments), as in a text of its own, for
     SEGMENT_KEYS: the first value of a key, of weights the last in the text. All segments are mined in one pass."""
     joint = F.concat_ws("\u0001", "document_id", "visit_id")
-    mined = mining.mine(cuts.select(joint.alias("document_id"), F.col("segment").alias("text"))).filter(F.col("key").isin(*SEGMENT_KEYS))
+    mined = mining.mine(cuts.select(joint.alias("document_id"), F.col("segment").alias("text")), SEGMENT_KEYS)
     part = F.split("document_id", "\u0001")
     return segment_values(mined.select(part[0].alias("document_id"), part[1].alias("visit_id"), "key", "value", "snippet", "offset", "seq"))
 
