@@ -148,14 +148,19 @@ def apply_edits(fields: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFra
     first (by batch) without an error is applied and makes the next version; later ones on the same base, and those on any other, are refused with
     BASE_VERSION_MISMATCH. Edits that change nothing aren't logged.
     """
-    active = fields.groupBy("document_id").agg(F.max("version").alias("active"))
     known = fields.select("document_id", "field_id", F.col("value").alias("old"), F.lit(True).alias("known"))
-    joined = edits.join(active, "document_id", "left").join(known, ["document_id", "field_id"], "left")
+    active = fields.filter("document_id is not null").groupBy("document_id").agg(F.max("version").alias("active"))
+    # one row more per document says its version, and stands before the document's edits: all that follows reads them in one sort by document and batch
+    rows = edits.join(known, ["document_id", "field_id"], "left").withColumn("_edit", F.lit(1)).unionByName(active.withColumn("_edit", F.lit(0)), allowMissingColumns=True)
+    so_far = lambda *order: Window.partitionBy("document_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("active", F.max("active").over(so_far("batch", "_edit"))).filter("_edit = 1")
     error = F.when(~F.col("version").eqNullSafe(F.col("active")), "BASE_VERSION_MISMATCH").when((F.col("op") == "ADD") & F.col("known"), "FIELD_EXISTS").when((F.col("op") != "ADD") & F.col("known").isNull(), "FIELD_NOT_FOUND")
-    batches = joined.withColumn("error", error).groupBy("document_id", "batch").agg(F.max("error").alias("error"))
-    first = batches.filter("error is null").groupBy("document_id").agg(F.min("batch").alias("first"))
-    judged = batches.join(first, "document_id", "left").withColumn("error", F.when(F.col("error").isNull() & (F.col("batch") != F.col("first")), "BASE_VERSION_MISMATCH").otherwise(F.col("error")))
-    good = joined.join(judged.filter("error is null").select("document_id", "batch"), ["document_id", "batch"], "left_semi")
+    rows = rows.withColumn("error", error).withColumn("error", F.max("error").over(Window.partitionBy("document_id", "batch")))
+    rows = rows.withColumn("first", F.min(F.when(F.col("error").isNull(), F.col("batch"))).over(so_far("batch")))  # no batch before the first is without an error
+    good = rows.filter("error is null and batch = first")
+    late = F.when(F.col("error").isNull() & (F.col("batch") != F.col("first")), "BASE_VERSION_MISMATCH").otherwise(F.col("error"))
+    refused = rows.select("document_id", "batch", late.alias("error")).filter("error is not null").groupBy("document_id", "batch").agg(F.max("error").alias("error"))
+    first = good.select("document_id").distinct().withColumn("first", F.lit(True))
     idle = (F.col("op") == "UPDATE") & same_value(F.col("old"), F.col("value"), F.col("kind"))
     log = good.filter(~idle).select("document_id", "batch", "field_id", "op", F.col("old").alias("old_value"), F.when(F.col("op") != "DELETE", F.col("value")).alias("new_value"))
     touched = good.groupBy("document_id", "field_id").agg(F.max(F.struct("op", "value")).alias("e"))  # a batch names a field once
@@ -163,4 +168,4 @@ def apply_edits(fields: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFra
     new = {"value": F.when(F.col("e.op") == "UPDATE", F.col("e.value")).otherwise(F.col("value")), "version": F.col("version") + F.col("first").isNotNull().cast("int")}
     kept = stepped.select(*(new[c].alias(c) if c in new else c for c in fields.columns))
     added = good.filter("op = 'ADD'").select("document_id", "field_id", (F.col("version") + 1).alias("version"), "value")
-    return kept.unionByName(added, allowMissingColumns=True), log, judged.filter("error is not null").select("document_id", "batch", "error")
+    return kept.unionByName(added, allowMissingColumns=True), log, refused
