@@ -119,6 +119,8 @@ OWNER_ADDRESS_WORD = r"(?iu)\b(?:calle|avenida|plaza|carretera|camino|paseo|barr
 OWNER_ADDRESS_OTHER = r"(?iu)\b(?:propietari[oa]|titular|cliente|nombre|tel[eé]fono|telefono|email|dni|nif)\b"
 
 VISIT_DATE = r"\b(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})\b"
+#: What every such date holds; as a pattern much faster on texts without any.
+VISIT_DATE_CORE = r"[0-9][-/.][0-9]"
 VISIT_CONTEXT = r"(?iu)\b(?:visita|consulta|control|revisi[oó]n|seguimiento|ingreso|alta)\b"
 VISIT_LABEL = r"(?iu)\bfecha\s+de\s+(?:visita|consulta|cita|atenci[oó]n|exploraci[oó]n|control)\b"
 VISIT_CLINICAL = r"(?iu)\b(?:revisar|reevaluar|tratamiento|medicaci[oó]n|exploraci[oó]n|seguimiento)\b"
@@ -154,8 +156,9 @@ HINT_WORDS = (
     "diagnost", "tratamiento",
     *(w for _, words in CLINICAL_LABELS + CLINICAL_WORDS for w in words if len(w) > 3), "cada", "cura", "mg", "sut",
 )
-#: Shapes that count without a word: dates, weights, short labels; and what a line may begin with. For Python's regular expressions, on a folded text.
-HINT_SHAPES = r"[0-9](?:[/\-.][0-9]|\s*k?gs?\b)|p\.\s*(?:[:\-]\s*)?[0-9]|dra?\.?\s*[:\-]|\bn(?:[º°�]|ro)?\.?\s*[:\-]"
+#: Shapes that count without a word: dates, weights, short labels; and what a line may begin with. For Python's regular expressions, on a folded text; each shape
+#: begins with a character or class, to which a search skips.
+HINT_SHAPES = (r"[0-9](?:[/\-.][0-9]|\s*k?gs?\b)", r"p\.\s*(?:[:\-]\s*)?[0-9]", r"dra?\.?\s*[:\-]", r"n(?<!\wn)(?:[º°�]|ro)?\.?\s*[:\-]")
 HINT_LINE_STARTS = r"(?:vet|dra?|dr/a|doctora?|h\.?\s*v|dir)\b"
 #: These count only in a text with a colon or a hyphen.
 HINT_LABELS = ("lab", "tac", "rm")

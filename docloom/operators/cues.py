@@ -15,8 +15,8 @@ from docloom.functions import patterns as P
 
 #: Bits of a text's cues beyond those of the label table: words that count alone, words that count beside a colon or a hyphen.
 HINT, HINT_LABEL = 1 << 61, 1 << 60
-#: Where a line begins, and its indent, for Python's regular expressions: as docloom.functions.text has them.
-LINE_START = r"(?:^|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029])[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*"
+#: What ends a line, and the indent of one, for Python's regular expressions: as docloom.functions.text has them.
+BREAK, INDENT = r"[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]", r"[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*"
 
 
 def label_words() -> list[tuple[str, int]]:
@@ -35,12 +35,13 @@ def cued(docs: DataFrame, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField("cues", LongType()), StructField("hint", BooleanType())])
 
-    words, shape = label_words(), f"{P.HINT_SHAPES}|{LINE_START}{P.HINT_LINE_STARTS}"
+    words, start, shapes = label_words(), f"{INDENT}{P.HINT_LINE_STARTS}", (*P.HINT_SHAPES, f"{BREAK}{INDENT}{P.HINT_LINE_STARTS}")
     counts, beside = HINT, HINT_LABEL
 
     # what tasks need is held here by value, so that workers need not find this module
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, shaped, bits = ahocorasick.Automaton(), re.compile(shape, re.ASCII), {}
+        found, bits = ahocorasick.Automaton(), {}
+        begins, shaped = re.compile(start, re.ASCII).match, [re.compile(x, re.ASCII).search for x in shapes]  # one after another: together they would be tried at every character
         for word, own in words:
             bits[word] = bits.get(word, 0) | own
         for word, own in bits.items():
@@ -50,11 +51,12 @@ def cued(docs: DataFrame, text: str = "text") -> DataFrame:
             cues, hints = [], []
             for t in batch.column(at).to_pylist():
                 # folded so that each letter that matches a plain one without regard to case becomes that letter: long s, dotless and dotted i among them
-                low, mask = (t or "").upper().lower().replace("\u0307", ""), 0
+                t = t or ""
+                low, mask = t.lower() if t.isascii() else t.upper().lower().replace("\u0307", ""), 0
                 for _, own in found.iter(low):
                     mask |= own
                 cues.append(mask)
-                hints.append(bool(mask & counts or mask & beside and (":" in low or "-" in low) or shaped.search(low)))
+                hints.append(bool(mask & counts or mask & beside and (":" in low or "-" in low) or begins(low) or any(f(low) for f in shaped)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cues, pa.int64()), pa.array(hints, pa.bool_())], [*batch.schema.names, "cues", "hint"])
 
     return docs.mapInArrow(work, schema)

@@ -25,7 +25,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     A line of another kind (births, invoices, lab) has none unless it reads like an entry of a timeline. A line that names a day takes the line before it
     into account.
     """
-    rows = raw_lines(docs.filter(F.col("text").rlike(P.VISIT_DATE)))  # texts without a date aren't split
+    rows = raw_lines(docs.filter(F.col("text").rlike(P.VISIT_DATE_CORE) & F.col("text").rlike(P.VISIT_DATE)))  # texts without a date aren't split
     w = Window.partitionBy("document_id").orderBy("line_no")
     previous = F.last(F.nullif("line", F.lit("")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("previous", F.coalesce(previous, F.lit("")))
