@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ def unlabelled(x: Column, labels: tuple[str, ...]) -> Column:
 
 def digits_of_chip(x: Column) -> Column:
     """9 to 15 digits: a run of them, else all digits of the value taken together."""
-    compact = F.regexp_replace(x, r"\D", "")
-    return F.coalesce(F.nullif(F.regexp_extract(x, CHIP, 1), F.lit("")), F.when(F.length(compact).between(9, 15), compact))
+    compact = once(F.regexp_replace(x, r"\D", ""), lambda c: F.when(F.length(c).between(9, 15), c))
+    return F.coalesce(once(F.regexp_extract(x, CHIP, 1), lambda c: F.when(c != "", c)), compact)
 
 
 # fixed values: labels of chip numbers, what names one in a text, and labels of other fields that may trail it
@@ -53,12 +54,15 @@ def chip_with_evidence(value: Column, snippet: Column) -> Column:
 def date_dmy(x: Column) -> Column:
     """A date as dd/mm/yyyy from d/m/y or y/m/d with slashes, dots or dashes; two-digit years from 69 on are in the last century."""
     raw = F.translate(F.regexp_extract(unlabelled(x, ("fecha", "date", "visita", "consulta")), DATE, 1), "-.", "//")
-    part = F.split(raw, "/")
-    first_year = F.length(part[0]) == 4
-    year, month, day = F.when(first_year, part[0]).otherwise(part[2]), part[1], F.when(first_year, part[2]).otherwise(part[0])
-    full = F.when(F.length(year) == 4, year.cast("int")).when(F.length(year) == 2, year.cast("int") + F.when(year.cast("int") >= 69, 1900).otherwise(2000))
-    iso = F.concat(F.lpad(full.cast("string"), 4, "0"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
-    return F.when((raw != "") & full.isNotNull() & (full > 0), F.date_format(F.try_to_date(iso, "yyyy-MM-dd"), "dd/MM/yyyy"))
+
+    def placed(part: Column) -> Column:
+        first_year = F.length(part[0]) == 4
+        year, month, day = F.when(first_year, part[0]).otherwise(part[2]), part[1], F.when(first_year, part[2]).otherwise(part[0])
+        full = F.when(F.length(year) == 4, year.cast("int")).when(F.length(year) == 2, year.cast("int") + F.when(year.cast("int") >= 69, 1900).otherwise(2000))
+        iso = lambda y: F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+        return once(full, lambda y: F.when(y > 0, F.date_format(F.try_to_date(iso(y), "yyyy-MM-dd"), "dd/MM/yyyy")))
+
+    return once(raw, lambda r: F.when(r != "", once(F.split(r, "/"), placed)))
 
 
 def visit_date(x: Column) -> Column:
@@ -85,16 +89,19 @@ def weight_kg(x: Column) -> Column:
 
 def sex(x: Column) -> Column:
     word = F.lower(F.regexp_extract(unlabelled(x, ("sexo", "sex")), SEX_WORD, 1))
-    return F.when(word.isin(*FEMALE), "hembra").when(word != "", "macho")
+    return once(word, lambda w: F.when(w.isin(*FEMALE), "hembra").when(w != "", "macho"))
 
 
 def species(x: Column) -> Column:
     """The species whose word a value holds, the first of the table."""
-    words = plain(x)
-    out = F.when(F.lit(False), "")
-    for name, found in SPECIES:
-        out = out.when(words.rlike(rf"\b(?:{'|'.join(found)})\b"), name)
-    return out
+
+    def named(words: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for name, found in SPECIES:
+            out = out.when(words.rlike(rf"\b(?:{'|'.join(found)})\b"), name)
+        return out
+
+    return once(plain(x), named)
 
 
 def title(x: Column) -> Column:
@@ -112,18 +119,17 @@ def species_and_breed(species: Column, breed: Column, evidence: Column) -> Colum
     sources = F.filter(F.concat(F.array(species, breed), F.coalesce(both, F.array().cast("array<string>"))), lambda x: x.isNotNull())
 
     def named(x: Column) -> Column:
-        low, out = fold(x), F.lit(None).cast("string")
-        for name, found in reversed(SPECIES):
-            out = F.when(low.rlike(rf"(?U)\b(?:{'|'.join(found)})\b"), name).otherwise(out)
-        return out
+        out = lambda low: reduce(lambda rest, s: F.when(low.rlike(rf"(?U)\b(?:{'|'.join(s[1])})\b"), s[0]).otherwise(rest), reversed(SPECIES), F.lit(None).cast("string"))
+        return once(fold(x), out)
 
     def step(s: Column, x: Column) -> Column:
-        have = F.coalesce(F.nullif(s["species"], F.lit("")), named(x))
-        rest = F.nullif(bare(x), F.lit(""))
-        take = named(x).isNotNull() & rest.isNotNull() & (F.coalesce(s["breed"], F.lit("")).eqNullSafe(F.lit("")) | (x == have))
-        return F.struct(F.when(named(x).isNotNull(), have).otherwise(s["species"]).alias("species"), F.when(take, rest).otherwise(s["breed"]).alias("breed"))
+        have = F.coalesce(F.nullif(s["species"], F.lit("")), x["name"])
+        take = x["rest"].isNotNull() & (F.coalesce(s["breed"], F.lit("")).eqNullSafe(F.lit("")) | (x["own"] == have))
+        return F.struct(F.when(x["name"].isNotNull(), have).otherwise(s["species"]).alias("species"), F.when(take, x["rest"]).otherwise(s["breed"]).alias("breed"))
 
-    pair = F.aggregate(sources, F.struct(species.alias("species"), breed.alias("breed")), step)
+    # what each source says is made once, before they are gone through; a source that names no species says nothing of the breed
+    told = F.transform(sources, lambda x: once(named(x), lambda n: F.struct(x.alias("own"), n.alias("name"), F.when(n.isNotNull(), F.nullif(bare(x), F.lit(""))).alias("rest"))))
+    pair = F.aggregate(told, F.struct(species.alias("species"), breed.alias("breed")), step)
 
     def shown(p: Column) -> Column:
         clean = F.nullif(bare(F.coalesce(unlabelled(p["breed"], ("raza", "breed")), F.lit(""))), F.lit(""))
@@ -136,8 +142,8 @@ def pet_name(x: Column) -> Column:
     """A name in title case without birth notes and labels; null for numbers and other fields' labels."""
     out = strip(F.regexp_replace(squeeze(x), r"(?iU)\s*[-–—]?\s*\b(?:f\.?\s*nac|fecha\s+(?:de\s+)?nac|nacimiento|nac\.?|dob|birth).*$", ""), EDGES)
     out = squeeze(F.regexp_replace(out, r"(?iU)^(?:paciente|nombre(?:\s+del\s+(?:paciente|animal))?|patient|animal|mascota)\s*[:\-|]\s*", ""))
-    bad = out.rlike(r"^[\d\s]+$") | out.rlike(r"(?iU)^(?:especie|raza|sexo|chip|microchip|fecha|edad|peso|propietari[oa])\b\s*[:\-]")
-    return F.when((out != "") & ~bad, title(out))
+    bad = lambda x: x.rlike(r"^[\d\s]+$") | x.rlike(r"(?iU)^(?:especie|raza|sexo|chip|microchip|fecha|edad|peso|propietari[oa])\b\s*[:\-]")
+    return once(out, lambda x: F.when((x != "") & ~bad(x), title(x)))
 
 
 def age_years(born: Column, on: Column) -> Column:

@@ -31,6 +31,11 @@ LABELLED = (
     ("reason_for_visit", r"(?:motivo(?:\s+de\s+consulta)?|reason\s+for\s+visit)\s*[:\-]\s*([^\n]{3,200})"),
 )
 
+#: The letters with which a match of each of these patterns can begin, without regard to case; '' where it may begin with white space.
+LABEL_STARTS = ("pnam", "er", "er", "es", "rb", "s", "ea", "fndb", "pw", "s", "dpmersn", "mcti", "nh", "fvc", "fd", "", "d", "vd", "pt", "d", "c", "pl", "ercf", "mr")
+#: The places in the table of the labels that windows of chip numbers and of record numbers begin with.
+CHIP_RULE, RECORD_RULE = 11, 12
+
 #: Words near a date that say what it is the date of, and how much they count; birth words count least and never win.
 DATE_ANCHORS = (
     ("visit_date", 4, ("visita", "consulta", "revision", "revisión", "control", "urgencia")),
@@ -40,9 +45,9 @@ DATE_ANCHORS = (
 )
 
 CHIP_LABEL = r"(?iu)\b(?:microchip|micr0chip|chip|transponder|identificaci[oó]n\s+electr[oó]nica|n[º°o]?\s*chip)\b"
-CHIP_WINDOW = r"(?iu)(?:microchip|micr0chip|chip|transponder|identificaci[oó]n\s+electr[oó]nica|n[ºo°�]\s*chip)\s*(?:n[ºo°�]\.?|nro\.?|id)?\s*[:\-]?\s*([^\n]{0,90})"
+CHIP_WINDOW = r"(?iu)(?=[mctin])(?:microchip|micr0chip|chip|transponder|identificaci[oó]n\s+electr[oó]nica|n[ºo°�]\s*chip)\s*(?:n[ºo°�]\.?|nro\.?|id)?\s*[:\-]?\s*([^\n]{0,90})"
 CHIP_OCR_WINDOW = r"(?iu)\bn(?:[º°�]|ro)?\.?\s*[:\-]\s*([^\n]{0,60})"
-RECORD_WINDOW = r"(?iu)(?:nhc|n[ºo°]?\s*(?:historial|historia\s*cl[ií]nica)|historial\s*cl[ií]nico)\s*[:\-]?\s*([^\n]{1,60})"
+RECORD_WINDOW = r"(?iu)(?=[nh])(?:nhc|n[ºo°]?\s*(?:historial|historia\s*cl[ií]nica)|historial\s*cl[ií]nico)\s*[:\-]?\s*([^\n]{1,60})"
 
 #: Words of a line's label, and the keys that its value goes to.
 CLINICAL_LABELS = (

@@ -85,10 +85,26 @@ def cuts(x: Column) -> list[Column]:
     return [shorten(x, SNIPPET).alias("snippet"), *(F.substring(x, 1, n).alias(name) for name, n in (("evidence", EVIDENCE), ("preview", PREVIEW), ("sample", SAMPLE)))]
 
 
+def cut(x: Column, pattern: str) -> Column:
+    """F.split of a text by a pattern that matches no empty text. That compiles the pattern anew for each text, so matches are replaced by a mark and the text is split there, unless it holds
+    the mark itself."""
+    mark = "\u0001"
+    return F.when(F.contains(x, F.lit(mark)), F.split(x, pattern)).otherwise(F.split(F.regexp_replace(x, pattern, mark), mark))
+
+
+def all_lines(x: Column) -> Column:
+    """The lines of a text as an array. Most texts know one kind of line end, which needs no pattern."""
+    return F.when(x.rlike("[\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"), F.split(x, LINE_END)).otherwise(F.split(x, "\n"))
+
+
+def line_array(x: Column) -> Column:
+    """The trimmed lines of a text that aren't blank, as an array; of a null text none."""
+    return F.filter(F.transform(all_lines(F.coalesce(x, F.lit(""))), lambda x: F.when(x.rlike(f"^{SPACE}|{SPACE}$"), F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")).otherwise(x)), lambda x: x != "")
+
+
 def lines(df: DataFrame, text: str = "text", *keys: str) -> DataFrame:
     """Rows (*keys, line_no, line): the trimmed lines that aren't blank, numbered densely from 1. Null text has none."""
-    cut = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), LINE_END), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")), lambda x: x != "")
-    return df.select(*keys, F.posexplode(cut).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    return df.select(*keys, F.posexplode(line_array(F.col(text))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def line_window(first: int, last: int, *keys: str) -> WindowSpec:
@@ -102,7 +118,7 @@ def matches(df: DataFrame, text: str, pattern: str, *keys: str) -> DataFrame:
     Offsets come from folding the gaps between matches, so nothing leaves the engine.
     """
     x = F.coalesce(F.col(text), F.lit(""))
-    gaps, values = F.split(x, pattern), F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))
+    gaps, values = cut(x, pattern), F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))
     found = df.select(*keys, gaps.alias("_gaps"), values.alias("_values"))
     before = lambda i: F.aggregate(F.slice("_gaps", 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice("_values", 1, i), F.lit(0), lambda a, v: a + F.length(v))
     return found.select(*keys, F.posexplode(F.transform("_values", lambda v, i: F.struct(before(i).alias("offset"), v.alias("value")))).alias("match_no", "m")).select(*keys, F.col("match_no") + 1, "m.offset", "m.value").toDF(*keys, "match_no", "offset", "value")
@@ -110,5 +126,10 @@ def matches(df: DataFrame, text: str, pattern: str, *keys: str) -> DataFrame:
 
 def last_index(text: Column, part: Column) -> Column:
     """Offset of the last occurrence of part in text, from 0; -1 if there is none or part is empty."""
-    back = F.instr(F.reverse(text), F.reverse(part))
-    return F.when((part == "") | (back == 0), F.lit(-1)).otherwise(F.length(text) - F.length(part) - (back - 1))
+    return last_index_back(F.reverse(text), part)
+
+
+def last_index_back(back: Column, part: Column) -> Column:
+    """last_index of a text that is given from its end to its start."""
+    at = F.instr(back, F.reverse(part))
+    return F.when((part == "") | (at == 0), F.lit(-1)).otherwise(F.length(back) - F.length(part) - (at - 1))

@@ -9,18 +9,18 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import patterns as P
 from docloom.functions.normal import CHIP, digits_of_chip, species, title as titled
 from docloom.functions.scores import FALLBACK_CONFIDENCE, LABEL_CONFIDENCE, kept_confidence
-from docloom.functions.text import cue, fold, holds, last_index, matches, once, squeeze, strip
+from docloom.functions.text import cue, fold, holds, last_index_back, matches, once, squeeze, strip
 from docloom.operators import people_places
 from docloom.operators.cues import cued, may_hold
 from docloom.operators.keyed import first_of, top
 from docloom.operators.line_rows import emitted, entry, line_rows, lines_at
-from docloom.sources.scratch import at_most, spread, written
+from docloom.sources.scratch import at_most, parts, spread, written
 
 COLUMNS = ("document_id", "key", "seq", "value", "snippet", "confidence", "anchor", "priority", "reason")
 
@@ -43,7 +43,8 @@ def labelled(docs: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     def tagged(i: int, key: str):
         return lambda m, j: F.struct(F.lit(key).alias("key"), (F.lit(i * 10**6) + j).alias("place"), m["value"].alias("value"), m["snippet"].alias("snippet"))
 
-    each = [F.transform(_found(x, f"(?iu){p}", may_hold(docs, i)), tagged(i, k)) for i, (k, p) in enumerate(P.LABELLED) if keys is None or k in keys]
+    # where a match can't begin, the alternatives of a pattern aren't tried
+    each = [F.transform(_found(x, f"(?iu){f'(?=[{P.LABEL_STARTS[i]}])' if P.LABEL_STARTS[i] else ''}{p}", may_hold(docs, i)), tagged(i, k)) for i, (k, p) in enumerate(P.LABELLED) if keys is None or k in keys]
     if not each:
         each = [F.array().cast("array<struct<key:string,place:int,value:string,snippet:string>>")]
     rows = docs.select("document_id", "text", F.explode(F.concat(*each)).alias("m")).select("document_id", "text", "m.*")
@@ -54,9 +55,9 @@ def labelled(docs: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     return _candidates(rows, 0, F.col("key"), F.col("place"), F.col("value"), F.col("snippet"), LABEL_CONFIDENCE)
 
 
-def windowed(docs: DataFrame, rank: int, key: str, pattern: str, value: Column, confidence: float) -> DataFrame:
-    """Matches whose window (group 1, column v) holds a value."""
-    rows = docs.select("document_id", F.posexplode(_found(F.coalesce("text", F.lit("")), pattern)).alias("place", "m")).select("document_id", "place", F.col("m.value").alias("v"), F.col("m.snippet").alias("snippet"))
+def windowed(docs: DataFrame, rank: int, key: str, pattern: str, value: Column, confidence: float, may: Column | None = None) -> DataFrame:
+    """Matches whose window (group 1, column v) holds a value, in texts that may hold any."""
+    rows = docs.select("document_id", F.posexplode(_found(F.coalesce("text", F.lit("")), pattern, may)).alias("place", "m")).select("document_id", "place", F.col("m.value").alias("v"), F.col("m.snippet").alias("snippet"))
     return _candidates(rows.withColumn("value", value).filter("value is not null"), rank, key, F.col("place"), F.col("value"), F.col("snippet"), confidence)
 
 
@@ -85,54 +86,59 @@ def from_lines(docs: DataFrame, keys: tuple[str, ...] | None = None) -> DataFram
 
     All of them look at each line once, in one pass over rows that carry the lines around. Only rules of the given keys are asked, if any are given.
     """
-    rows = line_rows(docs)
+    # the header ends with line 20, and so do its contexts; the first such line of a text counts
+    headed = lambda rows, n: F.array_join(F.slice(rows, n, F.least(F.lit(9), F.greatest(F.lit(1), 21 - n))), "\n")
+    short = r"^[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2}$"
+
+    def first_head(rows: Column) -> Column:
+        at = F.transform(F.slice(rows, 1, 20), lambda x, i: F.when((F.length(x) <= 8) & x.rlike(short), i + 1))
+        return F.array_min(F.filter(at, lambda n: n.isNotNull() & once(headed(rows, n), lambda h: h.rlike(P.CHIP_LABEL) | h.rlike(CHIP))))
+
+    births = keys is None or "dob" in keys
+    rows = line_rows(docs, **{"first_head": first_head} if births else {})
     # words that a pattern can't match without are looked for first: most lines have none of them
     rows = rows.withColumns({"cue": cue(F.col("line")), "cut": F.when(F.contains("line", F.lit(":")), F.split("line", ":", 2)).when(F.contains("line", F.lit("-")), F.split("line", "-", 2))})
     rows = rows.withColumns({"head": F.lower(F.col("cut")[0]), "rest": F.col("cut")[1]})
     line, low, no, seen = F.col("line"), F.col("low"), F.col("line_no"), F.col("cue")
-    # the header ends with line 20, and so do its contexts; the first such line of a text counts
     header = F.array_join(F.slice("around", F.col("own"), F.least(F.lit(9), F.greatest(F.lit(1), 21 - no))), "\n")
-    short_date = (no <= 20) & (F.length("line") <= 8) & line.rlike(r"^[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2}$")
-    heads = F.when(short_date, F.when(header.rlike(P.CHIP_LABEL) | header.rlike(CHIP), no))
     out = []
 
-    def rule(key: str, *rest) -> None:
+    def rule(key: str, *rest, **how) -> None:
         if keys is None or key in keys:
-            out.append(entry(key, *rest))
+            out.append(entry(key, *rest, **how))
 
-    if keys is None or "dob" in keys:
-        rows = rows.withColumn("first_head", F.min(heads).over(Window.partitionBy("document_id")))
-        rule("dob", 1, no, F.when(no == F.col("first_head"), line), header, FALLBACK_CONFIDENCE)
+    if births:
+        rule("dob", 1, no, line, header, FALLBACK_CONFIDENCE, gate=no == F.col("first_head"), plain=True)
     timeline = r"^-\s*([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})\s*-"
-    rule("document_date", 4, no, F.when(line.startswith("-") & line.rlike(timeline), F.regexp_extract("line", timeline, 1)), line, FALLBACK_CONFIDENCE, "timeline_unanchored")
+    rule("document_date", 4, no, F.regexp_extract("line", timeline, 1), line, FALLBACK_CONFIDENCE, "timeline_unanchored", gate=line.startswith("-") & line.rlike(timeline))
     labels = F.exists(F.concat(lines_at(-8, -1), lines_at(1, 8)), lambda x: x.rlike(P.CHIP_LABEL))
-    chip = F.when(line.rlike("(?:[0-9][^0-9]*){9}"), digits_of_chip(line))
-    rule("microchip_id", 6, no, once(chip, lambda x: F.when(x.isNotNull(), F.when(labels, x))), F.array_join(lines_at(-8, 8), "\n"), LABEL_CONFIDENCE)
+    rule("microchip_id", 6, no, once(digits_of_chip(line), lambda x: F.when(x.isNotNull(), F.when(labels, x))), F.array_join(lines_at(-8, 8), "\n"), LABEL_CONFIDENCE, gate=line.rlike("^[^0-9]*+(?:[0-9][^0-9]*+){9}"))
     has = lambda x, words: holds(x, *words)
     colon, head, rest = F.contains("line", F.lit(":")), F.col("head"), F.col("rest")
-    clinical = [(k, F.when((rest != "") & has(head, words), rest), LABEL_CONFIDENCE) for k, words in P.CLINICAL_LABELS]
-    clinical += [(k, F.when(has(low, words) & (~colon if k == "diagnosis" else F.lit(True)), line), FALLBACK_CONFIDENCE) for k, words in P.CLINICAL_WORDS]
-    for i, (k, value, c) in enumerate(clinical):
-        rule(k, 20, no * 100 + i, value, line, c)
-    inside = F.when(holds(seen, "centr", "nica", "hospital") & line.rlike(P.CLINIC_IN_LINE), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_IN_LINE, 1), "(?i)^centr0$", "Centro"), strip(F.regexp_extract("line", P.CLINIC_IN_LINE, 2), " .,:;\t")))
-    alone = F.when(holds(seen, "v", "hospital", "centro", "nica") & line.rlike(P.CLINIC_LINE) & ~F.regexp_extract("line", P.CLINIC_LINE, 2).rlike("(?i)^de "), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_LINE, 1), r"(?i)^h\.?\s*v\.?$", "HV"), strip(F.regexp_extract("line", P.CLINIC_LINE, 2), " .,:;\t")))
-    for i, value in enumerate((inside, alone)):
-        rule("clinic_name", 18, no * 100 + i, value, line, FALLBACK_CONFIDENCE)
+    clinical = [(k, (rest != "") & has(head, words), rest, LABEL_CONFIDENCE) for k, words in P.CLINICAL_LABELS]
+    clinical += [(k, has(low, words) & ~colon if k == "diagnosis" else has(low, words), line, FALLBACK_CONFIDENCE) for k, words in P.CLINICAL_WORDS]
+    for i, (k, gate, value, c) in enumerate(clinical):
+        rule(k, 20, no * 100 + i, value, line, c, gate=gate, plain=True)
+    inside = (holds(seen, "centr", "nica", "hospital") & line.rlike(P.CLINIC_IN_LINE), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_IN_LINE, 1), "(?i)^centr0$", "Centro"), strip(F.regexp_extract("line", P.CLINIC_IN_LINE, 2), " .,:;\t")))
+    alone = (holds(seen, "v", "hospital", "centro", "nica") & line.rlike(P.CLINIC_LINE) & ~F.regexp_extract("line", P.CLINIC_LINE, 2).rlike("(?i)^de "), F.concat_ws(" ", F.regexp_replace(F.regexp_extract("line", P.CLINIC_LINE, 1), r"(?i)^h\.?\s*v\.?$", "HV"), strip(F.regexp_extract("line", P.CLINIC_LINE, 2), " .,:;\t")))
+    for i, (gate, value) in enumerate((inside, alone)):
+        rule("clinic_name", 18, no * 100 + i, value, line, FALLBACK_CONFIDENCE, gate=gate)
     next4 = F.lower(F.array_join(lines_at(0, 3), " "))
     patient = next4.rlike("canino|felino|raza|chip|especie")
     born = F.nullif(squeeze(F.regexp_extract("line", P.PET_BIRTH_LINE, 1)), F.lit(""))
-    pet = F.when(holds(seen, "nac", "dob", "birth") & line.rlike(P.PET_BIRTH_LINE), F.when(~born.rlike(P.PET_GUARD) & (F.size(F.split(born, " ")) <= 3) & (patient | next4.rlike("nac")), born))
+    birth = holds(seen, "nac", "dob", "birth") & line.rlike(P.PET_BIRTH_LINE)
+    pet = once(born, lambda x: F.when(~x.rlike(P.PET_GUARD) & (F.size(F.split(x, " ")) <= 3) & (patient | next4.rlike("nac")), x))
     title = F.length("line").between(3, 40) & ~colon & line.rlike(r"^(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)(?:[\s'-]+(?:\p{Lu}[\p{Ll}]*|\p{Lu}+)){0,2}$") & ~line.rlike(P.PET_GUARD) & ~low.rlike(r"^(?:nombre|especie|raza|sexo|chip|n[ºo°]?\s*chip|fecha|paciente|propietari[oa]|veterinari[oa]|diagn[oó]stico|tratamiento|medicaci[oó]n|vacunaci[oó]n|canin[oa]|felin[oa]|macho|hembra|historial|informe|ficha|capa|edad|peso)\b")
     around1, before3 = F.array_join(lines_at(-1, 1), " "), lines_at(-3, 1)
     single = low.isin("m", "macho", "male", "h", "hembra", "female")
-    short = F.when(single, F.when(F.contains(F.lower(around1), F.lit("sexo")), F.when(low.isin("m", "macho", "male"), "macho").otherwise("hembra")))
+    short = F.when(F.contains(F.lower(around1), F.lit("sexo")), F.when(low.isin("m", "macho", "male"), "macho").otherwise("hembra"))
     kg = F.regexp_replace(F.lower(F.regexp_extract("line", P.WEIGHT_LINE, 2)), "^kgs$", "kg")
     dated = F.array_join(before3, " ")
-    weighed = F.when(F.contains(seen, F.lit("g")) & line.rlike(P.WEIGHT_LINE), F.when(dated.rlike(P.ANY_DATE) | dated.rlike(P.VISIT_TIMELINE) | (F.col("n_lines") <= 5), F.concat(F.regexp_extract("line", P.WEIGHT_LINE, 1), F.lit(" "), kg)))
-    kind = F.when(~F.contains("low", F.lit(" ")), species(low))
-    body = (("pet_name", pet, line), ("pet_name", F.when(title, F.when(patient, titled(line))), line), ("sex", F.when(has(low, ("macho", "male")), "macho"), line), ("sex", F.when(has(low, ("hembra", "female")), "hembra"), line), ("species", kind, line), ("sex", short, around1), ("weight", weighed, F.array_join(before3, "\n")))
-    for i, (k, value, snippet) in enumerate(body):
-        rule(k, 21, no * 100 + i, value, snippet, FALLBACK_CONFIDENCE)
+    weight = F.contains(seen, F.lit("g")) & line.rlike(P.WEIGHT_LINE)
+    weighed = F.when(dated.rlike(P.ANY_DATE) | dated.rlike(P.VISIT_TIMELINE) | (F.col("n_lines") <= 5), F.concat(F.regexp_extract("line", P.WEIGHT_LINE, 1), F.lit(" "), kg))
+    body = (("pet_name", birth, pet, line), ("pet_name", title, F.when(patient, titled(line)), line), ("sex", has(low, ("macho", "male")), F.lit("macho"), line), ("sex", has(low, ("hembra", "female")), F.lit("hembra"), line), ("species", ~F.contains("low", F.lit(" ")), species(low), line), ("sex", single, short, around1), ("weight", weight, weighed, F.array_join(before3, "\n")))
+    for i, (k, gate, value, snippet) in enumerate(body):
+        rule(k, 21, no * 100 + i, value, snippet, FALLBACK_CONFIDENCE, gate=gate)
     if keys is None or not people_places.KEYS.isdisjoint(keys):
         out += people_places.entries()
     return emitted(rows, out)
@@ -167,33 +173,38 @@ def hinted(docs: DataFrame) -> DataFrame:
 
 
 def mine(docs: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
-    """All candidates of documents (document_id, text) with offset, after acceptance; of equal folded values of a key the first. They are written, so that what is built on
-    them doesn't plan the extractors anew. With keys, only their candidates are made: keys don't depend on each other, so these are the same as without."""
+    """The candidates of placed, written: for what reads them several times."""
+    return written(placed(docs, keys), "mined")
+
+
+def placed(docs: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """All candidates of documents (document_id, text) with offset, after acceptance; of equal folded values of a key the first. Accepted ones are written, so that what is built on
+    them doesn't plan the extractors anew, and then dealt out by document once, for all that follows by document and key. With keys, only their candidates are made: keys don't depend on each
+    other, so these are the same as without."""
     asked = lambda *of: keys is None or any(k in keys for k in of)
     # looked through once and written: each extractor reads the few documents that are left, and each label pattern those with one of its words
-    docs = written(hinted(cued(spread(docs.select("document_id", "text")))).drop("hint").repartition("document_id"), "hinted")
-    parts = [labelled(docs, keys), from_lines(docs, keys)]
+    docs = written(hinted(cued(spread(docs.select("document_id", "text")))).drop("hint").repartition(parts(docs.sparkSession), "document_id"), "hinted")
+    found = [labelled(docs, keys), from_lines(docs, keys)]
     if asked("document_date"):
-        parts.append(plain_dates(docs))
+        found.append(plain_dates(docs))
     if asked(*(k for k, *_ in P.DATE_ANCHORS)):
-        parts.append(dates(docs))
+        found.append(dates(docs))
     if asked("microchip_id"):
-        parts += [windowed(docs, 5, "microchip_id", P.CHIP_WINDOW, digits_of_chip(F.col("v")), LABEL_CONFIDENCE), windowed(docs, 8, "microchip_id", P.CHIP_OCR_WINDOW, digits_of_chip(F.col("v")), FALLBACK_CONFIDENCE)]
+        found += [windowed(docs, 5, "microchip_id", P.CHIP_WINDOW, digits_of_chip(F.col("v")), LABEL_CONFIDENCE, may_hold(docs, P.CHIP_RULE)), windowed(docs, 8, "microchip_id", P.CHIP_OCR_WINDOW, digits_of_chip(F.col("v")), FALLBACK_CONFIDENCE)]
     if asked("clinical_record_number"):
-        parts.append(windowed(docs, 7, "clinical_record_number", P.RECORD_WINDOW, F.trim("v"), LABEL_CONFIDENCE))
+        found.append(windowed(docs, 7, "clinical_record_number", P.RECORD_WINDOW, F.trim("v"), LABEL_CONFIDENCE, may_hold(docs, P.RECORD_RULE)))
     if asked("language"):
         low = fold(F.coalesce("text", F.lit("")))
         spanish = docs.filter(F.exists(F.array(low), lambda t: reduce(or_, (F.contains(t, F.lit(w)) for w in P.SPANISH_HINTS))))
-        parts.append(_candidates(spanish, 30, "language", F.lit(0), F.lit("es"), F.lit("Heuristic language inference based on Spanish clinical tokens"), FALLBACK_CONFIDENCE))
-    every = reduce(DataFrame.unionByName, parts)
+        found.append(_candidates(spanish, 30, "language", F.lit(0), F.lit("es"), F.lit("Heuristic language inference based on Spanish clinical tokens"), FALLBACK_CONFIDENCE))
+    every = reduce(DataFrame.unionByName, found)
     if keys is not None:
         every = every.filter(F.col("key").isin(*keys))
     with at_most(docs.sparkSession, "spark.sql.codegen.hugeMethodLimit", 8000, 65535):  # longer generated methods aren't compiled by the JVM but interpreted
         ok = written(accepted(every), "accepted")  # the extractors' plan ends here: what follows is planned without it
-    kept = first_of(ok.withColumn("_fold", fold(F.col("value"))), ["document_id", "key", "_fold"], [F.asc("seq")]).drop("_fold")
-    texts = docs.select("document_id", "text")
-    placed = kept.withColumn("snippet", F.trim("snippet")).join(texts, "document_id").withColumn("offset", last_index(F.col("text"), F.col("snippet"))).drop("text").withColumn("snippet", F.substring("snippet", 1, 220))
-    return written(placed, "mined")
+    kept = first_of(ok.repartition("document_id").withColumn("_fold", fold(F.col("value"))), ["document_id", "key", "_fold"], [F.asc("seq")]).drop("_fold")
+    texts = docs.select("document_id", F.reverse("text").alias("_back"))  # a text is turned round once, not once for each candidate
+    return kept.withColumn("snippet", F.trim("snippet")).join(texts, "document_id").withColumn("offset", last_index_back(F.col("_back"), F.col("snippet"))).drop("_back").withColumn("snippet", F.substring("snippet", 1, 220))
 
 
 def rank_keys(c: DataFrame) -> DataFrame:
@@ -238,5 +249,12 @@ def suggestions(c: DataFrame, most: int = 5) -> DataFrame:
 
 def record(best: DataFrame) -> DataFrame:
     """One row per document with a column for each contract field; repeatable ones are arrays in rank order."""
-    single = best.groupBy("document_id").agg(*(F.max(F.when((F.col("key") == k) & (F.col("rank") == 1), F.col("value"))).alias(k) for k, _, _, many, _ in P.CONTRACT if not many), *(F.transform(F.array_sort(F.collect_list(F.when(F.col("key") == k, F.struct("rank", "value")))), lambda s: s["value"]).alias(k) for k, _, _, many, _ in P.CONTRACT if many))
-    return single.select("document_id", *(k for k, *_ in P.CONTRACT))
+    return fields_of(best.groupBy("document_id").agg(F.collect_list(F.struct("key", "rank", "value")).alias("held"))).drop("held")
+
+
+def fields_of(docs: DataFrame) -> DataFrame:
+    """Documents whose best candidates are an array held of (key, rank, value), with a column for each contract field."""
+    own = lambda k: F.filter("held", lambda h: (h["key"] == k) & (h["rank"] == 1))
+    every = lambda k: F.sort_array(F.transform(F.filter("held", lambda h: h["key"] == k), lambda h: F.struct(h["rank"].alias("rank"), h["value"].alias("value"))))
+    field = lambda k, many: F.transform(every(k), lambda s: s["value"]) if many else F.array_max(F.transform(own(k), lambda h: h["value"]))
+    return docs.select("*", *(field(k, many).alias(k) for k, _, _, many, _ in P.CONTRACT))

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import normal, patterns as P
-from docloom.functions.text import blank_to_null, fold, squeeze, strip
+from docloom.functions.text import blank_to_null, fold, once, squeeze, strip
 from docloom.operators import mining
 from docloom.sources.scratch import written
 
 
 def clinic_name(x: Column) -> Column:
     out = squeeze(strip(F.regexp_replace(squeeze(x), P.CLINIC_NAME_LABEL, ""), normal.EDGES))
-    address = out.rlike(r"(?iu)\b(?:c/|calle|av\.?|avenida|cp\b|portal|piso|puerta|direcci[oó]n|domicilio)\b") & out.rlike(r"\d")
-    return F.when((out != "") & ~address, out)
+    address = lambda x: x.rlike(r"\d") & x.rlike(r"(?iu)\b(?:c/|calle|av\.?|avenida|cp\b|portal|piso|puerta|direcci[oó]n|domicilio)\b")
+    return once(out, lambda x: F.when((x != "") & ~address(x), x))
 
 
 def _address(x: Column, lead: str, short: tuple[tuple[str, str], ...]) -> Column:
@@ -31,7 +31,7 @@ def clinic_address(x: Column) -> Column:
 def owner_address(x: Column) -> Column:
     """An address needs a digit and a word of addresses, and no other field's label."""
     out = _address(x, P.OWNER_ADDRESS_LEAD, P.OWNER_ABBREVIATIONS)
-    return F.when(out.rlike(r"\d") & out.rlike(P.OWNER_ADDRESS_WORD) & ~(out.rlike(P.OWNER_ADDRESS_OTHER) & F.contains(out, F.lit(":"))), out)
+    return once(out, lambda x: F.when(x.rlike(r"\d") & x.rlike(P.OWNER_ADDRESS_WORD) & ~(F.contains(x, F.lit(":")) & x.rlike(P.OWNER_ADDRESS_OTHER)), x))
 
 
 #: How each field is brought into form; fields that aren't listed stay as they are.
@@ -43,11 +43,17 @@ NORMAL = {
 
 def normalised(best: DataFrame) -> DataFrame:
     """Ranked candidates with their value in its normal form; those without one drop out."""
+    # as a generator's only element the value is made once; what follows, up to each column of the record, would make it again
+    return best.withColumn("value", F.explode(F.array(_normal()))).filter("value is not null")
+
+
+def _normal() -> Column:
+    """A candidate's value in the normal form of its key; null if it has none or is blank."""
     key, value = F.col("key"), F.col("value")
     shaped = value
     for k, f in NORMAL.items():
         shaped = F.when(key == k, f(value)).otherwise(shaped)
-    return best.withColumn("value", shaped).filter("value is not null and trim(value) != ''")
+    return once(shaped, lambda x: F.when(F.trim(x) != "", x))
 
 
 def missing_keys(record: DataFrame, contract: DataFrame) -> DataFrame:
@@ -68,10 +74,13 @@ def with_derived(wide: DataFrame, as_of: Column) -> DataFrame:
 def of_texts(docs: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(records, ranked candidates) of texts (document_id, text): the best candidates in normal form as one wide row per document, species and breed mended
     from each other and their evidence, dates and age filled in. A text without candidates has no row."""
-    ranked = written(mining.ranked(mining.mine(docs)), "ranked")
-    wide = mining.record(normalised(ranked))
-    proof = ranked.filter(F.col("key").isin("species", "breed") & (F.col("rank") == 1)).groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("key") == "breed", "snippet"))), lambda s: s["snippet"]).alias("_proof"))
-    pair = wide.join(proof, "document_id", "left").withColumn("_pair", normal.species_and_breed(F.col("species"), F.col("breed"), F.col("_proof")))
+    ranked = written(mining.ranked(mining.placed(docs)), "ranked")
+    # a document's values and the evidence of its species and breed are gathered together, in one pass
+    shaped = ranked.select("document_id", "key", "rank", "snippet", F.explode(F.array(_normal())).alias("value"))
+    proof = F.when(F.col("key").isin("species", "breed") & (F.col("rank") == 1), F.struct((F.col("key") == "breed").alias("breed"), "snippet"))
+    whole = shaped.groupBy("document_id").agg(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("key", "rank", "value"))).alias("held"), F.transform(F.sort_array(F.collect_list(proof)), lambda s: s["snippet"]).alias("_proof"))
+    wide = mining.fields_of(whole.filter(F.size("held") > 0)).drop("held")
+    pair = wide.withColumn("_pair", normal.species_and_breed(F.col("species"), F.col("breed"), F.col("_proof")))
     mended = pair.withColumns({"species": F.col("_pair.species"), "breed": F.col("_pair.breed")}).drop("_pair", "_proof")
     return with_derived(mended, as_of), ranked
 

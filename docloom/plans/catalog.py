@@ -584,7 +584,7 @@ def latest_past_visit(spark, d):
 def mined_candidates(spark, d):
     """Candidates of all documents with their rank; tests hold extraction against the published examples."""
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
-    return mining.ranked(mining.mine(docs)).select("document_id", "key", "rank", "value", "confidence", "offset")
+    return mining.ranked(mining.placed(docs)).select("document_id", "key", "rank", "value", "confidence", "offset")
 
 
 @query()
@@ -726,7 +726,7 @@ def _cards(spark, d):
 SELECT c_custkey::VARCHAR AS document_id, key, replace(replace(replace(replace(replace(value, '{{pet}}', pet), '{{owner}}', owner), '{{chip}}', chip), '{{kg}}', kg), '{{year}}', year) AS value, confidence::DOUBLE AS confidence, k1::DOUBLE AS k1 FROM c JOIN e USING (kind)""")
 def card_candidates(spark, d):
     """The best candidate of each field of each card, with its confidence and the first number of its rank."""
-    best = mining.ranked(mining.mine(_cards(spark, d))).filter("rank = 1")
+    best = mining.ranked(mining.placed(_cards(spark, d))).filter("rank = 1")
     return best.select("document_id", "key", "value", "confidence", "k1")
 
 

@@ -52,3 +52,8 @@ def spread(df: DataFrame) -> DataFrame:
     """df, dealt out anew if it comes in fewer partitions than there are cores: a small file of few row groups, so little is moved. Others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def parts(spark: SparkSession) -> int:
+    """How many parts rows that cost much each are dealt out into: several a core, however few bytes they are (the engine would put small parts together)."""
+    return 4 * spark.sparkContext.defaultParallelism
