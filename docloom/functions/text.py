@@ -58,7 +58,8 @@ def is_empty(x: Column, kind: str) -> Column:
 
 def cue(x: Column) -> Column:
     """A text in which every letter that a pattern without regard to case takes for a plain one is that letter: long s, dotless and dotted i among them."""
-    return F.replace(F.lower(F.upper(x)), F.lit("\u0307"), F.lit(""))
+    # not lower(upper(x)), of which the engine keeps the outer one only; the dot is what is left of a dotted I
+    return reduce(lambda y, w: F.replace(y, F.lit(w[0]), F.lit(w[1])), (("\u017f", "s"), ("\u0131", "i"), ("\u0307", "")), F.lower(x))
 
 
 def holds(x: Column, *words: str) -> Column:

@@ -14,7 +14,7 @@ from docloom.functions.normal import visit_date, weight_kg
 from docloom.functions.text import blank_to_null
 from docloom.operators import clauses, mining
 from docloom.operators.keyed import latest
-from docloom.operators.visits import classified, detected_dates, first_visit_date, latest_weight, occurrences, only_absent, resolved, segment_values, segments, visit_order
+from docloom.operators.visits import classified, detection, first_visit_date, latest_weight, occurrences, resolved, said_dates, segment_values, segments, visit_order
 from docloom.sources.scratch import written
 
 #: Fields that a visit takes from its own text, in the order in which they are added.
@@ -75,15 +75,25 @@ def roster(dates: DataFrame, seen: DataFrame, known: DataFrame) -> DataFrame:
     Every detected date (document_id, dates in order) has a visit, and a date that the text names n times has n. New visits are numbered on after the known ones: first those of
     dates in the order of detection, then the further ones of dates in the text's order.
     """
-    told = seen.groupBy("document_id", "date").agg(F.count("*").alias("told"), F.min("offset").alias("first"))
-    wanted = dates.select("document_id", F.posexplode("dates").alias("at", "date"))
-    have = known.filter("date is not null").groupBy("document_id", "date").agg(F.count("*").alias("have"))
-    need = wanted.join(told, ["document_id", "date"], "left").join(have, ["document_id", "date"], "left").withColumns({"have": F.coalesce("have", F.lit(0)), "need": F.greatest(F.lit(1), F.coalesce("told", F.lit(0)))}).filter("need > have")
-    new = need.select("document_id", "date", "at", "first", F.explode(F.sequence(F.col("have") + 1, F.col("need"))).alias("i"))
-    order = (F.col("i") > 1, F.when(F.col("i") == 1, F.col("at")).otherwise(F.col("first")), F.col("i"))
-    total = known.groupBy("document_id").agg(F.count("*").alias("n"))
-    number = (F.coalesce("n", F.lit(0)) + F.row_number().over(Window.partitionBy("document_id").orderBy(*order))).cast("int")
-    made = new.join(total, "document_id", "left").select("document_id", F.format_string("visit-%03d", number).alias("visit_id"), "date", number.alias("no"))
+    wanted = dates.select("document_id", F.posexplode("dates").alias("at", "date")).select("document_id", "date", detection(0, F.col("at")), F.lit(None).cast("int").alias("told"))
+    return _numbered(wanted.unionByName(seen.select("document_id", "date", F.lit(None).cast(wanted.schema["o"].dataType).alias("o"), F.col("offset").alias("told"))), known)
+
+
+def detected_roster(fields: DataFrame, seen: DataFrame, known: DataFrame) -> DataFrame:
+    """roster of the dates that detected_dates finds in fields and texts, without an array of them in between."""
+    return _numbered(said_dates(fields).withColumn("told", F.lit(None).cast("int")).unionByName(seen.select("document_id", "date", detection(1, F.col("offset")), F.col("offset").alias("told"))), known)
+
+
+def _numbered(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The roster of rows (document_id, date, o, told): o the place of a detected date, told where the text names one. All rows are dealt out by document once; what follows is by document and date."""
+    have = known.select("document_id", "date", F.lit(None).cast(rows.schema["o"].dataType).alias("o"), F.lit(None).cast("int").alias("told"), F.lit(1).alias("have"))
+    every = rows.withColumn("have", F.lit(0)).unionByName(have).repartition("document_id")
+    each = every.groupBy("document_id", "date").agg(F.min("o").alias("o"), F.count("told").alias("told"), F.min("told").alias("first"), F.sum("have").alias("have"))
+    need = each.withColumns({"n": F.sum("have").over(Window.partitionBy("document_id")), "need": F.greatest(F.lit(1), F.col("told"))}).filter("o is not null and need > have")
+    new = need.select("document_id", "date", "o", "first", "n", F.explode(F.sequence(F.col("have") + 1, F.col("need"))).alias("i"))
+    order = (F.col("i") > 1, F.when(F.col("i") == 1, F.col("o")), F.col("first"), F.col("i"))
+    number = (F.col("n") + F.row_number().over(Window.partitionBy("document_id").orderBy(*order))).cast("int")
+    made = new.select("document_id", F.format_string("visit-%03d", number).alias("visit_id"), "date", number.alias("no"))
     return known.select("document_id", "visit_id", "date", F.col("no").cast("int").alias("no")).unionByName(made)
 
 
@@ -91,9 +101,10 @@ def segment_fields(cuts: DataFrame) -> DataFrame:
     """Rows (document_id, visit_id, key, value, snippet, offset, seq): what mining finds in each visit's text (segments), as in a text of its own, for
     SEGMENT_KEYS: the first value of a key, of weights the last in the text. All segments are mined in one pass."""
     joint = F.concat_ws("\u0001", "document_id", "visit_id")
-    mined = mining.mine(cuts.select(joint.alias("document_id"), F.col("segment").alias("text")), SEGMENT_KEYS)
+    mined = mining.placed(cuts.select(joint.alias("document_id"), F.col("segment").alias("text")), SEGMENT_KEYS)
     part = F.split("document_id", "\u0001")
-    return segment_values(mined.select(part[0].alias("document_id"), part[1].alias("visit_id"), "key", "value", "snippet", "offset", "seq"))
+    best = segment_values(mined.select("document_id", "key", "value", "snippet", "offset", "seq"), ("document_id",))
+    return best.select(part[0].alias("document_id"), part[1].alias("visit_id"), "key", "value", "snippet", "offset", "seq")
 
 
 def weight_candidates(assigned: DataFrame, loose: DataFrame, roster_: DataFrame, docs: DataFrame) -> DataFrame:
@@ -136,20 +147,23 @@ def chart(docs: DataFrame, fields: DataFrame, known: DataFrame | None = None, ke
     seen = written(occurrences(docs), "seen")
     parts = written(classified(fields), "parts")
     listed = known.filter(~F.col("visit_id").eqNullSafe(F.lit(UNASSIGNED)))
-    visits = written(roster(detected_dates(parts, seen), seen, listed), "roster")
+    visits = written(detected_roster(parts, seen, listed), "roster")
     assigned = resolved(parts.filter("part = 'visit'"), docs, seen, visits)
     shape = ("document_id", "visit_id", "field_id", "key", "value", "snippet", "offset", "origin", "seq")
     placed = assigned.select("document_id", F.coalesce("visit_id", F.lit(UNASSIGNED)).alias("visit_id"), "field_id", "key", "value", "snippet", "offset", F.lit("assigned").alias("origin"), (F.lit(10**6) + F.col("seq")).alias("seq"))
     stored = kept.select("document_id", "visit_id", "field_id", "key", "value", "snippet", "offset", F.lit("stored").alias("origin"), F.col("no").cast("long").alias("seq"))
-    have = written(stored.unionByName(placed), "have")
+    have = stored.unionByName(placed)
     cuts = written(segments(docs, seen, visits), "cuts")
     found = segment_fields(cuts)
     at = F.create_map(*(F.lit(x) for i, k in enumerate((*SEGMENT_KEYS, "observations", "actions")) for x in (k, i)))
     said = clauses.observations_actions(cuts.select("document_id", "visit_id", "segment"))
     said = said.select("document_id", "visit_id", F.explode(F.create_map(F.lit("observations"), F.col("observations"), F.lit("actions"), F.col("actions"))).alias("key", "value")).filter("value is not null")
     new = found.select("document_id", "visit_id", "key", "value", "snippet", F.col("offset").cast("int").alias("offset")).unionByName(said.select("document_id", "visit_id", "key", "value", F.col("value").alias("snippet"), F.lit(None).cast("int").alias("offset")))
-    derived = only_absent(new, have).select("document_id", "visit_id", F.concat(F.lit("derived-"), F.col("key"), F.lit("-"), F.col("visit_id")).alias("field_id"), "key", "value", "snippet", "offset", F.lit("derived").alias("origin"), (F.lit(10**12) + at[F.col("key")]).alias("seq"))
-    every = have.unionByName(derived.select(*shape))
+    derived = new.select("document_id", "visit_id", F.concat(F.lit("derived-"), F.col("key"), F.lit("-"), F.col("visit_id")).alias("field_id"), "key", "value", "snippet", "offset", F.lit("derived").alias("origin"), (F.lit(10**12) + at[F.col("key")]).alias("seq"))
+    # what is derived and what the visits have come together once, by document; of a key that a visit has nothing is derived
+    pool = have.withColumn("_new", F.lit(False)).unionByName(derived.select(*shape, F.lit(True).alias("_new"))).repartition("document_id")
+    held = F.max(~F.col("_new")).over(Window.partitionBy("document_id", "visit_id", "key"))
+    every = pool.withColumn("_held", held).filter(~F.col("_new") | ~F.col("_held") | F.col("visit_id").isNull()).select(*shape)
     every = written(every.withColumn("field_no", F.row_number().over(Window.partitionBy("document_id", "visit_id").orderBy("seq", "field_id"))), "every")
     loose = every.filter((F.col("visit_id") == UNASSIGNED) & (F.col("key") == "weight"))
     weight = written(current_weights(weight_candidates(every.filter(F.col("visit_id") != UNASSIGNED), loose, visits, docs)), "weights")

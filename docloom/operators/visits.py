@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import patterns as P
 from docloom.functions.normal import visit_date, weight_kg
 from docloom.functions.text import LINE_END, fold, matches, squeeze
-from docloom.operators.keyed import carried, first_of, kth_match, latest, nearest
+from docloom.operators.keyed import carried, first_of, latest, nearest
 
 
 def raw_lines(docs: DataFrame) -> DataFrame:
@@ -70,11 +70,16 @@ def segments(docs: DataFrame, seen: DataFrame, roster: DataFrame) -> DataFrame:
     line's start, or at a heading on that line before the date, and ends at the next heading or at the start of the next date's line. A document's
     places are an array beside its text, which is joined once, not once for each visit.
     """
-    w = Window.partitionBy("document_id").orderBy("offset")
-    anchors = seen.withColumn("next_line", F.lead("line_start").over(w))
-    owned = kth_match(anchors.drop("k"), numbered_roster(roster), ["document_id", "date"], ["offset"], ["no"]).drop("k")
-    owned = first_of(owned, ["document_id", "visit_id"], [F.asc("offset")])
-    places = owned.groupBy("document_id").agg(F.collect_list(F.struct("visit_id", "offset", "line_start", "next_line")).alias("places"))
+    none = lambda kind: F.lit(None).cast(kind)
+    # as a visit's first place counts, its place is that of its own number among its date's; places and visits are dealt out by document once, together
+    marks = seen.select("document_id", "date", F.lit(False).alias("visit"), F.col("offset").cast("long").alias("at"), F.col("offset").cast("int").alias("offset"), F.col("line_start").cast("int").alias("line_start"), none("string").alias("visit_id"))
+    owners = numbered_roster(roster).filter("date is not null").select("document_id", "date", F.lit(True).alias("visit"), F.col("no").cast("long").alias("at"), none("int").alias("offset"), none("int").alias("line_start"), "visit_id")
+    both = marks.unionByName(owners).repartition("document_id")
+    both = both.withColumn("next_line", F.lead("line_start").over(Window.partitionBy("document_id", "visit").orderBy("at"))).withColumn("k", F.row_number().over(Window.partitionBy("document_id", "date", "visit").orderBy("at")))
+    place = F.when(~F.col("visit"), F.struct("offset", "line_start", "next_line"))
+    owned = both.groupBy("document_id", "date", "k").agg(F.max("visit_id").alias("visit_id"), F.min(place).alias("p"), F.max("visit").alias("owned")).filter("owned and p is not null")
+    owned = owned.groupBy("document_id", "visit_id").agg(F.min("p").alias("p"))
+    places = owned.groupBy("document_id").agg(F.collect_list(F.struct("visit_id", "p.offset", "p.line_start", "p.next_line")).alias("places"))
     t = places.join(docs.select("document_id", "text"), "document_id").withColumn("heads", headings(F.coalesce("text", F.lit(""))))
 
     def cut(p: Column) -> Column:
@@ -149,12 +154,20 @@ def classified(fields: DataFrame) -> DataFrame:
     return f.withColumns({"scope": F.when(F.col("part") == "visit", "visit").otherwise(F.col("scope")), "section": F.when(F.col("part") == "visit", "visits").otherwise(F.col("section"))})
 
 
+def detection(source: int, at: Column) -> Column:
+    """The place o of a detected date: those of fields (source 0) come before those of the text (1)."""
+    return F.struct(F.lit(source).alias("source"), at.cast("long").alias("at")).alias("o")
+
+
+def said_dates(fields: DataFrame) -> DataFrame:
+    """Rows (document_id, date, o): the dates of visits that fields (classified, with seq) name."""
+    of = F.when((F.col("part") == "meta") & (F.col("key") == "visit_date"), F.array_compact(F.array(visit_date(F.col("value"))))).when(F.col("part") == "visit", snippet_dates(F.coalesce("snippet", F.lit(""))))
+    return fields.select("document_id", F.explode(of).alias("date"), detection(0, F.col("seq")))
+
+
 def detected_dates(fields: DataFrame, seen: DataFrame) -> DataFrame:
     """Rows (document_id, dates): the dates of visits in the order in which fields (classified, with seq) and then the text name them, each once."""
-    of = F.when((F.col("part") == "meta") & (F.col("key") == "visit_date"), F.array_compact(F.array(visit_date(F.col("value"))))).when(F.col("part") == "visit", snippet_dates(F.coalesce("snippet", F.lit(""))))
-    said = fields.select("document_id", F.struct(F.lit(0).alias("source"), F.col("seq").cast("long").alias("at")).alias("o"), F.explode(of).alias("date"))
-    told = seen.select("document_id", F.struct(F.lit(1).alias("source"), F.col("offset").cast("long").alias("at")).alias("o"), "date")
-    first = said.unionByName(told).groupBy("document_id", "date").agg(F.min("o").alias("o"))
+    first = said_dates(fields).unionByName(seen.select("document_id", "date", detection(1, F.col("offset")))).groupBy("document_id", "date").agg(F.min("o").alias("o"))
     return first.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "date"))), lambda x: x["date"]).alias("dates"))
 
 
@@ -169,7 +182,13 @@ def resolved(fields: DataFrame, docs: DataFrame, seen: DataFrame, roster: DataFr
     k = F.row_number().over(Window.partitionBy("document_id", "date").orderBy("offset")) - 1
     places = seen.withColumn("k", k).groupBy("document_id").agg(F.collect_list(F.struct("offset", "date", "k")).alias("places"))
     visits = numbered_roster(roster).filter("date is not null").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("no", "visit_id", "date"))).alias("visits"), F.countDistinct("date").alias("_n_dates"))
-    f = fields.join(snippet_places(fields, docs), ["document_id", "snippet"], "left").join(places, "document_id", "left").join(visits, "document_id", "left")
+    # a document's fields, text, places and visits come together by document; its text is folded once for all its fields
+    own = fields.groupBy("document_id").agg(F.collect_list(F.struct(*(c for c in fields.columns if c != "document_id"))).alias("_fields"))
+    texts = docs.select("document_id", F.coalesce("text", F.lit("")).alias("_text"))
+    t = own.join(texts, "document_id", "left").join(places, "document_id", "left").join(visits, "document_id", "left")
+    t = t.withColumns({"heads": headings(F.col("_text")), "_low": F.array(fold(F.col("_text")))})
+    found = F.transform("_low", lambda low: F.transform("_fields", lambda f: F.struct(f.alias("f"), _offset_in(low, f["snippet"]).alias("at"))))[0]
+    f = t.select("document_id", "places", "visits", "_n_dates", "heads", F.explode(found).alias("_x")).select("document_id", "places", "visits", "_n_dates", "heads", "_x.f.*", "_x.at")
     snippet = F.coalesce("snippet", F.lit(""))
     f = f.withColumns({"_dates": snippet_dates(snippet), "_token": snippet.rlike(P.VISIT_DATE), "_n_dates": F.coalesce("_n_dates", F.lit(0))})
     at, none = F.col("at"), F.array()
@@ -262,10 +281,10 @@ def newest_weight(candidates: DataFrame) -> DataFrame:
     return latest(candidates, ["document_id"], ["date", "offset", "visit_no", "field_no"])
 
 
-def segment_values(mined: DataFrame) -> DataFrame:
+def segment_values(mined: DataFrame, visit: tuple[str, ...] = ("document_id", "visit_id")) -> DataFrame:
     """One value for each visit and key of candidates mined from segments (document_id, visit_id, key, value, offset, seq): a weight's last, else the first."""
     weight = F.when(F.col("key") == "weight", -F.col("offset")).otherwise(F.col("seq"))
-    return first_of(mined, ["document_id", "visit_id", "key"], [weight.asc(), F.asc("seq")])
+    return first_of(mined, [*visit, "key"], [weight.asc(), F.asc("seq")])
 
 
 def only_absent(new: DataFrame, have: DataFrame) -> DataFrame:
