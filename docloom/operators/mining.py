@@ -1,7 +1,7 @@
 """Mining of field candidates from texts, and their ranking into a record.
 
 Every extractor gives rows (document_id, key, seq, value, snippet, confidence, anchor, priority, reason); seq orders them as they would be read, and the
-first accepted of equal values wins. Documents are exploded into lines once; context comes from windows over them.
+first accepted of equal values wins. Documents are exploded into lines once, each with the lines around it.
 """
 
 from __future__ import annotations

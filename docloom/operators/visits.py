@@ -103,13 +103,6 @@ def snippet_offset(text: Column, snippet: Column) -> Column:
     return _offset_in(fold(text), snippet)
 
 
-def snippet_places(fields: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows (document_id, snippet, at, heads): where each snippet of a document's fields stands, and the headings of its text. A text is folded and joined once for all its snippets."""
-    asked = fields.filter("snippet is not null").groupBy("document_id").agg(F.collect_set("snippet").alias("snippets"))
-    t = asked.join(docs.select("document_id", F.coalesce("text", F.lit("")).alias("text")), "document_id").select("document_id", "snippets", fold(F.col("text")).alias("low"), headings(F.col("text")).alias("heads"))
-    found = F.transform(F.array("low"), lambda low: F.transform("snippets", lambda s: F.struct(s.alias("snippet"), _offset_in(low, s).alias("at"))))[0]
-    return t.select("document_id", "heads", F.explode(found).alias("s")).select("document_id", "s.*", "heads").filter("at is not null")
-
 
 def first_visit_date(x: Column) -> Column:
     """The first date in a text that can be a visit's, as ISO text; null if none can."""
@@ -287,10 +280,6 @@ def segment_values(mined: DataFrame, visit: tuple[str, ...] = ("document_id", "v
     return first_of(mined, [*visit, "key"], [weight.asc(), F.asc("seq")])
 
 
-def only_absent(new: DataFrame, have: DataFrame) -> DataFrame:
-    """Values (document_id, visit_id, key, ...) for keys that a visit doesn't have yet."""
-    return new.join(have.select("document_id", "visit_id", "key").distinct(), ["document_id", "visit_id", "key"], "left_anti")
-
 
 def latest_past(date: Column, on: Column) -> Column:
     """Aggregate: the latest of dates that don't lie after a day; null if all do."""
